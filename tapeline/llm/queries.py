@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import mixing, secrets, sharding
+from tapeline.llm import ann, chat, mixing, secrets, sharding, token_counts, toxicity
 from tapeline.session import table
 
 
@@ -13,10 +13,33 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("block").cast("long").alias("block"), "place")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_table(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, divisor=20)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text is counted, then gets one edit in its middle: twelve characters give way to a short note."""
+    docs = table(spark, sf_dir, "documents")
+    middle = F.floor(F.length("text") / 2)
+    edit = F.struct(middle.cast("long").alias("start"), (middle + 12).cast("long").alias("end"), F.concat(F.lit(" see note "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("put"))
+    return token_counts.count_with_edits(docs.withColumn("edits", F.array(edit)), edits_col="edits")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(more)))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"), n_shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -24,7 +47,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
+    "op5_nearest": op5_nearest,
+    "op7_token_counts": op7_token_counts,
+    "op8_chat": op8_chat,
     "op9_sharding": op9_sharding,
 }
 
