@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import ann, chat, mixing, secrets, sharding, token_counts, toxicity
+from tapeline.llm import ann, chat, decontam, mixing, ngram_join, secrets, sharding, token_counts, toxicity
 from tapeline.session import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("block").cast("long").alias("block"), "place")
 
@@ -25,6 +29,11 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, divisor=20)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each text and benchmark item that it holds."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text is counted, then gets one edit in its middle: twelve characters give way to a short note."""
     docs = table(spark, sf_dir, "documents")
@@ -46,10 +55,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
     "op5_nearest": op5_nearest,
+    "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_chat": op8_chat,
     "op9_sharding": op9_sharding,
