@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import ann, chat, decontam, mixing, ngram_join, secrets, sharding, token_counts, toxicity
+from tapeline.llm import ann, chat, decontam, mixing, ngram_join, secrets, sharding, suffix_dedup, token_counts, toxicity
 from tapeline.session import table
 
 
@@ -54,6 +54,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.summary(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
@@ -64,6 +68,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_chat": op8_chat,
     "op9_sharding": op9_sharding,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
