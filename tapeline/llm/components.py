@@ -11,18 +11,25 @@ from tapeline.session import saved
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that can be reached, for every node of ``links`` (a, b).
 
-    Each round takes the smallest label among the neighbours and then that label's own label, so the rounds grow with the
-    logarithm of the longest path. Only links between different labels are carried on. Every round is kept in the shared
-    checkpoint folder.
+    Each round, every node of the contracted graph is merged into the neighbour of the least hash, if that is less than its own,
+    chains are shortened twice, and links are moved to the nodes that are left. A constant part of the nodes goes in a
+    round, whatever the graph's shape, so the rounds grow with the logarithm of its size. Every round is kept in the
+    shared checkpoint folder.
     """
-    edges = saved(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct())
+    pairs = links.where("a <> b").select("a", "b")
+    edges = saved(pairs.union(pairs.select("b", "a")).distinct())
     labels = saved(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
     while not edges.isEmpty():
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("label"))
-        # nodes under one label follow it to the label that it has taken itself
-        hops = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = saved(lower.join(hops, "label", "left").select("node", F.least("label", "further").alias("label")))
-        ends = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        edges = saved(ends.where("la <> lb").select("a", "b"))
-    return labels
+        least = edges.groupBy("a").agg(F.min(rank("b")).alias("near"))
+        into = saved(least.select("a", F.when(F.col("near") < rank("a"), F.col("near")["b"]).otherwise(F.col("a")).alias("into")))
+        for _ in range(2):
+            further = into.select(F.col("a").alias("into"), F.col("into").alias("further"))
+            into = saved(into.join(further, "into").select("a", F.col("further").alias("into")))
+        moved = into.withColumnRenamed("a", "label")
+        labels = saved(labels.join(moved, "label", "left").select("node", F.coalesce("into", "label").alias("label")))
+        other = into.select(F.col("a").alias("b"), F.col("into").alias("of_b"))
+        ends = edges.join(into, "a").join(other, "b").where("into <> of_b")
+        edges = saved(ends.select(F.col("into").alias("a"), F.col("of_b").alias("b")).distinct())
+    lowest = labels.groupBy("label").agg(F.min("node").alias("lowest"))
+    return labels.join(lowest, "label").select("node", F.col("lowest").alias("label"))
