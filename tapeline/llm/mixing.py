@@ -10,7 +10,8 @@ The head ends at one cut key for each source. It is found from totals of ``BUCKE
 range that holds the cut, so a source with a third of all rows is never gathered in one task, and texts are not shuffled.
 
 Defined results: a null source counts as source ''; null or empty texts have 0 tokens; rows with equal id and text share
-a key and are kept or left together; an empty table gives no rows; other columns pass unchanged (``mix``) or are ignored.
+a key and are kept or left together; an empty table gives no rows; other columns pass unchanged (``mix``, which adds and
+uses names that begin with ``mix_``) or are ignored.
 """
 
 from __future__ import annotations
@@ -89,12 +90,13 @@ def plan(docs: DataFrame, entropy_ratio: float | None = 0.97, max_repetition: fl
 
 
 def mix(docs: DataFrame, entropy_ratio: float | None = 0.97, max_repetition: float | None = 4.0, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as the mixture takes them, with ``block`` (which permutation) and ``place`` (the order key in it)."""
+    """The rows of ``docs`` as often as the mixture takes them, with ``mix_block`` (which permutation) and ``mix_place`` (the order key in it)."""
     sources = plan(docs, entropy_ratio, max_repetition, budget, id_col, text_col, source_col)
-    sources = F.broadcast(sources.select(F.col("source").alias("mix_source"), "passes", "cut"))
-    key = _key(id_col, text_col)
-    joined = docs.withColumn("mix_key", key).join(sources, F.coalesce(F.col(source_col), F.lit("")) == F.col("mix_source"))
-    blocks = joined.withColumn("copies", F.col("passes") + F.when(F.col("mix_key") <= F.col("cut"), 1).otherwise(0)).where("copies > 0")
-    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    place = F.when(F.col("block") == F.col("passes"), F.col("mix_key")).otherwise(F.md5(F.concat_ws("/", F.col("block").cast("string"), F.col("mix_key")).cast("binary")))
-    return blocks.withColumn("place", place).drop("mix_key", "mix_source", "passes", "cut", "copies")
+    sources = F.broadcast(sources.select(F.col("source").alias("mix_source"), F.col("passes").alias("mix_passes"), F.col("cut").alias("mix_cut")))
+    joined = docs.withColumn("mix_key", _key(id_col, text_col)).join(sources, F.coalesce(F.col(source_col), F.lit("")) == F.col("mix_source"))
+    head = F.when(F.col("mix_key") <= F.col("mix_cut"), 1).otherwise(0)  # the last, partial permutation
+    blocks = joined.withColumn("mix_copies", F.col("mix_passes") + head).where("mix_copies > 0")
+    blocks = blocks.withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
+    whole = F.md5(F.concat_ws("/", F.col("mix_block").cast("string"), F.col("mix_key")).cast("binary"))
+    place = F.when(F.col("mix_block") == F.col("mix_passes"), F.col("mix_key")).otherwise(whole)
+    return blocks.withColumn("mix_place", place).drop("mix_key", "mix_source", "mix_passes", "mix_cut", "mix_copies")

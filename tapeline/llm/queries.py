@@ -14,7 +14,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("block").cast("long").alias("block"), "place")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("mix_block").cast("long").alias("block"), F.col("mix_place").alias("place"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

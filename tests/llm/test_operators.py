@@ -54,7 +54,8 @@ def test_mixture_meets_targets(spark, ratio, cap):
         assert repetition <= cap + 1e-9
     if cap and ratio:
         assert repetition <= cap + 1e-9 or abs(entropy - ratio * np.log(len(plan))) < 1e-9
-    full = Counter((r.source or "", r.block) for r in got.collect())
+    full = Counter((r.source or "", r.mix_block) for r in got.collect())
+    assert got.columns == [*docs(spark, rows).columns, "mix_block", "mix_place"] and {r.block for r in got.collect()} == {2}
     for s, r in plan.items():
         assert all(full[s, b] == sum(1 for _, _, x in rows if (x or "") == s) for b in range(r.passes))
 
