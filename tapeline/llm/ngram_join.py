@@ -5,8 +5,9 @@ of every region. Pivots are therefore local. Every document offers the head of i
 (by a hashed count table of fixed size, ties by hash). Two sets within distance 0.25 share at least ``need`` shingles of
 their heads, so documents with fewer shared ones leave. Each shared shingle names the member with the least hash as its
 pivot; a pivot's region is every document that holds one of its shingles, so documents on a boundary are replicated into
-each region that they touch, and linked documents always meet in one. Inside a region, members are joined exactly.
-A member already joined to the region's largest component need not be compared again; all others are.
+each region that they touch, and linked documents always meet in one. Memberships that cannot bring a link, by the shared
+parts of the heads alone, are dropped (``screen_region``). Inside a region, members are joined exactly. A member already
+joined to the region's largest component need not be compared again; all others are.
 A region too large for one task is cut recursively (``split_region``): distances to sub-pivots settle the documents
 inside a ball, and the triangle inequality tells which balls the rest must still be compared with; what is far from all
 sub-pivots after ``ROUNDS`` cuts is joined block by block.
@@ -21,6 +22,7 @@ rows are linked as copies; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -228,6 +230,32 @@ class Links:
             self.size[i] += self.size[j]
 
 
+class Postings:
+    """Who holds which value, of members given as arrays of distinct values."""
+
+    def __init__(self, members: list[np.ndarray]) -> None:
+        sizes = np.array([len(x) for x in members])
+        values = np.concatenate(members)
+        order = np.argsort(values, kind="stable")
+        ordered = values[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        self.n = len(members)
+        self.start = np.flatnonzero(new)
+        self.length = np.diff(np.concatenate([self.start, [len(values)]]))
+        self.owner = np.repeat(np.arange(self.n), sizes)[order]
+        self.run = np.empty(len(values), np.int64)
+        self.run[order] = np.cumsum(new) - 1
+        self.offset = np.concatenate([[0], np.cumsum(sizes)])
+
+    def shared_with(self, i: int) -> np.ndarray:
+        """How many values member i shares with each member."""
+        runs = self.run[self.offset[i] : self.offset[i + 1]]
+        runs = runs[self.length[runs] > 1]
+        lengths = self.length[runs]
+        at = np.repeat(self.start[runs] - np.concatenate([[0], np.cumsum(lengths)])[:-1], lengths) + np.arange(lengths.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
 def join_region(sets: list[np.ndarray], must: list[bool] | None = None) -> list[tuple[int, int]]:
     """Links (member, other member) that connect exactly what the pairs within the distance connect.
 
@@ -235,30 +263,14 @@ def join_region(sets: list[np.ndarray], must: list[bool] | None = None) -> list[
     by then: every pair across components has a member outside it. ``must``: members whose pairs are asked for; pairs
     of two others are known elsewhere.
     """
-    sizes = np.array([len(x) for x in sets])
     n, links = len(sets), []
     if n < 2:
         return links
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(values, kind="stable")
-    ordered = values[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    run = np.cumsum(new) - 1
-    run_start = np.flatnonzero(new)
-    run_length = np.diff(np.concatenate([run_start, [len(values)]]))
-    posting = owner[order]
-    run_of = np.empty(len(values), np.int64)
-    run_of[order] = run
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    sizes, postings = np.array([len(x) for x in sets]), Postings(sets)
     known, done, largest = Links(n), [False] * n, 0
 
     def compare(i: int) -> None:
-        runs = run_of[offsets[i] : offsets[i + 1]]
-        runs = runs[run_length[runs] > 1]
-        lengths = run_length[runs]
-        at = np.repeat(run_start[runs] - np.concatenate([[0], np.cumsum(lengths)])[:-1], lengths) + np.arange(lengths.sum())
-        both = np.bincount(posting[at], minlength=n)
+        both = postings.shared_with(i)
         near = DEN * both >= NUM * (sizes[i] + sizes - both)
         near[i] = False
         for j in np.flatnonzero(near):
@@ -371,21 +383,68 @@ def block_pairs(rows: DataFrame, limit: int) -> DataFrame:
 ROUNDS = 3
 
 
-def links_of(texts: DataFrame, prints: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFrame:
-    """a, b: links between keys that connect exactly the keys within the distance."""
-    spark = texts.sparkSession
-    table = count_table(texts, lambda batch: (x for _, run in chunks(batch.column("text")) for x in sets_of(run, K)))
-    common = 2 * max(1.0, float(table.mean()))
-    classes = np.maximum(0, np.floor(np.log2(np.maximum(table, 1) / common)) + 1).astype(np.uint8)
-    first = saved(shared(heads(texts, spark.sparkContext.broadcast(classes))))
-    alive = _enough(first)
-    second = saved(shared(first.drop("pivot").join(alive.select("key"), "key", "left_semi").select("token", "key", "n", "hot")))
-    alive = saved(_enough(second))
-    regions = second.join(alive.select("key"), "key", "left_semi").select(F.col("pivot").cast("string").alias("region"), "key", "n").distinct()
-    load = regions.groupBy("region").agg(F.sum("n").alias("load"), F.count("*").alias("members")).where("members > 1")
-    regions = saved(regions.join(load, "region").select("region", "key", (F.col("load") > region_shingles).alias("big")))
-    cells = count_table(regions.select("key"), lambda batch: iter([mixed(batch.column("key").to_numpy().view(U))]))
-    wanted = spark.sparkContext.broadcast(np.packbits(cells > 0))
+def screen_region(heads_: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which members can have a link to a member of another label, from the shared parts of their heads.
+
+    Shingles common to both sets that stand in both heads are counted. All others of the common ones stand behind the
+    shorter reaching head, so the intersection is at most that count plus what is behind the one or the other head.
+    """
+    behind = sizes - np.array([head_length(int(n)) for n in sizes])
+    flagged = np.zeros(len(heads_), bool)
+    names, counts = np.unique(labels, return_counts=True)
+    if len(names) == 1:
+        return flagged
+    postings = Postings(heads_)
+    for i in np.flatnonzero(labels != names[np.argmax(counts)] if counts.max() > 1 else np.ones(len(heads_), bool)):
+        if flagged[i]:
+            continue
+        both, n = postings.shared_with(i), sizes[i]
+        least = -(-NUM * (n + sizes) // (NUM + DEN))
+        near = (both > 0) & (labels != labels[i]) & (DEN * np.minimum(n, sizes) >= NUM * np.maximum(n, sizes)) & (both + np.maximum(behind[i], behind) >= least)
+        flagged |= near
+        flagged[i] |= near.any()
+    return flagged
+
+
+#: Shared shingles of heads that one task may hold for a region; members of a region with more are all kept.
+SCREEN_SHINGLES = 8_000_000
+
+
+def screened(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """region, key, n: memberships (of token, key, n, pivot) that may bring a link, across components if ``labels`` (key, label) are given."""
+    lists = rows.groupBy("key").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("token")).alias("tokens"))
+    lists = lists.withColumn("label", F.col("key")) if labels is None else lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    members = rows.select("pivot", "key").distinct().join(lists, "key")
+    loads = members.groupBy("pivot").agg(F.sum(F.size("tokens")).alias("load"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    members = members.join(loads.where("members > 1 and lo <> hi").select("pivot", "load"), "pivot")
+    small = members.where(F.col("load") <= SCREEN_SHINGLES).select("pivot", "key", "n", "label", "tokens").repartition("pivot").sortWithinPartitions("pivot", "key")
+    names, kinds = ["pivot", "key", "n"], [pa.int64(), pa.int64(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, held = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([n for _, n, _, _ in held], np.int64)
+            kept = np.flatnonzero(screen_region([t for *_, t in held], sizes, np.array([x for _, _, x, _ in held]))) if len(held) > 1 else []
+            if len(kept):
+                yield _batch(names, kinds, [[pivot] * len(kept), [held[i][0] for i in kept], [held[i][1] for i in kept]])
+
+        for batch in batches:
+            for p, key, n, label, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if p != pivot:
+                    yield from finish()
+                    pivot, held = p, []
+                held.append((key, n, label, tokens.values.to_numpy()))
+        yield from finish()
+
+    kept = small.mapInArrow(run, "pivot long, key long, n int").unionByName(members.where(F.col("load") > SCREEN_SHINGLES).select("pivot", "key", "n"))
+    return kept.select(F.col("pivot").cast("string").alias("region"), "key", "n")
+
+
+def sets_for(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, values: the sets of ``keys`` and few others; the tasks know the keys by a bit table of fixed size."""
+    cells = count_table(keys.select("key"), lambda batch: iter([mixed(batch.column("key").to_numpy().view(U))]))
+    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(cells > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -397,35 +456,72 @@ def links_of(texts: DataFrame, prints: DataFrame, region_shingles: int = REGION_
         for key, x in _new_sets(batches, maybe):
             yield _batch(["key", "values"], [pa.int64(), pa.binary()], [[key], [x.tobytes()]])
 
-    sets = texts.mapInArrow(run, "key long, values binary").groupBy("key").agg(F.first("values").alias("values"))
-    rows = regions.join(sets, "key").withColumn("must", F.lit(True))
-    links = _region_links(rows.where("not big"))
-    todo = regions.where("big").limit(1)
-    if todo.isEmpty():
-        return links
-    found, big = [links], rows.where("big").select("region", "key", "must", "values")
+    return texts.mapInArrow(run, "key long, values binary").groupBy("key").agg(F.first("values").alias("values"))
+
+
+def join_regions(texts: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """a, b: links inside regions, from (region, key, n)."""
+    load = members.groupBy("region").agg(F.sum("n").alias("load"), F.count("*").alias("members")).where("members > 1")
+    regions = saved(members.join(load, "region").select("region", "key", (F.col("load") > limit).alias("big")))
+    rows = regions.join(sets_for(texts, regions), "key").withColumn("must", F.lit(True))
+    found = [_region_links(rows.where("not big"))]
+    if regions.where("big").isEmpty():
+        return found[0]
+    big = rows.where("big").select("region", "key", "must", "values")
     for _ in range(ROUNDS):
-        more, smaller = split_region(saved(big), region_shingles)
+        more, smaller = split_region(saved(big), limit)
         smaller = saved(smaller)
         load = smaller.groupBy("region").agg(F.sum(F.octet_length("values") / 8).alias("load"), F.bool_or("must").alias("any"))
         sized = smaller.join(load.where("any"), "region")
-        found += [more, _region_links(sized.where(F.col("load") <= region_shingles))]
-        big = sized.where(F.col("load") > region_shingles).select("region", "key", "must", "values")
+        found += [more, _region_links(sized.where(F.col("load") <= limit))]
+        big = sized.where(F.col("load") > limit).select("region", "key", "must", "values")
         if big.isEmpty():
             break
     else:
-        found.append(_region_links(block_pairs(big, region_shingles)))
+        found.append(_region_links(block_pairs(big, limit)))
     return reduce(DataFrame.unionByName, found)
 
 
+def _release(df: DataFrame) -> None:
+    """Lets the driver find shuffle files that nothing needs any more now, rather than with its next garbage collection."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def links_of(texts: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """a, b: links between keys that connect exactly the keys within the distance.
+
+    A document that can have a link, by what the heads share, first goes to its home only, the region of the pivot that
+    most of its shingles name. A link that is still missing then joins two components; documents that can have such a
+    one go to all regions where they can.
+    """
+    context = texts.sparkSession.sparkContext
+    table = count_table(texts, lambda batch: (x for _, run in chunks(batch.column("text")) for x in sets_of(run, K)))
+    common = 2 * max(1.0, float(table.mean()))
+    classes = np.maximum(0, np.floor(np.log2(np.maximum(table, 1) / common)) + 1).astype(np.uint8)
+    first = saved(shared(heads(texts, context.broadcast(classes))))
+    _release(first)
+    second = saved(shared(first.join(_enough(first).select("key"), "key", "left_semi").select("token", "key", "n", "hot")))
+    alive = saved(second.join(_enough(second).select("key"), "key", "left_semi").select("token", "key", "n", "pivot").distinct())
+    kept = saved(screened(alive))
+    votes = alive.groupBy(F.col("pivot").cast("string").alias("region"), "key").agg(F.count("*").alias("votes")).join(kept, ["region", "key"])
+    homes = votes.groupBy("key").agg(F.max_by("region", F.struct("votes", "region")).alias("region"), F.max("n").alias("n"))
+    near = saved(join_regions(texts, homes, region_shingles))
+    _release(near)
+    labels = components(near).withColumnRenamed("node", "key")
+    rest = saved(screened(alive.join(kept.select("key").distinct(), "key", "left_semi"), labels))
+    if rest.isEmpty():
+        return near
+    return near.unionByName(join_regions(texts, rest, region_shingles))
+
+
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     texts = _texts(docs, id_col, text_col)
     prints = saved(fingerprints(texts))
-    labels = components(links_of(texts, prints, region_shingles))
+    labels = components(links_of(texts, region_shingles))
     least = prints.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = saved(named)
+    named = saved(least.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_key = named.select("key", "label").join(lowest, "label").select("key", "component_id")
     joined = prints.join(of_key, "key", "left")
