@@ -8,10 +8,11 @@ the common prefix of each contender with the last winner, so that known prefixes
 prefix with a neighbour tells how many windows of a block repeat from its start on; a string met twice repeats whole.
 
 What the sort cannot tell are repeats that begin inside a block. Blocks whose gram heads different strings therefore
-give a fingerprint for each window (64 bits, beside the gram's 64), and equal ones repeat. Fingerprints stand for bytes
+give a fingerprint for each window (64 bits, beside the gram's 64), and equal ones repeat; of a block that is met in
+several texts, only one of them gives its windows. Fingerprints stand for bytes
 there; the chance that two of N differing windows of one gram collide is about N^2 / 2^65.
 
-Whole copies of a text are found by a hash and its length, and enter the sort once a task. Texts are shuffled only in the
+Whole copies of a text are found by a hash of 64 bits and enter the sort once a task. Texts are shuffled only in the
 last step, and only those that lose some bytes. Tasks hold one run, one text and the fixed tables.
 
 Defined results: null text counts as empty; texts shorter than ``length`` lose nothing; null ids are kept; repeated rows
@@ -20,11 +21,13 @@ are copies of each other; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,23 +88,23 @@ class Blocks:
         return hashes(self.sums, self.start[some], self.start[some] + self.windows[some] + self.length - 1)
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[Blocks, list[tuple[int, int]]]]:
-    """Blocks and (tkey, n) of the texts that a task meets, copies of a whole text once."""
-    seen: set[tuple[int, int]] = set()
+def text_blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[Blocks, np.ndarray]]:
+    """Blocks of the texts that a task meets, copies of a whole text once, and the texts' keys."""
+    seen: set[int] = set()
     run, names, size = [], [], 0
     for batch in batches:
         for tkey, n, text in zip(batch.column("tkey").to_pylist(), batch.column("n").to_pylist(), batch.column("text"), strict=True):
-            if n < length or (tkey, n) in seen:
+            if n < length or tkey in seen:
                 continue
-            seen.add((tkey, n))
+            seen.add(tkey)
             if run and size + n > TOGETHER:
-                yield Blocks(run, length, gram), names
+                yield Blocks(run, length, gram), np.array(names, np.int64)
                 run, names, size = [], [], 0
             run.append(text.as_buffer().to_pybytes())
-            names.append((tkey, n))
+            names.append(tkey)
             size += n
     if run:
-        yield Blocks(run, length, gram), names
+        yield Blocks(run, length, gram), np.array(names, np.int64)
 
 
 def in_table(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
@@ -158,32 +161,33 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return low
 
 
-def front_coded(counts: dict[bytes, int]) -> tuple[bytes, bytes, bytes, bytes]:
-    """(common prefixes with the string before, lengths of the tails, counts, tails) of the strings in order."""
-    prefixes, lengths, numbers, tails, before = [], [], [], [], b""
-    for s in sorted(counts):
+def front_coded(strings: dict[bytes, tuple[int, int]]) -> tuple[bytes, bytes, bytes, bytes, bytes]:
+    """(common prefixes with the string before, lengths of the tails, counts, owners, packed tails) of the strings in order."""
+    prefixes, lengths, counts, owners, tails, before = [], [], [], [], [], b""
+    for s in sorted(strings):
         lcp = common_prefix(before, s)
         prefixes.append(lcp)
         lengths.append(len(s) - lcp)
-        numbers.append(counts[s])
+        counts.append(strings[s][0])
+        owners.append(strings[s][1])
         tails.append(s[lcp:])
         before = s
     as_bytes = lambda x: np.array(x, np.uint32).tobytes()
-    return as_bytes(prefixes), as_bytes(lengths), as_bytes(numbers), b"".join(tails)
+    return as_bytes(prefixes), as_bytes(lengths), as_bytes(counts), np.array(owners, np.int64).tobytes(), zstandard.compress(b"".join(tails), 3)
 
 
-def decoded(run: tuple[bytes, bytes, bytes, bytes]) -> Iterator[tuple[int, bytes, int]]:
-    """(common prefix with the string before, string, count)."""
-    prefixes, lengths, numbers = (np.frombuffer(x, np.uint32).tolist() for x in run[:3])
-    at, before, tails = 0, b"", run[3]
-    for lcp, n, count in zip(prefixes, lengths, numbers, strict=True):
+def decoded(run: tuple[bytes, bytes, bytes, bytes, bytes]) -> Iterator[tuple[int, bytes, tuple[int, int]]]:
+    """(common prefix with the string before, string, (count, owner))."""
+    prefixes, lengths, counts = (np.frombuffer(x, np.uint32).tolist() for x in run[:3])
+    at, before, tails = 0, b"", zstandard.decompress(run[4])
+    for lcp, n, count, owner in zip(prefixes, lengths, counts, np.frombuffer(run[3], np.int64).tolist(), strict=True):
         before = before[:lcp] + tails[at : at + n]
         at += n
-        yield lcp, before, count
+        yield lcp, before, (count, owner)
 
 
-def merged(runs: list) -> Iterator[tuple[int, bytes, int]]:
-    """Loser tree over front-coded runs: (common prefix with the string before, string, count) in order, equal strings apart.
+def merged(runs: list) -> Iterator[tuple[int, bytes, tuple[int, int]]]:
+    """Loser tree over front-coded runs: (common prefix with the string before, string, (count, owner)) in order, equal strings apart.
 
     ``lcps[i]`` is the common prefix of run i's head with the winner that it lost to; a longer one means a smaller head,
     and only heads with equal ones are compared, from there on.
@@ -191,10 +195,10 @@ def merged(runs: list) -> Iterator[tuple[int, bytes, int]]:
     k = len(runs)
     streams = [decoded(r) for r in runs]
     heads: list[bytes | None] = [None] * k
-    lcps, counts = [0] * k, [0] * k
+    lcps, facts = [0] * k, [(0, 0)] * k
 
     def advance(i: int) -> None:
-        lcps[i], heads[i], counts[i] = next(streams[i], (0, None, 0))
+        lcps[i], heads[i], facts[i] = next(streams[i], (0, None, (0, 0)))
 
     def play(i: int, j: int) -> tuple[int, int]:
         a, b = heads[i], heads[j]
@@ -215,7 +219,7 @@ def merged(runs: list) -> Iterator[tuple[int, bytes, int]]:
         winners[node], tree[node] = play(winners[2 * node], winners[2 * node + 1])
     top = winners[1]
     while heads[top] is not None:
-        yield lcps[top], heads[top], counts[top]
+        yield lcps[top], heads[top], facts[top]
         advance(top)
         node = (top + k) // 2
         while node:
@@ -223,27 +227,42 @@ def merged(runs: list) -> Iterator[tuple[int, bytes, int]]:
             node //= 2
 
 
-def statuses(run: Iterator[tuple[int, bytes, int]], length: int) -> Iterator[tuple[bytes, int, bool]]:
-    """(string, windows that repeat from its start on, whether its gram heads other strings) of the distinct strings for which either holds."""
+def statuses(run: Iterator[tuple[int, bytes, tuple[int, int]]], length: int) -> Iterator[tuple[bytes, int, bool, int]]:
+    """(string, windows that repeat from its start on, whether its gram heads other strings, owner) of the distinct strings for which either holds.
 
-    def status(s: bytes, count: int, near: int) -> tuple[bytes, int, bool]:
+    The owner is the least key of the texts that hold the string.
+    """
+
+    def status(s: bytes, count: int, owner: int, near: int) -> tuple[bytes, int, bool, int]:
         windows = len(s) - LEAD - length + 1
-        return s, windows if count > 1 else max(0, min(windows, near - LEAD - length + 1)), near >= LEAD
+        return s, windows if count > 1 else max(0, min(windows, near - LEAD - length + 1)), near >= LEAD, owner
 
-    before: tuple[bytes, int, int] | None = None  # string, count, common prefix with the one before
-    for lcp, s, count in run:
+    before: tuple[bytes, int, int, int] | None = None  # string, count, owner, common prefix with the one before
+    for lcp, s, (count, owner) in run:
         if before is not None and lcp == len(s) == len(before[0]):
-            before = (s, before[1] + count, before[2])
+            before = (s, before[1] + count, min(before[2], owner), before[3])
             continue
         if before is not None:
-            yield status(before[0], before[1], max(before[2], lcp))
-        before = (s, count, lcp)
+            yield status(*before[:3], max(before[3], lcp))
+        before = (s, count, owner, lcp)
     if before is not None:
         yield status(*before)
 
 
+def release(df: DataFrame) -> DataFrame:
+    """``df`` kept in the checkpoint folder, and what only led to it let go, so that its shuffle files do not wait for the driver's next garbage collection."""
+    df = saved(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
+def owned(blocks: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    return mixed(blocks ^ mixed(owners.view(U)))
+
+
 def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """tkey, n, starts, stops: the maximal runs of bytes to remove from each text that has some, whole copies apart."""
+    """tkey, starts, stops: the maximal runs of bytes to remove from each text that has some, whole copies apart."""
     context, spark = texts.sparkSession.sparkContext, texts.sparkSession
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,17 +283,18 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
         bits, run, size = twice.value, {}, 0
 
         def flush() -> pa.RecordBatch:
-            by_part: dict[int, dict[bytes, int]] = {}
-            for s, count in run.items():
-                by_part.setdefault(int.from_bytes(s[4:LEAD], "big") % n_parts, {})[s] = count
+            by_part: dict[int, dict[bytes, tuple[int, int]]] = {}
+            for s, fact in run.items():
+                by_part.setdefault(int.from_bytes(s[4:LEAD], "big") % n_parts, {})[s] = fact
             columns = list(zip(*((part, *front_coded(x)) for part, x in by_part.items()), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "prefixes", "lengths", "counts", "tails"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "prefixes", "lengths", "counts", "owners", "tails"])
 
-        for blocks, _ in text_blocks(batches, length, gram):
+        for blocks, names in text_blocks(batches, length, gram):
             some = np.flatnonzero(in_table(bits, blocks.gram))
-            for g, a, w in zip(blocks.gram[some].tolist(), blocks.start[some].tolist(), blocks.windows[some].tolist(), strict=True):
+            for g, a, w, t in zip(blocks.gram[some].tolist(), blocks.start[some].tolist(), blocks.windows[some].tolist(), names[blocks.text[some]].tolist(), strict=True):
                 s = g.to_bytes(LEAD, "big") + blocks.bytes[a : a + w + length - 1]
-                run[s] = run.get(s, 0) + 1
+                count, owner = run.get(s, (0, t))
+                run[s] = (count + 1, min(owner, t))
                 size += len(s)
                 if size > RUN_BYTES or len(run) >= RUN_SUFFIXES:
                     yield flush()
@@ -283,23 +303,23 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "block", "done", "mixed"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        names = ["gram", "block", "done", "mixed", "owner"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
 
         def finish(runs: list) -> Iterator[pa.RecordBatch]:
             out, size = [], 0
 
             def pack() -> pa.RecordBatch:
-                ends = np.cumsum([len(s) for s, _, _ in out])
+                strings, *facts = zip(*out, strict=True)
+                ends = np.cumsum([len(s) for s in strings])
                 starts = np.concatenate([[0], ends[:-1]]) + LEAD
-                data = np.frombuffer(b"".join(s for s, _, _ in out), np.uint8)
-                keys = hashes(sums_of(data), starts, ends)
-                first = np.array([int.from_bytes(s[:LEAD], "big") for s, _, _ in out], U)
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((first.view(np.int64), keys.view(np.int64), [d for _, d, _ in out], [m for _, _, m in out]), kinds, strict=True)], names=names)
+                keys = hashes(sums_of(np.frombuffer(b"".join(strings), np.uint8)), starts, ends)
+                first = np.array([int.from_bytes(s[:LEAD], "big") for s in strings], U)
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((first.view(np.int64), keys.view(np.int64), *facts), kinds, strict=True)], names=names)
 
-            for s, done, other in statuses(merged(runs), length):
+            for s, done, other, owner in statuses(merged(runs), length):
                 if done or other:
-                    out.append((s, done, other))
+                    out.append((s, done, other, owner))
                     size += len(s)
                     if size > TOGETHER:
                         yield pack()
@@ -309,7 +329,7 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
         part, runs = None, []
         for batch in batches:
-            for p, *run in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for p, *run in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if p != part and runs:
                     yield from finish(runs)
                     runs = []
@@ -318,30 +338,30 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
         if runs:
             yield from finish(runs)
 
-    runs = texts.mapInArrow(sorted_runs, "part int, prefixes binary, lengths binary, counts binary, tails binary")
-    status = saved(runs.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "gram long, block long, done int, mixed boolean"))
+    runs = texts.mapInArrow(sorted_runs, "part int, prefixes binary, lengths binary, counts binary, owners binary, tails binary")
+    status = release(runs.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "gram long, block long, done int, mixed boolean, owner long"))
+    del runs
 
     def mixed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from cell_rows(batch.column("block").to_numpy().view(U))
+            yield from cell_rows(owned(batch.column("block").to_numpy().view(U), batch.column("owner").to_numpy()))
 
-    several = context.broadcast(bit_table(status.where("mixed").select("block").mapInArrow(mixed_cells, "part int, cells binary"), 1))
+    several = context.broadcast(bit_table(status.where("mixed").select("block", "owner").mapInArrow(mixed_cells, "part int, cells binary"), 1))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks, names in text_blocks(batches, length, gram):
             some = np.flatnonzero(in_table(twice.value, blocks.gram))
             text = blocks.text[some]
-            names_ = np.array(names, np.int64).reshape(-1, 2)[text]
-            columns = [blocks.gram[some].view(np.int64), blocks.keys(some).view(np.int64), names_[:, 0], names_[:, 1], blocks.start[some] - blocks.offsets[text]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "block", "tkey", "n", "start"])
+            columns = [blocks.gram[some].view(np.int64), blocks.keys(some).view(np.int64), names[text], blocks.start[some] - blocks.offsets[text]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "block", "tkey", "start"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for blocks, names in text_blocks(batches, length, gram):
             some = np.flatnonzero(in_table(twice.value, blocks.gram))
             keys = blocks.keys(some)
-            new = in_table(several.value, keys)
-            for i in np.flatnonzero(new):  # a block met before repeats whole, which is known
+            new = in_table(several.value, owned(keys, names[blocks.text[some]]))
+            for i in np.flatnonzero(new):  # a block that is met elsewhere repeats whole, which is known; its owner stands for it
                 new[i] = int(keys[i]) not in seen
                 seen.add(int(keys[i]))
             some = some[new]
@@ -350,19 +370,18 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             count = blocks.windows[some]
             start = np.repeat(blocks.start[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             text = np.repeat(blocks.text[some], count)
-            names_ = np.array(names, np.int64).reshape(-1, 2)[text]
-            columns = [np.repeat(blocks.gram[some], count).view(np.int64), hashes(blocks.sums, start, start + length).view(np.int64), names_[:, 0], names_[:, 1], start - blocks.offsets[text]]
+            columns = [np.repeat(blocks.gram[some], count).view(np.int64), hashes(blocks.sums, start, start + length).view(np.int64), names[text], (start - blocks.offsets[text]).astype(np.int32)]
             for at in range(0, len(start), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["gram", "window", "tkey", "n", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["gram", "window", "tkey", "start"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in order of (window, gram) those that equal a neighbour; only the last row waits for the next batch."""
         held, held_equal = None, False  # the last row, and whether it equals the one before
-        names = ["tkey", "n", "start", "stop"]
+        names, kinds = ["tkey", "start", "stop"], [pa.int64()] * 3
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("window", "gram", "tkey", "n", "start")]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("window", "gram", "tkey", "start")]
             if held is not None:
                 rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
             same = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
@@ -370,27 +389,27 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             held, held_equal = [r[-1:] for r in rows], bool(hit[-1]) if len(same) else held_equal
             hit[-1] = False
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[2][hit], rows[3][hit], rows[4][hit], rows[4][hit] + length)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((rows[2][hit], rows[3][hit], rows[3][hit] + length), kinds, strict=True)], names=names)
         if held is not None and held_equal:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (held[2], held[3], held[4], held[4] + length)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((held[2], held[3], held[3] + length), kinds, strict=True)], names=names)
 
-    fields = "tkey long, n long, start long, stop long"
-    found = texts.mapInArrow(occurrences, "gram long, block long, tkey long, n long, start long").join(status.where("done > 0").select("gram", "block", "done"), ["gram", "block"])
-    found = found.select("tkey", "n", "start", (F.col("start") + F.col("done") + length - 1).alias("stop"))
-    inner = texts.mapInArrow(windows, "gram long, window long, tkey long, n long, start long").repartition("window").sortWithinPartitions("window", "gram")
+    fields = "tkey long, start long, stop long"
+    found = texts.mapInArrow(occurrences, "gram long, block long, tkey long, start long").join(status.where("done > 0").select("gram", "block", "done"), ["gram", "block"])
+    found = found.select("tkey", "start", (F.col("start") + F.col("done") + length - 1).alias("stop"))
+    inner = texts.mapInArrow(windows, "gram long, window long, tkey long, start int").repartition("window").sortWithinPartitions("window", "gram")
     every = found.unionByName(inner.mapInArrow(repeated, fields))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, starts, stops = None, [], []
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["tkey", "n", "starts", "stops"]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["tkey", "starts", "stops"]
         for batch in batches:
             out: list[tuple] = []
-            for tkey, n, start, stop in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (tkey, n) != text:
-                    if text:
-                        out.append((*text, starts, stops))
-                    text, starts, stops = (tkey, n), [], []
+            for tkey, start, stop in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if tkey != text:
+                    if text is not None:
+                        out.append((text, starts, stops))
+                    text, starts, stops = tkey, [], []
                 if stops and start <= stops[-1]:
                     stops[-1] = max(stops[-1], stop)
                 else:
@@ -398,20 +417,20 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     stops.append(stop)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-        if text:
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*text, starts, stops), kinds, strict=True)], names=names)
+        if text is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((text, starts, stops), kinds, strict=True)], names=names)
 
-    return every.repartition("tkey", "n").sortWithinPartitions("tkey", "n", "start").mapInArrow(joined, "tkey long, n long, starts array<long>, stops array<long>")
+    return every.repartition("tkey").sortWithinPartitions("tkey", "start").mapInArrow(joined, "tkey long, starts array<long>, stops array<long>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, starts, stops (runs removed, in bytes), kept_sha256 of every row."""
     context = docs.sparkSession.sparkContext
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
-    copies = texts.where(F.col("n") >= length).groupBy("tkey", "n").agg(F.count("*").alias("rows")).where("rows > 1").select("tkey", "n", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("stops"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("tkey"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
+    copies = texts.where(F.col("n") >= length).groupBy("tkey", "n").agg(F.count("*").alias("rows")).where("rows > 1").select("tkey", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("stops"))
     copies = saved(copies)
-    runs = saved(removed_runs(texts.select("tkey", "n", "text"), length, gram).join(copies.select("tkey", "n"), ["tkey", "n"], "left_anti"))
+    runs = release(removed_runs(texts.select("tkey", "n", "text"), length, gram).join(copies.select("tkey"), "tkey", "left_anti"))
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,7 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             some = pa.array([t.as_buffer().to_pybytes() if k else None for k, t in zip(keep, column, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tkey", "n")), pa.array(own, pa.string()), some], names=["doc_id", "tkey", "n", "own", "text"])
 
-    rows = texts.mapInArrow(digest, "doc_id long, tkey long, n long, own string, text binary").join(copies.unionByName(runs), ["tkey", "n"], "left")
+    rows = texts.mapInArrow(digest, "doc_id long, tkey long, n long, own string, text binary").join(copies.unionByName(runs), "tkey", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,7 +55,7 @@ def test_production_length(spark):
 
 def test_merge_keeps_order_and_prefixes():
     rng = random.Random(3)
-    runs = [{bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))): rng.randint(1, 3) for _ in range(rng.randint(1, 30))} for _ in range(7)]
+    runs = [{bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))): (rng.randint(1, 3), rng.randint(0, 9)) for _ in range(rng.randint(1, 30))} for _ in range(7)]
     got, before = list(s.merged([s.front_coded(r) for r in runs])), b""
     assert [x for _, x, _ in got] == sorted(x for r in runs for x in r)
     for lcp, x, _ in got:
