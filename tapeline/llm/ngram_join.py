@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +70,13 @@ def count_table(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.nd
             flush()
         parts = table.reshape(TABLE_PARTS, width)
         for i in np.flatnonzero(parts.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstandard.compress(parts[i].tobytes(), 1)], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.decompress(counts), np.uint32).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
@@ -202,11 +203,16 @@ def shared(rows: DataFrame) -> DataFrame:
     return found.unionByName(hot.join(pivots, "token"))
 
 
-def _enough(rows: DataFrame) -> DataFrame:
-    """Keys (and n) that share as many tokens as any link needs."""
+def heads_of(rows: DataFrame) -> DataFrame:
+    """key, n, tokens, pivots: the shared parts of heads, of keys that share as many tokens as any link needs.
+
+    Copies of a row that tasks have met may count twice, which keeps too much and never too little.
+    """
     per = round(1 / EXTRA)
     least = F.expr(f"(({NUM} * n + {DEN - 1}) div {DEN} + {per - 1}) div {per}")
-    return rows.groupBy("key").agg(F.max("n").alias("n"), F.count_distinct("token").alias("tokens")).where(F.col("tokens") >= F.greatest(F.lit(1), least)).select("key", "n")
+    enough = rows.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("tokens")).where(F.col("tokens") >= F.greatest(F.lit(1), least)).select("key")
+    lists = rows.join(enough, "key", "left_semi").groupBy("key")
+    return lists.agg(F.max("n").alias("n"), F.array_sort(F.collect_set("token")).alias("tokens"), F.collect_set("pivot").alias("pivots"))
 
 
 class Links:
@@ -410,13 +416,12 @@ def screen_region(heads_: list[np.ndarray], sizes: np.ndarray, labels: np.ndarra
 SCREEN_SHINGLES = 8_000_000
 
 
-def screened(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """region, key, n: memberships (of token, key, n, pivot) that may bring a link, across components if ``labels`` (key, label) are given."""
-    lists = rows.groupBy("key").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("token")).alias("tokens"))
+def screened(lists: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """region, key, n: memberships (of key, n, tokens, pivots) that may bring a link, across components if ``labels`` (key, label) are given."""
     lists = lists.withColumn("label", F.col("key")) if labels is None else lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    members = rows.select("pivot", "key").distinct().join(lists, "key")
-    loads = members.groupBy("pivot").agg(F.sum(F.size("tokens")).alias("load"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    members = members.join(loads.where("members > 1 and lo <> hi").select("pivot", "load"), "pivot")
+    members = lists.select(F.explode("pivots").alias("pivot"), "key", "label", F.size("tokens").alias("tokens"))
+    loads = members.groupBy("pivot").agg(F.sum("tokens").alias("load"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    members = members.select("pivot", "key").join(loads.where("members > 1 and lo <> hi").select("pivot", "load"), "pivot").join(lists.drop("pivots"), "key")
     small = members.where(F.col("load") <= SCREEN_SHINGLES).select("pivot", "key", "n", "label", "tokens").repartition("pivot").sortWithinPartitions("pivot", "key")
     names, kinds = ["pivot", "key", "n"], [pa.int64(), pa.int64(), pa.int32()]
 
@@ -491,8 +496,8 @@ def _release(df: DataFrame) -> None:
 def links_of(texts: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """a, b: links between keys that connect exactly the keys within the distance.
 
-    A document that can have a link, by what the heads share, first goes to its home only, the region of the pivot that
-    most of its shingles name. A link that is still missing then joins two components; documents that can have such a
+    A document that can have a link, by what the heads share, first goes to its home only, the least of those
+    regions. A link that is still missing then joins two components; documents that can have such a
     one go to all regions where they can.
     """
     context = texts.sparkSession.sparkContext
@@ -501,11 +506,10 @@ def links_of(texts: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFr
     classes = np.maximum(0, np.floor(np.log2(np.maximum(table, 1) / common)) + 1).astype(np.uint8)
     first = saved(shared(heads(texts, context.broadcast(classes))))
     _release(first)
-    second = saved(shared(first.join(_enough(first).select("key"), "key", "left_semi").select("token", "key", "n", "hot")))
-    alive = saved(second.join(_enough(second).select("key"), "key", "left_semi").select("token", "key", "n", "pivot").distinct())
+    alive = saved(heads_of(first))
+    _release(alive)
     kept = saved(screened(alive))
-    votes = alive.groupBy(F.col("pivot").cast("string").alias("region"), "key").agg(F.count("*").alias("votes")).join(kept, ["region", "key"])
-    homes = votes.groupBy("key").agg(F.max_by("region", F.struct("votes", "region")).alias("region"), F.max("n").alias("n"))
+    homes = kept.groupBy("key").agg(F.min("region").alias("region"), F.max("n").alias("n"))
     near = saved(join_regions(texts, homes, region_shingles))
     _release(near)
     labels = components(near).withColumnRenamed("node", "key")
