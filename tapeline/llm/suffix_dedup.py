@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.ngram_join import TABLE_BITS as COUNT_BITS
+from tapeline.llm.ngram_join import count_table
 from tapeline.llm.shingles import TOGETHER, U, _tables, mixed
 from tapeline.session import saved
 
@@ -38,6 +40,8 @@ LENGTH, GRAM = 200, 32
 TABLE_BITS, TABLE_PARTS = 26, 256
 #: A task's sorted run ends at this many bytes or suffixes.
 RUN_BYTES, RUN_SUFFIXES = 16 << 20, 60_000
+#: Differing blocks of one gram whose windows are compared in one group; a gram with more has its windows dealt by their hash.
+GROUP_BLOCKS = 4096
 LEAD = 8  # bytes of the gram before each suffix
 
 
@@ -338,9 +342,9 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
         if runs:
             yield from finish(runs)
 
-    runs = texts.mapInArrow(sorted_runs, "part int, prefixes binary, lengths binary, counts binary, owners binary, tails binary")
-    status = release(runs.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "gram long, block long, done int, mixed boolean, owner long"))
-    del runs
+    run_schema = "part int, prefixes binary, lengths binary, counts binary, owners binary, tails binary"
+    status_schema = "gram long, block long, done int, mixed boolean, owner long"
+    status = release(texts.mapInArrow(sorted_runs, run_schema).repartition("part").sortWithinPartitions("part").mapInArrow(merge, status_schema))
 
     def mixed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +359,13 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             columns = [blocks.gram[some].view(np.int64), blocks.keys(some).view(np.int64), names[text], blocks.start[some] - blocks.offsets[text]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "block", "tkey", "start"])
 
+    loads = count_table(status.where("mixed").select("gram"), lambda batch: iter([mixed(batch.column("gram").to_numpy().view(U))]))
+    deals = context.broadcast(np.minimum(-(-loads.astype(np.int64) // GROUP_BLOCKS), 2**15 - 1).astype(np.int16))
+    window_names = ["gram", "deal", "tkey", "start", "hashes", "places"]
+    window_kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block, with the fingerprints of its windows; more rows, each with its windows' places, for grams with many blocks."""
         seen: set[int] = set()
         for blocks, names in text_blocks(batches, length, gram):
             some = np.flatnonzero(in_table(twice.value, blocks.gram))
@@ -368,35 +378,64 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             if not len(some):
                 continue
             count = blocks.windows[some]
-            start = np.repeat(blocks.start[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            text = np.repeat(blocks.text[some], count)
-            columns = [np.repeat(blocks.gram[some], count).view(np.int64), hashes(blocks.sums, start, start + length).view(np.int64), names[text], (start - blocks.offsets[text]).astype(np.int32)]
-            for at in range(0, len(start), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["gram", "window", "tkey", "start"])
+            ends = np.cumsum(count)
+            start = np.repeat(blocks.start[some] - (ends - count), count) + np.arange(ends[-1])
+            prints = hashes(blocks.sums, start, start + length)
+            parts = deals.value[(mixed(blocks.gram[some]) >> U(64 - COUNT_BITS)).astype(np.int64)]
+            columns: list[list] = [[] for _ in window_names]
+            facts = zip(blocks.gram[some].view(np.int64).tolist(), names[blocks.text[some]].tolist(), (blocks.start[some] - blocks.offsets[blocks.text[some]]).tolist(), (ends - count).tolist(), ends.tolist(), parts.tolist(), strict=True)
+            for g, tkey, at, low, high, n in facts:
+                own = prints[low:high]
+                if n <= 1:
+                    rows = [(g, 0, tkey, at, own.tobytes(), None)]
+                else:
+                    dealt = (own % U(n)).astype(np.int32)
+                    rows = [(g, int(k), tkey, at, own[dealt == k].tobytes(), np.flatnonzero(dealt == k).astype(np.int32).tobytes()) for k in np.unique(dealt)]
+                for row in rows:
+                    for column, v in zip(columns, row, strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, window_kinds, strict=True)], names=window_names)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order of (window, gram) those that equal a neighbour; only the last row waits for the next batch."""
-        held, held_equal = None, False  # the last row, and whether it equals the one before
-        names, kinds = ["tkey", "start", "stop"], [pa.int64()] * 3
+        """Runs of windows that another block of the gram has too; the windows of one block differ from each other."""
+        group, held = None, []
+
+        def finish(out: list[tuple[int, int, int]]) -> None:
+            if len(held) < 2:
+                return
+            every = [np.frombuffer(x[2], U) for x in held]
+            values, counts = np.unique(np.concatenate(every), return_counts=True)
+            twice_met = values[counts > 1]
+            if not len(twice_met):
+                return
+            for (tkey, start, _, places), own in zip(held, every, strict=True):
+                found = np.flatnonzero(twice_met[np.minimum(np.searchsorted(twice_met, own), len(twice_met) - 1)] == own)
+                if len(found):
+                    at = found if places is None else np.frombuffer(places, np.int32)[found]
+                    breaks = np.flatnonzero(np.diff(at) > 1)
+                    for low, high in zip(at[np.concatenate([[0], breaks + 1])].tolist(), at[np.concatenate([breaks, [len(at) - 1]])].tolist(), strict=True):
+                        out.append((tkey, start + low, start + high + length))
+
+        def pack(out: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["tkey", "start", "stop"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("window", "gram", "tkey", "start")]
-            if held is not None:
-                rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
-            same = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
-            hit = np.concatenate([[held_equal], same]) | np.concatenate([same, [False]])
-            held, held_equal = [r[-1:] for r in rows], bool(hit[-1]) if len(same) else held_equal
-            hit[-1] = False
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((rows[2][hit], rows[3][hit], rows[3][hit] + length), kinds, strict=True)], names=names)
-        if held is not None and held_equal:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((held[2], held[3], held[3] + length), kinds, strict=True)], names=names)
+            out: list[tuple[int, int, int]] = []
+            for g, deal, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (g, deal) != group:
+                    finish(out)
+                    group, held = (g, deal), []
+                held.append(row)
+            yield from pack(out)
+        out = []
+        finish(out)
+        yield from pack(out)
 
     fields = "tkey long, start long, stop long"
     found = texts.mapInArrow(occurrences, "gram long, block long, tkey long, start long").join(status.where("done > 0").select("gram", "block", "done"), ["gram", "block"])
     found = found.select("tkey", "start", (F.col("start") + F.col("done") + length - 1).alias("stop"))
-    inner = texts.mapInArrow(windows, "gram long, window long, tkey long, start int").repartition("window").sortWithinPartitions("window", "gram")
+    inner = texts.mapInArrow(windows, "gram long, deal int, tkey long, start long, hashes binary, places binary").repartition("gram", "deal").sortWithinPartitions("gram", "deal")
     every = found.unionByName(inner.mapInArrow(repeated, fields))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,7 @@ def corpus(seed, n, letters):
 @pytest.mark.parametrize(("seed", "letters"), [(1, "abcdefghijklmnopqrstuvwxyz é"), (2, "abc"), (3, "ab")])
 def test_equals_brute_force(spark, seed, letters, monkeypatch):
     monkeypatch.setattr(s, "RUN_SUFFIXES", 50)
+    monkeypatch.setattr(s, "GROUP_BLOCKS", 3)
     rows = corpus(seed, 60, letters)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n long").repartition(3)
     got = s.summary(s.remove_repeats(df, length=20, gram=6))
