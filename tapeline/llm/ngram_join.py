@@ -401,8 +401,10 @@ def screen_region(heads_: list[np.ndarray], sizes: np.ndarray, labels: np.ndarra
     if len(names) == 1:
         return flagged
     postings = Postings(heads_)
-    for i in np.flatnonzero(labels != names[np.argmax(counts)] if counts.max() > 1 else np.ones(len(heads_), bool)):
-        if flagged[i]:
+    visited = labels != names[np.argmax(counts)] if counts.max() > 1 else np.ones(len(heads_), bool)
+    left = ~visited  # members that only a visit of another one can flag
+    for i in np.flatnonzero(visited):
+        if flagged[i] and flagged[left].all():
             continue
         both, n = postings.shared_with(i), sizes[i]
         least = -(-NUM * (n + sizes) // (NUM + DEN))

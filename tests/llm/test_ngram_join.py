@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tapeline.llm import ngram_join
@@ -54,3 +55,39 @@ def test_classes_equal_all_pairs(spark, seed, limit):
 
 def test_empty_table(spark):
     assert ngram_join.join_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def edited_sets(rng, n, families, length=100):
+    """Chains of edits: every set replaces some shingles of an earlier one."""
+    sets = [{rng.getrandbits(60) for _ in range(length)} for _ in range(families)]
+    while len(sets) < n:
+        x = sorted(rng.choice(sets))
+        rng.shuffle(x)
+        sets.append(set(x[rng.randint(0, 14) :]) | {rng.getrandbits(60) for _ in range(rng.randint(0, 14))})
+    rng.shuffle(sets)
+    return sets
+
+
+def linked(x, y):
+    return 4 * len(x & y) >= 3 * len(x | y)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_screen_keeps_every_link_across_labels(seed):
+    rng = random.Random(seed)
+    sets = edited_sets(rng, 60, 4)
+    # heads are cut in one order of all shingles
+    heads = [np.array(sorted(x)[: ngram_join.head_length(len(x))], np.int64) for x in sets]
+    labels = np.array([rng.choice([0, 0, 0, 0, 1, 2, 3 + i]) for i in range(len(sets))])
+    flagged = ngram_join.screen_region(heads, np.array([len(x) for x in sets]), labels)
+    wanted = {k for i in range(len(sets)) for j in range(i) if labels[i] != labels[j] and linked(sets[i], sets[j]) for k in (i, j)}
+    assert wanted and wanted <= set(np.flatnonzero(flagged).tolist())
+
+
+def test_screen_flags_majority_near_flagged_only():
+    # x and y are near, z of the largest label is near y only
+    x, y, z = set(range(0, 100)), set(range(14, 114)), set(range(28, 128))
+    sets = [x, y, z, set(range(1000, 1100))]
+    assert linked(x, y) and linked(y, z) and not linked(x, z)
+    heads = [np.array(sorted(s)[: ngram_join.head_length(100)], np.int64) for s in sets]
+    assert ngram_join.screen_region(heads, np.array([100] * 4), np.array([1, 2, 3, 3])).tolist() == [True, True, True, False]
