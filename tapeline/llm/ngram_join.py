@@ -7,7 +7,7 @@ their heads, so documents with fewer shared ones leave. Each shared shingle name
 pivot; a pivot's region is every document that holds one of its shingles, so documents on a boundary are replicated into
 each region that they touch, and linked documents always meet in one. Memberships that cannot bring a link, by the shared
 parts of the heads alone, are dropped (``screen_region``). Inside a region, members are joined exactly. A member already
-joined to the region's largest component need not be compared again; all others are.
+joined to the region's largest component (to the ball, in a piece of one) need not be compared again; all others are.
 A region too large for one task is cut recursively (``split_region``): distances to sub-pivots settle the documents
 inside a ball, and the triangle inequality tells which balls the rest must still be compared with; what is far from all
 sub-pivots after ``ROUNDS`` cuts is joined block by block.
@@ -266,14 +266,17 @@ def join_region(sets: list[np.ndarray], must: list[bool] | None = None) -> list[
     """Links (member, other member) that connect exactly what the pairs within the distance connect.
 
     A member is compared with all others through the postings of its shingles, unless it belongs to the largest component
-    by then: every pair across components has a member outside it. ``must``: members whose pairs are asked for; pairs
-    of two others are known elsewhere.
+    by then: every pair across components has a member outside it. ``must``: members whose pairs are asked for; the
+    others are known to hang together and are not compared, so that only who belongs to them can be passed over.
     """
     n, links = len(sets), []
     if n < 2:
         return links
     sizes, postings = np.array([len(x) for x in sets]), Postings(sets)
-    known, done, largest = Links(n), [False] * n, 0
+    settled = [i for i in range(n) if must is not None and not must[i]]
+    known, done, largest = Links(n), [False] * n, settled[0] if settled else 0
+    for i in settled:
+        known.join(largest, i)
 
     def compare(i: int) -> None:
         both = postings.shared_with(i)
@@ -294,7 +297,7 @@ def join_region(sets: list[np.ndarray], must: list[bool] | None = None) -> list[
                 continue
             compare(i)
             done[i] = True
-            if known.size[known.find(i)] > known.size[known.find(largest)]:
+            if not settled and known.size[known.find(i)] > known.size[known.find(largest)]:
                 largest = known.find(i)
 
 

@@ -91,3 +91,35 @@ def test_screen_flags_majority_near_flagged_only():
     assert linked(x, y) and linked(y, z) and not linked(x, z)
     heads = [np.array(sorted(s)[: ngram_join.head_length(100)], np.int64) for s in sets]
     assert ngram_join.screen_region(heads, np.array([100] * 4), np.array([1, 2, 3, 3])).tolist() == [True, True, True, False]
+
+
+def parts(n, pairs):
+    """The least member of each member's component."""
+    known = ngram_join.Links(n)
+    for i, j in pairs:
+        known.join(i, j)
+    least = {}
+    for i in range(n):
+        least.setdefault(known.find(i), i)
+    return [least[known.find(i)] for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_region_with_settled_members_equals_all_pairs(seed):
+    rng = random.Random(seed)
+    sets = edited_sets(rng, 40, 3)
+    must = [rng.random() < (0.5, 0.9, 1.0)[seed % 3] for _ in sets]
+    ball = [i for i, m in enumerate(must) if not m]
+    known = [(ball[0], i) for i in ball]  # by way of the sub-pivot
+    found = ngram_join.join_region([np.array(sorted(x), np.uint64) for x in sets], must)
+    assert all(linked(sets[i], sets[j]) for i, j in found)
+    wanted = [(i, j) for i in range(40) for j in range(i) if (must[i] or must[j]) and linked(sets[i], sets[j])]
+    assert parts(40, found + known) == parts(40, wanted + known)
+
+
+def test_region_compares_who_hangs_on_the_ball():
+    # v settled, u and w around it: w-u and u-v are links, w-v is none
+    v, u, w = set(range(0, 100)), set(range(12, 112)), set(range(24, 124))
+    assert linked(v, u) and linked(u, w) and not linked(v, w)
+    found = ngram_join.join_region([np.array(sorted(x), np.uint64) for x in (w, u, v)], [True, True, False])
+    assert parts(3, found) == [0, 0, 0]
