@@ -8,7 +8,8 @@ of each block's values within that distance of an item's loses none. Windows tha
 weighted Jaccard similarity (weights: occurrences) of five-word shingles, 0.75 or more, of the whole item and as many
 words of the text from the window's start or its neighbours.
 
-Items longer than ``LONGEST`` words are taken in parts of that length. The items go to all tasks in blocks of at most
+Items longer than ``LONGEST`` words are looked up by parts of that length, the last one overlapping the one before; what a
+part finds is verified as the whole item, from as many words before the hit as stand before the part. The items go to all tasks in blocks of at most
 ``ITEM_BLOCK``; a larger benchmark takes more passes. Texts are scanned in place, without a shuffle.
 
 Defined results: null or blank texts and items match nothing; texts shorter than an item are compared whole; null ids are
@@ -92,12 +93,17 @@ def length_class(n: int) -> int:
 class ItemIndex:
     """The items (or parts) of one class of length, by blocks of the fingerprints of their first words."""
 
-    def __init__(self, length: int, parts: list[tuple[int, np.ndarray]]) -> None:
+    def __init__(self, length: int, parts: list[tuple[int, int, np.ndarray]]) -> None:
         self.length = length
-        self.items = [item for item, _ in parts]
-        self.sizes = [len(words) for _, words in parts]
-        self.shingles = [shingle_counts(words) for _, words in parts]
-        self.prints = np.array([window_hashes(lanes(words), length, 0, 1)[0] for _, words in parts], U)
+        self.items = [item for item, _, _ in parts]
+        self.offsets = [offset for _, offset, _ in parts]
+        self.sizes = [len(whole) for *_, whole in parts]
+        whole_counts: dict[int, Counter] = {}
+        for *_, whole in parts:  # the parts of an item share its array
+            if id(whole) not in whole_counts:
+                whole_counts[id(whole)] = shingle_counts(whole)
+        self.shingles = [whole_counts[id(whole)] for *_, whole in parts]
+        self.prints = np.array([window_hashes(lanes(whole[offset : offset + length]), length, 0, 1)[0] for _, offset, whole in parts], U)
         self.tables = [np.zeros(1 << 16, bool) for _ in range(BLOCKS)]
         for b, table in enumerate(self.tables):
             for p in self.prints:
@@ -112,15 +118,15 @@ class ItemIndex:
         return np.flatnonzero(hit)
 
 
-def item_parts(rows: list[tuple[int, str | None]]) -> dict[int, list[tuple[int, np.ndarray]]]:
+def item_parts(rows: list[tuple[int, str | None]]) -> dict[int, list[tuple[int, int, np.ndarray]]]:
+    """(item, first word of the part, words of the whole item) by class of length."""
     words, counts = word_hashes([(text or "").encode() for _, text in rows])
-    out: dict[int, list[tuple[int, np.ndarray]]] = {}
+    out: dict[int, list[tuple[int, int, np.ndarray]]] = {}
     at = 0
     for (item, _), n in zip(rows, counts.tolist(), strict=True):
-        for start in range(at, at + n, LONGEST):
-            stop = min(start + LONGEST, at + n)
-            if stop - start >= K or n < LONGEST:
-                out.setdefault(length_class(stop - start), []).append((item, words[start:stop]))
+        whole = words[at : at + n]
+        for start in range(0, n, LONGEST):
+            out.setdefault(length_class(min(n, LONGEST)), []).append((item, max(0, min(start, n - LONGEST)), whole))
         at += n
     return out
 
@@ -132,12 +138,17 @@ def find(texts: list[bytes], indexes: list[ItemIndex]) -> dict[tuple[int, int],
     begins = ends - counts
     text_of = np.repeat(np.arange(len(texts)), counts)
     sums, found = lanes(words), {}
+    known: dict[tuple[int, int, int], float] = {}  # parts of one item lead to the same windows
 
     def verify(text: int, start: int, index: ItemIndex, item: int) -> None:
-        size, best = index.sizes[item], (0.0, 0)
+        size, best, goal = index.sizes[item], (0.0, 0), index.shingles[item]
+        start -= index.offsets[item]
         for shift in sorted(range(-AROUND, AROUND + 1), key=abs):
             a = max(begins[text], start + shift)
-            best = max(best, (similarity(shingle_counts(words[a : min(ends[text], a + size)]), index.shingles[item]), -int(a - begins[text])))
+            place = (text, id(goal), int(a))
+            if place not in known:
+                known[place] = similarity(shingle_counts(words[a : min(ends[text], a + size)]), goal)
+            best = max(best, (known[place], -int(a - begins[text])))
             if best[0] == 1 or best[0] < SIMILARITY - 0.2:  # a shift by a word cannot make up for more
                 break
         key = (text, index.items[item])

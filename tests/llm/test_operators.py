@@ -233,6 +233,25 @@ def test_decontamination_equals_all_windows(spark):
     assert decontam.leaks(df, bench.where("item_id < 0")).count() == 0
 
 
+def test_long_items_are_verified_whole(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    fresh = lambda n: words(rng, n, vocabulary)
+    items = [(1, fresh(125)), (2, fresh(600)), (3, fresh(240))]
+    of = {i: t.split() for i, t in items}
+    cut = lambda i, a, b: " ".join(of[i][a:b])
+    edited = list(of[2])
+    for i in (30, 150, 151, 290, 410, 560):
+        edited[i] = "changed"
+    held = [(10, f"{fresh(40)} {items[0][1]} {fresh(9)}"), (11, f"{fresh(70)} {' '.join(edited)}"), (12, items[2][1]), (13, f"{fresh(3)} {cut(2, 0, 300)} added here {cut(2, 300, 600)} {fresh(50)}"), (14, cut(2, 60, 600))]
+    clean = [(20, f"{fresh(50)} {cut(1, 120, 125)} {fresh(50)}"), (21, f"{fresh(60)} {cut(2, 120, 240)} {fresh(700)}"), (22, cut(2, 0, 120)), (23, f"{fresh(9)} {cut(3, 0, 120)} {fresh(300)}"), (24, cut(2, 480, 600))]
+    df, bench = docs(spark, [(d, t, None) for d, t in held + clean]), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(df, bench).collect()}
+    assert set(got) == {(10, 1), (11, 2), (12, 3), (13, 2), (14, 2)}
+    assert [got[k].first_word for k in ((10, 1), (11, 2), (12, 3))] == [40, 70, 0] and got[12, 3].similarity == 1 and got[11, 2].similarity < 1
+    assert sorted(r.doc_id for r in decontam.clean_rows(df, bench).collect()) == [d for d, _ in clean]
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEM_BLOCK", 3)
     bench = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}") for i in range(10)], "item_id long, text string")
