@@ -1,8 +1,8 @@
 """The training-data pipeline: toxic documents go, one of each near-duplicate group stays, benchmark leaks go, sources are mixed to target weights, and the rows are dealt to shards.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
-Empty tables pass as empty tables. Rows that share a doc_id are one document to the second stage; rows with null doc_id
-stay in it. Each stage's own treatment of nulls, ties and empty texts is told in its module.
+Empty tables pass as empty tables. Rows that share a doc_id or have none are told apart by their text in the second
+stage. Each stage's own treatment of nulls, ties and empty texts is told in its module.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component of near duplicates."""
-    gone = ngram_join.join_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The row with the least id of each component of near duplicates."""
+    return ngram_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

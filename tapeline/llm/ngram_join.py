@@ -111,7 +111,7 @@ def _batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.Reco
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """doc_id, key, n of every document."""
+    """doc_id, row, key, n of every document; ``row``: a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +120,9 @@ def fingerprints(texts: DataFrame) -> DataFrame:
                 for x in sets_of(run, K):
                     keys.append(set_key(x))
                     sizes.append(len(x))
-            yield _batch(["doc_id", "key", "n"], [pa.int64()] * 3, [batch.column("doc_id"), keys, sizes])
+            yield _batch(["doc_id", "row", "key", "n"], [pa.int64()] * 4, [batch.column("doc_id"), batch.column("row"), keys, sizes])
 
-    return texts.mapInArrow(run, "doc_id long, key long, n long")
+    return texts.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, key long, n long")
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch], wanted: Callable[[int], bool] = lambda key: True) -> Iterator[tuple[int, np.ndarray]]:
@@ -535,3 +535,23 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_key = named.select("key", "label").join(lowest, "label").select("key", "component_id")
     joined = prints.join(of_key, "key", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """``docs``, all columns, with one row of each component: the one with the least id (null last), then the least hash of the text.
+
+    Rows are told apart by id and a 64-bit hash of the text; of rows that agree in both one stays. Empty sets are
+    linked with nothing and stay.
+    """
+    texts = _texts(docs, id_col, text_col)
+    prints = saved(fingerprints(texts))
+    labels = components(links_of(texts, region_shingles)).withColumnRenamed("node", "key")
+    rows = prints.where("n > 0").groupBy("doc_id", "row", "key").agg(F.count("*").alias("rows"))
+    rows = saved(rows.join(labels, "key", "left").select("doc_id", "row", "rows", F.coalesce("label", "key").alias("label")))
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    placed = rows.join(first, "label").withColumn("gone", ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))))
+    states = placed.where("gone or rows > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_of"), F.col("gone").alias("_gone"))
+    marked = docs.withColumn("_row", F.xxhash64(text_col))
+    marked = marked.join(states, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of")), "left")
+    once = marked.where("_gone is null").select(docs.columns)
+    return once.unionByName(marked.where("not _gone").dropDuplicates([id_col, "_row"]).select(docs.columns))

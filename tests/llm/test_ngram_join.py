@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tapeline.llm import ngram_join
 
 
@@ -123,3 +124,17 @@ def test_region_compares_who_hangs_on_the_ball():
     assert linked(v, u) and linked(u, w) and not linked(v, w)
     found = ngram_join.join_region([np.array(sorted(x), np.uint64) for x in (w, u, v)], [True, True, False])
     assert parts(3, found) == [0, 0, 0]
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(5, a), (6, a + " end"), (5, b + " end"), (2, b), (None, c), (None, c + " end"), (None, c), (7, d), (7, d), (8, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, label string").repartition(3)
+    got = ngram_join.one_of_each(df)
+    kept = got.collect()
+    assert got.columns == df.columns and all((r.doc_id, r.text) in rows for r in kept)
+    assert sorted(str(r.doc_id) for r in kept) == ["2", "5", "7", "8", "9", "None"]
+    assert {(5, a), (2, b), (7, d)} <= {(r.doc_id, r.text) for r in kept}
+    assert sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, df, "").select("doc_id").collect()), key=str) == sorted([(r.doc_id,) for r in kept], key=str)
