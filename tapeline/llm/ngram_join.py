@@ -1,19 +1,25 @@
 """Exact Jaccard join of documents as sets of word shingles, by pivots in the Jaccard metric space.
 
-Nearly all pairs of texts have distance 1, so a few pivots for the whole corpus would put every document on the boundary
-of every region. Pivots are therefore local. Every document offers the head of its sorted set, rarest shingles first
-(by a hashed count table of fixed size, ties by hash). Two sets within distance 0.25 share at least ``need`` shingles of
-their heads, so documents with fewer shared ones leave. Each shared shingle names the member with the least hash as its
-pivot; a pivot's region is every document that holds one of its shingles, so documents on a boundary are replicated into
-each region that they touch, and linked documents always meet in one. Memberships that cannot bring a link, by the shared
-parts of the heads alone, are dropped (``screen_region``). Inside a region, members are joined exactly. A member already
-joined to the region's largest component (to the ball, in a piece of one) need not be compared again; all others are.
-A region too large for one task is cut recursively (``split_region``): distances to sub-pivots settle the documents
-inside a ball, and the triangle inequality tells which balls the rest must still be compared with; what is far from all
-sub-pivots after ``ROUNDS`` cuts is joined block by block.
+Pivots, Voronoi regions, triangle-inequality windows and recursion, in this order:
+
+1. *Pivots.* Nearly all pairs of texts have distance 1, so pivots drawn from the whole corpus would put every document on
+   the boundary of every region. Pivots are therefore local. Every document offers the head of its sorted set, rarest
+   shingles first (by a hashed count table, ties by hash); two sets within distance 0.25 share at least ``need`` shingles
+   of their heads. The holder of the least hash is the pivot of a shared shingle, and only documents that share a shingle
+   with a pivot can be nearer to it than distance 1.
+2. *Voronoi regions.* Each document goes to the region of its nearest pivot, by the distance that the heads allow at
+   least. Members within 0.25 of their pivot are settled by that one exact comparison.
+3. *Windows.* In a region, two members can only be linked if their exact distances to the pivot differ by at most 0.25;
+   others are not compared.
+4. *Boundary.* A document that can be linked to a member of another component (by the bound of the heads) is copied into
+   each region in which that is so, and these are joined like the first.
+5. *Recursion.* A region too large for a task gets pivots of its own (``split_region``), exact distances to them, balls of
+   radius 0.25 and copies of the members within 0.5, and its parts are cut again until they fit; members far from all
+   pivots for ``ROUNDS`` rounds are joined block by block.
 
 Copies collapse before anything is compared: a document is represented by the fingerprint of its set. The result is one
-row per document with its component; pairs are never listed.
+row per document with its component; pairs are never listed. A member of the largest component of its region need not be
+compared once all others are.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; fewer words than a shingle
 make one shingle of the whole sequence; null ids are kept (the component takes the least id that is not null); repeated
@@ -22,7 +28,6 @@ rows are linked as copies; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -32,45 +37,59 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.bits import bit_table, bits_for, in_bits
 from tapeline.llm.components import components
 from tapeline.llm.shingles import U, chunks, mixed, set_key, sets_of
 from tapeline.session import saved
 
 K = 5
-#: Similarity as a fraction, 3/4.
+#: Similarity as a fraction, 3/4, and the distance that goes with it.
 NUM, DEN = 3, 4
+REACH = 1 - NUM / DEN
 #: Part of a set by which its head is longer than a shared shingle would need.
 EXTRA = 0.05
-TABLE_BITS = 22
+#: The count table has a cell for about this many shingles, as long as its bits stay in this range.
+LEAST_BITS, MOST_BITS = 16, 24
+CELLS_PER_ROW = 16
 #: Parts in which tasks hand over their count tables.
 TABLE_PARTS = 256
-#: Shingles of all members of a region that one task may hold.
-REGION_SHINGLES = 6_000_000
-
-
-def count_table(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = TABLE_BITS) -> np.ndarray:
-    """How many of the hashes that ``values`` gives fall in each of 2^bits cells; the size of what is sent does not depend on the data's size."""
-    width = (1 << bits) // TABLE_PARTS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint32)
-        waiting: list[np.ndarray] = []
-
-        def flush() -> None:
-            cells = (np.concatenate(waiting) >> U(64 - bits)).astype(np.int64)
-            np.add(table, np.bincount(cells, minlength=1 << bits), out=table, casting="unsafe")
-            waiting.clear()
-
-        for batch in batches:
-            for x in values(batch):
-                waiting.append(x)
-                if len(waiting) >= 2000:
-                    flush()
-        if waiting:
-            flush()
-        parts = table.reshape(TABLE_PARTS, width)
-        for i in np.flatnonzero(parts.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zstandard.compress(parts[i].tobytes(), 1)], pa.binary())], names=["part", "counts"])
+#: Shingles of heads in one part of their exchange, and the least number of parts.
+PART_SHINGLES, LEAST_PARTS = 1_000_000, 64
+#: Shingles of all members of a region that one task joins.
+REGION_SHINGLES = 1_000_000
+
+
+class Counts:
+    """A task's count table of 2^bits cells; what it hands over does not depend on the data's size."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.table, self.waiting, self.size = bits, None, [], 0
+
+    def add(self, hashed: np.ndarray) -> None:
+        self.waiting.append(hashed)
+        self.size += len(hashed)
+        if self.size > 500_000:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.waiting:
+            if self.table is None:
+                self.table = np.zeros(1 << self.bits, np.uint32)
+            cells, counts = np.unique((np.concatenate(self.waiting) >> U(64 - self.bits)).astype(np.int64), return_counts=True)
+            self.table[cells] += counts.astype(np.uint32)
+            self.waiting, self.size = [], 0
+
+    def parts(self) -> Iterator[tuple[int, bytes]]:
+        self._flush()
+        if self.table is not None:
+            for i, part in enumerate(self.table.reshape(TABLE_PARTS, -1)):
+                if part.any():
+                    yield i, zstandard.compress(part.tobytes(), 1)
+
+
+def summed(parts: DataFrame, bits: int) -> np.ndarray:
+    """The sum of the tables in (part, counts) rows."""
+    schema = "part int, counts binary"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -80,13 +99,26 @@ def count_table(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.nd
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
-    schema = "part int, counts binary"
-    out = np.zeros((TABLE_PARTS, width), np.uint32)
-    for row in df.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
+    out = np.zeros((TABLE_PARTS, (1 << bits) // TABLE_PARTS), np.uint32)
+    for row in parts.repartition("part").mapInArrow(add, schema).collect():  # 2^bits cells at most
         out[row["part"]] = np.frombuffer(row["counts"], np.uint32)
     return out.reshape(-1)
 
 
+def count_table(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """How many of the hashes that ``values`` gives fall in each of 2^bits cells."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Counts(bits)
+        for batch in batches:
+            for x in values(batch):
+                table.add(x)
+        for part, counts in table.parts():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts], pa.binary())], names=["part", "counts"])
+
+    return summed(df.mapInArrow(count, "part int, counts binary"), bits)
+
+
 def least_overlap(a: int, b: int) -> int:
     """Smallest intersection of sets of sizes a and b that makes a link."""
     return -(-NUM * (a + b) // (NUM + DEN))
@@ -110,109 +142,133 @@ def _batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def fingerprints(texts: DataFrame) -> DataFrame:
-    """doc_id, row, key, n of every document; ``row``: a hash of the text."""
+def fingerprints(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, row, key, n of every document (``row``: a hash of the text), and the count table of all shingles, in one pass."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (CELLS_PER_ROW * max(1, texts.count()) - 1).bit_length()))
+    names = ["doc_id", "row", "key", "n", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, kinds = Counts(bits), [pa.int64()] * 4 + [pa.int32(), pa.binary()]
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, none = [], [], [None] * batch.num_rows
             for _, run in chunks(batch.column("text")):
                 for x in sets_of(run, K):
                     keys.append(set_key(x))
                     sizes.append(len(x))
-            yield _batch(["doc_id", "row", "key", "n"], [pa.int64()] * 4, [batch.column("doc_id"), batch.column("row"), keys, sizes])
+                    table.add(x)
+            yield _batch(names, kinds, [batch.column("doc_id"), batch.column("row"), keys, sizes, none, none])
+        for part, counts in table.parts():
+            yield _batch(names, kinds, [[None]] * 4 + [[part], [counts]])
 
-    return texts.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, key long, n long")
+    found = saved(texts.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, key long, n long, part int, counts binary"))
+    return found.where("part is null").select(names[:4]), summed(found.where("part is not null").select("part", "counts"), bits)
 
 
-def _new_sets(batches: Iterator[pa.RecordBatch], wanted: Callable[[int], bool] = lambda key: True) -> Iterator[tuple[int, np.ndarray]]:
-    """Each set that a task meets, copies once."""
-    seen: set[int] = set()
-    for batch in batches:
-        for _, run in chunks(batch.column("text")):
-            for x in sets_of(run, K):
-                if len(x) and (key := set_key(x)) not in seen and wanted(key):
-                    seen.add(key)
-                    yield key, x
-
-
-HEAD = ["token", "key", "n", "hot"]
+def heads(texts: DataFrame, classes, bits: int, parts: int) -> DataFrame:
+    """The heads of all distinct sets, packed: part, hot, keys, counts (of each key), tokens (48 bits of each).
 
-
-def heads(texts: DataFrame, classes) -> DataFrame:
-    """token, key, n, hot: the head of every distinct set; ``classes``: broadcast count classes of the table's cells."""
+    Cold tokens are dealt to parts by range, so that equal ones meet; ``classes``: broadcast count classes of the cells.
+    A hot token (class over 0) stays in a part of its task's choice.
+    """
+    names, kinds = ["part", "hot", "keys", "counts", "tokens"], [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, out, rows = classes.value, [], 0
+        table, seen, held, size = classes.value, set(), [], 0
+
+        def packed() -> pa.RecordBatch:
+            tokens = np.concatenate([t for _, t, _ in held]) >> U(16)
+            hot = np.concatenate([h for *_, h in held])
+            owner = np.repeat(np.arange(len(held)), [len(t) for _, t, _ in held])
+            keys = np.array([k for k, *_ in held], np.int64)
+            part = (tokens * U(parts) >> U(48)).astype(np.int64)
+            part[hot] = parts + keys[0] % parts
+            order = np.argsort(part, kind="stable")
+            part, tokens, owner = part[order], tokens[order], owner[order]
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+            rows = []
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = owner[low:high]
+                begins = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+                counts = np.diff(np.concatenate([begins, [len(own)]])).astype(np.uint32)
+                six = tokens[low:high].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append((int(part[low]) % parts, bool(part[low] >= parts), keys[own[begins]].tobytes(), counts.tobytes(), six.tobytes()))
+            return _batch(names, kinds, list(zip(*rows, strict=True)))
 
-        def pack() -> pa.RecordBatch:
-            return _batch(HEAD, [pa.int64(), pa.int64(), pa.int32(), pa.bool_()], [np.concatenate(c) for c in zip(*out, strict=True)])
+        for batch in batches:
+            for _, run in chunks(batch.column("text")):
+                for x in sets_of(run, K):
+                    if not len(x) or (key := set_key(x)) in seen:
+                        continue
+                    seen.add(key)
+                    cls = table[(x >> U(64 - bits)).astype(np.int64)]
+                    kept = np.argsort(cls, kind="stable")[: head_length(len(x))]
+                    held.append((key, x[kept], cls[kept] > 0))
+                    size += len(kept)
+                    if size > PART_SHINGLES:
+                        yield packed()
+                        held, size = [], 0
+        if held:
+            yield packed()
 
-        for key, x in _new_sets(batches):
-            cls = table[(x >> U(64 - TABLE_BITS)).astype(np.int64)]
-            kept = np.argsort(cls, kind="stable")[: head_length(len(x))]
-            out.append((x[kept].view(np.int64), np.full(len(kept), key), np.full(len(kept), len(x), np.int32), cls[kept] > 0))
-            rows += len(kept)
-            if rows > 100_000:
-                yield pack()
-                out, rows = [], 0
-        if out:
-            yield pack()
+    return texts.mapInArrow(run, "part int, hot boolean, keys binary, counts binary, tokens binary")
 
-    return texts.mapInArrow(run, "token long, key long, n int, hot boolean")
 
+def _unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, keys) of a packed row."""
+    keys, counts, six = np.frombuffer(row[0], np.int64), np.frombuffer(row[1], np.uint32), np.frombuffer(row[2], np.uint8).reshape(-1, 6)
+    tokens = np.zeros((len(six), 8), np.uint8)
+    tokens[:, :6] = six
+    return tokens.view("<u8").reshape(-1).astype(np.int64), np.repeat(keys, counts)
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows whose token has another key too, with the token's pivot: its key with the least hash.
 
-    Tokens that the count table calls hot get their pivot by a pre-aggregated group-by and a join whose large partitions
-    Spark splits. The others, whose number of rows is bounded by the table's mean, stream by in sorted order.
-    """
-    order = F.xxhash64("key")
-    hot = rows.where("hot")
-    pivots = hot.groupBy("token").agg(F.min_by("key", F.struct(order, "key")).alias("pivot"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token", "pivot")
-    cold = rows.where("not hot").withColumn("rank", order).repartition("token").sortWithinPartitions("token", "rank", "key")
+def shared(packed: DataFrame) -> DataFrame:
+    """token, key, pivot: the cold tokens that another key has too, and all hot ones, whose pivot is still null.
 
-    names, kinds = ["token", "key", "n", "pivot"], [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    A part holds ``PART_SHINGLES`` cold tokens at the mean; a token is cold if it is not much more frequent than the mean.
+    """
+    names, kinds = ["token", "key", "pivot"], [pa.int64()] * 3
 
-    def with_pivots(tokens: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-        """Whole groups of tokens, in order."""
+    def meet(tokens: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((keys, mixed(keys.view(U)), tokens))
+        tokens, keys = tokens[order], keys[order]
         fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])])
-        tokens, keys, sizes = tokens[fresh], keys[fresh], sizes[fresh]
+        tokens, keys = tokens[fresh], keys[fresh]
         starts = np.concatenate([[True], tokens[1:] != tokens[:-1]])
         begins, group = np.flatnonzero(starts), np.cumsum(starts) - 1
         kept = np.diff(np.concatenate([begins, [len(tokens)]]))[group] > 1
-        return _batch(names, kinds, [tokens[kept], keys[kept], sizes[kept], keys[begins][group][kept]])
+        return _batch(names, kinds, [tokens[kept], keys[kept], keys[begins][group][kept]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_group: list[np.ndarray] | None = None  # rows of the last token, which may go on
+        part, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if open_group is not None:
-                rows = [np.concatenate(x) for x in zip(open_group, rows, strict=True)]
-            last = int(np.argmax(rows[0] == rows[0][-1]))
-            if last:
-                yield with_pivots(*(x[:last] for x in rows))
-            open_group = [x[last:] for x in rows]
-        if open_group is not None:
-            yield with_pivots(*open_group)
-
-    found = cold.select("token", "key", "n").mapInArrow(run, "token long, key long, n int, pivot long").withColumn("hot", F.lit(False))
-    return found.unionByName(hot.join(pivots, "token"))
-
-
-def heads_of(rows: DataFrame) -> DataFrame:
+            for p, hot, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                tokens, keys = _unpacked(row)
+                if hot:
+                    yield _batch(names, kinds, [tokens, keys, pa.nulls(len(tokens), pa.int64())])
+                    continue
+                if p != part and held:
+                    yield meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+                part = p
+                held.append((tokens, keys))
+        if held:
+            yield meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "token long, key long, pivot long")
+
+
+def heads_of(found: DataFrame, sizes: DataFrame) -> DataFrame:
     """key, n, tokens, pivots: the shared parts of heads, of keys that share as many tokens as any link needs.
 
-    Copies of a row that tasks have met may count twice, which keeps too much and never too little.
+    The pivots of hot tokens come from a pre-aggregated group-by and a join whose large partitions Spark splits.
     """
+    hot = found.where("pivot is null").select("token", "key")
+    pivots = hot.groupBy("token").agg(F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("pivot"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token", "pivot")
+    rows = found.where("pivot is not null").unionByName(hot.join(pivots, "token"))
     per = round(1 / EXTRA)
     least = F.expr(f"(({NUM} * n + {DEN - 1}) div {DEN} + {per - 1}) div {per}")
-    enough = rows.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("tokens")).where(F.col("tokens") >= F.greatest(F.lit(1), least)).select("key")
-    lists = rows.join(enough, "key", "left_semi").groupBy("key")
-    return lists.agg(F.max("n").alias("n"), F.array_sort(F.collect_set("token")).alias("tokens"), F.collect_set("pivot").alias("pivots"))
+    lists = rows.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.collect_set("pivot").alias("pivots"))
+    return lists.join(sizes, "key").where(F.size("tokens") >= F.greatest(F.lit(1), least)).select("key", "n", "tokens", "pivots")
 
 
 class Links:
@@ -262,48 +318,56 @@ class Postings:
         return np.bincount(self.owner[at], minlength=self.n)
 
 
-def join_region(sets: list[np.ndarray], must: list[bool] | None = None) -> list[tuple[int, int]]:
+def join_region(sets: list[np.ndarray], groups: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (member, other member) that connect exactly what the pairs within the distance connect.
 
-    A member is compared with all others through the postings of its shingles, unless it belongs to the largest component
-    by then: every pair across components has a member outside it. ``must``: members whose pairs are asked for; the
-    others are known to hang together and are not compared, so that only who belongs to them can be passed over.
+    ``groups``: members of one group are known to hang together. The first member is the pivot; its exact distances to all
+    others give the windows. Every other member is compared with those of its window (through the postings of its
+    shingles), unless it belongs to the largest component by then: every pair across components has a member outside it.
     """
     n, links = len(sets), []
     if n < 2:
         return links
-    sizes, postings = np.array([len(x) for x in sets]), Postings(sets)
-    settled = [i for i in range(n) if must is not None and not must[i]]
-    known, done, largest = Links(n), [False] * n, settled[0] if settled else 0
-    for i in settled:
-        known.join(largest, i)
+    sizes, postings, known = np.array([len(x) for x in sets]), Postings(sets), Links(n)
+    if groups is not None:
+        first: dict[int, int] = {}
+        for i, g in enumerate(groups):
+            known.join(first.setdefault(g, i), i)
+    both = postings.shared_with(0)
+    distance = 1 - both / (sizes[0] + sizes - both)
+    done = np.zeros(n, bool)
+    largest = max((known.find(i) for i in range(n)), key=lambda i: known.size[i])
 
     def compare(i: int) -> None:
+        nonlocal largest
+        root = known.find(i)
+        window = (np.abs(distance - distance[i]) <= REACH + 1e-9) & (DEN * np.minimum(sizes, sizes[i]) >= NUM * np.maximum(sizes, sizes[i]))
+        if not any(known.find(int(j)) != root for j in np.flatnonzero(window)):
+            return
         both = postings.shared_with(i)
-        near = DEN * both >= NUM * (sizes[i] + sizes - both)
-        near[i] = False
-        for j in np.flatnonzero(near):
+        for j in np.flatnonzero(window & (DEN * both >= NUM * (sizes[i] + sizes - both))):
             if known.find(i) != known.find(int(j)):
                 known.join(i, int(j))
                 links.append((i, int(j)))
+        if known.size[known.find(i)] > known.size[known.find(largest)]:
+            largest = known.find(i)
 
+    compare(0)
+    done[0] = True
     while True:
-        todo = [i for i in range(n) if not done[i] and (must is None or must[i])]
-        todo = [i for i in todo if known.find(i) != known.find(largest) or known.size[known.find(largest)] == 1]
+        top = known.find(largest)
+        todo = [int(i) for i in np.flatnonzero(~done) if known.size[top] == 1 or known.find(int(i)) != top]
         if not todo:
             return links
         for i in todo:
-            if known.find(i) == known.find(largest) and known.size[known.find(largest)] > 1:
-                continue
-            compare(i)
-            done[i] = True
-            if not settled and known.size[known.find(i)] > known.size[known.find(largest)]:
-                largest = known.find(i)
+            if known.size[known.find(largest)] == 1 or known.find(i) != known.find(largest):
+                compare(i)
+                done[i] = True
 
 
 def _region_links(rows: DataFrame) -> DataFrame:
-    """a, b from (region, key, must, values), one region after the other."""
-    ordered = rows.select("region", "key", "must", "values").repartition("region").sortWithinPartitions("region", "key")
+    """a, b from (region, key, group, values), one region after the other."""
+    ordered = rows.select("region", "key", "group", "values").repartition("region").sortWithinPartitions("region", F.col("region") != F.col("key").cast("string"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, members = None, {}
@@ -315,11 +379,11 @@ def _region_links(rows: DataFrame) -> DataFrame:
                 yield _batch(["a", "b"], [pa.int64()] * 2, [[keys[i] for i, _ in found], [keys[j] for _, j in found]])
 
         for batch in batches:
-            for r, key, must, values in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if r.as_py() != region:
+            for r, key, group, values in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if r != region:
                     yield from finish()
-                    region, members = r.as_py(), {}
-                members[key.as_py()] = (must.as_py(), values.as_py())
+                    region, members = r, {}
+                members[key] = (group, values)
         yield from finish()
 
     return ordered.mapInArrow(run, "a long, b long")
@@ -344,9 +408,9 @@ def _distances(rows: DataFrame, balls: DataFrame) -> DataFrame:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     found.append({"pivot": p["key"], "distance": 1 - both / (len(x) + len(y) - both)})
                 near.append(found)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "key", "must", "values")), pa.array(near, kind)], names=["region", "key", "must", "values", "near"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "key", "group", "values")), pa.array(near, kind)], names=["region", "key", "group", "values", "near"])
 
-    return joined.select("region", "key", "must", "values", "pivots").mapInArrow(run, "region string, key long, must boolean, values binary, near array<struct<pivot:bigint,distance:double>>")
+    return joined.select("region", "key", "group", "values", "pivots").mapInArrow(run, "region string, key long, group long, values binary, near array<struct<pivot:bigint,distance:double>>")
 
 
 def split_region(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -357,7 +421,7 @@ def split_region(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     its own distance to p is at most 0.5. Each ball is cut into pieces by a hash; the members that must be compared with
     it (not settled there, and within 0.5) are copied to every piece, and among themselves they form the next region.
     """
-    r = 1 - NUM / DEN
+    r = REACH
     ranked = rows.select("region", "key", "values").dropDuplicates(["region", "key"]).withColumn("pos", F.struct(F.xxhash64("key", F.lit(1)), "key"))
     heads_ = ranked.groupBy("region").agg(F.sum(F.octet_length("values") / 8).alias("total"), F.min("pos.col1").alias("lo"), F.max("pos.col1").alias("hi"), F.count("*").alias("n"))
     # about SUB_PIVOTS members of the lowest hashes: a cut at their expected quantile, then at most that many
@@ -370,12 +434,12 @@ def split_region(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     home = F.element_at(F.array_sort(settled, lambda a, b: F.when((a["distance"] < b["distance"]) | ((a["distance"] == b["distance"]) & (a["pivot"] < b["pivot"])), -1).otherwise(1)), 1)["pivot"]
     placed = near.withColumn("home", F.when(F.size(settled) > 0, home)).join(F.broadcast(balls.select("region", "total")), "region")
     pieces = F.greatest(F.lit(1), F.ceil(2 * F.col("total") / limit)).cast("int")
-    inner = placed.where("home is not null").select(F.concat_ws("/", "region", F.col("home").cast("string"), F.pmod(F.xxhash64("key"), pieces).cast("string")).alias("region"), "key", F.lit(False).alias("must"), "values")
-    around = placed.select("region", "key", "must", "values", "home", pieces.alias("pieces"), F.explode("near").alias("p")).where((F.col("p.distance") <= 2 * r + 1e-12) & ~F.col("p.pivot").eqNullSafe(F.col("home")))
+    inner = placed.where("home is not null").select(F.concat_ws("/", "region", F.col("home").cast("string"), F.pmod(F.xxhash64("key"), pieces).cast("string")).alias("region"), "key", F.col("home").alias("group"), "values")
+    around = placed.select("region", "key", "group", "values", "home", pieces.alias("pieces"), F.explode("near").alias("p")).where((F.col("p.distance") <= 2 * r + 1e-12) & ~F.col("p.pivot").eqNullSafe(F.col("home")))
     around = around.where("home is null or home < p.pivot")  # two settled members meet in one ball only
     copied = around.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    copied = copied.select(F.concat_ws("/", "region", F.col("p.pivot").cast("string"), F.col("piece").cast("string")).alias("region"), "key", F.lit(True).alias("must"), "values")
-    rest = placed.where("home is null").select(F.concat_ws("/", "region", F.lit("rest")).alias("region"), "key", F.lit(True).alias("must"), "values")
+    copied = copied.select(F.concat_ws("/", "region", F.col("p.pivot").cast("string"), F.col("piece").cast("string")).alias("region"), "key", "group", "values")
+    rest = placed.where("home is null").select(F.concat_ws("/", "region", F.lit("rest")).alias("region"), "key", "group", "values")
     return links, inner.unionByName(copied).unionByName(rest)
 
 
@@ -385,7 +449,7 @@ def block_pairs(rows: DataFrame, limit: int) -> DataFrame:
     placed = rows.join(loads, "region").withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.concat_ws("/", "region", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
-    return met.select(cell.alias("region"), "key", "must", "values")
+    return met.select(cell.alias("region"), "key", "group", "values")
 
 
 #: Times that balls cut what is left of large regions.
@@ -417,27 +481,39 @@ def screen_region(heads_: list[np.ndarray], sizes: np.ndarray, labels: np.ndarra
     return flagged
 
 
-#: Shared shingles of heads that one task may hold for a region; members of a region with more are all kept.
-SCREEN_SHINGLES = 8_000_000
+#: Shared shingles of heads that one task may hold to screen a region; the members of a larger one are all kept, and there the bound of the distance is 1.
+SCREEN_SHINGLES = 4_000_000
 
 
 def screened(lists: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """region, key, n: memberships (of key, n, tokens, pivots) that may bring a link, across components if ``labels`` (key, label) are given."""
+    """region, key, n, gap: memberships (of key, n, tokens, pivots) that may bring a link, across components if ``labels`` (key, label) are given.
+
+    Of the members that stay, the one with the least hash is the region's pivot and names it. ``gap``: least distance to
+    it that the heads allow; -1 for the pivot.
+    """
     lists = lists.withColumn("label", F.col("key")) if labels is None else lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     members = lists.select(F.explode("pivots").alias("pivot"), "key", "label", F.size("tokens").alias("tokens"))
     loads = members.groupBy("pivot").agg(F.sum("tokens").alias("load"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     members = members.select("pivot", "key").join(loads.where("members > 1 and lo <> hi").select("pivot", "load"), "pivot").join(lists.drop("pivots"), "key")
     small = members.where(F.col("load") <= SCREEN_SHINGLES).select("pivot", "key", "n", "label", "tokens").repartition("pivot").sortWithinPartitions("pivot", "key")
-    names, kinds = ["pivot", "key", "n"], [pa.int64(), pa.int64(), pa.int32()]
+    names, kinds = ["region", "key", "n", "gap"], [pa.int64(), pa.int64(), pa.int32(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, held = None, []
 
         def finish() -> Iterator[pa.RecordBatch]:
-            sizes = np.array([n for _, n, _, _ in held], np.int64)
-            kept = np.flatnonzero(screen_region([t for *_, t in held], sizes, np.array([x for _, _, x, _ in held]))) if len(held) > 1 else []
+            if len(held) < 2:
+                return
+            sizes, own = np.array([n for _, n, *_ in held], np.int64), [t for *_, t in held]
+            kept = np.flatnonzero(screen_region(own, sizes, np.array([x for _, _, x, _ in held])))
             if len(kept):
-                yield _batch(names, kinds, [[pivot] * len(kept), [held[i][0] for i in kept], [held[i][1] for i in kept]])
+                keys, sizes = np.array([held[i][0] for i in kept], np.int64), sizes[kept]
+                first = int(np.argmin(mixed(keys.view(U))))
+                behind = sizes - np.array([head_length(int(n)) for n in sizes])
+                most = np.minimum(Postings([own[i] for i in kept]).shared_with(first) + np.maximum(behind, behind[first]), np.minimum(sizes, sizes[first]))
+                gap = 1 - most / (sizes + sizes[first] - most)
+                gap[first] = -1
+                yield _batch(names, kinds, [np.full(len(kept), keys[first]), keys, sizes, gap])
 
         for batch in batches:
             for p, key, n, label, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
@@ -447,44 +523,49 @@ def screened(lists: DataFrame, labels: DataFrame | None = None) -> DataFrame:
                 held.append((key, n, label, tokens.values.to_numpy()))
         yield from finish()
 
-    kept = small.mapInArrow(run, "pivot long, key long, n int").unionByName(members.where(F.col("load") > SCREEN_SHINGLES).select("pivot", "key", "n"))
-    return kept.select(F.col("pivot").cast("string").alias("region"), "key", "n")
+    kept = small.mapInArrow(run, "region long, key long, n int, gap double")
+    kept = kept.unionByName(members.where(F.col("load") > SCREEN_SHINGLES).select(F.col("pivot").alias("region"), "key", "n", F.lit(1.0).alias("gap")))
+    return kept.groupBy("region", "key").agg(F.max("n").alias("n"), F.min("gap").alias("gap")).withColumn("region", F.col("region").cast("string"))
 
 
-def sets_for(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, values: the sets of ``keys`` and few others; the tasks know the keys by a bit table of fixed size."""
-    cells = count_table(keys.select("key"), lambda batch: iter([mixed(batch.column("key").to_numpy().view(U))]))
-    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(cells > 0))
+def sets_for(texts: DataFrame, prints: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, values: the sets of ``keys``. One text stands for each set; the tasks know those texts by a bit table of their hashes, whose size has a bound, and the join drops what else passes."""
+    chosen = saved(prints.join(keys.select("key").distinct(), "key").groupBy("key").agg(F.min("row").alias("row")))
+    bits = bits_for(chosen.count())
+    wanted = texts.sparkSession.sparkContext.broadcast(bit_table(chosen.select("row"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-
-        def maybe(key: int) -> bool:
-            cell = int(mixed(np.array([key], np.int64).view(U))[0] >> U(64 - TABLE_BITS))
-            return bool(bits[cell >> 3] >> (7 - (cell & 7)) & 1)
-
-        for key, x in _new_sets(batches, maybe):
-            yield _batch(["key", "values"], [pa.int64(), pa.binary()], [[key], [x.tobytes()]])
+        table, seen = wanted.value, set()
+        for batch in batches:
+            rows = batch.column("row").to_numpy()
+            at = [i for i in np.flatnonzero(in_bits(table, bits, mixed(rows.view(U)))) if not (rows[i] in seen or seen.add(rows[i]))]
+            if not at:
+                continue
+            sets = [x for _, run in chunks(batch.column("text").take(pa.array(at))) for x in sets_of(run, K)]
+            kept = [(int(rows[i]), set_key(x), x.tobytes()) for i, x in zip(at, sets, strict=True) if len(x)]
+            if kept:
+                yield _batch(["row", "key", "values"], [pa.int64(), pa.int64(), pa.binary()], list(zip(*kept, strict=True)))
 
-    return texts.mapInArrow(run, "key long, values binary").groupBy("key").agg(F.first("values").alias("values"))
+    found = texts.select(F.xxhash64("text").alias("row"), "text").mapInArrow(run, "row long, key long, values binary")
+    return found.join(chosen, ["key", "row"], "left_semi").groupBy("key").agg(F.first("values").alias("values"))
 
 
-def join_regions(texts: DataFrame, members: DataFrame, limit: int) -> DataFrame:
-    """a, b: links inside regions, from (region, key, n)."""
+def join_regions(sets: DataFrame, members: DataFrame, limit: int) -> DataFrame:
+    """a, b: links inside regions, from (region, key, n, group)."""
     load = members.groupBy("region").agg(F.sum("n").alias("load"), F.count("*").alias("members")).where("members > 1")
-    regions = saved(members.join(load, "region").select("region", "key", (F.col("load") > limit).alias("big")))
-    rows = regions.join(sets_for(texts, regions), "key").withColumn("must", F.lit(True))
+    regions = saved(members.join(load, "region").select("region", "key", "group", (F.col("load") > limit).alias("big")))
+    rows = regions.join(sets, "key")
     found = [_region_links(rows.where("not big"))]
     if regions.where("big").isEmpty():
         return found[0]
-    big = rows.where("big").select("region", "key", "must", "values")
+    big = rows.where("big").select("region", "key", "group", "values")
     for _ in range(ROUNDS):
         more, smaller = split_region(saved(big), limit)
         smaller = saved(smaller)
-        load = smaller.groupBy("region").agg(F.sum(F.octet_length("values") / 8).alias("load"), F.bool_or("must").alias("any"))
-        sized = smaller.join(load.where("any"), "region")
+        load = smaller.groupBy("region").agg(F.sum(F.octet_length("values") / 8).alias("load"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+        sized = smaller.join(load.where("lo <> hi").drop("lo", "hi"), "region")
         found += [more, _region_links(sized.where(F.col("load") <= limit))]
-        big = sized.where(F.col("load") > limit).select("region", "key", "must", "values")
+        big = sized.where(F.col("load") > limit).select("region", "key", "group", "values")
         if big.isEmpty():
             break
     else:
@@ -492,43 +573,32 @@ def join_regions(texts: DataFrame, members: DataFrame, limit: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _release(df: DataFrame) -> None:
-    """Lets the driver find shuffle files that nothing needs any more now, rather than with its next garbage collection."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def links_of(texts: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFrame:
-    """a, b: links between keys that connect exactly the keys within the distance.
-
-    A document that can have a link, by what the heads share, first goes to its home only, the least of those
-    regions. A link that is still missing then joins two components; documents that can have such a
-    one go to all regions where they can.
-    """
-    context = texts.sparkSession.sparkContext
-    table = count_table(texts, lambda batch: (x for _, run in chunks(batch.column("text")) for x in sets_of(run, K)))
+def links_of(texts: DataFrame, prints: DataFrame, table: np.ndarray, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """a, b: links between keys that connect exactly the keys within the distance."""
+    context, bits = texts.sparkSession.sparkContext, int(len(table)).bit_length() - 1
     common = 2 * max(1.0, float(table.mean()))
-    classes = np.maximum(0, np.floor(np.log2(np.maximum(table, 1) / common)) + 1).astype(np.uint8)
-    first = saved(shared(heads(texts, context.broadcast(classes))))
-    _release(first)
-    alive = saved(heads_of(first))
-    _release(alive)
+    classes = np.ceil(np.log2(np.maximum(table, 1, dtype=np.float32) / np.float32(common)) + 1e-6).clip(0, 255).astype(np.uint8)
+    parts = max(LEAST_PARTS, -(-int(table.sum(dtype=np.int64)) * 3 // (10 * PART_SHINGLES)))
+    found = saved(shared(heads(texts, context.broadcast(classes), bits, parts)))
+    sizes = prints.where("n > 0").groupBy("key").agg(F.max("n").cast("int").alias("n"))
+    alive = saved(heads_of(found, sizes))
     kept = saved(screened(alive))
-    homes = kept.groupBy("key").agg(F.min("region").alias("region"), F.max("n").alias("n"))
-    near = saved(join_regions(texts, homes, region_shingles))
-    _release(near)
+    sets = saved(sets_for(texts, prints, kept))
+    nearest = F.min_by("region", F.struct("gap", "region")).alias("region")
+    homes = kept.groupBy("key").agg(nearest, F.max("n").alias("n")).withColumn("group", F.col("key"))
+    near = saved(join_regions(sets, homes, region_shingles))
     labels = components(near).withColumnRenamed("node", "key")
-    rest = saved(screened(alive.join(kept.select("key").distinct(), "key", "left_semi"), labels))
-    if rest.isEmpty():
-        return near
-    return near.unionByName(join_regions(texts, rest, region_shingles))
+    rest = screened(alive.join(kept.select("key").distinct(), "key", "left_semi"), labels)
+    rest = saved(rest.join(labels, "key", "left").withColumn("group", F.coalesce("label", "key")).drop("label"))
+    more = join_regions(sets, rest, region_shingles)
+    return labels.select(F.col("key").alias("a"), F.col("label").alias("b")).unionByName(more)
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     texts = _texts(docs, id_col, text_col)
-    prints = saved(fingerprints(texts))
-    labels = components(links_of(texts, region_shingles))
+    prints, table = fingerprints(texts)
+    labels = components(links_of(texts, prints, table, region_shingles))
     least = prints.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = saved(least.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -544,8 +614,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked with nothing and stay.
     """
     texts = _texts(docs, id_col, text_col)
-    prints = saved(fingerprints(texts))
-    labels = components(links_of(texts, region_shingles)).withColumnRenamed("node", "key")
+    prints, table = fingerprints(texts)
+    labels = components(links_of(texts, prints, table, region_shingles)).withColumnRenamed("node", "key")
     rows = prints.where("n > 0").groupBy("doc_id", "row", "key").agg(F.count("*").alias("rows"))
     rows = saved(rows.join(labels, "key", "left").select("doc_id", "row", "rows", F.coalesce("label", "key").alias("label")))
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))

@@ -46,7 +46,7 @@ def corpus(seed, n):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "Short text"), (n + 4, "short  TEXT"), (n + 5, "text short"), (n + 5, "short text")]
 
 
-@pytest.mark.parametrize(("seed", "limit"), [(1, ngram_join.REGION_SHINGLES), (2, 600)])
+@pytest.mark.parametrize(("seed", "limit"), [(1, ngram_join.REGION_SHINGLES), (2, 600), (3, 2500)])
 def test_classes_equal_all_pairs(spark, seed, limit):
     rows = corpus(seed, 240)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string").repartition(3)
@@ -109,12 +109,12 @@ def parts(n, pairs):
 def test_region_with_settled_members_equals_all_pairs(seed):
     rng = random.Random(seed)
     sets = edited_sets(rng, 40, 3)
-    must = [rng.random() < (0.5, 0.9, 1.0)[seed % 3] for _ in sets]
-    ball = [i for i, m in enumerate(must) if not m]
+    groups = [-1 if rng.random() >= (0.5, 0.9, 1.0)[seed % 3] else i for i in range(40)]
+    ball = [i for i, g in enumerate(groups) if g == -1]
     known = [(ball[0], i) for i in ball]  # by way of the sub-pivot
-    found = ngram_join.join_region([np.array(sorted(x), np.uint64) for x in sets], must)
+    found = ngram_join.join_region([np.array(sorted(x), np.uint64) for x in sets], groups)
     assert all(linked(sets[i], sets[j]) for i, j in found)
-    wanted = [(i, j) for i in range(40) for j in range(i) if (must[i] or must[j]) and linked(sets[i], sets[j])]
+    wanted = [(i, j) for i in range(40) for j in range(i) if linked(sets[i], sets[j])]
     assert parts(40, found + known) == parts(40, wanted + known)
 
 
@@ -122,7 +122,7 @@ def test_region_compares_who_hangs_on_the_ball():
     # v settled, u and w around it: w-u and u-v are links, w-v is none
     v, u, w = set(range(0, 100)), set(range(12, 112)), set(range(24, 124))
     assert linked(v, u) and linked(u, w) and not linked(v, w)
-    found = ngram_join.join_region([np.array(sorted(x), np.uint64) for x in (w, u, v)], [True, True, False])
+    found = ngram_join.join_region([np.array(sorted(x), np.uint64) for x in (w, u, v)], [0, 1, 2])
     assert parts(3, found) == [0, 0, 0]
 
 
