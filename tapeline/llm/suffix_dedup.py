@@ -31,13 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.ngram_join import TABLE_BITS as COUNT_BITS
 from tapeline.llm.ngram_join import count_table
 from tapeline.llm.shingles import TOGETHER, U, _tables, mixed
 from tapeline.session import saved
 
 LENGTH, GRAM = 200, 32
-TABLE_BITS, TABLE_PARTS = 26, 256
+TABLE_BITS, TABLE_PARTS, COUNT_BITS = 26, 256, 22
 #: A task's sorted run ends at this many bytes or suffixes.
 RUN_BYTES, RUN_SUFFIXES = 16 << 20, 60_000
 #: Differing blocks of one gram whose windows are compared in one group; a gram with more has its windows dealt by their hash.
@@ -359,7 +358,7 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             columns = [blocks.gram[some].view(np.int64), blocks.keys(some).view(np.int64), names[text], blocks.start[some] - blocks.offsets[text]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "block", "tkey", "start"])
 
-    loads = count_table(status.where("mixed").select("gram"), lambda batch: iter([mixed(batch.column("gram").to_numpy().view(U))]))
+    loads = count_table(status.where("mixed").select("gram"), lambda batch: iter([mixed(batch.column("gram").to_numpy().view(U))]), COUNT_BITS)
     deals = context.broadcast(np.minimum(-(-loads.astype(np.int64) // GROUP_BLOCKS), 2**15 - 1).astype(np.int16))
     window_names = ["gram", "deal", "tkey", "start", "hashes", "places"]
     window_kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
