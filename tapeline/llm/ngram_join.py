@@ -547,7 +547,8 @@ def sets_for(texts: DataFrame, prints: DataFrame, keys: DataFrame) -> DataFrame:
                 yield _batch(["row", "key", "values"], [pa.int64(), pa.int64(), pa.binary()], list(zip(*kept, strict=True)))
 
     found = texts.select(F.xxhash64("text").alias("row"), "text").mapInArrow(run, "row long, key long, values binary")
-    return found.join(chosen, ["key", "row"], "left_semi").groupBy("key").agg(F.first("values").alias("values"))
+    own = found.join(chosen.withColumnRenamed("row", "own"), "key").where("row = own")
+    return own.groupBy("key").agg(F.first("values").alias("values"))
 
 
 def join_regions(sets: DataFrame, members: DataFrame, limit: int) -> DataFrame:
