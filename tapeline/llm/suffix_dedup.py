@@ -1,19 +1,24 @@
 """Removal of every byte that a repeated string of ``length`` bytes covers, by a distributed merge sort of suffixes.
 
 A window is a string of ``length`` bytes. Windows in a row whose least gram hash stands at the same place (the first, if
-it is met more than once) form a block; equal windows have equal least grams, so only blocks with a gram that occurs twice can repeat (a hashed table of fixed size tells, for
-certain, which do not). The suffixes at the starts of those blocks, cut off behind their last window and led by the
-block's gram, are sorted in runs by the tasks, front-coded, exchanged by gram, and combined with a loser tree that knows
-the common prefix of each contender with the last winner, so that known prefixes are never compared again. The common
-prefix with a neighbour tells how many windows of a block repeat from its start on; a string met twice repeats whole.
-
-What the sort cannot tell are repeats that begin inside a block. Blocks whose gram heads different strings therefore
-give a fingerprint for each window (64 bits, beside the gram's 64), and equal ones repeat; of a block that is met in
-several texts, only one of them gives its windows. Fingerprints stand for bytes
-there; the chance that two of N differing windows of one gram collide is about N^2 / 2^65.
+it is met more than once) form a block, and that gram is its anchor. Equal windows have equal anchors at equal places, so only
+blocks whose gram occurs twice can repeat (a bit table sized by the input, up to a bound, tells for certain which do not).
+
+For each such block the suffix that begins at its anchor is sorted: behind the gram's hash and up to the end of the
+block's last window, then what stands before the anchor, backwards, up to the block's start. Tasks sort them in runs,
+front-code them and exchange them by gram; a loser tree merges the runs and knows the common prefix of each contender
+with the last winner, so that known prefixes are never compared again. A string met twice repeats whole. Of the strings of one
+gram the merge tells the common prefixes of neighbours, both behind and before the anchor: the window with ``l`` bytes
+before the anchor repeats if another string agrees in as many bytes before it and in the rest of the window behind it,
+that is, if both lie in one interval of common prefixes in either order (``repeated_levels``).
+
+A gram met in many differing contexts would be one task's work. Grams that are frequent in some task (``heavy``) are
+therefore dealt by their whole string, and their windows are compared by 64-bit fingerprints (beside the gram's 64) dealt
+by their hash; so are those of any other gram of more than ``GROUP_STRINGS`` strings. Fingerprints stand for bytes there;
+the chance that two of N differing windows of one gram collide is about N^2 / 2^65.
 
 Whole copies of a text are found by a hash of 64 bits and enter the sort once a task. Texts are shuffled only in the
-last step, and only those that lose some bytes. Tasks hold one run, one text and the fixed tables.
+last step, and only those that lose some bytes. Parts of the exchange are sized by the input.
 
 Defined results: null text counts as empty; texts shorter than ``length`` lose nothing; null ids are kept; repeated rows
 are copies of each other; an empty table gives no rows; other columns are ignored.
@@ -21,8 +26,8 @@ are copies of each other; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +36,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.ngram_join import count_table
+from tapeline.llm.bits import bit_table, bits_for, in_bits
 from tapeline.llm.shingles import TOGETHER, U, _tables, mixed
 from tapeline.session import saved
 
 LENGTH, GRAM = 200, 32
-TABLE_BITS, TABLE_PARTS, COUNT_BITS = 26, 256, 22
-#: A task's sorted run ends at this many bytes or suffixes.
-RUN_BYTES, RUN_SUFFIXES = 16 << 20, 60_000
-#: Differing blocks of one gram whose windows are compared in one group; a gram with more has its windows dealt by their hash.
-GROUP_BLOCKS = 4096
+#: Bits of the table of grams: so many for each expected block, up to the bound (16 MB packed).
+TABLE_BITS, TABLE_PARTS, CELLS_PER_BLOCK = 27, 256, 12
+#: A task's sorted run ends at this many bytes or suffixes; raw bytes of text to one part of the exchange.
+RUN_BYTES, RUN_SUFFIXES, PART_BYTES = 24 << 20, 90_000, 8 << 20
+#: A task tells the grams that so large a share of its blocks have, at most this many; of all told, so many stay.
+HEAVY_SHARE, HEAVY = 1 / 2000, 4096
+#: Differing strings of one gram whose windows one merge compares, and differing blocks whose fingerprints meet in one group.
+GROUP_STRINGS = 4096
+#: Strings whose levels are compared at once.
+TOGETHER_STRINGS = 3000
 LEAD = 8  # bytes of the gram before each suffix
+#: Stands between what is behind the anchor and what is before it; no byte of UTF-8.
+MARK = b"\xff"
 
 
 def sums_of(data: np.ndarray) -> np.ndarray:
@@ -75,7 +87,7 @@ class Blocks:
         self.sums = sums_of(self.data)
         n = len(self.data) - length + 1
         if n < 1:
-            self.gram, self.start, self.windows, self.text = (np.zeros(0, k) for k in (U, np.int64, np.int64, np.int64))
+            self.gram, self.start, self.windows, self.text, self.grams, self.reach = np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U), length - gram + 1
             return
         grams = mixed((self.sums[gram:] - self.sums[:-gram]) * _tables(len(self.sums))[1][: len(self.data) - gram + 1])
         least = sliding_min(grams, length - gram + 1)
@@ -85,10 +97,12 @@ class Blocks:
         self.start = np.flatnonzero(begins)
         steps = np.concatenate([[0], np.cumsum(inside)])
         self.windows = np.diff(np.concatenate([steps[self.start], [steps[-1]]]))
-        self.gram, self.text = least[self.start], text[self.start]
+        self.gram, self.text, self.grams, self.reach = least[self.start], text[self.start], grams, length - gram + 1
 
-    def keys(self, some: np.ndarray) -> np.ndarray:
-        return hashes(self.sums, self.start[some], self.start[some] + self.windows[some] + self.length - 1)
+    def anchors(self, some: np.ndarray) -> np.ndarray:
+        """Places of the anchors of some blocks: the first of the least grams of each block's first window."""
+        first = self.grams[self.start[some][:, None] + np.arange(self.reach)] == self.gram[some][:, None]
+        return self.start[some] + first.argmax(axis=1)
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[Blocks, np.ndarray]]:
@@ -110,14 +124,49 @@ def text_blocks(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> It
         yield Blocks(run, length, gram), np.array(names, np.int64)
 
 
-def in_table(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    cell = (hashed >> U(64 - TABLE_BITS)).astype(np.int64)
-    return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
+    """Length of the common prefix of a and b, of which ``known`` bytes are equal for sure."""
+    low, high, step = known, min(len(a), len(b)), 16
+    while low < high:
+        stop = min(high, low + step)
+        if a[low:stop] != b[low:stop]:
+            while stop - low > 1:
+                mid = (low + stop) // 2
+                if a[low:mid] == b[low:mid]:
+                    low = mid
+                else:
+                    stop = mid
+            return low
+        low, step = stop, step * 2
+    return low
+
 
+def gram_facts(texts: DataFrame, bits: int, length: int, gram: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Packed bits of the cells of the grams that occur twice, and the heavy grams with their least counts, in one pass."""
+    width = (1 << bits) // TABLE_PARTS
+    names, kinds = ["part", "cells", "gram", "n"], [pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
 
-def bit_table(cells: DataFrame, least: int) -> np.ndarray:
-    """Packed bits of the cells that occur ``least`` times (1 or 2), from (part, cells); its size is fixed by TABLE_BITS."""
-    width = (1 << TABLE_BITS) // TABLE_PARTS
+        def flush() -> Iterator[pa.RecordBatch]:
+            grams, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            heavy = np.flatnonzero(counts >= max(16, HEAVY_SHARE * counts.sum()))  # 1 / HEAVY_SHARE at most
+            found = np.repeat((grams >> U(64 - bits)).astype(np.int64), np.minimum(counts, 2))  # in order; a cell met twice is told twice
+            bounds = np.searchsorted(found, np.arange(TABLE_PARTS + 1) * width)
+            some = np.flatnonzero(np.diff(bounds))
+            cells = [(found[bounds[p] : bounds[p + 1]] - p * width).astype(np.uint32).tobytes() for p in some]
+            columns = [[*some.tolist(), *[None] * len(heavy)], [*cells, *[None] * len(heavy)], [*[None] * len(some), *grams[heavy].view(np.int64).tolist()], [*[None] * len(some), *counts[heavy].tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for blocks, _ in text_blocks(batches, length, gram):
+            waiting.append(blocks.gram)
+            size += len(blocks.gram)
+            if size > 500_000:
+                yield from flush()
+                waiting, size = [], 0
+        if size:
+            yield from flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -127,70 +176,48 @@ def bit_table(cells: DataFrame, least: int) -> np.ndarray:
                 got = np.bincount(np.frombuffer(found.as_buffer(), np.uint32), minlength=width)
                 np.minimum(own + np.minimum(got, 2).astype(np.uint8), 2, out=own)
         for part, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own >= least).tobytes()], pa.binary())], names=["part", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own > 1).tobytes()], pa.binary())], names=["part", "cells"])
 
+    facts = saved(texts.mapInArrow(run, "part int, cells binary, gram long, n long"))
     out = np.zeros((TABLE_PARTS, width // 8), np.uint8)
-    for row in cells.repartition("part").mapInArrow(add, "part int, cells binary").collect():
+    for row in facts.where("part is not null").select("part", "cells").repartition("part").mapInArrow(add, "part int, cells binary").collect():  # 2^bits / 8 bytes
         out[row["part"]] = np.frombuffer(row["cells"], np.uint8)
-    return out.reshape(-1)
+    heavy = facts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(HEAVY).collect()
+    return out.reshape(-1), {x["gram"]: x["n"] for x in heavy}
 
 
-def cell_rows(hashed: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(part, cells) of some hashes; a cell that is met more than twice is told twice."""
-    cells, counts = np.unique((hashed >> U(64 - TABLE_BITS)).astype(np.uint32), return_counts=True)
-    cells = np.sort(np.repeat(cells, np.minimum(counts, 2)))
-    width = (1 << TABLE_BITS) // TABLE_PARTS
-    bounds = np.searchsorted(cells, np.arange(TABLE_PARTS + 1) * width)
-    parts = np.flatnonzero(np.diff(bounds))
-    if len(parts):
-        found = [(cells[bounds[p] : bounds[p + 1]] - U(p * width).astype(np.uint32)).tobytes() for p in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(found, pa.binary())], names=["part", "cells"])
+Runs = tuple[bytes, bytes, bytes, bytes, bytes]
 
 
-def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
-    """Length of the common prefix of a and b, of which ``known`` bytes are equal for sure."""
-    low, high, step = known, min(len(a), len(b)), 16
-    while low < high:
-        stop = min(high, low + step)
-        if a[low:stop] != b[low:stop]:
-            while stop - low > 1:
-                mid = (low + stop) // 2
-                if a[low:mid] == b[low:mid]:
-                    low = mid
-                else:
-                    stop = mid
-            return low
-        low, step = stop, step * 2
-    return low
-
-
-def front_coded(strings: dict[bytes, tuple[int, int]]) -> tuple[bytes, bytes, bytes, bytes, bytes]:
-    """(common prefixes with the string before, lengths of the tails, counts, owners, packed tails) of the strings in order."""
-    prefixes, lengths, counts, owners, tails, before = [], [], [], [], [], b""
+def front_coded(strings: dict[bytes, list[tuple[int, int]]]) -> Runs:
+    """(common prefixes with the string before, lengths of the tails, numbers of occurrences, occurrences, packed tails) of the strings in order."""
+    prefixes, lengths, counts, places, tails, before = [], [], [], [], [], b""
     for s in sorted(strings):
         lcp = common_prefix(before, s)
         prefixes.append(lcp)
         lengths.append(len(s) - lcp)
-        counts.append(strings[s][0])
-        owners.append(strings[s][1])
+        counts.append(len(strings[s]))
+        places += strings[s]
         tails.append(s[lcp:])
         before = s
     as_bytes = lambda x: np.array(x, np.uint32).tobytes()
-    return as_bytes(prefixes), as_bytes(lengths), as_bytes(counts), np.array(owners, np.int64).tobytes(), zstandard.compress(b"".join(tails), 3)
+    return as_bytes(prefixes), as_bytes(lengths), as_bytes(counts), np.array(places, np.int64).tobytes(), zstandard.compress(b"".join(tails), 3)
 
 
-def decoded(run: tuple[bytes, bytes, bytes, bytes, bytes]) -> Iterator[tuple[int, bytes, tuple[int, int]]]:
-    """(common prefix with the string before, string, (count, owner))."""
+def decoded(run: Runs) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(common prefix with the string before, string, occurrences as rows of (text, start))."""
     prefixes, lengths, counts = (np.frombuffer(x, np.uint32).tolist() for x in run[:3])
-    at, before, tails = 0, b"", zstandard.decompress(run[4])
-    for lcp, n, count, owner in zip(prefixes, lengths, counts, np.frombuffer(run[3], np.int64).tolist(), strict=True):
+    places = np.frombuffer(run[3], np.int64).reshape(-1, 2)
+    at, done, before, tails = 0, 0, b"", zstandard.decompress(run[4])
+    for lcp, n, count in zip(prefixes, lengths, counts, strict=True):
         before = before[:lcp] + tails[at : at + n]
         at += n
-        yield lcp, before, (count, owner)
+        yield lcp, before, places[done : done + count]
+        done += count
 
 
-def merged(runs: list) -> Iterator[tuple[int, bytes, tuple[int, int]]]:
-    """Loser tree over front-coded runs: (common prefix with the string before, string, (count, owner)) in order, equal strings apart.
+def merged(runs: list) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Loser tree over front-coded runs: (common prefix with the string before, string, occurrences) in order, equal strings apart.
 
     ``lcps[i]`` is the common prefix of run i's head with the winner that it lost to; a longer one means a smaller head,
     and only heads with equal ones are compared, from there on.
@@ -198,10 +225,10 @@ def merged(runs: list) -> Iterator[tuple[int, bytes, tuple[int, int]]]:
     k = len(runs)
     streams = [decoded(r) for r in runs]
     heads: list[bytes | None] = [None] * k
-    lcps, facts = [0] * k, [(0, 0)] * k
+    lcps, facts = [0] * k, [None] * k
 
     def advance(i: int) -> None:
-        lcps[i], heads[i], facts[i] = next(streams[i], (0, None, (0, 0)))
+        lcps[i], heads[i], facts[i] = next(streams[i], (0, None, None))
 
     def play(i: int, j: int) -> tuple[int, int]:
         a, b = heads[i], heads[j]
@@ -230,105 +257,177 @@ def merged(runs: list) -> Iterator[tuple[int, bytes, tuple[int, int]]]:
             node //= 2
 
 
-def statuses(run: Iterator[tuple[int, bytes, tuple[int, int]]], length: int) -> Iterator[tuple[bytes, int, bool, int]]:
-    """(string, windows that repeat from its start on, whether its gram heads other strings, owner) of the distinct strings for which either holds.
+class Context:
+    """A distinct string of a gram: its two sides of the anchor, the common prefix behind the anchor with the string before, and where it occurs."""
 
-    The owner is the least key of the texts that hold the string.
-    """
+    __slots__ = ("behind", "before", "common", "places")
 
-    def status(s: bytes, count: int, owner: int, near: int) -> tuple[bytes, int, bool, int]:
-        windows = len(s) - LEAD - length + 1
-        return s, windows if count > 1 else max(0, min(windows, near - LEAD - length + 1)), near >= LEAD, owner
-
-    before: tuple[bytes, int, int, int] | None = None  # string, count, owner, common prefix with the one before
-    for lcp, s, (count, owner) in run:
-        if before is not None and lcp == len(s) == len(before[0]):
-            before = (s, before[1] + count, min(before[2], owner), before[3])
-            continue
-        if before is not None:
-            yield status(*before[:3], max(before[3], lcp))
-        before = (s, count, owner, lcp)
-    if before is not None:
-        yield status(*before)
+    def __init__(self, s: bytes, common: int, places: list[np.ndarray]) -> None:
+        mark = s.index(MARK, LEAD)
+        self.behind, self.before, self.common, self.places = s[LEAD:mark], s[mark + 1 :], max(0, common - LEAD), places
 
+    def count(self) -> int:
+        return sum(map(len, self.places))
 
-def release(df: DataFrame) -> DataFrame:
-    """``df`` kept in the checkpoint folder, and what only led to it let go, so that its shuffle files do not wait for the driver's next garbage collection."""
-    df = saved(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
 
-
-def owned(blocks: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    return mixed(blocks ^ mixed(owners.view(U)))
+def by_gram(stream: Iterator[tuple[int, bytes, np.ndarray]]) -> Iterator[tuple[int, list[Context]]]:
+    """The distinct strings of each gram in order."""
+    gram, group, last = None, [], b""
+    for lcp, s, places in stream:
+        if lcp == len(s) == len(last):
+            group[-1].places.append(places)
+            continue
+        last = s
+        if lcp < LEAD or gram is None:
+            if group:
+                yield gram, group
+            gram, group = int.from_bytes(s[:LEAD], "big"), []
+        group.append(Context(s, lcp if group else 0, [places]))
+    if group:
+        yield gram, group
+
+
+def repeated_levels(groups: list[list[Context]], length: int, gram: int) -> np.ndarray:
+    """For the strings of some grams, one after the other, which windows another string has too: a row of flags for each string, by the bytes before the anchor.
+
+    Two strings agree in ``r`` bytes behind the anchor if no neighbours between them, in sorted order, have a shorter common
+    prefix; likewise before it. So the numbers of shorter ones so far name the intervals, and windows with the same pair of
+    intervals are equal.
+    """
+    every = [c for g in groups for c in g]
+    n, levels = len(every), np.arange(length - gram + 1)
+    group_of = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    behind = np.array([len(c.behind) for c in every])
+    before = np.array([len(c.before) for c in every])
+    common = np.array([c.common for c in every])  # 0 for the first of a gram
+    order = sorted(range(n), key=lambda i: (group_of[i], every[i].before))
+    left = np.zeros(n, np.int64)
+    for at in range(1, n):
+        i, j = order[at - 1], order[at]
+        left[at] = common_prefix(every[i].before, every[j].before) if group_of[i] == group_of[j] else -1
+    left[0] = -1
+    right_of = np.cumsum(common[:, None] < length - levels, axis=0, dtype=np.int32)
+    left_of = np.empty_like(right_of)
+    left_of[order] = np.cumsum(left[:, None] < levels, axis=0, dtype=np.int32)
+    real = (before[:, None] >= levels) & (behind[:, None] >= length - levels)
+    row, level = np.nonzero(real)
+    name = (right_of[row, level].astype(np.int64) * (n + 1) + left_of[row, level]) * len(levels) + level
+    _, at, counts = np.unique(name, return_inverse=True, return_counts=True)
+    out = np.zeros(real.shape, bool)
+    out[row, level] = counts[at] > 1
+    return out
 
 
-def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """tkey, starts, stops: the maximal runs of bytes to remove from each text that has some, whole copies apart."""
+def removed_runs(texts: DataFrame, total: int, length: int, gram: int) -> DataFrame:
+    """tkey, starts, stops: the maximal runs of bytes to remove from each text that has some, whole copies apart; ``total``: bytes of the distinct texts."""
     context, spark = texts.sparkSession.sparkContext, texts.sparkSession
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
-        for blocks, _ in text_blocks(batches, length, gram):
-            waiting.append(blocks.gram)
-            size += len(blocks.gram)
-            if size > 1_000_000:
-                yield from cell_rows(np.concatenate(waiting))
-                waiting, size = [], 0
-        if waiting:
-            yield from cell_rows(np.concatenate(waiting))
-
-    twice = context.broadcast(bit_table(texts.mapInArrow(grams, "part int, cells binary"), 2))
-    n_parts = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bits = min(TABLE_BITS, max(16, (CELLS_PER_BLOCK * 2 * (total // (length - gram + 2))).bit_length()))
+    table, heavy_counts = gram_facts(texts, bits, length, gram)
+    twice, heavy = context.broadcast(table), context.broadcast({g & (2**64 - 1): n for g, n in heavy_counts.items()})
+    n_parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, run, size = twice.value, {}, 0
+        table, often, run, size = twice.value, heavy.value, {}, 0
 
         def flush() -> pa.RecordBatch:
-            by_part: dict[int, dict[bytes, tuple[int, int]]] = {}
-            for s, fact in run.items():
-                by_part.setdefault(int.from_bytes(s[4:LEAD], "big") % n_parts, {})[s] = fact
+            by_part: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+            for s, places in run.items():
+                g = int.from_bytes(s[:LEAD], "big")
+                by_part.setdefault((zlib.crc32(s) if g in often else g & 0xFFFFFFFF) % n_parts, {})[s] = places
             columns = list(zip(*((part, *front_coded(x)) for part, x in by_part.items()), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "prefixes", "lengths", "counts", "owners", "tails"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "prefixes", "lengths", "counts", "places", "tails"])
 
         for blocks, names in text_blocks(batches, length, gram):
-            some = np.flatnonzero(in_table(bits, blocks.gram))
-            for g, a, w, t in zip(blocks.gram[some].tolist(), blocks.start[some].tolist(), blocks.windows[some].tolist(), names[blocks.text[some]].tolist(), strict=True):
-                s = g.to_bytes(LEAD, "big") + blocks.bytes[a : a + w + length - 1]
-                count, owner = run.get(s, (0, t))
-                run[s] = (count + 1, min(owner, t))
-                size += len(s)
+            some = np.flatnonzero(in_bits(table, bits, blocks.gram))
+            text = blocks.text[some]
+            facts = (blocks.gram[some], blocks.start[some], blocks.anchors(some), blocks.windows[some], names[text], blocks.start[some] - blocks.offsets[text])
+            for g, a, m, w, t, place in zip(*(x.tolist() for x in facts), strict=True):
+                s = g.to_bytes(LEAD, "big") + blocks.bytes[m : a + w + length - 1] + MARK + blocks.bytes[a:m][::-1]
+                if s in run:
+                    run[s].append((t, place))
+                else:
+                    run[s] = [(t, place)]
+                    size += len(s)
                 if size > RUN_BYTES or len(run) >= RUN_SUFFIXES:
                     yield flush()
                     run, size = {}, 0
         if run:
             yield flush()
 
+    found_names = ["tkeys", "starts", "stops", "gram", "deal", "hashes", "places"]
+    found_kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    found_schema = "tkeys binary, starts binary, stops binary, gram long, deal int, hashes binary, places binary"
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "block", "done", "mixed", "owner"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
+        """Intervals to remove, and fingerprints of the windows of grams with many strings."""
+        often = heavy.value
+        tkeys: list[np.ndarray] = []
+        starts: list[np.ndarray] = []
+        stops: list[np.ndarray] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            if tkeys:
+                row = [[np.concatenate(x).tobytes()] for x in (tkeys, starts, stops)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*row, [None], [None], [None], [None]], found_kinds, strict=True)], names=found_names)
+                for x in (tkeys, starts, stops):
+                    x.clear()
+
+        def take(c: Context, first: int, last: int) -> None:
+            """The windows from first to last bytes before the anchor repeat, wherever the string occurs."""
+            for places in c.places:
+                at = places[:, 1] + len(c.before)
+                tkeys.append(places[:, 0])
+                starts.append(at - first)
+                stops.append(at - last + length)
+
+        def compare(groups: list[list[Context]]) -> None:
+            every = [c for g in groups for c in g]
+            flags = np.pad(repeated_levels(groups, length, gram), ((0, 0), (1, 1)))
+            edges = np.diff(flags.astype(np.int8), axis=1)
+            for i, last, first in zip(*np.nonzero(edges == 1), np.nonzero(edges == -1)[1] - 1, strict=True):
+                if every[i].count() == 1:
+                    take(every[i], int(first), int(last))
+
+        def dealt(g: int, group: list[Context]) -> Iterator[pa.RecordBatch]:
+            """The fingerprints of a gram with many strings, each window to one of so many groups that none is large."""
+            n = max(1, -(-max(len(group), often.get(g, 0)) // GROUP_STRINGS))
+            signed = int(np.array([g], U).view(np.int64)[0])
+            rows: list[tuple] = []
+            for low in range(0, len(group), 512):
+                some = group[low : low + 512]
+                whole = [c.before[::-1] + c.behind for c in some]
+                sums, at = sums_of(np.frombuffer(b"".join(whole), np.uint8)), 0
+                for c, w in zip(some, whole, strict=True):
+                    start = at + np.arange(len(w) - length + 1)
+                    at += len(w)
+                    own = hashes(sums, start, start + length)
+                    tkey, place = c.places[0][0].tolist()
+                    deal = (mixed(own) % U(n)).astype(np.int32)
+                    for k in np.unique(deal).tolist():
+                        mine = np.flatnonzero(deal == k).astype(np.int32)
+                        rows.append((np.int64(tkey).tobytes(), np.int64(place).tobytes(), None, signed, k, own[mine].tobytes(), mine.tobytes()))
+            for low in range(0, len(rows), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[low : low + 2000], strict=True), found_kinds, strict=True)], names=found_names)
 
         def finish(runs: list) -> Iterator[pa.RecordBatch]:
-            out, size = [], 0
-
-            def pack() -> pa.RecordBatch:
-                strings, *facts = zip(*out, strict=True)
-                ends = np.cumsum([len(s) for s in strings])
-                starts = np.concatenate([[0], ends[:-1]]) + LEAD
-                keys = hashes(sums_of(np.frombuffer(b"".join(strings), np.uint8)), starts, ends)
-                first = np.array([int.from_bytes(s[:LEAD], "big") for s in strings], U)
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((first.view(np.int64), keys.view(np.int64), *facts), kinds, strict=True)], names=names)
-
-            for s, done, other, owner in statuses(merged(runs), length):
-                if done or other:
-                    out.append((s, done, other, owner))
-                    size += len(s)
-                    if size > TOGETHER:
-                        yield pack()
-                        out, size = [], 0
-            if out:
-                yield pack()
+            waiting, size = [], 0
+            for g, group in by_gram(merged(runs)):
+                for c in group:
+                    if c.count() > 1:
+                        take(c, len(c.before), length - len(c.behind))
+                if g in often or len(group) > GROUP_STRINGS:
+                    yield from dealt(g, group)
+                elif len(group) > 1:
+                    waiting.append(group)
+                    size += len(group)
+                    if size > TOGETHER_STRINGS:
+                        compare(waiting)
+                        waiting, size = [], 0
+                if len(tkeys) > 20_000:
+                    yield from packed()
+            if waiting:
+                compare(waiting)
+            yield from packed()
 
         part, runs = None, []
         for batch in batches:
@@ -341,59 +440,13 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
         if runs:
             yield from finish(runs)
 
-    run_schema = "part int, prefixes binary, lengths binary, counts binary, owners binary, tails binary"
-    status_schema = "gram long, block long, done int, mixed boolean, owner long"
-    status = release(texts.mapInArrow(sorted_runs, run_schema).repartition("part").sortWithinPartitions("part").mapInArrow(merge, status_schema))
+    run_schema = "part int, prefixes binary, lengths binary, counts binary, places binary, tails binary"
+    found = saved(texts.mapInArrow(sorted_runs, run_schema).repartition("part").sortWithinPartitions("part").mapInArrow(merge, found_schema))
 
-    def mixed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from cell_rows(owned(batch.column("block").to_numpy().view(U), batch.column("owner").to_numpy()))
-
-    several = context.broadcast(bit_table(status.where("mixed").select("block", "owner").mapInArrow(mixed_cells, "part int, cells binary"), 1))
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks, names in text_blocks(batches, length, gram):
-            some = np.flatnonzero(in_table(twice.value, blocks.gram))
-            text = blocks.text[some]
-            columns = [blocks.gram[some].view(np.int64), blocks.keys(some).view(np.int64), names[text], blocks.start[some] - blocks.offsets[text]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "block", "tkey", "start"])
-
-    loads = count_table(status.where("mixed").select("gram"), lambda batch: iter([mixed(batch.column("gram").to_numpy().view(U))]), COUNT_BITS)
-    deals = context.broadcast(np.minimum(-(-loads.astype(np.int64) // GROUP_BLOCKS), 2**15 - 1).astype(np.int16))
-    window_names = ["gram", "deal", "tkey", "start", "hashes", "places"]
-    window_kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block, with the fingerprints of its windows; more rows, each with its windows' places, for grams with many blocks."""
-        seen: set[int] = set()
-        for blocks, names in text_blocks(batches, length, gram):
-            some = np.flatnonzero(in_table(twice.value, blocks.gram))
-            keys = blocks.keys(some)
-            new = in_table(several.value, owned(keys, names[blocks.text[some]]))
-            for i in np.flatnonzero(new):  # a block that is met elsewhere repeats whole, which is known; its owner stands for it
-                new[i] = int(keys[i]) not in seen
-                seen.add(int(keys[i]))
-            some = some[new]
-            if not len(some):
-                continue
-            count = blocks.windows[some]
-            ends = np.cumsum(count)
-            start = np.repeat(blocks.start[some] - (ends - count), count) + np.arange(ends[-1])
-            prints = hashes(blocks.sums, start, start + length)
-            parts = deals.value[(mixed(blocks.gram[some]) >> U(64 - COUNT_BITS)).astype(np.int64)]
-            columns: list[list] = [[] for _ in window_names]
-            facts = zip(blocks.gram[some].view(np.int64).tolist(), names[blocks.text[some]].tolist(), (blocks.start[some] - blocks.offsets[blocks.text[some]]).tolist(), (ends - count).tolist(), ends.tolist(), parts.tolist(), strict=True)
-            for g, tkey, at, low, high, n in facts:
-                own = prints[low:high]
-                if n <= 1:
-                    rows = [(g, 0, tkey, at, own.tobytes(), None)]
-                else:
-                    dealt = (own % U(n)).astype(np.int32)
-                    rows = [(g, int(k), tkey, at, own[dealt == k].tobytes(), np.flatnonzero(dealt == k).astype(np.int32).tobytes()) for k in np.unique(dealt)]
-                for row in rows:
-                    for column, v in zip(columns, row, strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, window_kinds, strict=True)], names=window_names)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in row], names=["tkey", "start", "stop"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of windows that another block of the gram has too; the windows of one block differ from each other."""
@@ -408,12 +461,12 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             if not len(twice_met):
                 return
             for (tkey, start, _, places), own in zip(held, every, strict=True):
-                found = np.flatnonzero(twice_met[np.minimum(np.searchsorted(twice_met, own), len(twice_met) - 1)] == own)
-                if len(found):
-                    at = found if places is None else np.frombuffer(places, np.int32)[found]
+                hit = np.flatnonzero(twice_met[np.minimum(np.searchsorted(twice_met, own), len(twice_met) - 1)] == own)
+                if len(hit):
+                    at = np.frombuffer(places, np.int32)[hit]
                     breaks = np.flatnonzero(np.diff(at) > 1)
                     for low, high in zip(at[np.concatenate([[0], breaks + 1])].tolist(), at[np.concatenate([breaks, [len(at) - 1]])].tolist(), strict=True):
-                        out.append((tkey, start + low, start + high + length))
+                        out.append((int.from_bytes(tkey, "little", signed=True), int.from_bytes(start, "little") + low, int.from_bytes(start, "little") + high + length))
 
         def pack(out: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
             if out:
@@ -432,10 +485,9 @@ def removed_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
         yield from pack(out)
 
     fields = "tkey long, start long, stop long"
-    found = texts.mapInArrow(occurrences, "gram long, block long, tkey long, start long").join(status.where("done > 0").select("gram", "block", "done"), ["gram", "block"])
-    found = found.select("tkey", "start", (F.col("start") + F.col("done") + length - 1).alias("stop"))
-    inner = texts.mapInArrow(windows, "gram long, deal int, tkey long, start long, hashes binary, places binary").repartition("gram", "deal").sortWithinPartitions("gram", "deal")
-    every = found.unionByName(inner.mapInArrow(repeated, fields))
+    told = found.where("deal is null").select("tkeys", "starts", "stops").mapInArrow(unpacked, fields)
+    many = found.where("deal is not null").select("gram", "deal", "tkeys", "starts", "hashes", "places").repartition("gram", "deal").sortWithinPartitions("gram", "deal")
+    every = told.unionByName(many.mapInArrow(repeated, fields))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, starts, stops = None, [], []
@@ -466,20 +518,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     context = docs.sparkSession.sparkContext
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("tkey"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
-    copies = texts.where(F.col("n") >= length).groupBy("tkey", "n").agg(F.count("*").alias("rows")).where("rows > 1").select("tkey", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("stops"))
-    copies = saved(copies)
-    runs = release(removed_runs(texts.select("tkey", "n", "text"), length, gram).join(copies.select("tkey"), "tkey", "left_anti"))
-
-    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from cell_rows(mixed(batch.column(0).to_numpy().view(U)))
-
-    bits = context.broadcast(bit_table(runs.select("tkey").mapInArrow(touched, "part int, cells binary"), 1))
+    distinct = saved(texts.where(F.col("n") >= length).groupBy("tkey", "n").agg(F.count("*").alias("rows")))
+    copies = distinct.where("rows > 1").select("tkey", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("stops"))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    runs = saved(removed_runs(texts.select("tkey", "n", "text"), total, length, gram).join(copies.select("tkey"), "tkey", "left_anti"))
+    width = bits_for(runs.count())
+    bits = context.broadcast(bit_table(runs.select("tkey"), width))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that may lose bytes go on; the others' digests are made here."""
         for batch in batches:
-            keep = in_table(bits.value, mixed(batch.column("tkey").to_numpy().view(U)))
+            keep = in_bits(bits.value, width, mixed(batch.column("tkey").to_numpy().view(U)))
             column = batch.column("text")
             own = [None if k else hashlib.sha256(t.as_buffer() or b"").hexdigest() for k, t in zip(keep, column, strict=True)]
             some = pa.array([t.as_buffer().to_pybytes() if k else None for k, t in zip(keep, column, strict=True)], pa.binary())

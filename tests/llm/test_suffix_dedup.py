@@ -34,10 +34,11 @@ def corpus(seed, n, letters):
     return rows + [(900, None), (901, ""), (902, "ab" * 60), (903, "ab" * 60), (904, "x" * 90), (None, "y" * 200), (905, "y" * 20)]
 
 
-@pytest.mark.parametrize(("seed", "letters"), [(1, "abcdefghijklmnopqrstuvwxyz é"), (2, "abc"), (3, "ab")])
-def test_equals_brute_force(spark, seed, letters, monkeypatch):
+@pytest.mark.parametrize(("seed", "letters", "most"), [(1, "abcdefghijklmnopqrstuvwxyz é", 3), (2, "abc", 3), (3, "ab", 3), (1, "abcdefghijklmnopqrstuvwxyz é", 4096), (2, "abc", 4096), (3, "ab", 9)])
+def test_equals_brute_force(spark, seed, letters, most, monkeypatch):
     monkeypatch.setattr(s, "RUN_SUFFIXES", 50)
-    monkeypatch.setattr(s, "GROUP_BLOCKS", 3)
+    monkeypatch.setattr(s, "GROUP_STRINGS", most)
+    monkeypatch.setattr(s, "TOGETHER_STRINGS", 40)
     rows = corpus(seed, 60, letters)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n long").repartition(3)
     got = s.summary(s.remove_repeats(df, length=20, gram=6))
@@ -56,7 +57,7 @@ def test_production_length(spark):
 
 def test_merge_keeps_order_and_prefixes():
     rng = random.Random(3)
-    runs = [{bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))): (rng.randint(1, 3), rng.randint(0, 9)) for _ in range(rng.randint(1, 30))} for _ in range(7)]
+    runs = [{bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))): [(rng.randint(-9, 9), rng.randint(0, 9)) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 30))} for _ in range(7)]
     got, before = list(s.merged([s.front_coded(r) for r in runs])), b""
     assert [x for _, x, _ in got] == sorted(x for r in runs for x in r)
     for lcp, x, _ in got:
