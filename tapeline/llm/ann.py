@@ -1,18 +1,21 @@
-"""Approximate nearest neighbours by stable random projections and kd-trees.
+"""Approximate nearest neighbours by stable random projections and a kd-tree.
 
 Vectors are projected to ``M`` Gaussian (2-stable) dimensions, where the ratio of a projected squared distance to the
-true one is chi-square distributed with ``M`` degrees of freedom. Blocks of candidates are indexed by a kd-tree over the
-projections. A query takes leaves in the order of their projected distance, verifies their vectors exactly, and stops
-when the chance that an unseen vector beats its k-th best so far is under ``1 - confidence``.
+true one is chi-square distributed with ``M`` degrees of freedom. One kd-tree over the projections holds every vector: its
+upper splits come from a sample of at most ``SAMPLE_ROWS`` rows and deal all rows to cells of about ``CELL_ROWS``; below, each
+cell has leaves of ``LEAF`` rows. A query goes to the nearest cell first and carries its k-th best score from cell to cell:
+next it visits up to ``NEXT_CELLS`` of the nearest cells, then all the others. Cells and leaves are taken in the order of their projected
+distance and verified exactly; a query leaves out all those for which the chi-square test holds, that is, the
+chance that one of their vectors beats its k-th best so far is under ``1 - confidence``.
 
 Largest inner product is turned into least distance by one more dimension that lifts all candidates to one norm.
 Equal vectors are indexed once, with their k + 1 smallest ids, found by a window whose limit Spark applies before the
-shuffle; so a vector that fills a third of the table costs one entry.
+shuffle; so a vector that fills a third of the table costs one entry. Equal query vectors are searched once.
 
-Queries meet candidates in a grid of (candidate block, query chunk), both of bounded size; this is a stated query set
-against all rows. Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor
-do rows with null id or another dimension than the first (smallest id) row's; repeated ids count as one candidate each
-row with distinct vector; an empty table gives no rows; other columns are ignored.
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with null
+id or another dimension than the first (smallest id) row's; a repeated id is one candidate with the best of its vectors, and one query whose
+candidates are those of all its vectors; ties go to the smaller id; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,16 +23,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.session import saved
 
 M = 8
-LEAF = 48
-BLOCK_ROWS = 16_384
-CHUNK_ROWS = 1024
+LEAF = 256
+CELL_ROWS = 4096
+SAMPLE_ROWS = 20_000
+NEXT_CELLS = 6
+#: Queries that one cell handles at a time.
+CHUNK_ROWS = 2048
 
 
 def chi_square_cdf(x: np.ndarray, dims: int = M) -> np.ndarray:
@@ -41,12 +47,12 @@ def chi_square_cdf(x: np.ndarray, dims: int = M) -> np.ndarray:
     return 1 - np.exp(-half) * total
 
 
-def kd_leaves(points: np.ndarray) -> list[np.ndarray]:
+def kd_leaves(points: np.ndarray, size: int = LEAF) -> list[np.ndarray]:
     """Row numbers of the leaves of a kd-tree that halves the widest dimension."""
     stack, leaves = [np.arange(len(points))], []
     while stack:
         rows = stack.pop()
-        if len(rows) <= LEAF:
+        if len(rows) <= size:
             leaves.append(rows)
             continue
         part = points[rows]
@@ -56,53 +62,94 @@ def kd_leaves(points: np.ndarray) -> list[np.ndarray]:
     return leaves
 
 
-def search(vectors: np.ndarray, queries: np.ndarray, top_norm: float, k: int, confidence: float, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each query the rows found and their inner products, at least k of the best (all, if fewer)."""
-    planes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, M))
-    squares = np.einsum("ij,ij->i", vectors, vectors)
-    lift = np.sqrt(np.maximum(top_norm**2 - squares, 0))
-    projected = np.hstack([vectors, lift[:, None]]) @ planes
+#: A tree of splits: (axis, value, left, right), or the number of a cell.
+Splits = tuple | int
+
+
+def kd_splits(points: np.ndarray, n_cells: int) -> Splits:
+    """Splits of a sample at medians of the widest dimension into ``n_cells`` cells at most."""
+    count = 0
+
+    def build(rows: np.ndarray, cells: int) -> Splits:
+        nonlocal count
+        if cells > 1 and len(rows) > 1:
+            part = points[rows]
+            axis = int(np.argmax(part.max(0) - part.min(0)))
+            value = float(np.quantile(part[:, axis], (cells // 2) / cells))
+            low = part[:, axis] < value
+            if low.any() and not low.all():
+                return axis, value, build(rows[low], cells // 2), build(rows[~low], cells - cells // 2)
+        count += 1
+        return count - 1
+
+    return build(np.arange(len(points)), n_cells)
+
+
+def cells_of(points: np.ndarray, splits: Splits) -> np.ndarray:
+    out, stack = np.zeros(len(points), np.int32), [(np.arange(len(points)), splits)]
+    while stack:
+        rows, node = stack.pop()
+        if isinstance(node, int):
+            out[rows] = node
+        else:
+            axis, value, left, right = node
+            low = points[rows, axis] < value
+            stack += [(rows[low], left), (rows[~low], right)]
+    return out
+
+
+def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of all points to all boxes."""
+    out = np.zeros((len(points), len(low)))
+    for d in range(points.shape[1]):
+        gap = np.maximum(np.maximum(low[:, d] - points[:, d, None], points[:, d, None] - high[:, d]), 0)
+        out += gap**2
+    return out
+
+
+def may_hold(bound: np.ndarray, norms: np.ndarray, kth: np.ndarray, confidence: float) -> np.ndarray:
+    """Whether the stopping test does not hold yet, at squared projected distance ``bound`` and k-th best score ``kth``; ``norms``: squared norm of the query plus that of all candidates."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        reach = np.maximum(norms - 2 * kth, 0)
+        ratio = np.where(reach > 0, bound / reach, np.where(bound > 0, np.inf, 0.0))
+    return ~np.isfinite(kth) | (chi_square_cdf(np.minimum(ratio, 1e6)) < confidence)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def search(vectors: np.ndarray, projected: np.ndarray, queries: np.ndarray, own: np.ndarray, kth: np.ndarray, norms: np.ndarray, k: int, confidence: float) -> list[np.ndarray]:
+    """For each query the rows of a cell that belong to its k best (ties too), given the k-th best score from elsewhere."""
     leaves = kd_leaves(projected)
-    low = np.array([projected[x].min(0) for x in leaves])
-    high = np.array([projected[x].max(0) for x in leaves])
-    width = max(map(len, leaves))
-    rows_of = np.array([np.resize(x, width) for x in leaves])
-    real = np.array([np.arange(width) < len(x) for x in leaves])
-    own = queries @ planes[:-1]
-    bound = np.zeros((len(queries), len(leaves)))
-    for d in range(M):
-        gap = np.maximum(np.maximum(low[:, d] - own[:, d, None], own[:, d, None] - high[:, d]), 0)
-        bound += gap**2
+    bound = box_distances(own, np.array([projected[x].min(0) for x in leaves]), np.array([projected[x].max(0) for x in leaves]))
     order = np.argsort(bound, axis=1, kind="stable")
-    norms = np.einsum("ij,ij->i", queries, queries) + top_norm**2
     best = np.full((len(queries), k), -np.inf)
-    taken_rows: list[list[np.ndarray]] = [[] for _ in queries]
-    taken_scores: list[list[np.ndarray]] = [[] for _ in queries]
-    active = np.arange(len(queries))
+    taken: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in queries]
+    active, kth = np.arange(len(queries)), kth.copy()
     for step in range(len(leaves)):
         leaf = order[active, step]
-        if step:
-            kth = np.maximum(norms[active] - 2 * best[active, 0], 0)
-            tau = bound[active, leaf]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = np.where(kth > 0, tau / np.where(kth > 0, kth, 1), np.where(tau > 0, np.inf, 0.0))
-            active = active[~((best[active, 0] > -np.inf) & (chi_square_cdf(np.minimum(ratio, 1e6)) >= confidence))]
-            if not len(active):
-                break
-            leaf = order[active, step]
-        for at in range(0, len(active), 128):
-            some, lf = active[at : at + 128], leaf[at : at + 128]
-            rows = rows_of[lf]
-            scores = np.where(real[lf], np.einsum("qrd,qd->qr", vectors[rows], queries[some]), -np.inf)
-            for i, q in enumerate(some):
-                keep = scores[i] >= best[q, 0]
-                keep &= real[lf[i]]
-                if keep.any():
-                    taken_rows[q].append(rows[i][keep])
-                    taken_scores[q].append(scores[i][keep])
-            best[some] = np.sort(np.hstack([best[some], scores]), axis=1)[:, -k:]
-    join = lambda parts, kind: [np.concatenate(x) if x else np.array([], kind) for x in parts]
-    return join(taken_rows, np.int64), join(taken_scores, np.float64)
+        on = may_hold(bound[active, leaf], norms[active], kth[active], confidence)
+        active, leaf = active[on], leaf[on]
+        if not len(active):
+            break
+        for one in np.unique(leaf):
+            some, rows = active[leaf == one], leaves[one]
+            scores = queries[some] @ vectors[rows].T
+            near = scores >= kth[some, None] - 1e-9 * np.abs(kth[some, None]) if np.isfinite(kth[some]).all() else scores > -np.inf
+            hit = np.flatnonzero(near.any(axis=1))
+            for i in hit:
+                taken[some[i]].append((rows[near[i]], scores[i, near[i]]))
+            if len(hit):
+                both = np.hstack([best[some[hit]], scores[hit]])
+                best[some[hit]] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                kth[some[hit]] = np.maximum(kth[some[hit]], best[some[hit]].min(axis=1))
+    out = []
+    for q, parts in enumerate(taken):
+        rows, scores = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+        out.append(rows[scores >= kth[q] - 1e-9 * abs(kth[q])] if np.isfinite(kth[q]) else rows)
+    return out
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -115,35 +162,93 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, k: int = 20, divisor: int = 20, confidence: float = 0.97, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``divisor``."""
+    spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     facts = rows.agg(F.count("*").alias("n"), F.min_by(F.size("v"), "vec_id").alias("dims"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).first()
-    out = "query_id long, vec_id long, score double"
     if not facts.n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == facts.dims)
+    top = facts.norm * (1 + 1e-9)
+    planes = np.random.default_rng(seed).standard_normal((facts.dims + 1, M))
+
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     distinct = saved(rows.withColumn("n", first).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")))
-    queries = rows.where(F.col("vec_id") % divisor == 0).dropDuplicates()
-    n_blocks = max(1, -(-distinct.count() // BLOCK_ROWS))
-    n_chunks = max(1, -(-queries.count() // CHUNK_ROWS))
-    spread = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    left = distinct.select(F.pmod(F.xxhash64("v"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(spread(n_chunks)).alias("chunk"), "v", "ids")
-    right = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).cast("int").alias("chunk"), F.explode(spread(n_blocks)).alias("block"), "v", "vec_id")
-    top_norm = facts.norm * (1 + 1e-9)
-
-    def cell(cands: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
-        if len(cands) and len(asked):
-            cands = cands.assign(first=[x[0] for x in cands["ids"]]).sort_values("first", kind="stable")
-            data, ask = np.array(cands["v"].tolist(), dtype=np.float64), np.array(asked["v"].tolist(), dtype=np.float64)
-            ids = cands["ids"].to_numpy()
-            for q, got, scores in zip(asked["vec_id"].to_numpy(), *search(data, ask, top_norm, k + 1, confidence, seed), strict=True):
-                cut = np.sort(scores)[-(k + 1)] if len(scores) > k + 1 else -np.inf
-                pairs = [(-s, v) for r, s in zip(got[scores >= cut], scores[scores >= cut], strict=True) for v in ids[r] if v != q]
-                pairs = sorted(set(pairs))[:k]
-                found.append(pd.DataFrame({"query_id": q, "vec_id": [v for _, v in pairs], "score": [-s for s, _ in pairs]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    cells = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(cell, out)
+    asked = rows.where(F.col("vec_id") % divisor == 0).dropDuplicates()
+    asked = saved(asked.withColumn("query", F.xxhash64("v")))
+
+    def projection(x: np.ndarray) -> np.ndarray:
+        lift = np.sqrt(np.maximum(top**2 - np.einsum("ij,ij->i", x, x), 0))
+        return np.hstack([x, lift[:, None]]) @ planes
+
+    # the sample: the rows of the least hashes
+    n = distinct.count()
+    sample = distinct.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE_ROWS).toArrow()
+    splits = kd_splits(projection(matrix(sample.column("v"))), max(1, min(-(-n // CELL_ROWS), SAMPLE_ROWS // 8)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = projection(matrix(batch.column("v"))) if batch.num_rows else np.zeros((0, M))
+            yield pa.RecordBatch.from_arrays([pa.array(cells_of(p, splits)), batch.column("v"), batch.column("ids"), pa.FixedSizeListArray.from_arrays(p.reshape(-1), M).cast(pa.list_(pa.float64()))], names=["cell", "v", "ids", "p"])
+
+    index = saved(distinct.mapInArrow(place, "cell int, v array<double>, ids array<long>, p array<double>"))
+    corner = [f(F.col("p")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(M)]
+    boxes = index.groupBy("cell").agg(*corner).orderBy("cell").collect()  # 2 * M numbers a cell, at most SAMPLE_ROWS // 8 cells
+    names = np.array([b.cell for b in boxes])
+    low, high = (np.array([[b[f"{x}{i}"] for i in range(M)] for b in boxes]) for x in ("low", "high"))
+
+    def visits(start: int, stop: int, last: int):
+        """Rows (cell, query, v, kth) of the start-th to the stop-th nearest cells of each query, as long as the test does not hold."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                q, kth = matrix(batch.column("v")), batch.column("kth").to_numpy(zero_copy_only=False)
+                bound = box_distances(q @ planes[:-1], low, high)
+                order = np.argsort(bound, axis=1, kind="stable")[:, start:stop]
+                on = may_hold(np.take_along_axis(bound, order, 1), (np.einsum("ij,ij->i", q, q) + top**2)[:, None], kth[:, None], confidence)
+                row, at = np.nonzero(on)
+                some = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(names[order[row, at]].astype(np.int32)), some.column("query"), some.column("v"), some.column("kth")], names=["cell", "query", "v", "kth"])
+
+        return run
+
+    found_kind = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def look(cell: pa.Table, asking: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(cell) and len(asking):
+            data, p, ids = matrix(cell.column("v")), matrix(cell.column("p")), cell.column("ids").to_pylist()
+            for at in range(0, len(asking), CHUNK_ROWS):
+                some = asking.slice(at, CHUNK_ROWS)
+                q, kth = matrix(some.column("v")), some.column("kth").to_numpy()
+                norms = np.einsum("ij,ij->i", q, q) + top**2
+                for name, x, got in zip(some.column("query").to_pylist(), q, search(data, p, q, q @ planes[:-1], kth, norms, k + 1, confidence), strict=True):
+                    if len(got):
+                        exact = (data[got] * x).sum(axis=1)
+                        whose = np.concatenate([ids[i] for i in got]).astype(np.int64)
+                        score = np.repeat(exact, [len(ids[i]) for i in got])
+                        kept = np.lexsort((whose, -score))[: k + 1]
+                        out.append((np.full(len(kept), name), whose[kept], score[kept]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, found_kind.types, strict=True)], schema=found_kind)
+
+    def visited(queries: DataFrame, start: int, stop: int) -> DataFrame:
+        rows = queries.mapInArrow(visits(start, stop, len(names)), "cell int, query long, v array<double>, kth double")
+        return index.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(look, "query long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+        return saved(found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", rank).where(F.col("n") <= k + 1))
+
+    queries = saved(asked.groupBy("query", "v").agg(F.lit(float("-inf")).alias("kth")))
+    found = best(visited(queries, 0, 1))
+    for start, stop in ((1, 1 + NEXT_CELLS), (1 + NEXT_CELLS, len(names))):
+        if start < len(names):
+            kth = found.groupBy("query").agg(F.max(F.when(F.col("n") == k + 1, F.col("score"))).alias("known"))
+            queries = queries.join(kth, "query", "left").select("query", "v", F.coalesce("known", "kth").alias("kth"))
+            found = best(found.drop("n").unionByName(visited(queries, start, stop)))
+    members = asked.select("query", F.col("vec_id").alias("query_id")).join(found.select("query", "vec_id", "score"), "query").where("vec_id <> query_id")
+    members = members.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return cells.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return members.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
