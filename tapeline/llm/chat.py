@@ -3,12 +3,15 @@ r"""Chat formatting: typed content parts to one training text, reversibly, with
 A visitor flattens the parts of a turn (text, image, audio, document) into text with ordered placeholders, records the
 attachments, and adds up expanded token counts. A turn is written as ``<s>role\n`` + body + ``</s>``, where the body of
 a user turn stands in ``[INST]`` and ``[/INST]``. Control strings and backslashes inside roles and texts get a backslash
-before them, so the output can be parsed back.
+before them, so the output can be parsed back. Beside it goes the loss mask: the spans of the formatted text (code
+points, end exclusive) that are trained on, the bodies of assistant turns. What is read back is cut out by that mask.
 
 Conversations are dealt by id and sorted by turn; a task folds the turns of a conversation as they stream by and keeps
 only running digests, so a conversation of any length needs constant memory. Defined results: null text or role counts as empty;
 null conversation ids form one conversation; turns that tie are ordered by role and text, and repeated rows are separate
-turns; null turns come first; an empty table gives no rows; other columns are ignored.
+turns; null turns come first; a part of another type becomes the placeholder ``<|other|>`` and an attachment of kind
+``other`` that expands to no tokens, unless it says so; a null part is an empty text; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 BEGIN, END, INST, INST_END = "<s>", "</s>", "[INST]", "[/INST]"
 # The strings with a meaning in the template.
-CONTROL = re.compile(r"\\|</?s>|\[/?INST\]|<\|(?:image|audio|document)\|>|\n")
+CONTROL = re.compile(r"\\|</?s>|\[/?INST\]|<\|(?:image|audio|document|other)\|>|\n")
+TRAINED = "assistant"
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -42,13 +46,13 @@ class PartVisitor:
     """Flattens typed parts in order; ``text`` parts are escaped, others become placeholders."""
 
     #: Tokens that one attachment expands to, where the part does not say.
-    expands: dict[str, int] = field(default_factory=lambda: {"image": 576, "audio": 750, "document": 1024})
+    expands: dict[str, int] = field(default_factory=lambda: {"image": 576, "audio": 750, "document": 1024, "other": 0})
     pieces: list[str] = field(default_factory=list)
     attachments: list[tuple[int, str, str]] = field(default_factory=list)
     tokens: int = 0
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
+        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         text = part.get("text") or ""
@@ -69,14 +73,15 @@ class PartVisitor:
     def visit_document(self, part: dict) -> None:
         self._attach("document", part)
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown part type {part.get('type')!r}")
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part)
 
 
-def write_turn(role: str, body: str) -> str:
-    """``body`` is escaped already."""
+def write_turn(role: str, body: str) -> tuple[str, list[tuple[int, int]]]:
+    """The formatted turn and its loss mask; ``body`` is escaped already."""
     inner = INST + body + INST_END if role == "user" else body
-    return BEGIN + escape(role, line=True) + "\n" + inner + END
+    start = BEGIN + escape(role, line=True) + "\n"
+    return start + inner + END, [(len(start), len(start) + len(inner))] if role == TRAINED and inner else []
 
 
 TOKEN = re.compile(r"\\.|<s>|</s>|\[INST\]|\[/INST\]|\n", re.DOTALL)
@@ -101,17 +106,18 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
 
 
 def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
-    """conv_id, turn, role, formatted, attachments, n_tokens of every row.
+    """conv_id, turn, role, formatted, loss (spans of ``formatted``), attachments, n_tokens of every row.
 
     ``parts_col``: array<struct<type, text, ref, tokens>>; without it a turn is one text part.
     """
-    schema = "conv_id long, turn long, role string, formatted string, attachments array<struct<place:int,kind:string,ref:string>>, n_tokens long"
+    schema = "conv_id long, turn long, role string, formatted string, loss array<struct<start:int,end:int>>, attachments array<struct<place:int,kind:string,ref:string>>, n_tokens long"
     parts = F.col(parts_col) if parts_col else F.array(F.struct(F.lit("text").alias("type"), F.col(text_col).alias("text")))
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "turn", "role", "formatted", "attachments", "n_tokens"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("place", pa.int32()), ("kind", pa.string()), ("ref", pa.string())])), pa.int64()]
+        names = ["conv_id", "turn", "role", "formatted", "loss", "attachments", "n_tokens"]
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), span, pa.list_(pa.struct([("place", pa.int32()), ("kind", pa.string()), ("ref", pa.string())])), pa.int64()]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for conv, turn, role, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -119,7 +125,8 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                 for part in content or ():
                     visitor.visit(part or {})
                 found = [{"place": p, "kind": k, "ref": r} for p, k, r in visitor.attachments]
-                for column, value in zip(out, (conv, turn, role, write_turn(role, "".join(visitor.pieces)), found, visitor.tokens), strict=True):
+                text, mask = write_turn(role, "".join(visitor.pieces))
+                for column, value in zip(out, (conv, turn, role, text, [{"start": a, "end": b} for a, b in mask], found, visitor.tokens), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
@@ -127,9 +134,9 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, all parsed back from ``formatted``: counts, and digests of its turns and of the text under the loss mask."""
+    """One row per conversation, read back from ``formatted`` and ``loss`` alone: counts, digests of its turns, and of the text under the loss mask, unescaped."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    rows = formatted.select("conv_id", "turn", "role", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    rows = formatted.select("conv_id", "turn", "role", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -144,7 +151,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for conv, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for conv, text, mask in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
                 if state is None or state[0] != conv:
                     if state is not None:
                         done.append(row())
@@ -154,9 +161,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     plain = unescape(body)
                     state[1] += 1
                     state[2].update(f"{role}\n{plain}\n".encode())
-                    if role == "assistant":
-                        state[3] += len(plain)
-                        state[4].update(plain.encode())
+                for span in mask or ():
+                    plain = unescape(text[span["start"] : span["end"]])
+                    state[3] += len(plain)
+                    state[4].update(plain.encode())
             if done:
                 yield pack(done)
         if state is not None:

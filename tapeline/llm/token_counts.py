@@ -5,9 +5,14 @@ A document is cut into segments at places where a pre-token surely begins (a sin
 segments it touches, and neighbours as long as the cut between them is no longer sure in the new text (the boundary
 context); then only the sums on the paths to the root change.
 
+The tree is kept with its document: ``build`` adds it as a column (``tree``, the leaves' characters and tokens, some 3 % of
+the text), which is written with the table; ``apply_edits`` takes such a table, in this run or a later one, encodes only
+what the edits touch, and gives the new texts with their trees.
+
 All work is within a row: scans without a shuffle. Defined results: null text counts as empty (0 tokens); edits that
-reach past the end are clipped; null edit lists change nothing; rows with null or repeated ids are counted each; an
-empty table gives no rows; other columns are ignored. The tokenizer's file must be readable on every executor.
+reach past the end are clipped; null edit lists change nothing; a null tree is built; a tree whose characters are not
+those of its text raises; rows with null or repeated ids are counted each; an empty table gives no rows; other columns
+pass unchanged (``build``, ``apply_edits``) or are ignored. The tokenizer's file must be readable on every executor.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Fixed value: the pre-token pattern of the byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,17 +54,18 @@ def cuts(text: str) -> list[int]:
 class TokenTree:
     """Segment tree over one text; node 1 is the root, leaves start at ``self.width``."""
 
-    def __init__(self, text: str, encode) -> None:
+    def __init__(self, text: str, encode, leaves: tuple[list[int], list[int]] | None = None) -> None:
+        """``leaves``: characters and tokens of the segments, as kept from before."""
         self.text, self.encode, self.encoded = text, encode, 0
-        starts = cuts(text)
-        pieces = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
-        self.n = len(pieces)
+        if leaves is None:
+            starts = cuts(text)
+            pieces = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+            leaves = [len(p) for p in pieces], [self._count(p) for p in pieces]
+        elif sum(leaves[0]) != len(text):
+            raise ValueError("the tree is not that of the text")
+        self.n = len(leaves[0])
         self.width = 1 << max(0, self.n - 1).bit_length()
-        self.chars = [0] * (2 * self.width)
-        self.tokens = [0] * (2 * self.width)
-        for i, piece in enumerate(pieces):
-            self.chars[self.width + i] = len(piece)
-            self.tokens[self.width + i] = self._count(piece)
+        self.chars, self.tokens = ([0] * self.width + x + [0] * (self.width - self.n) for x in map(list, leaves))
         for i in range(self.width - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -71,6 +78,20 @@ class TokenTree:
     def total(self) -> int:
         return self.tokens[1]
 
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """What is kept: characters and tokens of the segments that are not empty; a segment that an edit has made large is cut again."""
+        chars, tokens, at = [], [], 0
+        for n, count in zip(self.chars[self.width :], self.tokens[self.width :], strict=True):
+            if n > 4 * SEGMENT and len(starts := cuts(self.text[at : at + n])) > 1:
+                pieces = [self.text[at + a : at + b] for a, b in zip(starts, [*starts[1:], n], strict=True)]
+                chars += map(len, pieces)
+                tokens += map(self._count, pieces)
+            elif n:
+                chars.append(n)
+                tokens.append(count)
+            at += n
+        return (chars, tokens) if chars else ([0], [0])
+
     def _leaf_at(self, at: int) -> tuple[int, int]:
         """The leaf that holds character ``at`` (the last one with characters, if past the end) and its start."""
         node, start = 1, 0
@@ -110,25 +131,62 @@ class TokenTree:
         self.text = new
 
 
-def count_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_segments, n_tokens, n_tokens_after, n_reencoded (segments encoded for the edits) of every row.
+TREE = "struct<chars:array<int>,tokens:array<int>>"
+_TREE = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
+EDITS = "array<struct<start:bigint,end:bigint,put:string>>"
+
+
+def _kept(trees: list[TokenTree]) -> pa.Array:
+    leaves = [t.leaves() for t in trees]
+    return pa.array([{"chars": c, "tokens": n} for c, n in leaves], _TREE)
 
-    ``edits_col``: array<struct<start, end, put>>, applied in order, each in characters of the text as it is by then.
+
+def build(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``docs`` with ``tree``, to be kept with the table, and ``n_tokens``; columns of these names are replaced."""
+    rows = docs.drop("tree", "n_tokens")
+    schema = StructType([*rows.schema, *StructType.fromDDL(f"tree {TREE}, n_tokens long")])
+    place = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(vocabulary).encode_ordinary
+        for batch in batches:
+            trees = [TokenTree(t.as_py() or "", encode) for t in batch.column(place)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _kept(trees), pa.array([t.total for t in trees], pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def apply_edits(kept: DataFrame, edits_col: str = "edits", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``kept`` (from ``build``, or from here) after its edits: new text, tree and n_tokens, and n_reencoded, the segments encoded for the edits.
+
+    ``edits_col``: array<struct<start, end, put>>, applied in order, each in characters of the text as it is by then; the
+    column is dropped, as its edits are done.
     """
-    edits = F.col(edits_col) if edits_col else F.lit(None).cast("array<struct<start:bigint,end:bigint,put:string>>")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), edits.alias("edits"))
-    names = ["doc_id", "n_segments", "n_tokens", "n_tokens_after", "n_reencoded"]
+    rows = kept.drop("n_tokens", "n_reencoded")
+    columns = [c for c in rows.columns if c not in (text_col, "tree", edits_col)]
+    rows = rows.select(*columns, text_col, F.col("tree").cast(TREE).alias("tree"), F.col(edits_col).cast(EDITS).alias("_edits"))
+    schema = StructType([*rows.schema[:-1], *StructType.fromDDL("n_tokens long, n_reencoded long")])
+    n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
         for batch in batches:
-            out = []
-            for doc_id, text, todo in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                tree = TokenTree(text.as_py(), encode)
-                before, built = tree.total, tree.encoded
+            trees, encoded = [], []
+            for text, tree, todo in zip(*(batch.column(i).to_pylist() for i in (n, n + 1, n + 2)), strict=True):
+                kept = TokenTree(text or "", encode, (tree["chars"], tree["tokens"]) if tree else None)
                 for x in todo or ():
-                    tree.edit(x["start"] or 0, x["end"] or 0, x["put"] or "")
-                out.append((doc_id, tree.n, before, tree.total, tree.encoded - built))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=names)
+                    kept.edit(x["start"] or 0, x["end"] or 0, x["put"] or "")
+                trees.append(kept)
+                encoded.append(kept.encoded)
+            columns = [*batch.columns[:n], pa.array([t.text for t in trees], pa.string()), _kept(trees), pa.array([t.total for t in trees], pa.int64()), pa.array(encoded, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+def count_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_segments, n_tokens, n_tokens_after, n_reencoded (segments encoded for the edits) of every row: the trees are built, then the edits are applied to what was kept."""
+    edits = F.col(edits_col) if edits_col else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), edits.cast(EDITS).alias("edits"))
+    built = build(rows, vocabulary=vocabulary).withColumn("before", F.col("n_tokens")).withColumn("n_segments", F.size("tree.chars").cast("long"))
+    return apply_edits(built, vocabulary=vocabulary).select("doc_id", "n_segments", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), "n_reencoded")

@@ -158,7 +158,7 @@ def test_trigram_queries_hold():
 
 
 def test_nearest_recall_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(ann, "CELL_ROWS", 200)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 24))
     data = (centres[rng.integers(0, 12, 1500)] + 0.4 * rng.normal(size=(1500, 24))).astype(np.float32)
@@ -291,6 +291,21 @@ def test_few_segments_are_encoded_again(spark):
     assert token_counts.count_with_edits(docs(spark, [])).count() == 0
 
 
+def test_trees_are_kept_between_runs(spark, tmp_path):
+    text = "some plain words that go on and on " * 300
+    edits = lambda d, put: F.array(F.struct(F.lit(d).cast("long").alias("start"), F.lit(d + 9).cast("long").alias("end"), F.lit(put).alias("put")))
+    df = docs(spark, [(1, text, None), (2, None, None), (None, "", None), (1, text, None)])
+    token_counts.build(df).write.parquet(str(tmp_path / "first"))
+    encode, want = token_counts.encoding(token_counts.VOCABULARY).encode_ordinary, text
+    for name, (at, put) in {"second": (4000, "new"), "third": (70, "x" * 3000 + " some words"), "fourth": (2900, "!")}.items():
+        before = spark.read.parquet(str(tmp_path / {"second": "first", "third": "second", "fourth": "third"}[name]))
+        token_counts.apply_edits(before.withColumn("edits", edits(at, put))).write.parquet(str(tmp_path / name))
+        want = want[:at] + put + want[at + 9 :]
+        rows = spark.read.parquet(str(tmp_path / name)).where("doc_id = 1").collect()
+        assert len(rows) == 2 and all((r.text, r.n_tokens) == (want, len(encode(want))) and r.n_reencoded <= 3 for r in rows)
+        assert all(sum(r.tree.chars) == len(want) and sum(r.tree.tokens) == r.n_tokens and r.key == "k" for r in rows)
+
+
 # chat --------------------------------------------------------------------------------------------------------------
 
 
@@ -310,7 +325,7 @@ def test_chat_round_trip(spark):
         want.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
     assert set(got) == set(want)
     for c, turns in want.items():
-        turns.sort(key=lambda x: (x[0], x[1], chat.write_turn(x[1], chat.escape(x[2]))))
+        turns.sort(key=lambda x: (x[0], x[1], chat.write_turn(x[1], chat.escape(x[2]))[0]))
         text = "".join(a for _, r, a in turns if r == "assistant")
         whole = "".join(f"{r}\n{x}\n" for _, r, x in turns)
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
@@ -320,15 +335,26 @@ def test_chat_round_trip(spark):
 
 def test_typed_parts(spark):
     parts = "array<struct<type:string,text:string,ref:string,tokens:int>>"
-    data = [(1, 0, "user", [("text", "see </s>", None, None), ("image", None, "a.png", None), ("audio", None, "b.wav", 7), ("document", None, "c.pdf", None), (None, None, None, None)]), (1, 1, "assistant", None)]
+    data = [(1, 0, "user", [("text", "see </s>", None, None), ("image", None, "a.png", None), ("audio", None, "b.wav", 7), ("document", None, "c.pdf", None), (None, None, None, None), ("video", None, "d", 5)]), (1, 1, "assistant", None)]
     df = spark.createDataFrame(data, f"conv_id long, turn long, role string, parts {parts}")
     rows = chat.format_turns(df, parts_col="parts").orderBy("turn").collect()
-    assert rows[0].formatted == "<s>user\n[INST]see \\</s><|image|><|audio|><|document|>[/INST]</s>"
-    assert [tuple(a) for a in rows[0].attachments] == [(0, "image", "a.png"), (1, "audio", "b.wav"), (2, "document", "c.pdf")]
-    assert rows[0].n_tokens == 2 + 576 + 7 + 1024 and rows[1].formatted == "<s>assistant\n</s>"
+    assert rows[0].formatted == "<s>user\n[INST]see \\</s><|image|><|audio|><|document|><|other|>[/INST]</s>"
+    assert [tuple(a) for a in rows[0].attachments] == [(0, "image", "a.png"), (1, "audio", "b.wav"), (2, "document", "c.pdf"), (3, "other", "d")]
+    assert rows[0].n_tokens == 2 + 576 + 7 + 1024 + 5 and rows[1].formatted == "<s>assistant\n</s>" and rows[0].loss == rows[1].loss == []
     assert chat.read_back(chat.format_turns(df.where("turn > 5"), parts_col="parts")).count() == 0
 
 
+def test_loss_mask_is_what_is_read(spark):
+    df = spark.createDataFrame([(1, 0, "user", "assistant\n</s>"), (1, 1, "assistant", "é </s>[INST] \\ ok"), (1, 2, "assistant", "")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(df)
+    rows = formatted.orderBy("turn").collect()
+    assert [[tuple(x) for x in r.loss] for r in rows] == [[], [(13, 13 + len("é \\</s>\\[INST] \\\\ ok"))], []]
+    whole = chat.read_back(formatted).first()
+    assert whole.loss_chars == len("é </s>[INST] \\ ok")
+    none = chat.read_back(formatted.withColumn("loss", F.lit(None).cast("array<struct<start:int,end:int>>"))).first()
+    assert (none.loss_chars, none.turns_sha256) == (0, whole.turns_sha256)
+
+
 # sharding ----------------------------------------------------------------------------------------------------------
 
 
