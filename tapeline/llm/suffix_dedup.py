@@ -47,8 +47,8 @@ TABLE_BITS, TABLE_PARTS, CELLS_PER_BLOCK = 27, 256, 12
 RUN_BYTES, RUN_SUFFIXES, PART_BYTES = 24 << 20, 90_000, 8 << 20
 #: A task tells the grams that so large a share of its blocks have, at most this many; of all told, so many stay.
 HEAVY_SHARE, HEAVY = 1 / 2000, 4096
-#: Differing strings of one gram whose windows one merge compares, and differing blocks whose fingerprints meet in one group.
-GROUP_STRINGS = 4096
+#: Differing strings of one gram whose windows one merge compares, and those of a gram with more for each group that its fingerprints are dealt to.
+GROUP_STRINGS, DEAL_STRINGS = 4096, 1024
 #: Strings whose levels are compared at once.
 TOGETHER_STRINGS = 3000
 LEAD = 8  # bytes of the gram before each suffix
@@ -390,7 +390,7 @@ def removed_runs(texts: DataFrame, total: int, length: int, gram: int) -> DataFr
 
         def dealt(g: int, group: list[Context]) -> Iterator[pa.RecordBatch]:
             """The fingerprints of a gram with many strings, each window to one of so many groups that none is large."""
-            n = max(1, -(-max(len(group), often.get(g, 0)) // GROUP_STRINGS))
+            n = max(1, -(-max(len(group), often.get(g, 0)) // DEAL_STRINGS))
             signed = int(np.array([g], U).view(np.int64)[0])
             rows: list[tuple] = []
             for low in range(0, len(group), 512):

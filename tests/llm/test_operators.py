@@ -396,6 +396,26 @@ def test_shards(spark, copies):
     assert max(per.values()) <= 20_000 and len(per) <= -(-sum(per.values()) // 20_000) + 1
 
 
+@pytest.mark.parametrize("rounds", [20_000, 400])
+def test_fixed_capacity_holds(spark, monkeypatch, rounds):
+    monkeypatch.setattr(sharding, "BLOCK_UNITS", rounds)
+    monkeypatch.setattr(sharding, "BINS", rounds // 4)
+    rng = random.Random(12)
+    rows = [(i, "y" * rng.choice([3, 40, 90]) + str(i), None) for i in range(1500)] + [(5000, "z" * 900, None), (5001, "z" * 900, None)]
+    got = sharding.shard_rows(docs(spark, rows), n_shards=None, capacity=300).collect()
+    per, home = Counter(), {}
+    for r in got:
+        per[r.shard] += r.size
+        assert home.setdefault(r.text_crc32, r.shard) == r.shard
+    over = [n for n in per.values() if n > 300]
+    assert len(got) == len(rows) and over == [1802] and set(per) == set(range(len(per)))
+    assert len(per) - 1 <= 1.12 * (sum(per.values()) - 1802) / 300
+    equal = Counter()
+    for r in sharding.shard_rows(docs(spark, rows), n_shards=8).collect():
+        equal[r.shard] += r.size
+    assert max(equal.values()) - min(equal.values()) <= 0.01 * sum(equal.values()), equal
+
+
 # components --------------------------------------------------------------------------------------------------------
 
 
