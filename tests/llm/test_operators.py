@@ -145,6 +145,22 @@ def test_secrets_equal_plain_search(spark):
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
 
 
+def test_index_holds_postings_and_gives_candidates(spark):
+    rows = [(1, "my PassWord", None), (2, "AKI KIA AKIA1", None), (3, "tok oken", None), (4, None, None), (None, "eyJ token", None), (4, "-----BEGIN RSA", None)]
+    df, grams = docs(spark, rows), secrets.vocabulary(secrets.RULES)
+    index = secrets.postings(df, grams)
+    want = Counter((d, g) for d, t, _ in rows for g in grams if g in (t or "").lower())
+    of = {r.doc: r.doc_id for r in secrets.keyed(df, "doc_id", "text").collect()}
+    assert Counter((of[r.doc], r.gram) for r in index.collect()) == want
+    got = {(of[r.doc], tuple(sorted(secrets.RULES[i].kind for i in r.rules))) for r in secrets.candidates(index, secrets.RULES).collect()}
+    assert got == {(1, ("assign",)), (2, ("access",)), (3, ("assign",)), (None, ("assign", "jwt"))}  # 3: all trigrams, no match
+    many = tuple(secrets.Rule(f"r{i}", f"rule{chr(97 + i % 26)}{chr(97 + i // 26)}x+") for i in range(90))
+    assert len(secrets.vocabulary(many)) > 62
+    found = secrets.scan(docs(spark, [(i, f"é rule{chr(97 + i % 26)}{chr(97 + i // 26)}xx" * (i + 1), None) for i in range(90)]), many).collect()
+    assert all(len(r.spans) == r.doc_id + 1 and {x.kind for x in r.spans} == {f"r{r.doc_id}"} for r in found) and len(found) == 90
+    assert Counter(str(r) for r in secrets.scan(df, index=index).collect()) == Counter(str(r) for r in secrets.scan(df).collect())
+
+
 def test_trigram_queries_hold():
     samples = {"assign": ["PassWord: abcdef", "api_key=qqqqqq", "APIKEY=1"], "access": ["AKIA1234"], "pem": ["-----BEGIN RSA PRIVATE KEY-----"], "jwt": ["eyJabcdefgh.abcdefgh.abcdefgh"]}
     for rule in secrets.RULES:
