@@ -1,17 +1,22 @@
 """Toxicity by a fuzzy lexicon and context windows.
 
-Terms are learned from labelled rows: beginnings of words that many toxic and hardly any clean documents hold. They form a
+Terms are learned from labelled rows: words, or beginnings of words, that many toxic and hardly any clean documents hold. They form a
 trie; its intersection with Levenshtein automata (one edit for terms of ``FUZZY_FROM`` characters or more, two from
-``FUZZY2_FROM``) is built as a deterministic automaton, state by state as words need it. A word is a hit when the
-automaton accepts one of its beginnings. A hit with quotation marks on both sides within ``WINDOW`` characters counts as
-quoted. A logistic model over the numbers of plain, misspelled and quoted hits gives the score.
+``FUZZY2_FROM``) is built as a deterministic automaton, state by state as words need it. A word (letters and digits, so
+that a digit in the place of a letter is an edit; also with symbols inside, which are edits too) is a hit when the automaton accepts one of its
+beginnings. A first letter may be replaced, not left out or added, which would make other words of terms.
 
-Bounds: the lexicon is learned from at most ``TRAIN_PER_LABEL`` rows of each label (in the order of a hash of the id) and
-has at most ``MAX_TERMS`` terms; the model is fitted to counts by feature cell, of which there are at most
-2 * (CELL + 1)^3. Everything else, scoring above all, is one scan over all rows and whole texts, with no shuffle.
+A hit's context is the window of ``WINDOW`` characters on both sides: with quotation marks open before it and closed
+behind it, it counts as quoted, else as abuse. A logistic model over the numbers of plain, misspelled and quoted hits gives the score. Where the
+labels hold no quoted hits the weight of quotation stays 0: a quoted hit then adds nothing to a score, an unquoted one
+does.
 
-Defined results: null text counts as empty; a null id is not held out; labels that are null are left out; with no usable
-labels all scores are 0; an empty table gives no rows; repeated rows are scored each; other columns are ignored.
+Bounds: the lexicon and the model are learned from at most ``TRAIN_PER_LABEL`` rows of each label (in the order of a hash of the id), equal
+texts once; what the driver gathers is bounded by that sample. Everything else, scoring above all, is one scan over all rows and whole texts, with no shuffle.
+
+Defined results: null text counts as empty, here and in ``keep_clean``; a null id is not held out; labels that are null are left out; with no usable
+labels all scores are 0; an empty table gives no rows; repeated rows are scored each; other columns are ignored
+(``keep_clean`` passes them).
 """
 
 from __future__ import annotations
@@ -27,16 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRAIN_PER_LABEL = 4000
-MAX_TERMS = 2000
 FOLDS = 5
-SHORTEST, LONGEST = 4, 10
+#: Letters of the shortest term; beginnings of words are terms up to so many letters, whole words of any length.
+SHORTEST, HEAD = 4, 24
 FUZZY_FROM, FUZZY2_FROM = 5, 9
 WINDOW = 60
-CELL = 20
 #: A task forgets the hits of words when it remembers more of them than this; one document's words come on top.
 MEMO = 300_000
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_]+")
+#: Words with symbols between letters, as they are put in a letter's place.
+MASKED = re.compile(r"[^\W_]+(?:[*@$!|+#][^\W_]+)+")
 OPEN_QUOTE, CLOSE_QUOTE = re.compile("[\"“«„‹]"), re.compile("[\"”»“›]")
 
 
@@ -93,8 +99,6 @@ class FuzzyTrie:
                 members.add((child, e if letter == c else e + 1))
             if node:
                 members.add((node, e + 1))
-        # the first letter of a word must be the term's, so that automata stay small
-        members = {(n, e) for n, e in members if state != self.start or e == 0}
         found = self.moves[state][c] = self._state(members)
         return found
 
@@ -123,27 +127,34 @@ class Model:
         z = sum(w * x for w, x in zip(self.weights, (1.0, math.log1p(plain), math.log1p(fuzzy), math.log1p(quoted)), strict=True))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
+    def rejects(self, text: str, trie: FuzzyTrie, memo: dict[str, int]) -> bool:
+        return self.score(*features(text, trie, memo)) >= 0.5
+
 
 def features(text: str, trie: FuzzyTrie, memo: dict[str, int]) -> tuple[int, int, int]:
+    """Numbers of plain, misspelled and quoted hits."""
     low = text.lower()
     if len(memo) >= MEMO:
         memo.clear()
-    hits = False
-    for w in set(WORD.findall(low)):
-        edits = memo.get(w)
-        if edits is None:
-            edits = memo[w] = trie.hit(w)
-        hits |= edits != 9
-    if not hits:
+
+    def edits(w: str) -> int:
+        found = memo.get(w)
+        if found is None:
+            found = memo[w] = trie.hit(w)
+        return found
+
+    masked = [m for m in MASKED.finditer(low) if edits(m[0]) != 9]
+    if not masked and all(edits(w) == 9 for w in set(WORD.findall(low))):
         return 0, 0, 0
     plain = fuzzy = quoted = 0
-    for m in WORD.finditer(low):
-        edits = memo[m[0]]
-        if edits == 9:
+    inside = {at for m in masked for at in range(m.start(), m.end())}
+    for m in (*masked, *(m for m in WORD.finditer(low) if m.start() not in inside)):
+        e = edits(m[0])
+        if e == 9:
             continue
         if OPEN_QUOTE.search(low, max(0, m.start() - WINDOW), m.start()) and CLOSE_QUOTE.search(low, m.end(), m.end() + WINDOW):
             quoted += 1
-        elif edits:
+        elif e:
             fuzzy += 1
         else:
             plain += 1
@@ -161,17 +172,18 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = usable.where("toxic = 1").orderBy(*order).limit(TRAIN_PER_LABEL).unionByName(usable.where("toxic = 0").orderBy(*order).limit(TRAIN_PER_LABEL))
     ids = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "toxic"]).drop("same")
 
 
 def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """Beginnings of words with at least 2 % (5 rows at least) of the toxic sample's rows and 1/50 of that rate in the clean sample."""
+    """Words and beginnings of words with at least 1 % (5 rows at least) of the toxic sample's rows and 1/50 of that rate in the clean sample."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))
-    heads = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda n: F.substring(w, F.lit(1), n)))))
-    counts = rows.select("toxic", F.explode(heads).alias("head")).groupBy("head").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    least = max(5, n_toxic // 50)
-    kept = counts.where((F.col("t") >= least) & (F.col("c") * 50 * n_toxic <= F.col("t") * max(1, n_clean))).orderBy(F.desc("t"), "head").limit(MAX_TERMS)
-    support = {x["head"]: x["t"] for x in kept.collect()}
+    heads = F.transform(words, lambda w: F.array_append(F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(HEAD))), lambda n: F.substring(w, F.lit(1), n)), w))
+    counts = rows.select("toxic", F.explode(F.array_distinct(F.flatten(heads))).alias("head")).groupBy("head").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    least = max(5, n_toxic // 100)
+    kept = counts.where((F.col("t") >= least) & (F.col("c") * 50 * n_toxic <= F.col("t") * max(1, n_clean)))
+    support = {x["head"]: x["t"] for x in kept.collect()}  # of the sample's words
     terms: set[str] = set()
     for head in sorted(support, key=len):
         if any(head[:n] in support for n in range(SHORTEST, len(head))):
@@ -183,7 +195,7 @@ def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
 
 
 def fit(cells: list[tuple[int, int, int, int, int]]) -> tuple[float, ...]:
-    """Logistic regression (Newton's method, ridge 0.01) on (plain, fuzzy, quoted, toxic, count)."""
+    """Logistic regression (Newton's method, ridge 0.01) on (plain, fuzzy, quoted, toxic, count), as many rows as the sample has differing ones at most."""
     data = np.array(cells, dtype=float)
     x = np.hstack([np.ones((len(data), 1)), np.log1p(data[:, :3])])
     y, n, w = data[:, 3], data[:, 4], np.zeros(4)
@@ -217,8 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if not sizes.get(1) or not sizes.get(0):
         return Model((), (-50.0, 0.0, 0.0, 0.0))
     terms = learn_terms(rows, sizes[1], sizes[0])
-    capped = [F.least(c, F.lit(CELL)).alias(c) for c in ("plain", "fuzzy", "quoted")]
-    cells = counted(rows, terms).select(*capped, "toxic").groupBy("plain", "fuzzy", "quoted", "toxic").agg(F.count("*").alias("n")).collect()
+    cells = counted(rows, terms).groupBy("plain", "fuzzy", "quoted", "toxic").agg(F.count("*").alias("n")).collect()
     return Model(tuple(terms), fit([tuple(c) for c in cells]))
 
 
@@ -244,7 +255,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, memo = FuzzyTrie(list(model.terms)), {}
         for batch in batches:
-            clean = [t.as_py() is None or model.score(*features(t.as_py(), trie, memo)) < 0.5 for t in batch.column(at)]
+            clean = [not model.rejects(t.as_py() or "", trie, memo) for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

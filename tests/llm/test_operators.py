@@ -86,9 +86,8 @@ def test_automaton_equals_edit_distance():
         want = 9
         for t in terms:
             allowed = (len(t) >= toxicity.FUZZY_FROM) + (len(t) >= toxicity.FUZZY2_FROM)
-            if word[0] == t[0]:
-                e = min(edits(word[1:n], t[1:]) for n in range(1, len(word) + 1))
-                want = min(want, e) if e <= allowed else want
+            e = (word[0] != t[0]) + min(edits(word[1:n], t[1:]) for n in range(1, len(word) + 1))
+            want = min(want, e) if e <= allowed else want
         assert trie.hit(word) == want, word
 
 
@@ -125,7 +124,19 @@ def test_toxicity_without_labels(spark):
 def test_quotation():
     trie = toxicity.FuzzyTrie(["idiot"])
     assert toxicity.features('he said "you idiot" to me', trie, {}) == (0, 0, 1)
-    assert toxicity.features("you idiot, idi0t, idjot and idiotic", trie, {}) == (2, 1, 0)
+    assert toxicity.features("you idiot, idi0t, idjot, 1diot, id*ot, id!0t and idiotic", trie, {}) == (2, 4, 0)
+    assert toxicity.features("he*idiot x", trie, {}) == (1, 0, 0)
+    assert toxicity.features("«vous idiot»", trie, {}) == (0, 0, 1)
+
+
+def test_quotation_changes_the_score(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    rows = [(i, words(rng, 30, vocabulary) + (" you zapgor " if i % 3 == 0 else " ") + words(rng, 20, vocabulary), None) for i in range(400)]
+    model = toxicity.learn(docs(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    said = docs(spark, [(1, "and so you zapgor went home", None), (2, "and so \"you zapgor\" they wrote", None), (3, "and so they went home", None)])
+    got = {r.doc_id: r for r in toxicity.score(said, model).collect()}
+    assert got[1].predicted == 1 and got[2].predicted == got[3].predicted == 0 and got[2].quoted == 1 and got[2].score < got[1].score
 
 
 # secrets -----------------------------------------------------------------------------------------------------------
