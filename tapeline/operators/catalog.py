@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.functions import naming
+from tapeline.sources.archive import list_files
 
 
 def camera_names(registry: DataFrame) -> DataFrame:
@@ -65,9 +66,24 @@ def file_results(outputs: DataFrame, keys: list[str], order_by: str) -> DataFram
     return rows.select(*keys, F.size("outputs").alias("n_outputs"), F.array_join("outputs", "|").alias("outputs"), F.nullif(F.array_join("error_list", "; "), F.lit("")).alias("error"), F.nullif("total", F.lit(0).cast("long")).alias("output_size"))
 
 
+CAMERAS = "array<struct<mac:string,name:string>>"
+
+
 def save_registry(registry: DataFrame, path: str) -> None:
-    """Cameras with a name, as JSON lines."""
-    registry.where(F.trim("name") != "").select("mac", "name").write.mode("overwrite").json(path)
+    """Cameras with a name, as one JSON document ``{"cameras": [...]}`` in the order of ``pos`` if there is one; it holds one installation's cameras."""
+    at = F.col("pos") if "pos" in registry.columns else F.lit(0)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(at.cast("long").alias("pos"), "mac", "name"))), lambda x: F.struct(x["mac"].alias("mac"), x["name"].alias("name")))
+    registry.agg(registry_to_json(listed).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """pos, mac, name of the document at ``path``; a missing or unreadable one gives no rows."""
+    files, unmatched = list_files(spark, [path])
+    if unmatched or files.isEmpty():
+        return spark.createDataFrame([], "pos long, mac string, name string")
+    text = spark.read.text(path, wholetext=True)
+    cameras = text.select(F.posexplode(registry_from_json(F.col("value"))).alias("pos", "camera"))
+    return cameras.select(F.col("pos").cast("long").alias("pos"), "camera.mac", "camera.name")
 
 
 def registry_from_json(text: Column) -> Column:

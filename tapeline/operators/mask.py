@@ -28,14 +28,15 @@ def mask_totals(records: DataFrame, keys: list[str], keep_smart_events: bool = F
 
 
 def zeroed_content(content: Column, spans: Column) -> Column:
-    """``content`` with the spans (array<struct<start, size>> in order, bytes) set to zero: pieces between, zeros for the rest."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.unhex(F.lit("")).alias("out"))
+    """``content`` with the spans (array<struct<start, size>> in order, bytes) set to zero: the piece before each span and its zeros, and what is left, joined once."""
+    end = lambda i: F.when(i > 0, F.get(spans, i - 1)["start"] + F.get(spans, i - 1)["size"]).otherwise(F.lit(0).cast("long"))
 
-    def step(state: Column, x: Column) -> Column:
-        kept = F.substring(content, (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
-        return F.struct((x["start"] + x["size"]).alias("at"), F.concat(state["out"], kept, F.unhex(F.repeat(F.lit("00"), x["size"].cast("int")))).alias("out"))
+    def piece(x: Column, i: Column) -> Column:
+        kept = F.substring(content, (end(i) + 1).cast("int"), (x["start"] - end(i)).cast("int"))
+        return F.concat(F.hex(kept), F.repeat(F.lit("00"), x["size"].cast("int")))
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(content, (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    rest = F.substring(content, (end(F.size(spans)) + 1).cast("int"), F.lit(2**31 - 1))
+    return F.unhex(F.concat(F.array_join(F.transform(spans, piece), ""), F.hex(rest)))
 
 
 def anonymised_name(path: Column) -> Column:

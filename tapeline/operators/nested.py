@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import clock, naming, tracks
@@ -24,16 +24,26 @@ def tagged(rows: DataFrame) -> DataFrame:
     """Adds entry: one member that is not null, by the kind of track. Rows are with ``tracks`` columns and wall clocks."""
     fields = lambda schema: [f.split(":")[0].strip() for f in schema[schema.index("<") + 1 : -1].split(", ")]
     seconds = F.call_function("div", F.col("sync_ms"), F.lit(1000).cast("long"))
-    sync = F.struct("sc_dts", "sc_rate", F.col("sync_ms").alias("wc_ms"), seconds.alias("wc_seconds"), (F.col("sync_ms") % 1000 * 1_000_000).alias("wc_nanoseconds")).cast(SYNC)
+    nanos = F.col("sync_ms") % 1000 * 1_000_000  # for rows that carry milliseconds only
+    nanos = F.coalesce(F.col("sync_nanos"), nanos) if "sync_nanos" in rows.columns else nanos
+    sync = F.struct("sc_dts", "sc_rate", F.col("sync_ms").alias("wc_ms"), seconds.alias("wc_seconds"), nanos.alias("wc_nanoseconds")).cast(SYNC)
     frame = F.struct(*(F.lit(0).cast("long").alias("cts") if c == "cts" else F.col(c) for c in fields(FRAME))).cast(FRAME)
     metadata = F.struct(*fields(METADATA)).cast(METADATA)
     members = [F.when(F.col("track_type") == "ClockSync", sync).alias("ClockSync"), F.when(F.col("type_char").isNotNull(), frame).alias("Frame")]
     return rows.withColumn("entry", F.struct(*members, *(F.when(F.col("track_type") == k, metadata).alias(k) for k in KINDS)))
 
 
+def byte_values(data: Column) -> Column:
+    """array<smallint> of the bytes, 0 to 255."""
+    at = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("smallint"))
+
+
 def structure(rows: DataFrame, order: Order = DEFAULT) -> DataFrame:
     """file, partitions: the whole parsed file as one nested value, in file order; arrays hold one recording's records."""
-    header = F.struct("file_offset", "dts", "clock_rate", "format_code", F.lit(None).cast("array<smallint>").alias("payload")).cast(HEADER)
+    none = F.lit(None).cast("array<smallint>")
+    payload = F.when(F.col("payload").isNotNull(), byte_values(F.col("payload"))) if "payload" in rows.columns else none
+    header = F.struct("file_offset", "dts", "clock_rate", "format_code", payload.alias("payload")).cast(HEADER)
     is_header = F.col("track_type") == "PartitionHeader"
     entries = F.collect_list(F.when(~is_header, F.struct(F.col(order.offset).alias("at"), "entry")))
     parts = tagged(rows).groupBy(order.file, "partition_index").agg(
@@ -51,7 +61,7 @@ def flattened(files: DataFrame, order: Order = DEFAULT) -> DataFrame:
     both = ("Frame", *KINDS)
     return rows.select(
         order.file, "partition_index", "place", kind, first("track_id", *both), F.coalesce(F.col("e.ClockSync.sc_dts"), *(F.col(f"e.{m}.dts") for m in both)).alias("dts"),
-        F.coalesce(F.col("e.ClockSync.sc_rate"), *(F.col(f"e.{m}.clock_rate") for m in both)).alias("clock_rate"), F.coalesce(F.col("e.ClockSync.wc_ms"), F.col("e.Frame.wc")).alias("wc"),
+        F.coalesce(F.col("e.ClockSync.sc_rate"), *(F.col(f"e.{m}.clock_rate") for m in both)).alias("clock_rate"), F.coalesce(F.col("e.ClockSync.wc_ms"), F.col("e.Frame.wc")).alias("wc"), F.col("e.ClockSync.wc_nanoseconds").alias("wc_nanoseconds"),
         first("data_offset", *both), first("data_size", *both), first("sequence", *both), first("keyframe", *both), F.col("e.Frame.packet_position").alias("packet_position"), first("file_offset", *KINDS),
     )
 

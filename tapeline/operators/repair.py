@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import clock, naming, tracks
-from tapeline.operators.timeline import BEFORE, DEFAULT, SO_FAR, Order, track_rates
+from tapeline.operators.timeline import BEFORE, DEFAULT, SO_FAR, Order, dts_steps, nominal_rate
 
 
 def selected_rows(frames: DataFrame, video_track: int | Column, with_audio: bool = True, with_video: bool = True) -> DataFrame:
@@ -15,15 +15,27 @@ def selected_rows(frames: DataFrame, video_track: int | Column, with_audio: bool
     return frames.where(video | (tracks.is_audio(F.col("track_id")) & with_audio))
 
 
+def track_facts(frames: DataFrame, order: Order = DEFAULT, **more: Column) -> DataFrame:
+    """file, partition, track, video_track and what is known of each track, in one pass; ``more``: further aggregates.
+
+    frames, clock_rate and start_ms of the first frame, first_offset, nominal_rate (audio: the clock rate).
+    ``video_track`` is the file's first video track.
+    """
+    rows = dts_steps(frames, order).groupBy(order.file, "partition_index", "track_id").agg(
+        nominal_rate(rate=F.min_by("clock_rate", order.offset)).alias("fps"), F.count("*").alias("frames"), F.min_by("clock_rate", order.offset).cast("long").alias("clock_rate"),
+        F.min_by("wc_ms", order.offset).alias("first_ms"), F.min(order.offset).alias("first_offset"), *(c.alias(n) for n, c in more.items()),
+    )
+    fps = F.when(F.col("fps").isNull(), F.lit(1).cast("long")).when(F.col("fps") > 120, F.lit(30).cast("long")).otherwise(F.col("fps"))
+    first = F.min_by("track_id", F.when(tracks.is_video(F.col("track_id")), F.struct("partition_index", "first_offset"))).over(Window.partitionBy(order.file))
+    return rows.select(
+        order.file, "partition_index", "track_id", first.alias("video_track"), "frames", "clock_rate", F.when(F.col("clock_rate") > 0, F.col("first_ms")).alias("start_ms"), "first_offset",
+        F.when(tracks.is_audio(F.col("track_id")), F.col("clock_rate")).otherwise(fps).alias("nominal_rate"), *more,
+    )
+
+
 def track_summary(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:
     """file, partition, track: frames, clock rate and start of the first frame, nominal rate (audio: the clock rate)."""
-    rates = track_rates(frames, order).select(order.file, "partition_index", "track_id", "export_fps")
-    rows = frames.groupBy(order.file, "partition_index", "track_id").agg(
-        F.count("*").alias("frames"), F.min_by("clock_rate", order.offset).cast("long").alias("clock_rate"), F.min_by("wc_ms", order.offset).alias("first_ms")
-    )
-    rows = rows.join(rates, [order.file, "partition_index", "track_id"])
-    rate = F.when(tracks.is_audio(F.col("track_id")), F.col("clock_rate")).otherwise(F.col("export_fps"))
-    return rows.select(order.file, "partition_index", "track_id", "frames", "clock_rate", F.when(F.col("clock_rate") > 0, F.col("first_ms")).alias("start_ms"), rate.alias("nominal_rate"))
+    return track_facts(frames, order).select(order.file, "partition_index", "track_id", "frames", "clock_rate", "start_ms", "nominal_rate")
 
 
 def track_counts(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:
@@ -42,13 +54,32 @@ def main_video_track(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:
     return frames.groupBy(order.file).agg(F.coalesce(first, F.lit(0)).alias("video_track"))
 
 
-def start_times(summary: DataFrame, order: Order = DEFAULT) -> DataFrame:
-    """file, partition: the video track's start if there is a video track, else the first audio track's; from ``track_summary`` with first_offset."""
+def start_times(facts: DataFrame, order: Order = DEFAULT) -> DataFrame:
+    """file, partition, video_track: the video track's start if there is a video track, else the first audio track's; from ``track_facts``."""
     video, audio = tracks.is_video(F.col("track_id")), tracks.is_audio(F.col("track_id"))
-    rows = summary.groupBy(order.file, "partition_index").agg(
+    rows = facts.groupBy(order.file, "partition_index", "video_track").agg(
         F.bool_or(video).alias("has_video"), F.min_by("start_ms", F.when(video, F.col("first_offset"))).alias("video_start"), F.min_by("start_ms", F.when(audio, F.col("first_offset"))).alias("audio_start")
     )
-    return rows.select(order.file, "partition_index", F.when(F.col("has_video"), F.col("video_start")).otherwise(F.col("audio_start")).alias("start_ms"))
+    return rows.select(order.file, "partition_index", "video_track", F.when(F.col("has_video"), F.col("video_start")).otherwise(F.col("audio_start")).alias("start_ms"))
+
+
+def first_partition_report(facts: DataFrame, order: Order = DEFAULT) -> DataFrame:
+    """file: number of partitions, and of the first one tracks and frames that are exported (the file's first video track and all audio), codecs, rates, frames by kind, start.
+
+    From ``track_facts`` of all records, so that partitions without media count. The video counts only if the chosen track is in the first partition.
+    """
+    rows = tracks.with_tracks(facts)
+    top = F.col("partition_index") == 0
+    video = top & (F.col("track_id") == F.col("video_track"))
+    audio = top & tracks.is_audio(F.col("track_id"))
+    of = lambda which, c: F.min_by(c, F.when(which, F.col("first_offset")))
+    total = lambda which: F.sum(F.when(which, F.col("frames")))
+    start = F.when(F.bool_or(video), of(video, "start_ms")).otherwise(of(audio, "start_ms"))
+    return rows.groupBy(order.file).agg(
+        F.count_distinct("partition_index").alias("partitions"), F.nullif(F.count_if(top & tracks.is_media(F.col("track_id"))), F.lit(0).cast("long")).alias("tracks"), total(video | audio).alias("frames"),
+        of(video, "codec").alias("video_codec"), of(video, "nominal_rate").alias("fps"), total(video).alias("video_frames"),
+        of(audio, "codec").alias("audio_codec"), of(audio, "clock_rate").alias("hz"), total(audio).alias("audio_frames"), start.alias("start_ms"),
+    )
 
 
 def monotonic(rows: DataFrame, keys: list[str], value: str, order_by: str) -> DataFrame:
@@ -79,23 +110,35 @@ def constant_plan(rows: DataFrame, keys: list[str], order_by: str, force_rate: i
 
 
 def variable_plan(frames: DataFrame, keys: list[str], order_by: str, first_track: DataFrame) -> DataFrame:
-    """Variable-rate packets: audio frames of all tracks are paired by position with the first audio track's repaired times and stop where those do.
+    """Variable-rate packets: repaired dts, duration and key flag of every exported frame, video and audio.
 
-    ``first_track``: keys and first_audio_track. ``mixed_audio`` tells where another track's frames got these times.
+    Video frames take the repaired times of their own track. Audio frames of all tracks are paired by position with the
+    first audio track's repaired times and stop where those do; ``mixed_audio`` tells where another track's frames got these times.
+    ``first_track``: keys, first_audio_track, and video_track, the exported one. Only video packets carry a key flag.
     """
-    w = Window.partitionBy(*keys).orderBy(order_by)
-    audio = frames.where(tracks.is_audio(F.col("track_id"))).join(first_track, keys)
+    rows = frames.join(first_track, keys)
+    is_audio = tracks.is_audio(F.col("track_id"))
+    video = rows.where(F.col("track_id") == F.col("video_track"))
+    video = with_durations(monotonic(video, keys, "dts", order_by), keys).withColumn("mixed_audio", F.lit(False)).withColumn("key", F.col("keyframe"))
+    audio = rows.where(is_audio)
     times = with_durations(monotonic(audio.where("track_id = first_audio_track"), keys, "dts", order_by), keys).select(*keys, "i", "repaired", "duration")
-    numbered = audio.withColumn("i", F.row_number().over(w).cast("long"))
-    return numbered.join(times, [*keys, "i"]).withColumn("mixed_audio", F.col("track_id") != F.col("first_audio_track"))
+    numbered = audio.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(order_by)).cast("long"))
+    paired = numbered.join(times, [*keys, "i"]).withColumn("mixed_audio", F.col("track_id") != F.col("first_audio_track")).withColumn("key", F.lit(False))
+    columns = [*keys, order_by, "track_id", "i", "repaired", "duration", "mixed_audio", "key"]
+    return video.select(columns).unionByName(paired.select(columns))
 
 
 def longest_dts(rows: DataFrame) -> DataFrame:
-    """From track rows (frames, last_dts, clock_rate, fps, samples, type_char): the greatest dts of both timings and whether it exceeds 32 bits."""
+    """From track rows (frames, last_dts, clock_rate, fps, samples, type_char): the greatest dts of both timings, whether it exceeds 32 bits, and the timescale that each timing needs then.
+
+    A constant timing with one frame or without a rate ends at 0.
+    """
     n = F.col("frames") - 1
-    constant = F.when(F.col("type_char") == "A", n * F.col("samples")).otherwise(F.call_function("div", n * F.col("clock_rate"), F.nullif(F.col("fps"), F.lit(0).cast("long"))))
+    steady = F.call_function("div", n * F.col("clock_rate"), F.nullif(F.col("fps"), F.lit(0).cast("long")))
+    constant = F.when(F.col("type_char") == "A", n * F.col("samples")).otherwise(F.coalesce(steady, F.lit(0).cast("long")))
     out = rows.withColumn("constant_max", constant).withColumn("variable_max", F.col("last_dts"))
-    return out.withColumn("overflows", F.greatest("constant_max", "variable_max") > clock.MAX32).withColumn("timescale", clock.reduced_timescale(F.col("variable_max"), F.col("clock_rate")))
+    out = out.withColumn("overflows", F.greatest("constant_max", "variable_max") > clock.MAX32)
+    return out.withColumn("timescale", clock.reduced_timescale(F.col("variable_max"), F.col("clock_rate"))).withColumn("constant_timescale", clock.reduced_timescale(F.col("constant_max"), F.col("clock_rate")))
 
 
 def interleaved(rows: DataFrame, keys: list[str], time: str, is_video: Column, order_by: str) -> DataFrame:

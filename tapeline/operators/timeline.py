@@ -46,16 +46,27 @@ def with_partitions(records: DataFrame, order: Order = DEFAULT) -> DataFrame:
 
 
 def with_wall_clock(records: DataFrame, order: Order = DEFAULT) -> DataFrame:
-    """Adds wc (ticks), wc_ms and has_sync to media rows: the latest clock sync before a row in its partition, as a running last value."""
+    """Adds wc (ticks), wc_ms, has_sync and bad_sync to media rows: the latest clock sync before a row in its partition, as a running last value.
+
+    Under a sync of rate 0 no wall clock can be told: wc and wc_ms are null and bad_sync is true (``sync_errors`` has the syncs).
+    """
     is_sync = F.col("track_id") == tracks.SYNC
-    sync = F.when(is_sync & (F.col("sc_rate") != 0), F.struct("sc_dts", "sc_rate", "sync_ms"))
+    sync = F.when(is_sync & F.col("sc_rate").isNotNull(), F.struct("sc_dts", "sc_rate", "sync_ms"))
     last = F.last(sync, ignorenulls=True).over(order.in_partition.rowsBetween(*SO_FAR))
     rows = records.withColumn("sync", last)
     known = clock.wall_clock(F.col("dts"), F.col("clock_rate"), F.col("sync.sc_dts"), F.col("sync.sc_rate"), F.col("sync.sync_ms"))
     media = tracks.is_media(F.col("track_id"))
-    wc = F.when(media, F.coalesce(known, F.lit(0).cast("long")))
-    rows = rows.withColumn("wc", wc).withColumn("has_sync", media & F.col("sync").isNotNull())
-    return rows.withColumn("wc_ms", F.coalesce(clock.ticks_to_ms(F.col("wc"), F.col("clock_rate")), F.when(media, F.lit(0).cast("long")))).drop("sync")
+    bad = F.coalesce(F.col("sync.sc_rate") == 0, F.lit(False))
+    rows = rows.withColumn("bad_sync", media & bad).withColumn("has_sync", media & F.col("sync").isNotNull() & ~bad)
+    rows = rows.withColumn("wc", F.when(media & ~F.col("bad_sync"), F.coalesce(known, F.lit(0).cast("long"))))
+    ms = F.coalesce(clock.ticks_to_ms(F.col("wc"), F.col("clock_rate")), F.lit(0).cast("long"))
+    return rows.withColumn("wc_ms", F.when(media & ~F.col("bad_sync"), ms)).drop("sync")
+
+
+def sync_errors(records: DataFrame, order: Order = DEFAULT) -> DataFrame:
+    """file, code, offset: the clock syncs of rate 0."""
+    bad = records.where((F.col("track_id") == tracks.SYNC) & (F.col("sc_rate") == 0))
+    return bad.select(order.file, F.lit("zero_sync_rate").alias("code"), F.col(order.offset).alias("offset"))
 
 
 def media_rows(records: DataFrame) -> DataFrame:
@@ -75,8 +86,11 @@ def dts_steps(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:
 
 def nominal_rate(step: str = "step", rate: Column | None = None) -> Column:
     """Aggregate: clock rate over the upper median of the positive steps, half up, 1 at least; null without any."""
-    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN {step} > 0 THEN {step} END DESC)").cast("long")
-    rate = (F.first("clock_rate") if rate is None else rate).cast("long")
+    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN {step} > 0 THEN {step} END DESC)")
+    return _per_second(median.cast("long"), (F.first("clock_rate") if rate is None else rate).cast("long"))
+
+
+def _per_second(median: Column, rate: Column) -> Column:
     per_second = F.call_function("div", rate + F.call_function("div", median, F.lit(2).cast("long")), F.nullif(median, F.lit(0).cast("long")))
     return F.when(rate > 0, F.when(median.isNotNull(), F.greatest(per_second, F.lit(1).cast("long"))))
 
@@ -99,6 +113,16 @@ def video_rates(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:
     return rows.groupBy(order.file, "partition_index").agg(nominal_rate(rate=first).alias("video_fps"))
 
 
+def with_video_rate(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:
+    """Adds video_fps, the rate of ``video_rates`` for each row, by windows: the rows are read and shuffled once."""
+    video, whole = tracks.is_video(F.col("track_id")), Window.partitionBy(order.file, "partition_index")
+    step = F.col("dts") - F.last(F.when(video, F.col("dts")), ignorenulls=True).over(order.in_partition.rowsBetween(*BEFORE))
+    rows = frames.withColumn("video_step", F.when(video & (step > 0), step))
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY video_step DESC)").over(whole)
+    first = F.min_by("clock_rate", F.when(video & (F.col("clock_rate") > 0), F.col(order.offset))).over(whole)
+    return rows.withColumn("video_fps", _per_second(median.cast("long"), first.cast("long"))).drop("video_step")
+
+
 def with_sections(frames: DataFrame, max_gap_ms: int = 5000, order: Order = DEFAULT) -> DataFrame:
     """Adds section_index (from 1) and gap_ms (since the greatest video wall clock before); rows without a clock rate go.
 
@@ -117,7 +141,7 @@ def section_summary(frames: DataFrame, max_gap_ms: int = 5000, order: Order = DE
 
     A gap over twice the expected step (from the partition's video rate) and up to ``max_gap_ms`` costs its excess.
     """
-    rows = with_sections(frames, max_gap_ms, order).join(video_rates(frames, order), [order.file, "partition_index"], "left")
+    rows = with_sections(with_video_rate(media_rows(frames), order), max_gap_ms, order)
     expected = F.when(F.col("video_fps") > 0, F.greatest(F.call_function("div", F.lit(1000).cast("long"), F.col("video_fps")), F.lit(1).cast("long")))
     cost = F.when((F.col("gap_ms") > 2 * expected) & (F.col("gap_ms") <= max_gap_ms), F.col("gap_ms") - expected).otherwise(F.lit(0).cast("long"))
     video, audio = tracks.is_video(F.col("track_id")), tracks.is_audio(F.col("track_id"))

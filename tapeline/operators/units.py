@@ -44,18 +44,29 @@ def split_units(frames: DataFrame, key: str, payload: str = "payload") -> DataFr
 
 
 def reframed(frames: DataFrame, key: str, is_plain: str, payload: str = "payload") -> DataFrame:
-    """key, stream: length prefixes replaced by start codes; frames with ``is_plain`` pass unchanged, incomplete units are left out."""
+    """key, stream, ok: length prefixes replaced by start codes; frames with ``is_plain`` pass unchanged.
+
+    A unit that is cut short is left out, and ``ok`` is false, so that the loss can be told or the job failed (``complete``).
+    """
     kind = frames.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, whole = [], []
             for value, plain in zip(batch.column(1), batch.column(2), strict=True):
                 data = value.as_py() or b""
-                out.append(data if plain.as_py() else b"".join(START_CODE + unit for _, unit, ok in _units(data) if ok))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "stream"])
+                found = [] if plain.as_py() else list(_units(data))
+                out.append(data if plain.as_py() else b"".join(START_CODE + unit for _, unit, ok in found if ok))
+                whole.append(all(ok for *_, ok in found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(whole, pa.bool_())], names=[key, "stream", "ok"])
+
+    return frames.select(key, payload, is_plain).mapInArrow(run, f"{key} {kind}, stream binary, ok boolean")
+
 
-    return frames.select(key, payload, is_plain).mapInArrow(run, f"{key} {kind}, stream binary")
+def complete(streams: DataFrame, key: str) -> DataFrame:
+    """The rows of ``reframed``, failing the job at a unit that is cut short."""
+    text = F.concat(F.lit("a unit of frame "), F.col(key).cast("string"), F.lit(" reaches past its end"))
+    return streams.where(F.when(F.col("ok"), True).otherwise(F.raise_error(text).cast("boolean"))).drop("ok")
 
 
 def elementary_streams(payloads: DataFrame, keys: list[str], order_by: str, payload: str = "payload") -> DataFrame:

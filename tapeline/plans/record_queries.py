@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ def structure_json(spark: SparkSession, d: str) -> DataFrame:
 
 def structure_headers(spark: SparkSession, d: str) -> DataFrame:
     rows = nested.structure(_known(spark, d)).select("file_id", F.explode("partitions").alias("p"))
-    return rows.select("file_id", F.col("p.index").alias("partition_index"), F.col("p.header.file_offset").alias("file_offset"), F.col("p.header.dts").alias("dts"), F.col("p.header.format_code").alias("format_code"), F.size("p.entries").cast("long").alias("entries"))
+    return rows.select("file_id", F.col("p.index").alias("partition_index"), F.col("p.header.file_offset").alias("file_offset"), F.col("p.header.dts").alias("dts"), F.col("p.header.format_code").alias("format_code"), F.array_join("p.header.payload", ",").alias("payload"), F.size("p.entries").cast("long").alias("entries"))
 
 
 def info_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +93,19 @@ def archive_scan(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "file_offset", "track_id", "sequence", "dts", "clock_rate", "data_size", "data_offset", "total_size", "keyframe", "packet_position", "sync_ms", F.hex("payload").alias("payload"))
 
 
+def archive_gzip(spark: SparkSession, d: str) -> DataFrame:
+    """The same logs compressed; every sixteenth one is cut in its last bytes."""
+
+    def squeeze(batches):
+        for batch in batches:
+            packed = [gzip.compress(x.as_py(), mtime=0) for x in batch.column(1)]
+            cut = [x[:-9] if int(k.as_py()) % 16 == 1 else x for k, x in zip(batch.column(0), packed, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], names=["file_id", "content"])
+
+    rows = archive.scan(_contents(spark, d).select("file_id", "content").mapInArrow(squeeze, "file_id string, content binary"), with_payload=False)
+    return rows.groupBy("file_id").agg(F.count_if(F.col("error").isNull()).alias("records"), F.max("error.code").alias("code"))
+
+
 def archive_errors(spark: SparkSession, d: str) -> DataFrame:
     return archive.errors(archive.scan(_contents(spark, d), with_payload=False)).select("file_id", "code", "offset")
 
@@ -146,7 +162,7 @@ def unit_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reframed(spark: SparkSession, d: str) -> DataFrame:
-    return units.reframed(s.payloads(spark, d), "frame_id", "is_plain").select("frame_id", F.md5("stream").alias("md5"))
+    return units.reframed(s.payloads(spark, d), "frame_id", "is_plain").select("frame_id", F.md5("stream").alias("md5"), "ok")
 
 
 def elementary_streams(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +173,8 @@ def elementary_streams(spark: SparkSession, d: str) -> DataFrame:
 def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The same streams in pieces of at least 1000 bytes."""
     rows = units.stream_chunks(s.payloads(spark, d), ["conv_id"], "turn", chunk=1000)
-    return rows.groupBy("conv_id").agg(F.sum(F.octet_length("content")).alias("bytes"), F.count("*").alias("chunks"))
+    joined = F.expr("listagg(content) WITHIN GROUP (ORDER BY chunk)")
+    return rows.groupBy("conv_id").agg(F.sum(F.octet_length("content")).alias("bytes"), F.count("*").alias("chunks"), F.md5(joined).alias("md5"))
 
 
 _GROUP = "CASE track_id WHEN 7 THEN 'Video (H.264)' WHEN 1004 THEN 'Video (AV1)' WHEN 1000 THEN 'Audio (AAC)' WHEN 55934 THEN 'Clock Syncs' WHEN 5 THEN 'Motion' WHEN 10 THEN 'Smart Events' END"
@@ -176,10 +193,11 @@ _SYNC_HEX = "lpad(hex(sync_ms // 1000), 8, '0') || lpad(hex(sync_ms % 1000 * 100
 QUERIES_SQL = {
     structure_json: f"""WITH {s.CLOCKED_SQL} SELECT file_id, partition_index, row_number() OVER (PARTITION BY file_id, partition_index ORDER BY file_offset) - 1 AS place,
 CASE track_id WHEN 55934 THEN 'ClockSync' WHEN 5 THEN 'Motion' WHEN 10 THEN 'SmartEvent' ELSE 'Frame' END AS kind, CASE WHEN track_id <> 55934 THEN track_id END AS track_id, CASE WHEN track_id = 55934 THEN sc_dts ELSE dts END AS dts,
-CASE WHEN track_id = 55934 THEN sc_rate ELSE clock_rate END AS clock_rate, CASE WHEN track_id = 55934 THEN sync_ms ELSE wc END AS wc, CASE WHEN track_id <> 55934 THEN data_offset END AS data_offset, CASE WHEN track_id <> 55934 THEN data_size END AS data_size,
+CASE WHEN track_id = 55934 THEN sc_rate ELSE clock_rate END AS clock_rate, CASE WHEN track_id = 55934 THEN sync_ms ELSE wc END AS wc, sync_nanos AS wc_nanoseconds, CASE WHEN track_id <> 55934 THEN data_offset END AS data_offset, CASE WHEN track_id <> 55934 THEN data_size END AS data_size,
 CASE WHEN track_id <> 55934 THEN sequence END AS sequence, CASE WHEN track_id <> 55934 THEN keyframe END AS keyframe, CASE WHEN media THEN packet_position END AS packet_position, CASE WHEN track_id IN (5, 10) THEN file_offset END AS file_offset
 FROM clk WHERE track_id <> 9""",
-    structure_headers: f"WITH {s.PARTITIONS_SQL} SELECT file_id, partition_index, min(file_offset) FILTER (track_id = 9) AS file_offset, arg_min(dts, file_offset) FILTER (track_id = 9) AS dts, arg_min(format_code, file_offset) FILTER (track_id = 9) AS format_code, count(*) FILTER (track_id <> 9) AS entries FROM part GROUP BY ALL",
+    structure_headers: f"""WITH {s.PARTITIONS_SQL}, h AS (SELECT file_id, partition_index, min(file_offset) FILTER (track_id = 9) AS file_offset, arg_min(dts, file_offset) FILTER (track_id = 9) AS dts, arg_min(format_code, file_offset) FILTER (track_id = 9) AS format_code, count(*) FILTER (track_id <> 9) AS entries FROM part GROUP BY ALL)
+SELECT *, concat_ws(',', file_offset // 16777216 % 256, file_offset // 65536 % 256, file_offset // 256 % 256, file_offset % 256) AS payload FROM h""",
     info_tree: f"""WITH {s.CLOCKED_SQL}, g AS (SELECT *, {_RANK} AS gr, {_GT} AS gt, {_GROUP} AS gn FROM clk WHERE track_id <> 9)
 SELECT file_id, partition_index, CAST(count(*) OVER (PARTITION BY file_id, partition_index) AS INTEGER) AS total_entries, dense_rank() OVER (PARTITION BY file_id, partition_index ORDER BY gr, gt) - 1 AS group_place,
 gn || ' (' || count(*) OVER (PARTITION BY file_id, partition_index, gr, gt) || ')' AS label, row_number() OVER (PARTITION BY file_id, partition_index, gr, gt ORDER BY file_offset) - 1 AS place,
@@ -208,6 +226,8 @@ CAST([0, 0, 1000, 8000, 11025, 12000, 16000, 22050, 24000, 32000, 44100, 48000,
 CAST(8 + CASE WHEN code % 16 = 1 THEN 4 ELSE 0 END + CASE WHEN b & 4 <> 0 THEN 8 ELSE 4 END + CASE WHEN b & 2 <> 0 THEN 4 ELSE 0 END + CASE WHEN b & 64 = 0 THEN 4 ELSE 0 END AS INTEGER) AS header_bytes FROM h""",
     archive_scan: f"""WITH {_FILE} SELECT file_id, begun AS file_offset, track_id, sequence, dts, clock_rate, CAST(psize AS BIGINT) AS data_size, begun + 20 AS data_offset, total_size, keyframe, 'Single' AS packet_position, sync_ms,
 CASE WHEN track_id = 55934 THEN {_SYNC_HEX} ELSE repeat('5A', psize) END AS payload FROM pos""",
+    archive_gzip: f"""WITH {_FILE} SELECT file_id, CASE WHEN CAST(file_id AS BIGINT) % 16 = 1 THEN 0 ELSE count(*) END AS records,
+CASE WHEN CAST(file_id AS BIGINT) % 16 = 1 THEN 'bad_gzip' WHEN CAST(file_id AS BIGINT) % 8 = 0 THEN 'bad_magic' END AS code FROM pos GROUP BY file_id""",
     archive_errors: f"WITH {_FILE} SELECT file_id, 'bad_magic' AS code, CAST(sum(total_size) AS BIGINT) AS \"offset\" FROM pos WHERE CAST(file_id AS BIGINT) % 8 = 0 GROUP BY file_id",
     error_policy: f"WITH {s.RECORDS_SQL} SELECT file_id, count(*) AS records, 'keep_prefix' AS mode FROM rec GROUP BY file_id UNION ALL SELECT file_id, count(*), 'drop_file' FROM rec WHERE CAST(file_id AS BIGINT) % 8 <> 0 GROUP BY file_id",
     track_filter: f"""WITH {s.RECORDS_SQL}, z AS (SELECT file_offset, CASE WHEN file_offset % 17 = 0 THEN 1 WHEN file_offset % 19 = 0 THEN 4242 ELSE track_id END AS track_id FROM rec)
@@ -228,10 +248,12 @@ f AS (SELECT file_id, string_agg(x, '' ORDER BY file_offset) || CASE WHEN CAST(f
     unit_split: f"""WITH {_UNITS}, z AS (SELECT frame_id, broken, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS unit, len(parts) AS n FROM uni)
 SELECT frame_id, unit, md5(encode(p)) AS md5, octet_length(encode(p)) AS bytes, true AS ok FROM z UNION ALL SELECT frame_id, len(parts), md5(encode('A')), 1, false FROM uni WHERE broken""",
     reframed: f"""WITH {_UNITS}, z AS (SELECT frame_id, turn, broken, unnest(parts) AS p, generate_subscripts(parts, 1) AS i FROM uni)
-SELECT frame_id, md5(unhex(string_agg(CASE WHEN turn % 3 = 2 THEN lpad(hex(octet_length(encode(p))), 8, '0') ELSE '00000001' END || hex(encode(p)), '' ORDER BY i) || CASE WHEN any_value(turn) % 3 = 2 AND any_value(broken) THEN '000000FF41' ELSE '' END)) AS md5 FROM z GROUP BY frame_id""",
+SELECT frame_id, md5(unhex(string_agg(CASE WHEN turn % 3 = 2 THEN lpad(hex(octet_length(encode(p))), 8, '0') ELSE '00000001' END || hex(encode(p)), '' ORDER BY i) || CASE WHEN any_value(turn) % 3 = 2 AND any_value(broken) THEN '000000FF41' ELSE '' END)) AS md5, any_value(turn) % 3 = 2 OR NOT any_value(broken) AS ok FROM z GROUP BY frame_id""",
     elementary_streams: f"""WITH {_UNITS}, z AS (SELECT conv_id, turn, broken, unnest(parts) AS p, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM uni),
 x AS (SELECT conv_id, string_agg(lpad(hex(octet_length(encode(p))), 8, '0') || hex(encode(p)) || CASE WHEN broken AND i = n THEN '000000FF41' ELSE '' END, '' ORDER BY turn, i) AS h FROM z GROUP BY conv_id) SELECT conv_id, md5(unhex(h)) AS md5, length(h) // 2 AS bytes FROM x""",
     stream_chunks: f"""WITH RECURSIVE {_UNITS}, w AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CAST(list_sum([octet_length(encode(p)) + 4 FOR p IN parts]) + CASE WHEN broken THEN 5 ELSE 0 END AS BIGINT) AS b FROM uni),
-c AS (SELECT conv_id, i, b AS held, 1::BIGINT AS n FROM w WHERE i = 1 UNION ALL SELECT c.conv_id, w.i, CASE WHEN held >= 1000 THEN w.b ELSE held + w.b END, CASE WHEN held >= 1000 THEN n + 1 ELSE n END FROM c JOIN w ON w.conv_id = c.conv_id AND w.i = c.i + 1)
-SELECT conv_id, (SELECT CAST(sum(b) AS BIGINT) FROM w WHERE w.conv_id = c.conv_id) AS bytes, max(n) AS chunks FROM c GROUP BY conv_id""",
+c AS (SELECT conv_id, i, b AS held, 1::BIGINT AS n FROM w WHERE i = 1 UNION ALL SELECT c.conv_id, w.i, CASE WHEN held >= 1000 THEN w.b ELSE held + w.b END, CASE WHEN held >= 1000 THEN n + 1 ELSE n END FROM c JOIN w ON w.conv_id = c.conv_id AND w.i = c.i + 1),
+z AS (SELECT conv_id, turn, broken, unnest(parts) AS p, generate_subscripts(parts, 1) AS i, len(parts) AS m FROM uni),
+x AS (SELECT conv_id, md5(unhex(string_agg(lpad(hex(octet_length(encode(p))), 8, '0') || hex(encode(p)) || CASE WHEN broken AND i = m THEN '000000FF41' ELSE '' END, '' ORDER BY turn, i))) AS md5 FROM z GROUP BY conv_id)
+SELECT conv_id, (SELECT CAST(sum(b) AS BIGINT) FROM w WHERE w.conv_id = c.conv_id) AS bytes, max(n) AS chunks, any_value(md5) AS md5 FROM c JOIN x USING (conv_id) GROUP BY conv_id""",
 }

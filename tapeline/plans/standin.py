@@ -35,7 +35,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     sync = F.col("track_id") == tracks.SYNC
     rows = rows.withColumn("clock_rate", rate)
     return rows.select(
-        "*", _div(rel * F.col("clock_rate"), 1000).alias("dts"), F.when(sync, rel + at % 7).alias("sc_dts"), F.when(sync, F.lit(1000).cast("long")).alias("sc_rate"), F.when(sync, F.col("wall_ms")).alias("sync_ms"),
+        "*", _div(rel * F.col("clock_rate"), 1000).alias("dts"), F.when(sync, rel + at % 7).alias("sc_dts"), F.when(sync, F.lit(1000).cast("long")).alias("sc_rate"), F.when(sync, F.col("wall_ms")).alias("sync_ms"), F.when(sync, F.col("wall_ms") % 1000 * 1_000_000 + at % 1_000_000).alias("sync_nanos"),
+        F.when(F.col("track_id") == tracks.HEADER, F.unhex(F.lpad(F.hex(at), 8, "0"))).alias("payload"),
         (at % 3000 + 16).alias("data_size"), (at * 4096 + 20).alias("data_offset"), (at % 65536).cast("int").alias("sequence"), (at % 4 == 0).alias("keyframe"), (at % 16 + 64768).cast("int").alias("format_code"),
         F.when(at % 50 == 0, "First").when(at % 50 == 1, "Last").otherwise("Single").alias("packet_position"),
     )
@@ -63,7 +64,8 @@ rec1 AS (SELECT *, CAST(CASE WHEN track_id IN (7, 1004, 9) THEN 90000 WHEN track
 rec AS (
   SELECT *, (wall_ms - {EPOCH_MS}) * clock_rate // 1000 AS dts, file_offset % 3000 + 16 AS data_size, file_offset * 4096 + 20 AS data_offset, CAST(file_offset % 65536 AS INTEGER) AS sequence,
          file_offset % 4 = 0 AS keyframe, CAST(file_offset % 16 + 64768 AS INTEGER) AS format_code, CASE file_offset % 50 WHEN 0 THEN 'First' WHEN 1 THEN 'Last' ELSE 'Single' END AS packet_position,
-         CASE WHEN track_id = 55934 THEN wall_ms - {EPOCH_MS} + file_offset % 7 END AS sc_dts, CASE WHEN track_id = 55934 THEN 1000::BIGINT END AS sc_rate, CASE WHEN track_id = 55934 THEN wall_ms END AS sync_ms
+         CASE WHEN track_id = 55934 THEN wall_ms - {EPOCH_MS} + file_offset % 7 END AS sc_dts, CASE WHEN track_id = 55934 THEN 1000::BIGINT END AS sc_rate, CASE WHEN track_id = 55934 THEN wall_ms END AS sync_ms,
+         CASE WHEN track_id = 55934 THEN wall_ms % 1000 * 1000000 + file_offset % 1000000 END AS sync_nanos
   FROM rec1)"""
 PARTITIONS_SQL = f"""{RECORDS_SQL},
 part AS (SELECT * FROM (SELECT *, CAST(sum(CASE WHEN track_id = 9 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY file_offset) - 1 AS INTEGER) AS partition_index FROM rec) WHERE partition_index >= 0)"""

@@ -25,6 +25,20 @@ def asof_wall_clock(spark: SparkSession, d: str) -> DataFrame:
     return s.frames(spark, d).select("file_id", "file_offset", "partition_index", "track_id", "dts", "clock_rate", "wc", "wc_ms", "has_sync")
 
 
+def _with_dead_syncs(spark: SparkSession, d: str) -> DataFrame:
+    return s.partitions(spark, d).withColumn("sc_rate", F.when(F.col("file_offset") % 5 == 0, F.lit(0).cast("long") * F.col("sc_rate")).otherwise(F.col("sc_rate")))
+
+
+def zero_rate_syncs(spark: SparkSession, d: str) -> DataFrame:
+    """Wall clocks where a fifth of the clock syncs have no rate."""
+    rows = timeline.media_rows(timeline.with_wall_clock(_with_dead_syncs(spark, d)))
+    return rows.select("file_id", "file_offset", "wc", "wc_ms", "has_sync", "bad_sync")
+
+
+def sync_errors(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.sync_errors(_with_dead_syncs(spark, d))
+
+
 def wall_clock_steps(spark: SparkSession, d: str) -> DataFrame:
     return timeline.wall_clock_steps(s.frames(spark, d)).select("file_id", "file_offset", "delta_ms")
 
@@ -106,23 +120,15 @@ def main_video_track(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _starts(spark: SparkSession, d: str) -> DataFrame:
-    frames = s.frames(spark, d)
-    first = frames.groupBy(*BY_TRACK).agg(F.min("file_offset").alias("first_offset"))
-    return repair.start_times(repair.track_summary(frames).join(first, BY_TRACK))
+    return repair.start_times(repair.track_facts(s.frames(spark, d)))
 
 
 def start_times(spark: SparkSession, d: str) -> DataFrame:
-    return _starts(spark, d)
+    return _starts(spark, d).drop("video_track")
 
 
 def first_partition_report(spark: SparkSession, d: str) -> DataFrame:
-    frames = s.frames(spark, d)
-    n = s.partitions(spark, d).groupBy("file_id").agg(F.count_distinct("partition_index").alias("partitions"))
-    rows = repair.track_summary(frames).where("partition_index = 0")
-    video, audio = tracks.is_video(F.col("track_id")), tracks.is_audio(F.col("track_id"))
-    sums = rows.groupBy("file_id").agg(F.count("*").alias("tracks"), F.sum("frames").alias("frames"), F.max(F.when(video, F.col("nominal_rate"))).alias("fps"), F.max(F.when(audio, F.col("clock_rate"))).alias("hz"))
-    starts = _starts(spark, d).where("partition_index = 0").select("file_id", "start_ms")
-    return n.join(sums, "file_id", "left").join(starts, "file_id", "left")
+    return repair.first_partition_report(repair.track_facts(s.clocked(spark, d)))
 
 
 def constant_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -131,18 +137,19 @@ def constant_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variable_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Packets of the first video track, and of audio whose every third frame stands on another track."""
     frames = s.frames(spark, d)
     more = frames.withColumn("track_id", F.when((F.col("track_id") == 1000) & (F.col("file_offset") % 3 == 0), 1002).otherwise(F.col("track_id")))
-    first = repair.track_counts(more).select(*KEY, "first_audio_track")
-    return repair.variable_plan(more, KEY, "file_offset", first).select("file_id", "file_offset", "track_id", "repaired", "duration", "mixed_audio")
+    video = F.min_by("track_id", F.when(tracks.is_video(F.col("track_id")), F.col("file_offset")))
+    first = more.groupBy(*KEY).agg(F.min_by("track_id", F.when(tracks.is_audio(F.col("track_id")), F.col("file_offset"))).alias("first_audio_track"), video.alias("video_track"))
+    return repair.variable_plan(more, KEY, "file_offset", first).select("file_id", "file_offset", "track_id", "repaired", "duration", "mixed_audio", "key")
 
 
 def longest_dts(spark: SparkSession, d: str) -> DataFrame:
-    frames = s.frames(spark, d)
-    last = repair.corrections(repair.monotonic(frames, BY_TRACK, "dts", "file_offset"), BY_TRACK).select(*BY_TRACK, "last_dts")
-    rows = tracks.with_tracks(repair.track_summary(frames)).join(last, BY_TRACK)
+    frames = repair.monotonic(s.frames(spark, d), BY_TRACK, "dts", "file_offset")
+    rows = tracks.with_tracks(repair.track_facts(frames, last_dts=F.max("repaired")))
     rows = rows.select(*BY_TRACK, "frames", "last_dts", "clock_rate", "type_char", F.col("nominal_rate").alias("fps"), F.coalesce("samples_per_frame", F.lit(1024)).cast("long").alias("samples"))
-    return repair.longest_dts(rows).select(*BY_TRACK, "constant_max", "variable_max", "overflows", "timescale")
+    return repair.longest_dts(rows).select(*BY_TRACK, "constant_max", "variable_max", "overflows", "timescale", "constant_timescale")
 
 
 def selected_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +162,8 @@ def interleaved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequence_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return repair.sequence_numbers(s.records(spark, d), ["track_id"], "file_offset").select("file_offset", "track_id", "sequence16")
+    """Numbers of each file's track, the writer's scope."""
+    return repair.sequence_numbers(s.records(spark, d), ["file_id", "track_id"], "file_offset").select("file_id", "file_offset", "track_id", "sequence16")
 
 
 def layout_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -164,10 +172,9 @@ def layout_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def export_plan(spark: SparkSession, d: str) -> DataFrame:
-    starts = _starts(spark, d)
     named = s.paths(spark, d).select((F.col("c_custkey") - 1).cast("string").alias("file_id"), "path")
-    codec = tracks.with_tracks(repair.main_video_track(s.frames(spark, d)).withColumnRenamed("video_track", "track_id")).select("file_id", "extension")
-    rows = starts.join(named, "file_id").join(codec, "file_id")
+    starts = tracks.with_tracks(_starts(spark, d).withColumn("track_id", F.coalesce("video_track", F.lit(0))))
+    rows = starts.select(*KEY, "start_ms", "extension").join(named, "file_id")
     return repair.export_plan(rows, "SRC-FOLDER", mp4=False).select("file_id", "partition_index", "output", "collides")
 
 
@@ -211,6 +218,11 @@ QUERIES_SQL = {
     section_summary: f"WITH {s.SECTIONS_SQL} SELECT * FROM sections",
     partition_assignment: f"WITH {s.PARTITIONS_SQL} SELECT file_id, file_offset, track_id, partition_index FROM part",
     asof_wall_clock: f"WITH {s.CLOCKED_SQL} SELECT file_id, file_offset, partition_index, track_id, dts, clock_rate, wc, wc_ms, has_sync FROM frm",
+    zero_rate_syncs: f"""WITH {s.PARTITIONS_SQL}, p2 AS (SELECT *, CASE WHEN track_id = 55934 THEN CASE WHEN file_offset % 5 = 0 THEN 0 ELSE 1000 END END AS sr FROM part),
+z AS (SELECT *, last_value(sc_dts IGNORE NULLS) OVER w AS s_dts, last_value(sync_ms IGNORE NULLS) OVER w AS s_ms, last_value(sr IGNORE NULLS) OVER w AS s_rate FROM p2 WINDOW w AS (PARTITION BY file_id, partition_index ORDER BY file_offset ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+y AS (SELECT *, CASE WHEN s_rate = 0 THEN NULL WHEN s_rate IS NULL THEN 0 ELSE greatest(dts + {s._SCALED.format(x="s_ms", r="clock_rate", b="1000")} - {s._SCALED.format(x="s_dts", r="clock_rate", b="1000")}, 0) END AS wc FROM z WHERE track_id IN (7, 1000, 1004))
+SELECT file_id, file_offset, wc, CASE WHEN clock_rate = 0 AND wc IS NOT NULL THEN 0 ELSE (wc // clock_rate) * 1000 + ((wc % clock_rate) * 1000 + clock_rate // 2) // clock_rate END AS wc_ms, coalesce(s_rate, 0) <> 0 AS has_sync, coalesce(s_rate = 0, false) AS bad_sync FROM y""",
+    sync_errors: f"""WITH {s.PARTITIONS_SQL} SELECT file_id, 'zero_sync_rate' AS code, file_offset AS "offset" FROM part WHERE track_id = 55934 AND file_offset % 5 = 0""",
     wall_clock_steps: f"WITH {s.CLOCKED_SQL} SELECT file_id, file_offset, coalesce(wc_ms - lag(wc_ms) OVER (PARTITION BY file_id, partition_index ORDER BY file_offset), 0) AS delta_ms FROM frm",
     dts_steps: f"WITH {s.CLOCKED_SQL}, {_TRACK_STEPS.format(v='dts')} SELECT file_id, file_offset, track_id, step FROM ts2",
     track_rates: f"WITH {s.CLOCKED_SQL}, {_TRACK_RATES.format(v='dts')} SELECT * FROM tra",
@@ -241,23 +253,32 @@ SELECT *, CASE WHEN rate <> 0 AND max_dts > 2147483647 THEN least(greatest(21474
     main_video_track: f"WITH {s.CLOCKED_SQL} SELECT file_id, coalesce(arg_min(track_id, file_offset) FILTER (track_id <> 1000), 0) AS video_track FROM frm GROUP BY ALL",
     start_times: f"WITH {s.CLOCKED_SQL}, {_SUMMARY} SELECT * FROM sta",
     first_partition_report: f"""WITH {s.CLOCKED_SQL}, {_SUMMARY}, n AS (SELECT file_id, count(DISTINCT partition_index) AS partitions FROM part GROUP BY file_id),
-z AS (SELECT file_id, count(*) AS tracks, CAST(sum(frames) AS BIGINT) AS frames, max(nominal_rate) FILTER (track_id <> 1000) AS fps, max(clock_rate) FILTER (track_id = 1000) AS hz FROM tsu WHERE partition_index = 0 GROUP BY file_id)
-SELECT n.file_id, partitions, tracks, frames, fps, hz, start_ms FROM n LEFT JOIN z USING (file_id) LEFT JOIN (SELECT file_id, start_ms FROM sta WHERE partition_index = 0) USING (file_id)""",
+v AS (SELECT file_id, arg_min(track_id, file_offset) FILTER (track_id <> 1000) AS chosen FROM frm GROUP BY file_id),
+z AS (SELECT file_id, count(*) AS tracks, CAST(sum(frames) FILTER (track_id = 1000 OR track_id = chosen) AS BIGINT) AS frames, max(CASE track_id WHEN 7 THEN 'h264' ELSE 'av1' END) FILTER (track_id = chosen) AS video_codec,
+      max(nominal_rate) FILTER (track_id = chosen) AS fps, CAST(sum(frames) FILTER (track_id = chosen) AS BIGINT) AS video_frames, max('aac') FILTER (track_id = 1000) AS audio_codec, max(clock_rate) FILTER (track_id = 1000) AS hz,
+      CAST(sum(frames) FILTER (track_id = 1000) AS BIGINT) AS audio_frames, CASE WHEN bool_or(track_id = chosen) THEN max(start_ms) FILTER (track_id = chosen) ELSE max(start_ms) FILTER (track_id = 1000) END AS start_ms
+      FROM tsu JOIN v USING (file_id) WHERE partition_index = 0 GROUP BY file_id)
+SELECT n.file_id, partitions, tracks, frames, video_codec, fps, video_frames, audio_codec, hz, audio_frames, start_ms FROM n LEFT JOIN z USING (file_id)""",
     constant_plan: f"""WITH {s.CLOCKED_SQL}, {_TRACK_RATES.format(v='dts')} SELECT file_id, file_offset, (row_number() OVER (PARTITION BY {_KEYS3} ORDER BY file_offset) - 1) * CASE WHEN track_id = 1000 THEN 1024 ELSE 1 END AS pts,
 CAST(CASE WHEN track_id = 1000 THEN 1024 ELSE 1 END AS BIGINT) AS duration, export_fps AS effective_fps FROM frm JOIN (SELECT {_KEYS3}, export_fps FROM tra) USING ({_KEYS3})""",
     variable_plan: f"""WITH RECURSIVE {s.CLOCKED_SQL}, aud AS (SELECT file_id, partition_index, file_offset, dts, CASE WHEN file_offset % 3 = 0 THEN 1002 ELSE 1000 END AS track_id FROM frm WHERE track_id = 1000),
 fst AS (SELECT file_id, partition_index, arg_min(track_id, file_offset) AS f FROM aud GROUP BY ALL), src AS (SELECT a.* FROM aud a JOIN fst USING (file_id, partition_index) WHERE track_id = f),
 {_repair('file_id, partition_index', 'dts', 'src')},
 tim AS (SELECT file_id, partition_index, i, repaired, {_DURATION} AS duration FROM rpr WINDOW w AS (PARTITION BY file_id, partition_index ORDER BY i)),
-al AS (SELECT *, row_number() OVER (PARTITION BY file_id, partition_index ORDER BY file_offset) AS i FROM aud)
-SELECT file_id, file_offset, track_id, repaired, duration, track_id <> f AS mixed_audio FROM al JOIN tim USING (file_id, partition_index, i) JOIN fst USING (file_id, partition_index)""",
+al AS (SELECT *, row_number() OVER (PARTITION BY file_id, partition_index ORDER BY file_offset) AS i FROM aud),
+vid AS (SELECT * FROM frm JOIN (SELECT file_id, partition_index, arg_min(track_id, file_offset) AS chosen FROM frm WHERE track_id <> 1000 GROUP BY ALL) USING (file_id, partition_index) WHERE track_id = chosen),
+vno AS (SELECT *, row_number() OVER w AS i, greatest(dts - first_value(dts) OVER w, 0) AS b FROM vid WINDOW w AS (PARTITION BY file_id, partition_index ORDER BY file_offset)),
+vrp AS (SELECT file_id, partition_index, i, b AS repaired FROM vno WHERE i = 1 UNION ALL SELECT n.file_id, n.partition_index, n.i, greatest(n.b, p.repaired + 1) FROM vrp p JOIN vno n ON n.file_id = p.file_id AND n.partition_index = p.partition_index AND n.i = p.i + 1)
+SELECT file_id, file_offset, track_id, repaired, duration, track_id <> f AS mixed_audio, false AS key FROM al JOIN tim USING (file_id, partition_index, i) JOIN fst USING (file_id, partition_index)
+UNION ALL SELECT file_id, file_offset, track_id, repaired, {_DURATION} AS duration, false, keyframe FROM vrp JOIN vno USING (file_id, partition_index, i) WINDOW w AS (PARTITION BY file_id, partition_index ORDER BY i)""",
     longest_dts: f"""WITH RECURSIVE {s.CLOCKED_SQL}, {_SUMMARY}, {_repair(_KEYS3, 'dts', 'frm')}, l AS (SELECT {_KEYS3}, max(repaired) AS variable_max FROM rpr GROUP BY ALL),
 j AS (SELECT *, CASE WHEN track_id = 1000 THEN (frames - 1) * 1024 ELSE (frames - 1) * clock_rate // nominal_rate END AS constant_max FROM tsu JOIN l USING ({_KEYS3}))
-SELECT {_KEYS3}, constant_max, variable_max, greatest(constant_max, variable_max) > 2147483647 AS overflows, CASE WHEN clock_rate <> 0 AND variable_max > 2147483647 THEN least(greatest(2147483647 * clock_rate // variable_max * 95 // 100, 1), clock_rate) END AS timescale FROM j""",
+SELECT {_KEYS3}, constant_max, variable_max, greatest(constant_max, variable_max) > 2147483647 AS overflows, CASE WHEN clock_rate <> 0 AND variable_max > 2147483647 THEN least(greatest(2147483647 * clock_rate // variable_max * 95 // 100, 1), clock_rate) END AS timescale,
+CASE WHEN clock_rate <> 0 AND constant_max > 2147483647 THEN least(greatest(2147483647 * clock_rate // constant_max * 95 // 100, 1), clock_rate) END AS constant_timescale FROM j""",
     selected_rows: f"WITH {s.CLOCKED_SQL} SELECT file_id, file_offset, track_id FROM frm WHERE track_id IN (7, 1000)",
     interleaved: f"""WITH {s.CLOCKED_SQL}, h AS (SELECT file_id, file_offset, track_id = 1000 AS a, max(ticks) OVER (PARTITION BY file_id, track_id = 1000 ORDER BY file_offset) AS hi FROM frm)
 SELECT file_id, file_offset, row_number() OVER (PARTITION BY file_id ORDER BY hi, a, file_offset) AS place FROM h""",
-    sequence_numbers: f"WITH {s.RECORDS_SQL} SELECT file_offset, track_id, CAST((row_number() OVER (PARTITION BY track_id ORDER BY file_offset) - 1) % 65536 AS INTEGER) AS sequence16 FROM rec",
+    sequence_numbers: f"WITH {s.RECORDS_SQL} SELECT file_id, file_offset, track_id, CAST((row_number() OVER (PARTITION BY file_id, track_id ORDER BY file_offset) - 1) % 65536 AS INTEGER) AS sequence16 FROM rec",
     layout_plan: f"""WITH {s.RECORDS_SQL}, z AS (SELECT *, (12 + file_offset % 3 * 4 + 4 + data_size) AS b FROM rec), y AS (SELECT *, b + (4 - b % 4) % 4 + 4 AS written_size FROM z)
 SELECT file_id, file_offset, written_size, CAST(coalesce(sum(written_size) OVER (PARTITION BY file_id ORDER BY file_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS written_offset FROM y""",
     export_plan: f"""WITH {s.CLOCKED_SQL}, {_SUMMARY}, {s.PATHS_SQL}, v AS (SELECT file_id, coalesce(CASE arg_min(track_id, file_offset) FILTER (track_id <> 1000) WHEN 7 THEN 'h264' WHEN 1004 THEN 'av1' END, 'h264') AS ext FROM frm GROUP BY ALL),

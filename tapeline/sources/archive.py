@@ -18,7 +18,7 @@ from tapeline.functions import decode
 
 #: Payloads up to this many bytes are kept in the scan.
 INLINE = 1024
-RAW = "file_id string, file_offset long, head binary, payload binary, error struct<code:string,offset:bigint,message:string>"
+RAW = "file_id string, file_offset long, head binary, payload binary, error struct<code:string,offset:bigint,message:string>, broken boolean"
 
 
 def list_files(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, list[str]]:
@@ -76,12 +76,19 @@ def _walk(data: bytes) -> Iterator[tuple[int, bytes | None, bytes | None, dict |
         at += header + 4 + size + -(at + header + 4 + size) % 4 + 4
 
 
+def _is_broken(head: bytes, payload: bytes | None) -> bool:
+    """Whether a record decodes to an error: a timestamp above 2^63, or a clock sync that is too short."""
+    at = 12 if head[5] & 0x0F == 1 else 8
+    too_large = bool(head[4] & decode.DTS_64) and head[at] >= 0x80
+    return too_large or (head[1:3] == b"\xda\x7e" and payload is not None and len(payload) < 8)
+
+
 def scan(contents: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Decoded records and error rows of (file_id, content)."""
+    """Decoded records and error rows of (file_id, content); ``broken`` on every row tells whether its file has an error anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.struct([("code", pa.string()), ("offset", pa.int64()), ("message", pa.string())])]
-        names = ["file_id", "file_offset", "head", "payload", "error"]
+        kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.struct([("code", pa.string()), ("offset", pa.int64()), ("message", pa.string())]), pa.bool_()]
+        names = ["file_id", "file_offset", "head", "payload", "error", "broken"]
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_py() or b""
@@ -89,9 +96,10 @@ def scan(contents: DataFrame, with_payload: bool = True) -> DataFrame:
                 try:
                     data = zlib.decompress(data, wbits=31) if data[:2] == b"\x1f\x8b" else data
                 except zlib.error as broken:
-                    data, rows = b"", [(name, 0, None, None, {"code": "bad_gzip", "offset": 0, "message": str(broken)})]
+                    data, rows = b"", [(name, 0, None, None, {"code": "bad_gzip", "offset": 0, "message": str(broken)}, True)]
+                bad = any(error or _is_broken(head, payload) for _, head, payload, error in _walk(data))
                 for at, head, payload, error in _walk(data):
-                    rows.append((name, at, head, payload if with_payload else None, error))
+                    rows.append((name, at, head, payload if with_payload or head and head[1:3] == b"\xda\x7e" else None, error, bad))
                     if len(rows) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
                         rows = []
@@ -117,7 +125,7 @@ def decoded(raw: DataFrame) -> DataFrame:
         F.when(wide, decode.unsigned(head, dts_at, 8)).otherwise(decode.unsigned(head, dts_at, 4)).alias("dts"),
         F.when(own_rate, decode.unsigned(head, rate_at, 4)).otherwise(decode.table_rate(code)).alias("clock_rate"),
         F.when(more, decode.unsigned(head, extra_at, 4)).alias("extra"), F.when(~decode.has(code, 0x40), decode.unsigned(head, duration_at, 4)).alias("duration"),
-        decode.unsigned(head, F.col("header_bytes"), 4).alias("data_size"), "header_bytes", decode.has(code, decode.KEYFRAME).alias("keyframe"), decode.packet_position(code).alias("packet_position"), "payload", "error",
+        decode.unsigned(head, F.col("header_bytes"), 4).alias("data_size"), "header_bytes", decode.has(code, decode.KEYFRAME).alias("keyframe"), decode.packet_position(code).alias("packet_position"), "payload", "error", "broken",
     )
     size, header, at = F.col("data_size"), F.col("header_bytes").cast("long"), F.col("file_offset")
     rows = rows.withColumn("data_offset", decode.data_offset(at, header)).withColumn("total_size", decode.total_size(at, header, size))
@@ -126,7 +134,8 @@ def decoded(raw: DataFrame) -> DataFrame:
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("dts").isNull(), told("dts_range", F.lit("timestamp above 2^63"))).when(short_sync, told("short_sync", F.concat(F.lit("clock sync at 0x"), F.lower(F.hex(at)), F.lit(" is too short"))))
     rows = rows.withColumn("error", error)
     sync = F.when(F.col("track_id") == 0xDA7E, decode.sync_ms(F.col("payload")))
-    return rows.withColumn("sync_ms", sync).withColumn("sc_dts", F.when(sync.isNotNull(), F.col("dts"))).withColumn("sc_rate", F.when(sync.isNotNull(), F.col("clock_rate")))
+    nanos = F.when(F.col("track_id") == 0xDA7E, decode.unsigned(F.col("payload"), 4, 4))
+    return rows.withColumn("sync_ms", sync).withColumn("sync_nanos", nanos).withColumn("sc_dts", F.when(sync.isNotNull(), F.col("dts"))).withColumn("sc_rate", F.when(sync.isNotNull(), F.col("clock_rate")))
 
 
 def errors(records: DataFrame) -> DataFrame:
@@ -134,14 +143,13 @@ def errors(records: DataFrame) -> DataFrame:
 
 
 def with_policy(records: DataFrame, mode: str = "drop_file") -> DataFrame:
-    """``drop_file``: no rows of a file with an error; ``keep_prefix``: its rows up to the error; ``failfast``: the job fails."""
+    """``drop_file``: no rows of a file with an error; ``keep_prefix``: its rows up to the error; ``failfast``: the job fails. Rows tell for themselves, so nothing is read twice."""
     if mode == "failfast":
         text = F.concat(F.col("file_id"), F.lit(": "), F.col("error.message"))
-        return records.where(F.when(F.col("error").isNotNull(), F.raise_error(text).cast("boolean")).otherwise(True)).drop("error")
+        return records.where(F.when(F.col("error").isNotNull(), F.raise_error(text).cast("boolean")).otherwise(True)).drop("error", "broken")
     if mode == "keep_prefix":
-        return records.where("error is null").drop("error")
-    bad = records.where("error is not null").select("file_id").distinct()
-    return records.where("error is null").drop("error").join(bad, "file_id", "left_anti")
+        return records.where("error is null").drop("error", "broken")
+    return records.where("not broken").drop("error", "broken")
 
 
 def encoded(track: Column, code: Column, sequence: Column, dts: Column, payload: Column) -> Column:

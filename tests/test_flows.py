@@ -28,6 +28,23 @@ def test_scan_of_files(spark, tmp_path):
         archive.with_policy(rows, "failfast").collect()
 
 
+def test_whole_files_are_dropped_without_a_second_read(spark):
+    late = bytes.fromhex(HEAD + "a0da7e0444020000" + "00000000000000010000000300112233" + "00000020")
+    rows = archive.scan(spark.createDataFrame([("good", bytes.fromhex(HEAD)), ("late", late)], "file_id string, content binary"))
+    kept = archive.with_policy(rows, "drop_file")
+    assert [r.file_id for r in kept.collect()] == ["good"] and {r.code for r in archive.errors(rows).collect()} <= {"short_sync", "checksum"}
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nanoseconds_and_header_bytes(spark):
+    sync = bytes.fromhex("a0da7e04f902000043e5bd6e00000008645dc61234edce0500000018")
+    rows = archive.scan(spark.createDataFrame([("f", bytes.fromhex(HEAD) + sync)], "file_id string, content binary"))
+    known = tracks.known_rows(timeline.with_wall_clock(timeline.with_partitions(rows)))
+    part = nested.structure(known).first().partitions[0]
+    entry = part.entries[0].ClockSync
+    assert (entry.wc_ms, entry.wc_seconds, entry.wc_nanoseconds) == (1683867154888, 1683867154, 0x34EDCE05) and part.header.payload == [0] * 20
+
+
 def test_structure_round_trip(spark, tmp_path):
     rows = [("f", 0, 9, 0, 90000), ("f", 10, 0xDA7E, 500, 1000), ("f", 20, 7, 45000, 90000), ("f", 30, 1000, 8000, 16000), ("f", 40, 5, 600, 1000)]
     df = spark.createDataFrame(rows, "file_id string, file_offset long, track_id int, dts long, clock_rate long")
@@ -75,6 +92,11 @@ def test_units_and_masks(spark):
     df = spark.createDataFrame([(1, bytes.fromhex("00000002AABB00000001CC"), False), (2, bytes.fromhex("00000002AABB00000001CC"), True), (3, bytes.fromhex("00000009AA"), False), (4, None, False)], "k long, payload binary, plain boolean")
     got = {r.k: bytes(r.stream).hex() for r in units.reframed(df, "k", "plain").collect()}
     assert got == {1: "00000001aabb00000001cc", 2: "00000002aabb00000001cc", 3: "", 4: ""}
+    cut = spark.createDataFrame([(5, bytes.fromhex("00000002AABB00000009AA"), False)], df.schema)
+    assert [(bytes(r.stream).hex(), r.ok) for r in units.reframed(cut, "k", "plain").collect()] == [("00000001aabb", False)]
+    assert units.complete(units.reframed(df.where("k < 3"), "k", "plain"), "k").count() == 2
+    with pytest.raises(Exception, match="a unit of frame 5 reaches past its end"):
+        units.complete(units.reframed(cut, "k", "plain"), "k").collect()
     assert [(r.unit, r.ok) for r in units.split_units(df.where("k in (1, 3)"), "k").orderBy("k", "unit").collect()] == [(0, True), (1, True), (0, False)]
     row = spark.range(1).select(mask.zeroed_content(F.unhex(F.lit("0102030405")), F.array(F.struct(F.lit(1).cast("long").alias("start"), F.lit(2).cast("long").alias("size")))).alias("x"), mask.masked_payload(F.unhex(F.lit("0102")), F.lit(True)).alias("y"), mask.anonymised_name(F.lit("/a/b.ubv")).alias("z"), mask.anonymised_name(F.lit("b.ubv.gz")).alias("w")).first()
     assert (bytes(row.x).hex(), bytes(row.y).hex(), row.z, row.w) == ("0100000405", "0000", "anonymised-b.ubv.gz", None)
@@ -86,4 +108,8 @@ def test_registry(spark, tmp_path):
     assert {r.mac: r.camera_name for r in catalog.with_camera_names(files, cams).collect()} == {"AABBCCDDEEFF": "Door", "001122334455": None, None: None, "0A0A0A0A0A0A": None}
     assert catalog.upserted(cams, files).count() == 5
     catalog.save_registry(cams, str(tmp_path / "reg"))
-    assert spark.read.json(str(tmp_path / "reg")).count() == 2
+    document = spark.read.text(str(tmp_path / "reg")).first().value
+    assert json.loads(document) == {"cameras": [{"mac": "AABBCCDDEEFF", "name": "Door"}, {"mac": "aabbccddeeff", "name": "Gate"}]}
+    assert [tuple(r) for r in catalog.load_registry(spark, str(tmp_path / "reg")).orderBy("pos").collect()] == [(0, "AABBCCDDEEFF", "Door"), (1, "aabbccddeeff", "Gate")]
+    (tmp_path / "bad.json").write_text("{not json")
+    assert catalog.load_registry(spark, str(tmp_path / "bad.json")).count() == catalog.load_registry(spark, str(tmp_path / "none.json")).count() == 0
