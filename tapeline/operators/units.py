@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.functions import tracks
+
 START_CODE = b"\x00\x00\x00\x01"
 
 
@@ -43,24 +45,37 @@ def split_units(frames: DataFrame, key: str, payload: str = "payload") -> DataFr
     return frames.select(key, payload).mapInArrow(run, f"{key} {kind}, unit int, at int, data binary, ok boolean")
 
 
-def reframed(frames: DataFrame, key: str, is_plain: str, payload: str = "payload") -> DataFrame:
-    """key, stream, ok: length prefixes replaced by start codes; frames with ``is_plain`` pass unchanged.
+def reframed(frames: DataFrame, key: str | list[str], is_plain: str, payload: str = "payload") -> DataFrame:
+    """The columns of ``key``, stream, ok: length prefixes replaced by start codes; frames with ``is_plain`` pass unchanged.
 
     A unit that is cut short is left out, and ``ok`` is false, so that the loss can be told or the job failed (``complete``).
     """
-    kind = frames.schema[key].dataType.simpleString()
+    keys = [key] if isinstance(key, str) else list(key)
+    schema = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, whole = [], []
-            for value, plain in zip(batch.column(1), batch.column(2), strict=True):
+            for value, plain in zip(batch.column(len(keys)), batch.column(len(keys) + 1), strict=True):
                 data = value.as_py() or b""
                 found = [] if plain.as_py() else list(_units(data))
                 out.append(data if plain.as_py() else b"".join(START_CODE + unit for _, unit, ok in found if ok))
                 whole.append(all(ok for *_, ok in found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(whole, pa.bool_())], names=[key, "stream", "ok"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, pa.binary()), pa.array(whole, pa.bool_())], names=[*keys, "stream", "ok"])
+
+    return frames.select(*keys, payload, is_plain).mapInArrow(run, f"{schema}, stream binary, ok boolean")
 
-    return frames.select(key, payload, is_plain).mapInArrow(run, f"{key} {kind}, stream binary, ok boolean")
+
+def kinds(frames: DataFrame, keys: list[str], order_by: str, payload: str = "payload") -> DataFrame:
+    """keys, order_by, kind (video, audio), extension, stream, ok: what the streams of each kind are made of, frame by frame.
+
+    Only the chosen video track (``video_track``) and audio; video units are re-framed, but for OBU video, whose bytes pass as audio's do.
+    """
+    rows = tracks.with_tracks(frames)
+    audio = tracks.is_audio(F.col("track_id"))
+    rows = rows.where(audio | (tracks.is_video(F.col("track_id")) & (F.col("track_id") == F.col("video_track"))))
+    rows = rows.withColumn("kind", F.when(audio, F.lit("audio")).otherwise(F.lit("video"))).withColumn("plain", audio | F.coalesce("is_obu", F.lit(False)))
+    return reframed(rows, [*keys, order_by, "kind", "extension"], "plain", payload)
 
 
 def complete(streams: DataFrame, key: str) -> DataFrame:

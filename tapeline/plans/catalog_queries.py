@@ -88,9 +88,9 @@ def file_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registry_json(spark: SparkSession, d: str) -> DataFrame:
-    """Registries as JSON documents, one for each last digit of the position, some broken; saved and read back."""
-    docs = s.cameras(spark, d).groupBy((F.col("pos") % 10).alias("registry")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mac", "name"))), lambda x: F.struct(x["mac"].alias("mac"), x["name"].alias("name"))).alias("cameras"))
-    text = F.when(F.col("registry") == 9, F.lit("{broken")).otherwise(catalog.registry_to_json(F.col("cameras")))
+    """Registries as JSON documents, one for every fifty cameras, some broken; saved and read back."""
+    docs = s.cameras(spark, d).groupBy(F.call_function("div", F.col("pos"), F.lit(50).cast("long")).alias("registry")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mac", "name"))), lambda x: F.struct(x["mac"].alias("mac"), x["name"].alias("name"))).alias("cameras"))
+    text = F.when(F.col("registry") % 10 == 2, F.lit("{broken")).otherwise(catalog.registry_to_json(F.col("cameras")))
     return docs.select("registry", F.inline(catalog.registry_from_json(text)))
 
 
@@ -135,7 +135,7 @@ WHERE (lower(path) LIKE '%.ubv' OR lower(path) LIKE '%.ubv.gz') AND path NOT IN
     log_lines: f"WITH {s.LOGS_SQL} SELECT event_id, strftime(ts, '%H:%M:%S') || ' [' || level || '] ' || message AS line FROM lg",
     file_results: """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 3 <> 0 THEN 'out' || l_partkey END AS output, CASE WHEN l_linenumber % 3 = 0 THEN 'err' || l_suppkey END AS error, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_suppkey % 5 END AS size FROM lineitem)
 SELECT l_orderkey, CAST(count(output) AS INTEGER) AS n_outputs, coalesce(string_agg(output, '|' ORDER BY l_linenumber, l_partkey, l_suppkey), '') AS outputs, string_agg(error, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS error, CAST(nullif(sum(size), 0) AS BIGINT) AS output_size FROM r GROUP BY l_orderkey""",
-    registry_json: f"WITH {s.CAMERAS_SQL} SELECT pos % 10 AS registry, mac, name FROM cam WHERE pos % 10 <> 9 AND trim(name) <> ''",
+    registry_json: f"WITH {s.CAMERAS_SQL} SELECT pos // 50 AS registry, mac, name FROM cam WHERE pos // 50 % 10 <> 2 AND trim(name) <> ''",
     event_codec: f"WITH {s.PROGRESS_SQL} SELECT file_index, seq, type, level, message, path, count, index, total, error, errors FROM prg",
     event_log: f"""WITH {s.PROGRESS_SQL} SELECT file_index, seq, CASE type WHEN 'log' THEN level WHEN 'partition_error' THEN 'error' ELSE 'info' END AS level,
 CASE type WHEN 'log' THEN message WHEN 'partitions_found' THEN 'Found ' || count || ' partition(s)' WHEN 'partition_started' THEN 'Processing partition ' || index + 1 || '/' || total ELSE 'Partition #' || index || ': ' || error END AS message

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import decode, tracks
@@ -170,6 +170,14 @@ def elementary_streams(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", F.md5("content").alias("md5"), F.octet_length("content").cast("long").alias("bytes"))
 
 
+def kind_streams(spark: SparkSession, d: str) -> DataFrame:
+    """For each file and partition the streams of video and audio as digests; a frame's payload is its number as a unit of four bytes."""
+    chosen = F.min_by("track_id", F.when(tracks.is_video(F.col("track_id")), F.col("file_offset"))).over(Window.partitionBy("file_id"))
+    rows = s.frames(spark, d).withColumn("video_track", chosen).withColumn("payload", F.unhex(F.concat(F.lit("00000004"), F.lpad(F.hex("file_offset"), 8, "0"))))
+    rows = units.elementary_streams(units.kinds(rows, KEY, "file_offset"), [*KEY, "kind", "extension"], "file_offset", "stream")
+    return rows.select(*KEY, "kind", "extension", F.md5("content").alias("md5"), F.octet_length("content").cast("long").alias("bytes"))
+
+
 def stream_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The same streams in pieces of at least 1000 bytes."""
     rows = units.stream_chunks(s.payloads(spark, d), ["conv_id"], "turn", chunk=1000)
@@ -251,6 +259,10 @@ SELECT frame_id, unit, md5(encode(p)) AS md5, octet_length(encode(p)) AS bytes,
 SELECT frame_id, md5(unhex(string_agg(CASE WHEN turn % 3 = 2 THEN lpad(hex(octet_length(encode(p))), 8, '0') ELSE '00000001' END || hex(encode(p)), '' ORDER BY i) || CASE WHEN any_value(turn) % 3 = 2 AND any_value(broken) THEN '000000FF41' ELSE '' END)) AS md5, any_value(turn) % 3 = 2 OR NOT any_value(broken) AS ok FROM z GROUP BY frame_id""",
     elementary_streams: f"""WITH {_UNITS}, z AS (SELECT conv_id, turn, broken, unnest(parts) AS p, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM uni),
 x AS (SELECT conv_id, string_agg(lpad(hex(octet_length(encode(p))), 8, '0') || hex(encode(p)) || CASE WHEN broken AND i = n THEN '000000FF41' ELSE '' END, '' ORDER BY turn, i) AS h FROM z GROUP BY conv_id) SELECT conv_id, md5(unhex(h)) AS md5, length(h) // 2 AS bytes FROM x""",
+    kind_streams: f"""WITH {s.CLOCKED_SQL}, v AS (SELECT file_id, arg_min(track_id, file_offset) FILTER (track_id <> 1000) AS chosen FROM frm GROUP BY file_id),
+k AS (SELECT *, CASE WHEN track_id = 1000 THEN 'audio' ELSE 'video' END AS kind, CASE track_id WHEN 1000 THEN 'aac' WHEN 7 THEN 'h264' ELSE 'av1' END AS extension,
+      CASE WHEN track_id = 7 THEN '00000001' ELSE '00000004' END || lpad(hex(file_offset), 8, '0') AS x FROM frm JOIN v USING (file_id) WHERE track_id = 1000 OR track_id = chosen)
+SELECT file_id, partition_index, kind, extension, md5(unhex(string_agg(x, '' ORDER BY file_offset))) AS md5, 8 * count(*) AS bytes FROM k GROUP BY ALL""",
     stream_chunks: f"""WITH RECURSIVE {_UNITS}, w AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CAST(list_sum([octet_length(encode(p)) + 4 FOR p IN parts]) + CASE WHEN broken THEN 5 ELSE 0 END AS BIGINT) AS b FROM uni),
 c AS (SELECT conv_id, i, b AS held, 1::BIGINT AS n FROM w WHERE i = 1 UNION ALL SELECT c.conv_id, w.i, CASE WHEN held >= 1000 THEN w.b ELSE held + w.b END, CASE WHEN held >= 1000 THEN n + 1 ELSE n END FROM c JOIN w ON w.conv_id = c.conv_id AND w.i = c.i + 1),
 z AS (SELECT conv_id, turn, broken, unnest(parts) AS p, generate_subscripts(parts, 1) AS i, len(parts) AS m FROM uni),

@@ -158,11 +158,11 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(has("partition_error"), F.concat(F.lit("bad "), at.cast("string"))).alias("error"), F.when(has("file_completed"), F.array(F.concat(F.lit("/out/"), at.cast("string")))).alias("outputs"),
         F.when(has("file_completed"), F.when(at % 3 == 0, F.array(F.lit("e1"), F.concat(F.lit("e"), at.cast("string")))).otherwise(F.array().cast("array<string>"))).alias("errors"),
     )
-    return ev.select((F.col("user_id") % 40).cast("int").alias("file_index"), at.alias("seq"), F.to_json(fields).alias("json"))
+    return ev.select(F.col("user_id").cast("int").alias("file_index"), at.alias("seq"), F.to_json(fields).alias("json"))
 
 
 PROGRESS_SQL = """
-prg0 AS (SELECT CAST(user_id % 40 AS INTEGER) AS file_index, event_id AS seq, props,
+prg0 AS (SELECT CAST(user_id AS INTEGER) AS file_index, event_id AS seq, props,
    CASE event_type WHEN 'signup' THEN 'file_started' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'partition_error' ELSE 'file_completed' END
         WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'partitions_found' ELSE 'partition_started' END WHEN 'click' THEN 'output_generated' ELSE 'log' END AS type FROM events),
 prg AS (SELECT *, CASE WHEN type = 'log' THEN 'warn' END AS level, CASE WHEN type = 'log' THEN props END AS message, CASE WHEN type IN ('output_generated', 'file_completed') THEN '/out/' || seq || '.mp4' END AS path,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions import tracks
 from tapeline.operators import catalog, mask, nested, timeline, units
-from tapeline.sources import archive
+from tapeline.sources import archive, sinks
 from tapeline.streaming import status
 
 HEAD = "a00009a9fd0c000000000017dec498ab00000014" + "00" * 20 + "00000028"
@@ -102,6 +102,29 @@ def test_units_and_masks(spark):
     assert (bytes(row.x).hex(), bytes(row.y).hex(), row.z, row.w) == ("0100000405", "0000", "anonymised-b.ubv.gz", None)
 
 
+def test_streams_of_each_kind_are_written(spark, tmp_path):
+    unit = lambda x: bytes.fromhex("00000002" + x)
+    rows = [("/in/a", 0, 10, 7, unit("AABB")), ("/in/a", 0, 30, 7, unit("CCDD")), ("/in/a", 0, 20, 1000, b"snd"), ("/in/a", 1, 40, 1004, unit("EEFF")), ("/in/b", 0, 5, 1004, unit("0102")), ("/in/b", 0, 9, 1000, b"x")]
+    frames = spark.createDataFrame([(*r, {"/in/a": 7, "/in/b": 1004}[r[0]]) for r in rows], "file_id string, partition_index int, file_offset long, track_id int, payload binary, video_track int").repartition(3)
+    done = {r.name: r.bytes for r in sinks.write_kinds(frames, f"file://{tmp_path}/out").collect()}
+    read = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    assert read == {"a_0_video.h264": bytes.fromhex("00000001AABB00000001CCDD"), "a_0_audio.aac": b"snd", "b_0_video.av1": unit("0102"), "b_0_audio.aac": b"x"}
+    assert done == {n: len(x) for n, x in read.items()}
+    cut = spark.createDataFrame([("/in/c", 0, 1, 7, unit("AABB")[:-1], 7)], frames.schema)
+    with pytest.raises(Exception, match="reaches past its end"):
+        sinks.write_kinds(cut, f"file://{tmp_path}/cut").collect()
+    assert not [p for p in (tmp_path / "cut").glob("*")]
+
+
+def test_masked_copies_are_written(spark, tmp_path):
+    contents = spark.createDataFrame([("/in/r1.ubv", b"\x01\x02\x03\x04\x05"), ("/in/r2.ubv", b"\x09")], "file_id string, content binary")
+    spans = spark.createDataFrame([("/in/r1.ubv", [(0, 1), (2, 2)])], "file_id string, spans array<struct<start:bigint,size:bigint>>")
+    assert {r.name for r in sinks.write_masked(contents, spans, str(tmp_path / "m")).collect()} == {"anonymised-r1.ubv.gz", "anonymised-r2.ubv.gz"}
+    assert gzip.decompress((tmp_path / "m" / "anonymised-r1.ubv.gz").read_bytes()) == b"\x00\x02\x00\x00\x05" and len(list((tmp_path / "m").iterdir())) == 2
+    with pytest.raises(Exception, match="is compressed"):
+        sinks.write_masked(contents.withColumn("file_id", F.lit("a.ubv.gz")), spans, str(tmp_path / "n")).collect()
+
+
 def test_registry(spark, tmp_path):
     cams = spark.createDataFrame([(0, "aabbccddeeff", " "), (1, "AABBCCDDEEFF", "Door"), (2, "aabbccddeeff", "Gate"), (3, "001122334455", "")], "pos long, mac string, name string")
     files = spark.createDataFrame([("AABBCCDDEEFF",), ("001122334455",), (None,), ("0A0A0A0A0A0A",)], "mac string")
