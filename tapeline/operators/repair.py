@@ -109,15 +109,16 @@ def constant_plan(rows: DataFrame, keys: list[str], order_by: str, force_rate: i
     return rows.withColumn("pts", i * samples).withColumn("duration", samples).withColumn("effective_fps", fps)
 
 
-def variable_plan(frames: DataFrame, keys: list[str], order_by: str, first_track: DataFrame) -> DataFrame:
+def variable_plan(frames: DataFrame, keys: list[str], order_by: str) -> DataFrame:
     """Variable-rate packets: repaired dts, duration and key flag of every exported frame, video and audio.
 
     Video frames take the repaired times of their own track. Audio frames of all tracks are paired by position with the
     first audio track's repaired times and stop where those do; ``mixed_audio`` tells where another track's frames got these times.
-    ``first_track``: keys, first_audio_track, and video_track, the exported one. Only video packets carry a key flag.
+    The exported video track is the first one of the keys' frames. Only video packets carry a key flag.
     """
-    rows = frames.join(first_track, keys)
-    is_audio = tracks.is_audio(F.col("track_id"))
+    is_audio, is_video = tracks.is_audio(F.col("track_id")), tracks.is_video(F.col("track_id"))
+    first = lambda which: F.min_by("track_id", F.when(which, F.col(order_by))).over(Window.partitionBy(*keys))
+    rows = frames.withColumn("first_audio_track", first(is_audio)).withColumn("video_track", first(is_video))
     video = rows.where(F.col("track_id") == F.col("video_track"))
     video = with_durations(monotonic(video, keys, "dts", order_by), keys).withColumn("mixed_audio", F.lit(False)).withColumn("key", F.col("keyframe"))
     audio = rows.where(is_audio)

@@ -74,8 +74,10 @@ def media_rows(records: DataFrame) -> DataFrame:
 
 
 def wall_clock_steps(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:
-    """Adds delta_ms: from the media row before in the partition, whatever its track; 0 for the first."""
-    return frames.withColumn("delta_ms", F.coalesce(F.col("wc_ms") - F.lag("wc_ms").over(order.in_partition), F.lit(0).cast("long")))
+    """Adds delta_ms to media rows: from the media row before in the partition, whatever its track; 0 for the first. Other rows may stand between."""
+    media = tracks.is_media(F.col("track_id"))
+    before = F.last(F.when(media, F.struct("wc_ms")), ignorenulls=True).over(order.in_partition.rowsBetween(*BEFORE))
+    return frames.withColumn("delta_ms", F.when(media, F.coalesce(F.col("wc_ms") - before["wc_ms"], F.lit(0).cast("long"))))
 
 
 def dts_steps(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:

@@ -54,8 +54,7 @@ def group_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legacy_listing(spark: SparkSession, d: str) -> DataFrame:
-    frames = timeline.wall_clock_steps(s.frames(spark, d)).select("file_id", "file_offset", "delta_ms")
-    return nested.listing(_known(spark, d).join(frames, ["file_id", "file_offset"], "left")).select("file_id", "file_offset", "line")
+    return nested.listing(timeline.wall_clock_steps(_known(spark, d))).select("file_id", "file_offset", "line")
 
 
 def summary_text(spark: SparkSession, d: str) -> DataFrame:

@@ -140,9 +140,7 @@ def variable_plan(spark: SparkSession, d: str) -> DataFrame:
     """Packets of the first video track, and of audio whose every third frame stands on another track."""
     frames = s.frames(spark, d)
     more = frames.withColumn("track_id", F.when((F.col("track_id") == 1000) & (F.col("file_offset") % 3 == 0), 1002).otherwise(F.col("track_id")))
-    video = F.min_by("track_id", F.when(tracks.is_video(F.col("track_id")), F.col("file_offset")))
-    first = more.groupBy(*KEY).agg(F.min_by("track_id", F.when(tracks.is_audio(F.col("track_id")), F.col("file_offset"))).alias("first_audio_track"), video.alias("video_track"))
-    return repair.variable_plan(more, KEY, "file_offset", first).select("file_id", "file_offset", "track_id", "repaired", "duration", "mixed_audio", "key")
+    return repair.variable_plan(more, KEY, "file_offset").select("file_id", "file_offset", "track_id", "repaired", "duration", "mixed_audio", "key")
 
 
 def longest_dts(spark: SparkSession, d: str) -> DataFrame:

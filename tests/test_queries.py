@@ -17,6 +17,12 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize(("name", "scans", "exchanges"), [("section_summary", 1, 1), ("first_partition_report", 1, 1), ("longest_dts", 1, 1), ("track_summary", 1, 1), ("start_times", 1, 1), ("legacy_listing", 1, 1), ("export_plan", 2, 2), ("variable_plan", 3, 3)])
+def test_rows_are_read_and_shuffled_once(spark, name, scans, exchanges):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == scans and plan.count("Exchange hashpartitioning") <= exchanges
+
+
 def test_plans_share_one_shuffle(spark):
     """Partitions, as-of wall clocks and sections need one exchange by file and one by partition, and no Python."""
     from tapeline.plans import standin, timeline_queries
