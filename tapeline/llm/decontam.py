@@ -9,8 +9,8 @@ weighted Jaccard similarity (weights: occurrences) of five-word shingles, 0.75 o
 words of the text from the window's start or its neighbours.
 
 Items longer than ``LONGEST`` words are looked up by parts of that length, the last one overlapping the one before; what a
-part finds is verified as the whole item, from as many words before the hit as stand before the part. The items go to all tasks in blocks of at most
-``ITEM_BLOCK``; a larger benchmark takes more passes. Texts are scanned in place, without a shuffle.
+part finds is verified as the whole item, from as many words before the hit as stand before the part. The items go to all tasks in blocks of about
+``ITEM_BLOCK`` items and ``ITEM_BYTES`` bytes at most; a larger benchmark takes more passes. Texts are scanned in place, without a shuffle.
 
 Defined results: null or blank texts and items match nothing; texts shorter than an item are compared whole; null ids are
 kept; repeated rows are reported each; empty tables give no rows; other columns are ignored (``clean_rows`` passes them).
@@ -34,7 +34,7 @@ SIMILARITY = 0.75
 RADIUS = 8
 BLOCKS = 4
 LONGEST = 120
-ITEM_BLOCK = 20_000
+ITEM_BLOCK, ITEM_BYTES = 20_000, 16 << 20
 #: Windows handled together, so that their counters stay in the processor's cache.
 SLICE = 16_384
 #: Words to either side of a candidate window at which it is verified too.
@@ -173,7 +173,8 @@ def find(texts: list[bytes], indexes: list[ItemIndex]) -> dict[tuple[int, int],
 
 def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n_blocks = max(1, -(-rows.count() // ITEM_BLOCK))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-size.n // ITEM_BLOCK), -(-size.bytes // ITEM_BYTES))
     for i in range(n_blocks):
         yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).collect()]
 

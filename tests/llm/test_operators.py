@@ -279,8 +279,33 @@ def test_long_items_are_verified_whole(spark):
     assert sorted(r.doc_id for r in decontam.clean_rows(df, bench).collect()) == [d for d, _ in clean]
 
 
+def test_recall_of_edited_items():
+    """Windows at similarity 0.75 or more are found however the edits are spread: 0.98 at least in each band."""
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    cut = lambda t: Counter(" ".join(t[i : i + 5]) for i in range(len(t) - 4)) if len(t) >= 5 else Counter([" ".join(t)])
+    hits, there = Counter(), Counter()
+    for _ in range(500):
+        n = rng.choice([15, 25, 40, 60, 90, 119, 130, 250])
+        item = [rng.choice(vocabulary) for _ in range(n)]
+        copy = list(item)
+        for _ in range(rng.randint(0, max(1, n // 22))):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.choice([0, 1, 1])] = rng.choice([[rng.choice(vocabulary)], []])
+        text = [rng.choice(vocabulary) for _ in range(40)] + copy + [rng.choice(vocabulary) for _ in range(60)]
+        goal = cut(item)
+        best = max((lambda have: sum((have & goal).values()) / sum((have | goal).values()))(cut(text[a : a + n])) for a in range(36, 46))
+        if best >= 0.75:
+            band = "exact" if best == 1 else "0.85" if best >= 0.85 else "0.75"
+            indexes = [decontam.ItemIndex(c, p) for c, p in sorted(decontam.item_parts([(1, " ".join(item))]).items())]
+            there[band] += 1
+            hits[band] += (0, 1) in decontam.find([" ".join(text).encode()], indexes)
+    assert hits["exact"] == there["exact"] > 50 and all(there[b] > 40 and hits[b] >= 0.98 * there[b] for b in ("0.75", "0.85"))
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEM_BLOCK", 3)
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 70)
     bench = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}") for i in range(10)], "item_id long, text string")
     df = docs(spark, [(i, f"x y a{i} b{i} c{i} d{i} e{i} f{i} g{i} z", None) for i in range(12)])
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()} == {(i, i) for i in range(10)}

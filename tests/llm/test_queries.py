@@ -1,10 +1,12 @@
 """The operators' queries: SQL twins, native plans, and the pipeline stage by stage against plain Python."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeline.llm import queries
+from tapeline.llm import mixing, queries, toxicity
 from tapeline.session import table
 from tests.compare import SF, same_rows
 
@@ -20,29 +22,76 @@ def test_native_plans(spark, name):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
-def test_pipeline_stages(spark):
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] if words else []
+
+
+def near(x, y):
+    return 4 * len(x & y) >= 3 * len(x | y)
+
+
+def groups_of(rows):
+    """Component of each row by all pairs of shingle sets."""
+    sets = [set(shingles(r.text)) for r in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and near(x, sets[j]):
+                up[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def holds(text, item):
+    """Whether some window of the item's length has weighted Jaccard similarity 0.75 or more to it."""
+    goal, words, n = Counter(shingles(item)), (text or "").encode().lower().split(), len((item or "").split())
+    if not goal or sum((Counter(shingles(text)) & goal).values()) < 0.6 * sum(goal.values()):
+        return False
+    for at in range(max(1, len(words) - n + 1)):
+        have = Counter(shingles(b" ".join(words[at : at + n]).decode()))
+        both = sum((goal & have).values())
+        if 4 * both >= 3 * (sum(goal.values()) + sum(have.values()) - both):
+            return True
+    return False
+
+
+def test_pipeline_stages_equal_plain_python(spark):
     docs = table(spark, SF, "documents").withColumn("key", F.lit(1)).withColumn("region", F.lit("x"))
-    sizes = [docs.count()]
+    items = [r.text for r in table(spark, SF, "benchmark").collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
+        before, out = docs.collect(), stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         rows = out.collect()
+        kept, all_rows = Counter(map(tuple, rows)), Counter(map(tuple, before))
         if name != "mixing":
-            before = {(r.doc_id, r.text) for r in docs.collect()}
-            assert {(r.doc_id, r.text) for r in rows} <= before and len({r.doc_id for r in rows}) == len(rows)
+            assert not kept - all_rows and len({r.doc_id for r in rows}) == len(rows)
+        gone = [r for r in before if tuple(r) not in kept]
+        if name == "toxicity":
+            scores = {r.doc_id: r.predicted for r in toxicity.score_table(spark, docs, table(spark, SF, "labels")).collect()}
+            assert {r.doc_id for r in gone} == {d for d, p in scores.items() if p}
         if name == "ngram_join":
-            sets = [(r.doc_id, shingles(r.text)) for r in rows]
-            assert not any(x and y and 4 * len(x & y) >= 3 * len(x | y) for i, (_, x) in enumerate(sets) for _, y in sets[:i])
+            least = {}
+            for r, g in zip(before, groups_of(before), strict=True):
+                least.setdefault(g, []).append(r.doc_id)
+            assert sorted(r.doc_id for r in rows) == sorted(min(x) for x in least.values())
+        if name == "decontamination":
+            leaked = {r.doc_id for r in before if any(holds(r.text, i) for i in items)}
+            assert leaked and {r.doc_id for r in gone} == leaked
+        if name == "mixing":
+            plan = {r.source: r for r in mixing.plan(docs).collect()}
+            taken, there = Counter(r.source for r in rows), Counter(r.source for r in before)
+            assert not set(kept) - set(all_rows)
+            assert all(n * plan[s].passes <= taken[s] <= n * (plan[s].passes + 1) for s, n in there.items())
         docs = spark.createDataFrame(rows, docs.schema)
-        sizes.append(len(rows))
-    assert sizes == [*sizes[:1], *sizes[1:]] and sizes[1] > 0.7 * sizes[0] and sizes[3] > 0.8 * sizes[2]
     placed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    assert len(placed) == sizes[-1] and {r.shard for r in placed} == set(range(8))
-
-
-def shingles(text):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+    assert Counter(r.doc_id for r in placed) == Counter(r.doc_id for r in rows) and {r.shard for r in placed} == set(range(8))
+    assert sorted((r.shard, r.slot) for r in placed) == [(s, i) for s in range(8) for i in range(sum(r.shard == s for r in placed))]
 
 
 def test_pipeline_of_nothing(spark):
