@@ -177,11 +177,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """Words and beginnings of words with at least 1 % (5 rows at least) of the toxic sample's rows and 1/50 of that rate in the clean sample."""
+    """Words and beginnings of words with at least 2 % (5 rows at least) of the toxic sample's rows and 1/50 of that rate in the clean sample."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))
     heads = F.transform(words, lambda w: F.array_append(F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(HEAD))), lambda n: F.substring(w, F.lit(1), n)), w))
     counts = rows.select("toxic", F.explode(F.array_distinct(F.flatten(heads))).alias("head")).groupBy("head").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    least = max(5, n_toxic // 100)
+    least = max(5, n_toxic // 50)
     kept = counts.where((F.col("t") >= least) & (F.col("c") * 50 * n_toxic <= F.col("t") * max(1, n_clean)))
     support = {x["head"]: x["t"] for x in kept.collect()}  # of the sample's words
     terms: set[str] = set()
