@@ -9,13 +9,19 @@ one more permutation up to the rest.
 The head ends at one cut key for each source. It is found from totals of ``BUCKETS`` key ranges and then from the one
 range that holds the cut, so a source with a third of all rows is never gathered in one task, and texts are not shuffled.
 
-Defined results: a null source counts as source ''; null or empty texts have 0 tokens; rows with equal id and text share
+The sources' table is one array that one expression bisects and all tasks get, up to ``MAX_SOURCES`` sources; with more it
+stays distributed, and each of ``ROUNDS`` aggregations narrows the exponent ``SECTIONS`` times.
+
+Defined results: a null source counts as source ''; null or empty texts have 0 tokens; a source all of whose texts have none
+has no share, so its rows are not taken; rows with equal id and text share
 a key and are kept or left together; an empty table gives no rows; other columns pass unchanged (``mix``, which adds and
 uses names that begin with ``mix_``) or are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +29,9 @@ from tapeline.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 STEPS = 60
-#: The table of sources is broadcast; more sources than this raise an error.
+#: Sources whose table is broadcast; the exponent for more is searched in so many rounds of so many sections, 60 bits as well.
 MAX_SOURCES = 50_000
+ROUNDS, SECTIONS = 10, 64
 
 
 def n_tokens(text: Column) -> Column:
@@ -61,7 +68,7 @@ def _entropy(weights: Column) -> Column:
 def source_plan(sizes: DataFrame, entropy_ratio: float | None, max_repetition: float | None, budget: int | None) -> DataFrame:
     """From one row per source (source, tokens): weight, whole passes and the rest of the budget in tokens."""
     listed = sizes.where("tokens > 0").agg(F.array_sort(F.collect_list(F.struct("source", "tokens"))).alias("all"))
-    listed = listed.withColumn("n", F.when(F.size("all") > MAX_SOURCES, F.raise_error(F.lit("more sources than MAX_SOURCES"))).otherwise(F.size("all")))
+    listed = listed.withColumn("n", F.size("all"))
     listed = listed.withColumn("total", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
     listed = listed.where("n > 0").withColumn("shares", F.transform("all", lambda x: x["tokens"] / F.col("total")))
     listed = listed.withColumn("budget", F.lit(budget).cast("long") if budget else F.col("total"))
@@ -76,23 +83,59 @@ def source_plan(sizes: DataFrame, entropy_ratio: float | None, max_repetition: f
     return rows.withColumn("passes", F.expr("source_budget div tokens")).withColumn("rest", F.expr("source_budget % tokens"))
 
 
+def wide_source_plan(sizes: DataFrame, entropy_ratio: float | None, max_repetition: float | None, budget: int | None) -> DataFrame:
+    """``source_plan`` for any number of sources: the driver sees sums for each exponent tried."""
+    sizes = sizes.where("tokens > 0")
+    facts = sizes.agg(F.count("*").alias("n"), F.sum("tokens").cast("long").alias("total")).first()
+    wanted = budget or facts.total
+    shares = sizes.withColumn("p", F.col("tokens") / F.lit(facts.total))
+
+    def sums(exponents: list[float]) -> list:
+        tried = shares.select("p", F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "a")).withColumn("power", F.pow("p", "a"))
+        return tried.groupBy("i").agg(F.sum("power").alias("sum"), F.sum(F.col("power") * F.ln("p")).alias("logs"), F.max(F.col("power") / F.col("p")).alias("most")).orderBy("i").collect()
+
+    def search(too_low) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(ROUNDS):
+            exponents = [low + (high - low) * i / SECTIONS for i in range(1, SECTIONS)]
+            up = [too_low(a, row) for a, row in zip(exponents, sums(exponents), strict=True)]
+            k = sum(up)  # true up to the exponent sought
+            low, high = (exponents[k - 1] if k else low), (exponents[k] if k < len(exponents) else high)
+        return high
+
+    exponents = [0.0]
+    if entropy_ratio is not None:
+        goal = entropy_ratio * math.log(facts.n)
+        exponents.append(search(lambda a, row: math.log(row["sum"]) - a * row["logs"] / row["sum"] > goal))
+    if max_repetition is not None:
+        exponents.append(search(lambda a, row: row["most"] / row["sum"] * wanted / facts.total > max_repetition))
+    a = max(exponents)
+    whole = sums([a])[0]["sum"]
+    rows = shares.select("source", "tokens", (F.pow("p", F.lit(a)) / F.lit(whole)).alias("weight"), F.lit(a).alias("exponent"))
+    rows = rows.withColumn("source_budget", F.round(F.col("weight") * F.lit(wanted)).cast("long"))
+    return rows.withColumn("passes", F.expr("source_budget div tokens")).withColumn("rest", F.expr("source_budget % tokens"))
+
+
 def plan(docs: DataFrame, entropy_ratio: float | None = 0.97, max_repetition: float | None = 4.0, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per source: source, weight, exponent, passes and the cut key of the last, partial permutation."""
     rows = saved(docs.select(F.coalesce(F.col(source_col), F.lit("")).alias("source"), _key(id_col, text_col).alias("key"), n_tokens(F.col(text_col)).alias("tokens")))
     ranges = saved(rows.groupBy("source", F.substring("key", 1, 3).alias("range")).agg(F.sum("tokens").alias("tokens")))
-    sources = saved(source_plan(ranges.groupBy("source").agg(F.sum("tokens").alias("tokens")), entropy_ratio, max_repetition, budget))
+    sizes = saved(ranges.groupBy("source").agg(F.sum("tokens").alias("tokens")))
+    few = sizes.count() <= MAX_SOURCES
+    sources = saved((source_plan if few else wide_source_plan)(sizes, entropy_ratio, max_repetition, budget))
+    small = F.broadcast if few else (lambda df: df)
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("range"))  # at most 4096 ranges a source
-    cuts = ranges.withColumn("upto", upto).join(F.broadcast(sources.select("source", "rest")), "source").where("upto - tokens < rest and rest <= upto").select("source", "range", "rest", (F.col("upto") - F.col("tokens")).alias("before"))
-    inside = rows.withColumn("range", F.substring("key", 1, 3)).join(F.broadcast(cuts), ["source", "range"])
+    cuts = ranges.withColumn("upto", upto).join(small(sources.select("source", "rest")), "source").where("upto - tokens < rest and rest <= upto").select("source", "range", "rest", (F.col("upto") - F.col("tokens")).alias("before"))
+    inside = rows.withColumn("range", F.substring("key", 1, 3)).join(small(cuts), ["source", "range"])
     start = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
     cut = inside.withColumn("start", start).where("start < rest").groupBy("source").agg(F.max("key").alias("cut"))
-    return sources.join(F.broadcast(cut), "source", "left").select("source", "weight", "exponent", "passes", "cut")
+    return small(sources.join(small(cut), "source", "left").select("source", "weight", "exponent", "passes", "cut"))
 
 
 def mix(docs: DataFrame, entropy_ratio: float | None = 0.97, max_repetition: float | None = 4.0, budget: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mixture takes them, with ``mix_block`` (which permutation) and ``mix_place`` (the order key in it)."""
     sources = plan(docs, entropy_ratio, max_repetition, budget, id_col, text_col, source_col)
-    sources = F.broadcast(sources.select(F.col("source").alias("mix_source"), F.col("passes").alias("mix_passes"), F.col("cut").alias("mix_cut")))
+    sources = sources.select(F.col("source").alias("mix_source"), F.col("passes").alias("mix_passes"), F.col("cut").alias("mix_cut"))
     joined = docs.withColumn("mix_key", _key(id_col, text_col)).join(sources, F.coalesce(F.col(source_col), F.lit("")) == F.col("mix_source"))
     head = F.when(F.col("mix_key") <= F.col("mix_cut"), 1).otherwise(0)  # the last, partial permutation
     blocks = joined.withColumn("mix_copies", F.col("mix_passes") + head).where("mix_copies > 0")

@@ -60,6 +60,14 @@ def test_mixture_meets_targets(spark, ratio, cap):
         assert all(full[s, b] == sum(1 for _, _, x in rows if (x or "") == s) for b in range(r.passes))
 
 
+@pytest.mark.parametrize(("ratio", "cap"), [(0.9, None), (0.97, 4.0), (None, 2.0)])
+def test_mixture_of_many_sources_is_the_same(spark, monkeypatch, ratio, cap):
+    rows, few = mix_rows(spark, ratio, cap)
+    want = Counter(str(r) for r in few.collect())
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    assert Counter(str(r) for r in mix_rows(spark, ratio, cap)[1].collect()) == want
+
+
 def test_mixture_of_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mix(docs(spark, [(1, None, None), (2, "", "a")])).count() == 0
