@@ -221,7 +221,7 @@ def _unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray]:
     return tokens.view("<u8").reshape(-1).astype(np.int64), np.repeat(keys, counts)
 
 
-def shared(packed: DataFrame) -> DataFrame:
+def shared(packed: DataFrame, parts: int) -> DataFrame:
     """token, key, pivot: the cold tokens that another key has too, and all hot ones, whose pivot is still null.
 
     A part holds ``PART_SHINGLES`` cold tokens at the mean; a token is cold if it is not much more frequent than the mean.
@@ -254,7 +254,7 @@ def shared(packed: DataFrame) -> DataFrame:
         if held:
             yield meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "token long, key long, pivot long")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "token long, key long, pivot long")
 
 
 def heads_of(found: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -263,7 +263,8 @@ def heads_of(found: DataFrame, sizes: DataFrame) -> DataFrame:
     The pivots of hot tokens come from a pre-aggregated group-by and a join whose large partitions Spark splits.
     """
     hot = found.where("pivot is null").select("token", "key")
-    pivots = hot.groupBy("token").agg(F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("pivot"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token", "pivot")
+    pivots = hot.groupBy("token").agg(F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("pivot"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    pivots = saved(pivots.where("lo <> hi").select("token", "pivot"))  # kept, so that the join has a shuffle of its own, whose large partitions Spark splits
     rows = found.where("pivot is not null").unionByName(hot.join(pivots, "token"))
     per = round(1 / EXTRA)
     least = F.expr(f"(({NUM} * n + {DEN - 1}) div {DEN} + {per - 1}) div {per}")
@@ -580,7 +581,7 @@ def links_of(texts: DataFrame, prints: DataFrame, table: np.ndarray, region_shin
     common = 2 * max(1.0, float(table.mean()))
     classes = np.ceil(np.log2(np.maximum(table, 1, dtype=np.float32) / np.float32(common)) + 1e-6).clip(0, 255).astype(np.uint8)
     parts = max(LEAST_PARTS, -(-int(table.sum(dtype=np.int64)) * 3 // (10 * PART_SHINGLES)))
-    found = saved(shared(heads(texts, context.broadcast(classes), bits, parts)))
+    found = saved(shared(heads(texts, context.broadcast(classes), bits, parts), parts))
     sizes = prints.where("n > 0").groupBy("key").agg(F.max("n").cast("int").alias("n"))
     alive = saved(heads_of(found, sizes))
     kept = saved(screened(alive))

@@ -52,7 +52,7 @@ GROUP_STRINGS, DEAL_STRINGS = 4096, 1024
 #: Strings whose levels are compared at once.
 TOGETHER_STRINGS = 3000
 LEAD = 8  # bytes of the gram before each suffix
-#: Stands between what is behind the anchor and what is before it; no byte of UTF-8.
+#: Stands between what is behind the anchor and what is before it; no byte of UTF-8, which Spark's strings are.
 MARK = b"\xff"
 
 
@@ -441,7 +441,7 @@ def removed_runs(texts: DataFrame, total: int, length: int, gram: int) -> DataFr
             yield from finish(runs)
 
     run_schema = "part int, prefixes binary, lengths binary, counts binary, places binary, tails binary"
-    found = saved(texts.mapInArrow(sorted_runs, run_schema).repartition("part").sortWithinPartitions("part").mapInArrow(merge, found_schema))
+    found = saved(texts.mapInArrow(sorted_runs, run_schema).repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(merge, found_schema))
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
