@@ -394,8 +394,8 @@ SUB_PIVOTS = 16
 
 
 def _distances(rows: DataFrame, balls: DataFrame) -> DataFrame:
-    """Adds ``near``, array<struct<pivot, distance>>, the exact distances to the region's sub-pivots (broadcast: ``SUB_PIVOTS`` a region)."""
-    joined = rows.join(F.broadcast(balls), "region")
+    """Adds ``near``, array<struct<pivot, distance>>, the exact distances to the region's sub-pivots, ``SUB_PIVOTS`` at most."""
+    joined = rows.join(balls, "region")  # Spark broadcasts few pivots, and splits the rows of large regions otherwise
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("pivot", pa.int64()), ("distance", pa.float64())]))
@@ -427,13 +427,13 @@ def split_region(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     heads_ = ranked.groupBy("region").agg(F.sum(F.octet_length("values") / 8).alias("total"), F.min("pos.col1").alias("lo"), F.max("pos.col1").alias("hi"), F.count("*").alias("n"))
     # about SUB_PIVOTS members of the lowest hashes: a cut at their expected quantile, then at most that many
     cut = heads_.select("region", "total", (F.col("lo").cast("double") + (F.col("hi").cast("double") - F.col("lo").cast("double")) * F.least(F.lit(1.0), 4.0 * SUB_PIVOTS / F.col("n"))).alias("cut"))
-    chosen = ranked.join(F.broadcast(cut), "region").where(F.col("pos.col1").cast("double") <= F.col("cut"))
+    chosen = ranked.join(cut, "region").where(F.col("pos.col1").cast("double") <= F.col("cut"))
     balls = saved(chosen.groupBy("region").agg(F.max("total").alias("total"), F.slice(F.array_sort(F.collect_list(F.struct("key", "values"))), 1, SUB_PIVOTS).alias("pivots")))
     near = saved(_distances(rows, balls.select("region", "pivots")))
     settled = F.filter("near", lambda p: p["distance"] <= r + 1e-12)
     links = near.select("key", F.explode(settled).alias("p")).where("key <> p.pivot").select(F.col("key").alias("a"), F.col("p.pivot").alias("b"))
     home = F.element_at(F.array_sort(settled, lambda a, b: F.when((a["distance"] < b["distance"]) | ((a["distance"] == b["distance"]) & (a["pivot"] < b["pivot"])), -1).otherwise(1)), 1)["pivot"]
-    placed = near.withColumn("home", F.when(F.size(settled) > 0, home)).join(F.broadcast(balls.select("region", "total")), "region")
+    placed = near.withColumn("home", F.when(F.size(settled) > 0, home)).join(balls.select("region", "total"), "region")
     pieces = F.greatest(F.lit(1), F.ceil(2 * F.col("total") / limit)).cast("int")
     inner = placed.where("home is not null").select(F.concat_ws("/", "region", F.col("home").cast("string"), F.pmod(F.xxhash64("key"), pieces).cast("string")).alias("region"), "key", F.col("home").alias("group"), "values")
     around = placed.select("region", "key", "group", "values", "home", pieces.alias("pieces"), F.explode("near").alias("p")).where((F.col("p.distance") <= 2 * r + 1e-12) & ~F.col("p.pivot").eqNullSafe(F.col("home")))

@@ -137,6 +137,33 @@ def test_quotation():
     assert toxicity.features("«vous idiot»", trie, {}) == (0, 0, 1)
 
 
+def test_features_equal_plain_search():
+    rng = random.Random(15)
+    terms = ["abcad", "baca", "cabbacabbd"]
+    trie = toxicity.FuzzyTrie(terms)
+
+    def least(word):
+        found = 9
+        for t in terms:
+            allowed = (len(t) >= toxicity.FUZZY_FROM) + (len(t) >= toxicity.FUZZY2_FROM)
+            e = (word[0] != t[0]) + min(edits(word[1:n], t[1:]) for n in range(1, len(word) + 1))
+            found = min(found, e) if e <= allowed else found
+        return found
+
+    for _ in range(150):
+        near = lambda: "".join(rng.choice("abcd1") if rng.random() < 0.15 else c for c in rng.choice(terms))
+        tokens = [rng.choice(['"', "«", "»", ".", near(), near() + "xx", "dd", "abc"]) for _ in range(rng.randint(0, 25))]
+        text = " ".join(tokens).upper()
+        want, at = [0, 0, 0], 0
+        for t in tokens:
+            if t.isalnum() and (e := least(t)) != 9:
+                before, behind = text[max(0, at - toxicity.WINDOW) : at], text[at + len(t) : at + len(t) + toxicity.WINDOW]
+                quoted = any(q in before for q in '"«') and any(q in behind for q in '"»')
+                want[2 if quoted else 1 if e else 0] += 1
+            at += len(t) + 1
+        assert toxicity.features(text, trie, {}) == tuple(want)
+
+
 def test_quotation_changes_the_score(spark):
     rng = random.Random(13)
     vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
@@ -220,6 +247,13 @@ def test_nearest_recall_and_ties(spark, monkeypatch):
     assert copies == list(range(101, 101 + len(copies)))
 
 
+def test_nearest_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 3.0]), (1, [2.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), k=3)
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in got.collect()}
+    assert [found[0, i] for i in (1, 2, 3)] == [(1, 3.0), (2, 3.0), (20, 1.0)] and [found[20, i] for i in (1, 2, 3)] == [(1, 2.0), (0, 1.0), (2, 1.0)]
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 2.0])], "vec_id long, embedding array<float>")
     assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df).collect()) == [(0, 1, 20), (0, 2, 3), (20, 1, 3), (20, 2, 0)]
