@@ -18,6 +18,8 @@ from tapeline.functions import decode
 
 #: Payloads up to this many bytes are kept in the scan.
 INLINE = 1024
+#: Bytes of the largest recording that is read.
+LARGEST = 2**31 - 1024
 RAW = "file_id string, file_offset long, head binary, payload binary, error struct<code:string,offset:bigint,message:string>, broken boolean"
 
 
@@ -43,8 +45,19 @@ def list_files(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, lis
 
 
 def read_contents(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """file_id (the path), content; compressed files are inflated in the scan."""
-    return spark.read.format("binaryFile").load(patterns).select(F.col("path").alias("file_id"), "content")
+    """file_id (the path), content; compressed files are inflated in the scan.
+
+    A cell holds ``LARGEST`` bytes at most. Larger files are not opened, by a filter that Spark pushes to the source, and
+    do not fail the job; ``too_large`` tells them.
+    """
+    files = spark.read.format("binaryFile").load(patterns)
+    return files.where(F.col("length") <= LARGEST).select(F.col("path").alias("file_id"), "content")
+
+
+def too_large(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """file_id, code, offset, message of the files that ``read_contents`` leaves out."""
+    files = spark.read.format("binaryFile").load(patterns).select("path", "length").where(F.col("length") > LARGEST)
+    return files.select(F.col("path").alias("file_id"), F.lit("too_large").alias("code"), F.lit(0).cast("long").alias("offset"), F.concat(F.col("length").cast("string"), F.lit(" bytes")).alias("message"))
 
 
 def _header_bytes(high: int, low: int) -> int:

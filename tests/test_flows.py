@@ -14,13 +14,15 @@ from tapeline.streaming import status
 HEAD = "a00009a9fd0c000000000017dec498ab00000014" + "00" * 20 + "00000028"
 
 
-def test_scan_of_files(spark, tmp_path):
+def test_scan_of_files(spark, tmp_path, monkeypatch):
     (tmp_path / "a.ubv").write_bytes(bytes.fromhex(HEAD))
     (tmp_path / "b.ubv.gz").write_bytes(gzip.compress(bytes.fromhex(HEAD * 2)))
     (tmp_path / "c[1].ubv").write_bytes(bytes.fromhex(HEAD + "ff" * 8))
     files, unmatched = archive.list_files(spark, [f"{tmp_path}/*.gz", f"{tmp_path}/c[1].ubv", f"{tmp_path}/none*"])
     assert sorted(r.path.rsplit("/")[-1] for r in files.collect()) == ["b.ubv.gz", "c[1].ubv"] and unmatched == [f"{tmp_path}/none*"]
     rows = archive.scan(archive.read_contents(spark, [str(tmp_path)]))
+    monkeypatch.setattr(archive, "LARGEST", 50)
+    assert [r.code for r in archive.too_large(spark, [str(tmp_path)]).collect()] == ["too_large"] and archive.read_contents(spark, [str(tmp_path)]).count() == 2
     count = lambda df: {r.file_id.rsplit("/")[-1]: r["count"] for r in df.groupBy("file_id").count().collect()}
     assert count(archive.with_policy(rows, "drop_file")) == {"a.ubv": 1, "b.ubv.gz": 2}
     assert count(archive.with_policy(rows, "keep_prefix")) == {"a.ubv": 1, "b.ubv.gz": 2, "c[1].ubv": 1}
