@@ -47,6 +47,36 @@ def test_nanoseconds_and_header_bytes(spark):
     assert (entry.wc_ms, entry.wc_seconds, entry.wc_nanoseconds) == (1683867154888, 1683867154, 0x34EDCE05) and part.header.payload == [0] * 20
 
 
+def record(track, code, sequence, dts, payload):
+    """A record with a 64-bit timestamp, as it stands in a recording."""
+    lead = bytes([0xA0, track >> 8, track & 255])
+    body = lead + bytes([lead[0] ^ lead[1] ^ lead[2]]) + code.to_bytes(2, "big") + sequence.to_bytes(2, "big") + dts.to_bytes(8, "big") + len(payload).to_bytes(4, "big") + payload
+    body += b"\0" * (-len(body) % 4)
+    return body + len(body).to_bytes(4, "big")
+
+
+def test_structure_document_byte_for_byte(spark):
+    """Two seconds of video at 30 frames a second under one clock sync: the scan gives the structure document that the parts spell out."""
+    head, start = bytes(range(200, 220)), 1704067200
+    data = record(9, 0xFD0C, 0, 0, head) + record(0xDA7E, 0xFD02, 0, 0, start.to_bytes(4, "big") + bytes(4))
+    sync = {"sc_dts": 0, "sc_rate": 1000, "wc_ms": start * 1000, "wc_seconds": start, "wc_nanoseconds": 0}
+    entries, at = [{"ClockSync": sync}], 96
+    for i in range(60):
+        size, key = 5 + i * 37 % 900, i % 30 == 0
+        data += record(1004, 0xFD0C if key else 0xDD0C, i, 3000 * i, b"x" * size)
+        frame = {"type_char": "V", "track_id": 1004, "data_offset": at, "data_size": size, "dts": 3000 * i, "clock_rate": 90000, "sequence": i, "keyframe": key, "cts": 0, "wc": start * 90000 + 3000 * i, "packet_position": "Single"}
+        entries.append({"Frame": frame})
+        at = (at + size + 3) // 4 * 4 + 4 + 20
+    header = {"file_offset": 0, "dts": 0, "clock_rate": 90000, "format_code": 64780, "payload": list(head)}
+    want = json.dumps({"partitions": [{"index": 0, "entries": entries, "header": header}]}, separators=(",", ":"))
+    rows = archive.with_policy(archive.scan(spark.createDataFrame([("f", data)], "file_id string, content binary")))
+    files = nested.structure(tracks.known_rows(timeline.with_wall_clock(timeline.with_partitions(rows))))
+    assert files.select(F.to_json(F.struct("partitions"))).first()[0] == want
+    frames = timeline.media_rows(timeline.with_wall_clock(timeline.with_partitions(rows)))
+    summary = timeline.section_summary(frames).first()
+    assert (summary.video_fps, summary.video_frames, summary.video_duration_ms, summary.discontinuity_ms, summary.start_ms) == (30, 60, 1967, 0, start * 1000)
+
+
 def test_structure_round_trip(spark, tmp_path):
     rows = [("f", 0, 9, 0, 90000), ("f", 10, 0xDA7E, 500, 1000), ("f", 20, 7, 45000, 90000), ("f", 30, 1000, 8000, 16000), ("f", 40, 5, 600, 1000)]
     df = spark.createDataFrame(rows, "file_id string, file_offset long, track_id int, dts long, clock_rate long")
