@@ -196,7 +196,7 @@ def nearest(vectors: DataFrame, k: int = 20, divisor: int = 20, confidence: floa
     names = np.array([b.cell for b in boxes])
     low, high = (np.array([[b[f"{x}{i}"] for i in range(M)] for b in boxes]) for x in ("low", "high"))
 
-    def visits(start: int, stop: int, last: int):
+    def visits(start: int, stop: int):
         """Rows (cell, query, v, kth) of the start-th to the stop-th nearest cells of each query, as long as the test does not hold."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def nearest(vectors: DataFrame, k: int = 20, divisor: int = 20, confidence: floa
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, found_kind.types, strict=True)], schema=found_kind)
 
     def visited(queries: DataFrame, start: int, stop: int) -> DataFrame:
-        rows = queries.mapInArrow(visits(start, stop, len(names)), "cell int, query long, v array<double>, kth double")
+        rows = queries.mapInArrow(visits(start, stop), "cell int, query long, v array<double>, kth double")
         return index.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(look, "query long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Pivots, Voronoi regions, triangle-inequality windows and recursion, in this orde
 
 1. *Pivots.* Nearly all pairs of texts have distance 1, so pivots drawn from the whole corpus would put every document on
    the boundary of every region. Pivots are therefore local. Every document offers the head of its sorted set, rarest
-   shingles first (by a hashed count table, ties by hash); two sets within distance 0.25 share at least ``need`` shingles
-   of their heads. The holder of the least hash is the pivot of a shared shingle, and only documents that share a shingle
+   shingles first (by a hashed count table, ties by hash); two sets within distance 0.25 share at least a twentieth
+   of the smaller one in their heads. The holder of the least hash is the pivot of a shared shingle, and only documents that share a shingle
    with a pivot can be nearer to it than distance 1.
 2. *Voronoi regions.* Each document goes to the region of its nearest pivot, by the distance that the heads allow at
    least. Members within 0.25 of their pivot are settled by that one exact comparison.
@@ -28,7 +28,7 @@ rows are linked as copies; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -105,35 +105,10 @@ def summed(parts: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def count_table(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """How many of the hashes that ``values`` gives fall in each of 2^bits cells."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Counts(bits)
-        for batch in batches:
-            for x in values(batch):
-                table.add(x)
-        for part, counts in table.parts():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts], pa.binary())], names=["part", "counts"])
-
-    return summed(df.mapInArrow(count, "part int, counts binary"), bits)
-
-
-def least_overlap(a: int, b: int) -> int:
-    """Smallest intersection of sets of sizes a and b that makes a link."""
-    return -(-NUM * (a + b) // (NUM + DEN))
-
-
 def head_length(n: int) -> int:
     return min(n, n - -(-NUM * n // DEN) + -(-n // round(1 / EXTRA)))
 
 
-def needed(n: int) -> int:
-    """Shared shingles of the heads that any two linked sets have, one of them of size n."""
-    least_partner = -(-NUM * n // DEN)
-    return max(1, -(-least_partner // round(1 / EXTRA)))
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
