@@ -8,7 +8,6 @@ stage. Each stage's own treatment of nulls, ties and empty texts is told in its
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tapeline.llm import decontam, mixing, ngram_join, sharding, toxicity
 from tapeline.session import saved, table

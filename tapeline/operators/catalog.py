@@ -88,7 +88,7 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 
 def registry_from_json(text: Column) -> Column:
     """array<struct<mac,name>> of a registry document; empty if it cannot be read."""
-    return F.coalesce(F.from_json(text, "cameras array<struct<mac:string,name:string>>")["cameras"], F.array().cast("array<struct<mac:string,name:string>>"))
+    return F.coalesce(F.from_json(text, f"cameras {CAMERAS}")["cameras"], F.array().cast(CAMERAS))
 
 
 def registry_to_json(cameras: Column) -> Column:

@@ -17,7 +17,6 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.functions import tracks
 from tapeline.operators import mask, units
 
 
