@@ -19,7 +19,7 @@ def recorded_ms(name: Column) -> Column:
     """Milliseconds at the end of a file name: the part behind the last underscore, thirteen digits long as a number."""
     stem = F.regexp_replace(F.regexp_replace(name, r"(?i)\.gz$", ""), r"(?i)\.ubv$", "")
     last = F.substring_index(stem, "_", -1)
-    value = F.when(F.contains(stem, F.lit("_")) & last.rlike(r"^\+?[0-9]{1,18}$"), last.try_cast("long"))
+    value = F.when(F.contains(stem, F.lit("_")) & last.rlike(r"^\+?0*[0-9]{1,18}$"), last.try_cast("long"))
     return F.when((value > 10**12) & (value < 10**13), value)
 
 

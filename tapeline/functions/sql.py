@@ -42,7 +42,7 @@ FUNCTIONS = {
     "recorded_ms": (
         "name STRING",
         "BIGINT",
-        f"CASE WHEN contains({_STEM}, '_') AND substring_index({_STEM}, '_', -1) RLIKE r'^\\+?[0-9]{{1,18}}$' AND try_cast(substring_index({_STEM}, '_', -1) AS BIGINT) BETWEEN 1000000000001 AND 9999999999999 THEN try_cast(substring_index({_STEM}, '_', -1) AS BIGINT) END",
+        f"CASE WHEN contains({_STEM}, '_') AND substring_index({_STEM}, '_', -1) RLIKE r'^\\+?0*[0-9]{{1,18}}$' AND try_cast(substring_index({_STEM}, '_', -1) AS BIGINT) BETWEEN 1000000000001 AND 9999999999999 THEN try_cast(substring_index({_STEM}, '_', -1) AS BIGINT) END",
     ),
     "mac_display": ("mac STRING", "STRING", "CASE WHEN mac RLIKE '^[0-9A-Fa-f]{12}$' THEN regexp_replace(upper(mac), '(..)(?!$)', '$1:') END"),
     "mac_plain": ("mac STRING", "STRING", "upper(translate(mac, ':-', ''))"),

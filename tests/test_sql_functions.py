@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeline.functions import clock, naming, sql
 
 c = F.col
-NAMES = ["AABBCCDDEEFF_0_rotating_1234567890123.ubv", "aabbccddeeff_2_Rotating_1700000000000.UBV.gz", "short_file.ubv", "x_1000000000000.ubv", "file_+1700000000001.ubv", "noext", " a<b>c\"d|e ", "***", "", None, "Caméra ", "AABBCCDDEEFF", "ggbbccddeeff_TIMELAPSE_1.ubv", "AA:bb-CC"]
+NAMES = ["AABBCCDDEEFF_0_rotating_1234567890123.ubv", "aabbccddeeff_2_Rotating_1700000000000.UBV.gz", "short_file.ubv", "x_1000000000000.ubv", "file_+1700000000001.ubv", "file_00000000001700000000002.ubv", "noext", " a<b>c\"d|e ", "***", "", None, "Caméra ", "AABBCCDDEEFF", "ggbbccddeeff_TIMELAPSE_1.ubv", "AA:bb-CC"]
 LONGS = [None, 0, 1, 44, 45, 1023, 1024, 3000, 1048575, 1048576, 2**30, 8100000000, 1704067200999, 151548043939920]
 RATES = [None, 0, 1, 30, 1000, 44100, 90000, 10**9]
 

@@ -182,7 +182,7 @@ def test_interleave_equals_head_compare(spark):
     ("name", "mac", "ms", "low"),
     [
         ("AABBCCDDEEFF_0_rotating_1234567890123.ubv", "AABBCCDDEEFF", 1234567890123, False), ("aabbccddeeff_2_rotating_1700000000000.ubv.gz", "AABBCCDDEEFF", 1700000000000, True), ("short_file.ubv", None, None, False),
-        ("GGBBCCDDEEFF_file.ubv", None, None, False), ("AABBCCDDEEFFAA_file.ubv", None, None, False), ("AABBCCDDEEFF.ubv", None, None, False), ("noext", None, None, False), ("file_1000000000000.ubv", None, None, False),
+        ("GGBBCCDDEEFF_file.ubv", None, None, False), ("AABBCCDDEEFFAA_file.ubv", None, None, False), ("AABBCCDDEEFF.ubv", None, None, False), ("noext", None, None, False), ("x_00000000001700000000002.ubv", None, 1700000000002, False), ("file_1000000000000.ubv", None, None, False),
         ("file_10000000000000.ubv", None, None, False), ("x_TimeLapse_1700000000000.UBV", None, 1700000000000, True),
     ],
 )
