@@ -34,8 +34,8 @@ LEAF = 256
 CELL_ROWS = 4096
 SAMPLE_ROWS = 20_000
 NEXT_CELLS = 6
-#: Queries that one cell handles at a time.
-CHUNK_ROWS = 2048
+#: Queries that a cell handles at a time, and that one group of a cell's queries holds at the mean.
+CHUNK_ROWS, GROUP_QUERIES = 2048, 32_768
 
 
 def chi_square_cdf(x: np.ndarray, dims: int = M) -> np.ndarray:
@@ -234,14 +234,21 @@ def nearest(vectors: DataFrame, k: int = 20, divisor: int = 20, confidence: floa
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, found_kind.types, strict=True)], schema=found_kind)
 
     def visited(queries: DataFrame, start: int, stop: int) -> DataFrame:
+        """Groups of a cell and some of its queries; a cell goes to the groups that ask for it."""
         rows = queries.mapInArrow(visits(start, stop), "cell int, query long, v array<double>, kth double")
-        return index.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(look, "query long, vec_id long, score double")
+        cells = index.withColumn("group", F.lit(0))
+        rows = rows.withColumn("group", F.pmod(F.xxhash64("query"), F.lit(n_groups)).cast("int"))
+        if n_groups > 1:
+            rows = saved(rows)
+            cells = index.join(rows.select("cell", F.col("group").alias("asks")).distinct(), "cell").withColumnRenamed("asks", "group")
+        return cells.groupBy("cell", "group").cogroup(rows.groupBy("cell", "group")).applyInArrow(look, "query long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
         return saved(found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", rank).where(F.col("n") <= k + 1))
 
     queries = saved(asked.groupBy("query", "v").agg(F.lit(float("-inf")).alias("kth")))
+    n_groups = -(-queries.count() // GROUP_QUERIES)
     found = best(visited(queries, 0, 1))
     for start, stop in ((1, 1 + NEXT_CELLS), (1 + NEXT_CELLS, len(names))):
         if start < len(names):

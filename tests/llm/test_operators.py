@@ -219,8 +219,10 @@ def test_trigram_queries_hold():
 # nearest neighbours ------------------------------------------------------------------------------------------------
 
 
-def test_nearest_recall_and_ties(spark, monkeypatch):
+@pytest.mark.parametrize("group", [32_768, 20])
+def test_nearest_recall_and_ties(spark, monkeypatch, group):
     monkeypatch.setattr(ann, "CELL_ROWS", 200)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", group)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 24))
     data = (centres[rng.integers(0, 12, 1500)] + 0.4 * rng.normal(size=(1500, 24))).astype(np.float32)
