@@ -53,8 +53,8 @@ LEAST_BITS, MOST_BITS = 16, 24
 CELLS_PER_ROW = 16
 #: Parts in which tasks hand over their count tables.
 TABLE_PARTS = 256
-#: Shingles of heads in one part of their exchange, and the least number of parts.
-PART_SHINGLES, LEAST_PARTS = 1_000_000, 64
+#: Shingles of heads in one part of their exchange, the least number of parts, and shingles that a task packs together.
+PART_SHINGLES, LEAST_PARTS, PACKED_SHINGLES = 1_000_000, 64, 400_000
 #: Shingles of all members of a region that one task joins.
 REGION_SHINGLES = 1_000_000
 
@@ -68,7 +68,7 @@ class Counts:
     def add(self, hashed: np.ndarray) -> None:
         self.waiting.append(hashed)
         self.size += len(hashed)
-        if self.size > 500_000:
+        if self.size > 250_000:
             self._flush()
 
     def _flush(self) -> None:
@@ -179,7 +179,7 @@ def heads(texts: DataFrame, classes, bits: int, parts: int) -> DataFrame:
                     kept = np.argsort(cls, kind="stable")[: head_length(len(x))]
                     held.append((key, x[kept], cls[kept] > 0))
                     size += len(kept)
-                    if size > PART_SHINGLES:
+                    if size > PACKED_SHINGLES:
                         yield packed()
                         held, size = [], 0
         if held:
@@ -458,7 +458,7 @@ def screen_region(heads_: list[np.ndarray], sizes: np.ndarray, labels: np.ndarra
 
 
 #: Shared shingles of heads that one task may hold to screen a region; the members of a larger one are all kept, and there the bound of the distance is 1.
-SCREEN_SHINGLES = 4_000_000
+SCREEN_SHINGLES = 1_500_000
 
 
 def screened(lists: DataFrame, labels: DataFrame | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ behind it, it counts as quoted, else as abuse. A logistic model over the numbers
 labels hold no quoted hits the weight of quotation stays 0: a quoted hit then adds nothing to a score, an unquoted one
 does.
 
-Bounds: the lexicon and the model are learned from at most ``TRAIN_PER_LABEL`` rows of each label (in the order of a hash of the id), equal
-texts once; what the driver gathers is bounded by that sample. Everything else, scoring above all, is one scan over all rows and whole texts, with no shuffle.
+Bounds: the lexicon and the model are learned from at most ``TRAIN_PER_LABEL`` rows of each label (in the order of a hash of the id);
+what the driver gathers is bounded by that sample. Everything else, scoring above all, is one scan over all rows and whole texts, with no shuffle.
 
 Defined results: null text counts as empty, here and in ``keep_clean``; a null id is not held out; labels that are null are left out; with no usable
 labels all scores are 0; an empty table gives no rows; repeated rows are scored each; other columns are ignored
@@ -38,11 +38,12 @@ SHORTEST, HEAD = 4, 24
 FUZZY_FROM, FUZZY2_FROM = 5, 9
 WINDOW = 60
 #: A task forgets the hits of words when it remembers more of them than this; one document's words come on top.
-MEMO = 300_000
+MEMO = 150_000
 
 WORD = re.compile(r"[^\W_]+")
 #: Words with symbols between letters, as they are put in a letter's place.
-MASKED = re.compile(r"[^\W_]+(?:[*@$!|+#][^\W_]+)+")
+SYMBOLS = "*@$!|+#"
+MASKED = re.compile(rf"[^\W_]+(?:[{SYMBOLS}][^\W_]+)+")
 OPEN_QUOTE, CLOSE_QUOTE = re.compile("[\"“«„‹]"), re.compile("[\"”»“›]")
 
 
@@ -143,7 +144,7 @@ def features(text: str, trie: FuzzyTrie, memo: dict[str, int]) -> tuple[int, int
             found = memo[w] = trie.hit(w)
         return found
 
-    masked = [m for m in MASKED.finditer(low) if edits(m[0]) != 9]
+    masked = [m for m in MASKED.finditer(low) if edits(m[0]) != 9] if any(c in low for c in SYMBOLS) else []
     if not masked and all(edits(w) == 9 for w in set(WORD.findall(low))):
         return 0, 0, 0
     plain = fuzzy = quoted = 0
@@ -172,8 +173,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = usable.where("toxic = 1").orderBy(*order).limit(TRAIN_PER_LABEL).unionByName(usable.where("toxic = 0").orderBy(*order).limit(TRAIN_PER_LABEL))
     ids = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return rows.withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "toxic"]).drop("same")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
 
 
 def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
