@@ -14,7 +14,7 @@ that is, if both lie in one interval of common prefixes in either order (``repea
 
 A gram met in many differing contexts would be one task's work. Grams that are frequent in some task (``heavy``) are
 therefore dealt by their whole string, and their windows are compared by 64-bit fingerprints (beside the gram's 64) dealt
-by their hash; so are those of any other gram of more than ``GROUP_STRINGS`` strings. Fingerprints stand for bytes there;
+by the bytes before the anchor, which equal windows share, and by their hash where that is not enough; so are those of any other gram of more than ``GROUP_STRINGS`` strings. Fingerprints stand for bytes there;
 the chance that two of N differing windows of one gram collide is about N^2 / 2^65.
 
 Whole copies of a text are found by a hash of 64 bits and enter the sort once a task. Texts are shuffled only in the
@@ -43,12 +43,12 @@ from tapeline.session import saved
 LENGTH, GRAM = 200, 32
 #: Bits of the table of grams: so many for each expected block, up to the bound (16 MB packed).
 TABLE_BITS, TABLE_PARTS, CELLS_PER_BLOCK = 27, 256, 12
-#: A task's sorted run ends at this many bytes or suffixes; raw bytes of text to one part of the exchange.
-RUN_BYTES, RUN_SUFFIXES, PART_BYTES = 24 << 20, 90_000, 8 << 20
+#: A task's sorted run ends at this many bytes or suffixes; raw bytes of text to one part of the exchange, and to one task.
+RUN_BYTES, RUN_SUFFIXES, PART_BYTES, TASK_BYTES = 24 << 20, 90_000, 1 << 20, 8 << 20
 #: A task tells the grams that so large a share of its blocks have, at most this many; of all told, so many stay.
 HEAVY_SHARE, HEAVY = 1 / 2000, 4096
-#: Differing strings of one gram whose windows one merge compares, and those of a gram with more for each group that its fingerprints are dealt to.
-GROUP_STRINGS, DEAL_STRINGS = 4096, 1024
+#: Differing strings of one gram whose windows one merge compares, and windows of a gram with more in one group that its fingerprints are dealt to.
+GROUP_STRINGS, GROUP_WINDOWS = 4096, 100_000
 #: Strings whose levels are compared at once.
 TOGETHER_STRINGS = 3000
 LEAD = 8  # bytes of the gram before each suffix
@@ -324,7 +324,8 @@ def removed_runs(texts: DataFrame, total: int, length: int, gram: int) -> DataFr
     bits = min(TABLE_BITS, max(16, (CELLS_PER_BLOCK * 2 * (total // (length - gram + 2))).bit_length()))
     table, heavy_counts = gram_facts(texts, bits, length, gram)
     twice, heavy = context.broadcast(table), context.broadcast({g & (2**64 - 1): n for g, n in heavy_counts.items()})
-    n_parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
+    n_parts = max(512, total // PART_BYTES)
+    n_tasks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, often, run, size = twice.value, heavy.value, {}, 0
@@ -389,8 +390,9 @@ def removed_runs(texts: DataFrame, total: int, length: int, gram: int) -> DataFr
                     take(every[i], int(first), int(last))
 
         def dealt(g: int, group: list[Context]) -> Iterator[pa.RecordBatch]:
-            """The fingerprints of a gram with many strings, each window to one of so many groups that none is large."""
-            n = max(1, -(-max(len(group), often.get(g, 0)) // DEAL_STRINGS))
+            """The fingerprints of a gram with many strings, dealt by bands of the bytes before the anchor (and by hash) to groups of bounded size."""
+            n = max(len(group), often.get(g, 0))
+            width, split = max(1, GROUP_WINDOWS // n), -(-n // GROUP_WINDOWS)
             signed = int(np.array([g], U).view(np.int64)[0])
             rows: list[tuple] = []
             for low in range(0, len(group), 512):
@@ -402,7 +404,8 @@ def removed_runs(texts: DataFrame, total: int, length: int, gram: int) -> DataFr
                     at += len(w)
                     own = hashes(sums, start, start + length)
                     tkey, place = c.places[0][0].tolist()
-                    deal = (mixed(own) % U(n)).astype(np.int32)
+                    band = (len(c.before) - np.arange(len(own))) // width
+                    deal = (band * split + (mixed(own) % U(split)).astype(np.int64)).astype(np.int32)
                     for k in np.unique(deal).tolist():
                         mine = np.flatnonzero(deal == k).astype(np.int32)
                         rows.append((np.int64(tkey).tobytes(), np.int64(place).tobytes(), None, signed, k, own[mine].tobytes(), mine.tobytes()))
@@ -441,7 +444,7 @@ def removed_runs(texts: DataFrame, total: int, length: int, gram: int) -> DataFr
             yield from finish(runs)
 
     run_schema = "part int, prefixes binary, lengths binary, counts binary, places binary, tails binary"
-    found = saved(texts.mapInArrow(sorted_runs, run_schema).repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(merge, found_schema))
+    found = saved(texts.mapInArrow(sorted_runs, run_schema).repartition(n_tasks, "part").sortWithinPartitions("part").mapInArrow(merge, found_schema))
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -39,6 +39,7 @@ def test_equals_brute_force(spark, seed, letters, most, monkeypatch):
     monkeypatch.setattr(s, "RUN_SUFFIXES", 50)
     monkeypatch.setattr(s, "GROUP_STRINGS", most)
     monkeypatch.setattr(s, "TOGETHER_STRINGS", 40)
+    monkeypatch.setattr(s, "GROUP_WINDOWS", 5 * most)
     rows = corpus(seed, 60, letters)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n long").repartition(3)
     got = s.summary(s.remove_repeats(df, length=20, gram=6))
