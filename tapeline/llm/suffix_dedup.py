@@ -44,7 +44,7 @@ LENGTH, GRAM = 200, 32
 #: Bits of the table of grams: so many for each expected block, up to the bound (16 MB packed).
 TABLE_BITS, TABLE_PARTS, CELLS_PER_BLOCK = 27, 256, 12
 #: A task's sorted run ends at this many bytes or suffixes; raw bytes of text to one part of the exchange, and to one task.
-RUN_BYTES, RUN_SUFFIXES, PART_BYTES, TASK_BYTES = 24 << 20, 90_000, 1 << 20, 8 << 20
+RUN_BYTES, RUN_SUFFIXES, PART_BYTES, TASK_BYTES = 24 << 20, 90_000, 2 << 20, 8 << 20
 #: A task tells the grams that so large a share of its blocks have, at most this many; of all told, so many stay.
 HEAVY_SHARE, HEAVY = 1 / 2000, 4096
 #: Differing strings of one gram whose windows one merge compares, and windows of a gram with more in one group that its fingerprints are dealt to.
@@ -200,14 +200,19 @@ def front_coded(strings: dict[bytes, list[tuple[int, int]]]) -> Runs:
         places += strings[s]
         tails.append(s[lcp:])
         before = s
-    as_bytes = lambda x: np.array(x, np.uint32).tobytes()
-    return as_bytes(prefixes), as_bytes(lengths), as_bytes(counts), np.array(places, np.int64).tobytes(), zstandard.compress(b"".join(tails), 3)
+    as_bytes = lambda x: zstandard.compress(np.array(x, np.uint32).tobytes(), 3)
+    starts = np.array([at for _, at in places], np.uint32)
+    where = np.array([text for text, _ in places], np.int64).tobytes() + starts.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return as_bytes(prefixes), as_bytes(lengths), as_bytes(counts), zstandard.compress(where, 3), zstandard.compress(b"".join(tails), 3)
 
 
 def decoded(run: Runs) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """(common prefix with the string before, string, occurrences as rows of (text, start))."""
-    prefixes, lengths, counts = (np.frombuffer(x, np.uint32).tolist() for x in run[:3])
-    places = np.frombuffer(run[3], np.int64).reshape(-1, 2)
+    prefixes, lengths, counts = (np.frombuffer(zstandard.decompress(x), np.uint32).tolist() for x in run[:3])
+    where = zstandard.decompress(run[3])
+    n = len(where) // 12
+    starts = np.ascontiguousarray(np.frombuffer(where, np.uint8, offset=8 * n).reshape(4, n).T).view(np.uint32).reshape(n)
+    places = np.stack([np.frombuffer(where, np.int64, n), starts.astype(np.int64)], axis=1)
     at, done, before, tails = 0, 0, b"", zstandard.decompress(run[4])
     for lcp, n, count in zip(prefixes, lengths, counts, strict=True):
         before = before[:lcp] + tails[at : at + n]
@@ -324,7 +329,7 @@ def removed_runs(texts: DataFrame, total: int, length: int, gram: int) -> DataFr
     bits = min(TABLE_BITS, max(16, (CELLS_PER_BLOCK * 2 * (total // (length - gram + 2))).bit_length()))
     table, heavy_counts = gram_facts(texts, bits, length, gram)
     twice, heavy = context.broadcast(table), context.broadcast({g & (2**64 - 1): n for g, n in heavy_counts.items()})
-    n_parts = max(512, total // PART_BYTES)
+    n_parts = max(256, total // PART_BYTES)
     n_tasks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
