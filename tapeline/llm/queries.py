@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import ann, chat, decontam, mixing, ngram_join, secrets, sharding, suffix_dedup, token_counts, toxicity
+from tapeline.llm import ann, chat, decontam, filter_audit, lm_scores, mixing, ngram_join, secrets, sharding, suffix_dedup, token_counts, toxicity, whitening
 from tapeline.session import table
 
 
@@ -58,6 +58,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.summary(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
@@ -69,6 +81,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lm_scores": op11_lm_scores,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -88,6 +103,29 @@ def _spans_sql(rank: int, rule: secrets.Rule) -> str:
 _BASE = ", ".join(str(i) for i, r in enumerate(secrets.RULES) if r.base)
 
 SQL = {
+    "op12_filter_audit": rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+facts AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+         (CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END) + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS fails
+  FROM docs LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM facts GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+bits AS (SELECT filter_order, step, [1 << (ascii(substr(filter_order, CAST(i AS BIGINT), 1)) - 65) FOR i IN range(1, step + 1)] AS b FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+steps AS (SELECT filter_order, step, b[step] AS own, CAST(list_sum(b) AS BIGINT) - b[step] AS earlier FROM bits),
+sums AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (fails & own = 0 AND fails & earlier = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails & own <> 0 AND fails & earlier = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails & own <> 0 AND fails & earlier <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (fails & own <> 0 AND fails & earlier = 0), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (fails & own <> 0 AND fails & earlier = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums
+""",
     "op4_secrets": f"""
 WITH spans AS ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(secrets.RULES))}),
 found AS (
