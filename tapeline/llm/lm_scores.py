@@ -33,10 +33,10 @@ from tapeline.llm.shingles import U, chunks, mixed, substring_hashes
 from tapeline.session import saved
 
 FOLDS, HELD_OUT = 5, 1
-CLASSES, SINGLES = 48, 22
+CLASSES, SINGLES = 32, 14
 END_CLASS, RARE, FIRST_SUFFIX = 0, SINGLES + 1, SINGLES + 2
 FEATURES = 1 << 13
-ROUNDS, SLICE, RATE = 2, 4096, 0.3
+ROUNDS, SLICE, RATE = 2, 1 << 14, 1.0
 HEAD = 1 << 19
 #: Tokens that a task holds before it counts them, and features of a row of weights on their way.
 COUNTED, BLOCK = 1 << 20, 1 << 10
@@ -169,9 +169,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def logits(weights: np.ndarray, prior: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = weights[at[:, 0]]
-    out += weights[at[:, 1]]
-    out += weights[at[:, 2]]
+    out = weights.take(at[:, 0], axis=0)
+    out += weights.take(at[:, 1], axis=0)
+    out += weights.take(at[:, 2], axis=0)
     out += prior
     return out
 
@@ -181,7 +181,7 @@ def softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     top = z.max(axis=1, keepdims=True)
     z -= top
     np.exp(z, out=z)
-    total = z.sum(axis=1, keepdims=True)
+    total = z @ np.ones((z.shape[1], 1), z.dtype)
     z /= total
     return z, (np.log(total) + top)[:, 0]
 
@@ -191,21 +191,26 @@ class Learner:
 
     def __init__(self, weights: np.ndarray, prior: np.ndarray) -> None:
         self.weights, self.prior = weights.copy(), prior
-        self.squares, self.met = np.zeros(len(weights), np.float32), np.zeros(len(weights))
+        self.squares, self.met = np.zeros(len(weights)), np.zeros(len(weights))
 
     def update(self, at: np.ndarray, classes: np.ndarray) -> None:
         """One step against the gradient of a slice: expected less met classes, summed by feature."""
         p, _ = softmax(logits(self.weights, self.prior, at))
         p[np.arange(len(p)), classes] -= 1
-        flat = at.T.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        rows = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        some = rows[first]
-        gradient = np.add.reduceat(p[order % len(p)], first, axis=0)
-        self.met[some] += np.diff(np.concatenate([first, [len(rows)]]))
-        self.squares[some] += np.einsum("ij,ij->i", gradient, gradient)
-        self.weights[some] -= RATE * gradient / np.sqrt(self.squares[some] + 1e-6)[:, None] * np.sqrt(2.0).astype(np.float32)
+        n, parts = len(self.weights), np.ascontiguousarray(p.T, np.float64)
+        gradient = np.zeros((CLASSES, n))
+        for one in np.ascontiguousarray(at.T):
+            self.met += np.bincount(one, minlength=n)
+            for c, part in enumerate(parts):
+                gradient[c] += np.bincount(one, part, n)
+        self.squares += np.einsum("ij,ij->j", gradient, gradient)
+        gradient *= RATE / np.sqrt(self.squares + 1e-6)
+        self.weights -= gradient.T.astype(np.float32)
+
+    def walk(self, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        at, classes = (np.concatenate(x) for x in zip(*held, strict=True))
+        for i in range(0, len(at), SLICE):
+            self.update(at[i : i + SLICE], classes[i : i + SLICE])
 
 
 def averaged(texts: DataFrame, words, weights) -> np.ndarray:
@@ -213,13 +218,16 @@ def averaged(texts: DataFrame, words, weights) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = words.value
-        learner = Learner(weights.value, book.prior())
+        learner, held = Learner(weights.value, book.prior()), []
         for batch in batches:
             for _, some in chunks(batch.column(0)):
                 seen, starts = tokens(some)
-                at, classes = features(seen, starts), book.class_of(*book.find(seen))
-                for i in range(0, len(seen), SLICE):
-                    learner.update(at[i : i + SLICE], classes[i : i + SLICE])
+                held.append((features(seen, starts), book.class_of(*book.find(seen))))
+                if sum(len(x) for x, _ in held) >= 8 * SLICE:
+                    learner.walk(held)
+                    held = []
+        if held:
+            learner.walk(held)
         blocks, packed = [], []
         for b in range(0, FEATURES, BLOCK):
             met = np.flatnonzero(learner.met[b : b + BLOCK])
