@@ -26,6 +26,14 @@ def _units(payload: bytes) -> Iterator[tuple[int, bytes, bool]]:
         at += 4 + size
 
 
+def with_start_codes(payload: bytes, plain: bool) -> tuple[bytes, bool]:
+    """The stream of a frame, and whether all its units are complete; a plain payload passes."""
+    if plain:
+        return payload, True
+    found = list(_units(payload))
+    return b"".join(START_CODE + unit for _, unit, ok in found if ok), all(ok for *_, ok in found)
+
+
 def split_units(frames: DataFrame, key: str, payload: str = "payload") -> DataFrame:
     """key, unit, at, data, ok: one row per unit, in order; Arrow batches in and out."""
     kind = frames.schema[key].dataType.simpleString()
@@ -49,6 +57,7 @@ def reframed(frames: DataFrame, key: str | list[str], is_plain: str, payload: st
     """The columns of ``key``, stream, ok: length prefixes replaced by start codes; frames with ``is_plain`` pass unchanged.
 
     A unit that is cut short is left out, and ``ok`` is false, so that the loss can be told or the job failed (``complete``).
+    So it is where the payload is null though ``data_size``, if the frames have it, is not 0: such a payload has not been read.
     """
     keys = [key] if isinstance(key, str) else list(key)
     schema = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)
@@ -56,14 +65,14 @@ def reframed(frames: DataFrame, key: str | list[str], is_plain: str, payload: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, whole = [], []
-            for value, plain in zip(batch.column(len(keys)), batch.column(len(keys) + 1), strict=True):
-                data = value.as_py() or b""
-                found = [] if plain.as_py() else list(_units(data))
-                out.append(data if plain.as_py() else b"".join(START_CODE + unit for _, unit, ok in found if ok))
-                whole.append(all(ok for *_, ok in found))
+            for value, plain, missing in zip(*(batch.column(len(keys) + i) for i in range(3)), strict=True):
+                stream, ok = with_start_codes(value.as_py() or b"", plain.as_py())
+                out.append(stream)
+                whole.append(ok and not missing.as_py())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, pa.binary()), pa.array(whole, pa.bool_())], names=[*keys, "stream", "ok"])
 
-    return frames.select(*keys, payload, is_plain).mapInArrow(run, f"{schema}, stream binary, ok boolean")
+    missing = F.col(payload).isNull() & (F.col("data_size") > 0) if "data_size" in frames.columns else F.lit(False)
+    return frames.select(*keys, payload, is_plain, missing).mapInArrow(run, f"{schema}, stream binary, ok boolean")
 
 
 def kinds(frames: DataFrame, keys: list[str], order_by: str, payload: str = "payload") -> DataFrame:
@@ -71,11 +80,15 @@ def kinds(frames: DataFrame, keys: list[str], order_by: str, payload: str = "pay
 
     Only the chosen video track (``video_track``) and audio; video units are re-framed, but for OBU video, whose bytes pass as audio's do.
     """
+    return reframed(of_kinds(frames), [*keys, order_by, "kind", "extension"], "plain", payload)
+
+
+def of_kinds(frames: DataFrame) -> DataFrame:
+    """Adds kind, plain and the columns of the track to the frames of the chosen video track and of audio; others go."""
     rows = tracks.with_tracks(frames)
     audio = tracks.is_audio(F.col("track_id"))
     rows = rows.where(audio | (tracks.is_video(F.col("track_id")) & (F.col("track_id") == F.col("video_track"))))
-    rows = rows.withColumn("kind", F.when(audio, F.lit("audio")).otherwise(F.lit("video"))).withColumn("plain", audio | F.coalesce("is_obu", F.lit(False)))
-    return reframed(rows, [*keys, order_by, "kind", "extension"], "plain", payload)
+    return rows.withColumn("kind", F.when(audio, F.lit("audio")).otherwise(F.lit("video"))).withColumn("plain", audio | F.coalesce("is_obu", F.lit(False)))
 
 
 def complete(streams: DataFrame, key: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Scan of binary recordings: one row per record.
 
-Spark reads the files (``binaryFile``, so any store that Spark reads), a task walks a file's bytes and gives out raw
-headers and small payloads, and all fields are decoded by Column expressions. A file is one row, so at most 2 GB long
-and handled by one task; files are spread over tasks.
+A task walks a file's bytes and gives out raw headers and small payloads; all fields are decoded by Column expressions.
+Here Spark reads the contents (``binaryFile``, so any store that Spark reads), and a file is one row, at most 2 GB long
+and handled by one task; ``splits`` walks files of any size in byte ranges, and large payloads are read where they are used (``sinks.write_streams``).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,60 +64,83 @@ def _header_bytes(high: int, low: int) -> int:
     return 8 + (low & 0x0F == 1) * 4 + (8 if high & decode.DTS_64 else 4) + bool(high & decode.HAS_EXTRA) * 4 + (not high & 0x40) * 4
 
 
-def _walk(data: bytes) -> Iterator[tuple[int, bytes | None, bytes | None, dict | None]]:
-    """(offset, header with the size field, small payload, error) of each record, up to the end or the first error."""
-    at = 0
+def walk(read: Callable[[int, int], bytes], at: int = 0, stop: int = 2**63) -> Iterator[tuple[int, bytes | None, bytes | None, dict | None]]:
+    """(offset, header with the size field, small payload, error) of each record from ``at``, up to ``stop``, the end or the first error.
+
+    ``read``: bytes by place and size, fewer only at the end. Payloads that are large are not read.
+    """
     fail = lambda code, text: (at, None, None, {"code": code, "offset": at, "message": text})
-    while len(data) - at >= 8 and data[at]:
-        if data[at] != decode.MAGIC:
-            yield fail("bad_magic", f"0x{data[at]:02X} is no record start")
+    while at < stop:
+        lead = read(at, 32)  # no header is longer
+        if len(lead) < 8 or not lead[0]:
+            return
+        if lead[0] != decode.MAGIC:
+            yield fail("bad_magic", f"0x{lead[0]:02X} is no record start")
             return
-        if data[at] ^ data[at + 1] ^ data[at + 2] != data[at + 3]:
+        if lead[0] ^ lead[1] ^ lead[2] != lead[3]:
             yield fail("checksum", "header bytes do not match their checksum")
             return
-        header = _header_bytes(data[at + 4], data[at + 5])
-        head = data[at : at + header + 4]
-        if len(head) < header + 4:
+        header = _header_bytes(lead[4], lead[5]) + 4
+        head = lead[:header]
+        if len(head) < header:
             yield fail("short_header", "the file ends inside a header")
             return
         size = int.from_bytes(head[-4:], "big")
-        payload = data[at + header + 4 : at + header + 4 + size] if size <= INLINE else None
+        payload = read(at + header, size) if size <= INLINE else None
         if payload is not None and len(payload) < size:
             yield fail("short_payload", "the file ends inside a payload")
             return
         yield at, head, payload, None
-        at += header + 4 + size + -(at + header + 4 + size) % 4 + 4
+        at += header + size
+        at += -at % 4 + 4
 
 
-def _is_broken(head: bytes, payload: bytes | None) -> bool:
+def is_broken(head: bytes | None, payload: bytes | None) -> bool:
     """Whether a record decodes to an error: a timestamp above 2^63, or a clock sync that is too short."""
+    if head is None:
+        return True
     at = 12 if head[5] & 0x0F == 1 else 8
     too_large = bool(head[4] & decode.DTS_64) and head[at] >= 0x80
     return too_large or (head[1:3] == b"\xda\x7e" and payload is not None and len(payload) < 8)
 
 
+_KINDS = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.struct([("code", pa.string()), ("offset", pa.int64()), ("message", pa.string())]), pa.bool_()]
+_NAMES = ["file_id", "file_offset", "head", "payload", "error", "broken"]
+
+
+def raw_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=_NAMES)
+
+
+def raw_batches(file: str, records: Iterable[tuple], broken: bool, with_payload: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of RAW, some thousands together; payloads of clock syncs are always kept, as they are decoded."""
+    rows = []
+    for at, head, payload, error in records:
+        rows.append((file, at, head, payload if with_payload or head and head[1:3] == b"\xda\x7e" else None, error, broken))
+        if len(rows) == 10_000:
+            yield raw_batch(rows)
+            rows = []
+    if rows:
+        yield raw_batch(rows)
+
+
 def scan(contents: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Decoded records and error rows of (file_id, content); ``broken`` on every row tells whether its file has an error anywhere."""
+    """Decoded records and error rows of (file_id, content); ``broken`` on every row tells whether its file has an error anywhere.
+
+    For contents that are at hand; ``splits.scan_files`` reads files of any size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.struct([("code", pa.string()), ("offset", pa.int64()), ("message", pa.string())]), pa.bool_()]
-        names = ["file_id", "file_offset", "head", "payload", "error", "broken"]
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_py() or b""
-                rows: list[tuple] = []
                 try:
                     data = zlib.decompress(data, wbits=31) if data[:2] == b"\x1f\x8b" else data
                 except zlib.error as broken:
-                    data, rows = b"", [(name, 0, None, None, {"code": "bad_gzip", "offset": 0, "message": str(broken)}, True)]
-                bad = any(error or _is_broken(head, payload) for _, head, payload, error in _walk(data))
-                for at, head, payload, error in _walk(data):
-                    rows.append((name, at, head, payload if with_payload or head and head[1:3] == b"\xda\x7e" else None, error, bad))
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                    yield raw_batch([(name, 0, None, None, {"code": "bad_gzip", "offset": 0, "message": str(broken)}, True)])
+                    continue
+                records = list(walk(lambda at, size, data=data: data[at : at + size]))  # of a content that is in memory as a whole
+                yield from raw_batches(name, records, any(is_broken(head, payload) for _, head, payload, _ in records), with_payload)
 
     return decoded(contents.select("file_id", "content").mapInArrow(run, RAW))
 

@@ -9,22 +9,26 @@ from __future__ import annotations
 
 import contextlib
 import gzip
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.operators import mask, units
+from tapeline.sources import ranges
+
+#: Bytes of a recording that a copy holds at a time.
+PIECE = 1 << 20
 
 
 class _File:
     """One file on its way: written under another name, then renamed."""
 
     def __init__(self, folder: str, name: str, compress: bool) -> None:
-        self.store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        self.store, base = ranges.located(folder)
         self.store.create_dir(base)
         self.final, self.path, self.bytes = f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}", 0
         self.raw = self.store.open_output_stream(self.path)
@@ -34,6 +38,10 @@ class _File:
         self.out.write(data)
         self.bytes += len(data)
 
+    def size(self) -> int:
+        """Bytes of the file, once it is closed."""
+        return self.store.get_file_info(self.final).size
+
     def close(self, keep: bool) -> None:
         if self.out is not self.raw:
             self.out.close()
@@ -75,16 +83,140 @@ def write_files(rows: DataFrame, folder: str, name: str, order_by: str, payload:
     return ordered.mapInArrow(run, "name string, bytes long")
 
 
-def write_masked(contents: DataFrame, spans: DataFrame, folder: str) -> DataFrame:
-    """name, bytes: masked, compressed copies ``anonymised-<stem>.ubv.gz`` of recordings (file_id: the path, content); compressed ones are refused.
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for narrow rows that stand for much work; Spark would join them into one."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_streams(plan: DataFrame, folder: str, order_by: str = "file_offset") -> DataFrame:
+    """name, frames, bytes, md5: for each file and partition one stream of the chosen video track and one of audio, each only if that kind has frames.
+
+    ``plan``: file_id (the path), partition_index, track_id, video_track, data_offset, data_size and ``order_by``; no payloads. They are read
+    late: the narrow rows are shuffled by target and sorted by place, and the task that writes a stream reads the byte ranges
+    of its frames, neighbours together. What is short of a frame, or a unit cut short, fails the job.
+    """
+    rows = units.of_kinds(plan)
+    name = _stream_name().alias("name")
+    rows = rows.select(name, F.col(order_by).alias("at"), "file_id", F.col("data_offset").cast("long").alias("data_offset"), F.col("data_size").cast("long").alias("data_size"), "plain")
+    ordered = rows.repartition(_tasks(rows), "name").sortWithinPartitions("name", "file_id", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, out, frames, digest = None, None, 0, None
+        path, source = None, None
+
+        def done() -> pa.RecordBatch:
+            out.close(keep=True)
+            columns = [pa.array([current]), pa.array([frames], pa.int64()), pa.array([out.bytes], pa.int64()), pa.array([digest.hexdigest()])]
+            return pa.RecordBatch.from_arrays(columns, names=["name", "frames", "bytes", "md5"])
+
+        try:
+            for batch in batches:
+                names, _, files, offsets, sizes, plain = (c.to_pylist() for c in batch.columns)
+                first = 0
+                while first < len(names):
+                    last = first + 1
+                    while last < len(names) and (names[last], files[last]) == (names[first], files[first]):
+                        last += 1
+                    if names[first] != current:
+                        if out is not None:
+                            yield done()
+                        current, out, frames, digest = names[first], _File(folder, names[first], compress=False), 0, hashlib.md5()
+                        path = None  # a compressed file is read from its start again
+                    if files[first] != path:
+                        if source is not None:
+                            source.close()
+                        path, source = files[first], ranges.opened(files[first])
+                    spans = list(zip(offsets[first:last], sizes[first:last], strict=True))
+                    for i, payload in enumerate(ranges.payloads(source, spans), first):
+                        stream, ok = units.with_start_codes(payload, plain[i])
+                        if not ok:
+                            raise ValueError(f"a unit of frame {files[i]}@{offsets[i]} reaches past its end")
+                        out.write(stream)
+                        digest.update(stream)
+                        frames += 1
+                    first = last
+            if out is not None:
+                yield done()
+                out = None
+        except BaseException:
+            if out is not None:
+                out.close(keep=False)
+            raise
+        finally:
+            if source is not None:
+                source.close()
+
+    return ordered.mapInArrow(run, "name string, frames long, bytes long, md5 string")
+
+
+def write_masked(files: DataFrame, spans: DataFrame, folder: str, check: bool = False) -> DataFrame:
+    """name, bytes: masked, compressed copies ``anonymised-<stem>.ubv.gz`` of recordings of any size; compressed ones are refused.
 
-    ``spans``: file_id, spans to set to zero.
+    ``files``: file_id (the path) of every recording to copy; ``spans``: file_id, start, size, a row for each range to set to zero. A task streams a file from its place to the copy and
+    puts zeros where the spans, sorted by start, pass by; contents never enter a row. With ``check`` the columns plain_bytes and md5 tell what the copy inflates to.
     """
-    rows = contents.join(spans, "file_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,size:bigint>>")))
-    name = mask.anonymised_name(F.col("file_id"))
+    opening = files.select("file_id", F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("size"))
+    named = spans.select("file_id", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
+    rows = opening.distinct().unionByName(named).withColumn("name", mask.anonymised_name(F.col("file_id")))
     refused = F.raise_error(F.concat(F.col("file_id"), F.lit(" is compressed"))).cast("string")
-    masked = rows.select(F.when(name.isNull(), refused).otherwise(name).alias("name"), F.lit(0).alias("at"), mask.zeroed_content(F.col("content"), F.col("spans")).alias("data"))
-    return write_files(masked, folder, "name", "at", "data", compress=True)
+    rows = rows.withColumn("name", F.when(F.col("name").isNull(), refused).otherwise(F.col("name")))
+    ordered = rows.repartition(_tasks(rows), "file_id").sortWithinPartitions("file_id", "start").select("file_id", "name", "start", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copy = None
+        try:
+            for batch in batches:
+                for file, name, start, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if start < 0:
+                        if copy is not None:
+                            yield copy.done()
+                        copy = _Copy(file, folder, name)
+                    elif copy is not None and copy.file == file:  # spans of files that are not asked for go
+                        copy.zeros(start, size)
+            if copy is not None:
+                yield copy.done()
+                copy = None
+        except BaseException:
+            if copy is not None:
+                copy.out.close(keep=False)
+            raise
+
+    done = ordered.mapInArrow(run, "name string, bytes long, plain_bytes long, md5 string")
+    return done if check else done.select("name", "bytes")
+
+
+class _Copy:
+    """A recording on its way to its masked copy, a piece at a time."""
+
+    def __init__(self, file: str, folder: str, name: str) -> None:
+        self.file, self.name, self.at = file, name, 0
+        self.source, self.out, self.digest = ranges.Plain(file), _File(folder, name, compress=True), hashlib.md5()
+
+    def _put(self, piece: bytes) -> None:
+        self.out.write(piece)
+        self.digest.update(piece)
+        self.at += len(piece)
+
+    def upto(self, stop: int) -> None:
+        while self.at < stop:
+            self._put(self.source.range(self.at, min(PIECE, stop - self.at)))
+
+    def zeros(self, start: int, size: int) -> None:
+        stop = min(start + size, self.source.length)
+        self.upto(min(start, self.source.length))
+        while self.at < stop:
+            self._put(bytes(min(PIECE, stop - self.at)))
+
+    def done(self) -> pa.RecordBatch:
+        self.upto(self.source.length)
+        self.source.close()
+        self.out.close(keep=True)
+        columns = [pa.array([self.name]), pa.array([self.out.size()], pa.int64()), pa.array([self.at], pa.int64()), pa.array([self.digest.hexdigest()])]
+        return pa.RecordBatch.from_arrays(columns, names=["name", "bytes", "plain_bytes", "md5"])
+
+
+def _stream_name():
+    return F.concat_ws(".", F.concat_ws("_", F.substring_index("file_id", "/", -1), F.col("partition_index").cast("string"), "kind"), F.coalesce("extension", F.lit("h264")))
 
 
 def write_kinds(frames: DataFrame, folder: str, order_by: str = "file_offset") -> DataFrame:
@@ -95,5 +227,4 @@ def write_kinds(frames: DataFrame, folder: str, order_by: str = "file_offset") -
     """
     rows = units.kinds(frames, ["file_id", "partition_index"], order_by)
     rows = units.complete(rows.withColumn("frame", F.concat_ws("@", "file_id", F.col(order_by).cast("string"))), "frame")
-    name = F.concat_ws(".", F.concat_ws("_", F.substring_index("file_id", "/", -1), F.col("partition_index").cast("string"), "kind"), F.coalesce("extension", F.lit("h264")))
-    return write_files(rows.withColumn("name", name), folder, "name", order_by, "stream")
+    return write_files(rows.withColumn("name", _stream_name()), folder, "name", order_by, "stream")

@@ -149,12 +149,14 @@ def test_streams_of_each_kind_are_written(spark, tmp_path):
 
 
 def test_masked_copies_are_written(spark, tmp_path):
-    contents = spark.createDataFrame([("/in/r1.ubv", b"\x01\x02\x03\x04\x05"), ("/in/r2.ubv", b"\x09")], "file_id string, content binary")
-    spans = spark.createDataFrame([("/in/r1.ubv", [(0, 1), (2, 2)])], "file_id string, spans array<struct<start:bigint,size:bigint>>")
-    assert {r.name for r in sinks.write_masked(contents, spans, str(tmp_path / "m")).collect()} == {"anonymised-r1.ubv.gz", "anonymised-r2.ubv.gz"}
+    (tmp_path / "r1.ubv").write_bytes(b"\x01\x02\x03\x04\x05")
+    (tmp_path / "r2.ubv").write_bytes(b"\x09")
+    files = spark.createDataFrame([(f"{tmp_path}/r1.ubv",), (f"file:{tmp_path}/r2.ubv",)], "file_id string")
+    spans = spark.createDataFrame([(f"{tmp_path}/r1.ubv", 2, 2), (f"{tmp_path}/r1.ubv", 0, 1), ("/other.ubv", 0, 1)], "file_id string, start long, size long")
+    assert {r.name for r in sinks.write_masked(files, spans, str(tmp_path / "m")).collect()} == {"anonymised-r1.ubv.gz", "anonymised-r2.ubv.gz"}
     assert gzip.decompress((tmp_path / "m" / "anonymised-r1.ubv.gz").read_bytes()) == b"\x00\x02\x00\x00\x05" and len(list((tmp_path / "m").iterdir())) == 2
     with pytest.raises(Exception, match="is compressed"):
-        sinks.write_masked(contents.withColumn("file_id", F.lit("a.ubv.gz")), spans, str(tmp_path / "n")).collect()
+        sinks.write_masked(files.withColumn("file_id", F.lit("a.ubv.gz")), spans, str(tmp_path / "n")).collect()
 
 
 def test_registry(spark, tmp_path):
