@@ -3,10 +3,13 @@
 Items are put into classes of length (each a tenth longer than the one before), and for every class a window of as many
 words slides over every text, word by word; an item is indexed by its first words, as many as its class has, so that
 an exact copy agrees in all bits. A window's 64-bit SimHash over words comes from running sums that hold eight bit
-counters in one integer. Fingerprints are looked up in four blocks of 16 bits: two fingerprints within ``RADIUS`` differ by at most ``RADIUS // 4`` bits in one block, so a table
-of each block's values within that distance of an item's loses none. Windows that pass are verified by the exact
+counters in one integer. Fingerprints are cut into blocks, and two of them within ``RADIUS`` differ by at most ``RADIUS // blocks`` bits in
+one of these, so looking up the values within that distance of an item's, block by block, loses none. A block's index is a bit table of these
+values, which most windows do not pass, and their sorted list with the items they stand for, which names the items that a window is compared
+with; no others are. With three blocks of 21 and 22 bits some thousandths of all pairs are compared, however many items there are. Pairs of fingerprints are compared in pieces of ``PAIRS``. Windows that pass are verified by the exact
 weighted Jaccard similarity (weights: occurrences) of five-word shingles, 0.75 or more, of the whole item and as many
-words of the text from the window's start or its neighbours.
+words of the text from the window's start or its neighbours. A text that is shorter than an item has no such window and is compared with the
+items that hold one of its shingles.
 
 Items longer than ``LONGEST`` words are looked up by parts of that length, the last one overlapping the one before; what a
 part finds is verified as the whole item, from as many words before the hit as stand before the part. The items go to all tasks in blocks of about
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,11 @@ from tapeline.llm.shingles import U, chunks, shingle_hashes, word_hashes
 K = 5
 SIMILARITY = 0.75
 RADIUS = 8
-BLOCKS = 4
+#: Bits of the blocks.
+BITS = (21, 21, 22)
 LONGEST = 120
+#: Pairs of fingerprints that are compared together.
+PAIRS = 1 << 20
 ITEM_BLOCK, ITEM_BYTES = 20_000, 16 << 20
 #: Windows handled together, so that their counters stay in the processor's cache.
 SLICE = 16_384
@@ -64,12 +70,45 @@ def window_hashes(sums: np.ndarray, length: int, start: int, stop: int) -> np.nd
     return out
 
 
-def _near(block: int, distance: int) -> list[int]:
-    """16-bit values within ``distance`` bits of ``block``."""
-    found = {block}
+def _masks(bits: int, distance: int) -> np.ndarray:
+    """All values of ``bits`` bits with at most ``distance`` of them set."""
+    found = {0}
     for _ in range(distance):
-        found |= {x ^ (1 << i) for x in found for i in range(16)}
-    return list(found)
+        found |= {x | (1 << i) for x in found for i in range(bits)}
+    return np.array(sorted(found), np.uint32)
+
+
+class Block:
+    """One block of the items' fingerprints: which values are near an item's, and to which items."""
+
+    def __init__(self, prints: np.ndarray, shift: int, bits: int, distance: int) -> None:
+        self.shift, self.mask = U(shift), U((1 << bits) - 1)
+        near = (self.values(prints)[:, None] ^ _masks(bits, distance)[None, :]).astype(U) << U(32) | np.arange(len(prints), dtype=U)[:, None]
+        near = np.sort(near, axis=None)
+        self.sorted, self.items = (near >> U(32)).astype(np.uint32), near.astype(np.uint32).astype(np.int32)
+        table = np.zeros(1 << bits, bool)
+        table[self.sorted] = True
+        self.table = np.packbits(table, bitorder="little")
+
+    def values(self, prints: np.ndarray) -> np.ndarray:
+        return ((prints >> self.shift) & self.mask).astype(np.uint32)
+
+    def passes(self, values: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.table[values >> 3] >> (values & 7).astype(np.uint8) & 1)
+
+    def pairs(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in ``values``, item) of all that meet, in pieces."""
+        low, high = np.searchsorted(self.sorted, values), np.searchsorted(self.sorted, values, side="right")
+        counts = high - low
+        ends = np.cumsum(counts)
+        first = 0
+        while first < len(values):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, side="right")))
+            n = counts[first:last]
+            place = np.repeat(np.arange(first, last), n)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield place, self.items[low[place] + step]
+            first = last
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -104,18 +143,30 @@ class ItemIndex:
                 whole_counts[id(whole)] = shingle_counts(whole)
         self.shingles = [whole_counts[id(whole)] for *_, whole in parts]
         self.prints = np.array([window_hashes(lanes(whole[offset : offset + length]), length, 0, 1)[0] for _, offset, whole in parts], U)
-        self.tables = [np.zeros(1 << 16, bool) for _ in range(BLOCKS)]
-        for b, table in enumerate(self.tables):
-            for p in self.prints:
-                table[_near(int(p >> U(16 * b)) & 0xFFFF, RADIUS // BLOCKS)] = True
-
-    def candidates(self, prints: np.ndarray) -> np.ndarray:
-        """Places whose fingerprint agrees with an item's in some block, up to the block's share of the radius."""
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
-        hit = self.tables[0][blocks[:, 0]]
-        for b in range(1, BLOCKS):
-            hit |= self.tables[b][blocks[:, b]]
-        return np.flatnonzero(hit)
+        self.blocks = [Block(self.prints, sum(BITS[:b]), n, RADIUS // len(BITS)) for b, n in enumerate(BITS)]
+        held = [np.fromiter(x, U, len(x)) for x in self.shingles]
+        order = np.argsort(np.concatenate(held), kind="stable")
+        self.held = np.concatenate(held)[order]
+        self.holders = np.repeat(np.arange(len(parts)), [len(x) for x in held])[order]
+        self.windows = self.compared = 0
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, item) of all fingerprints and items within the radius; some come more than once."""
+        self.windows += len(prints)
+        for block in self.blocks:
+            values = block.values(prints)
+            passing = block.passes(values)
+            for place, item in block.pairs(values[passing]):
+                self.compared += len(item)
+                close = np.bitwise_count(prints[passing[place]] ^ self.prints[item]) <= RADIUS
+                yield passing[place[close]], item[close]
+
+    def holding(self, words: np.ndarray) -> np.ndarray:
+        """Items that hold half of the shingles of a short text, or more."""
+        own = np.fromiter(x := shingle_counts(words), U, len(x))
+        low, high = np.searchsorted(self.held, own), np.searchsorted(self.held, own, side="right")
+        found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(self.holders[a:b] for a, b in zip(low, high, strict=True))]), return_counts=True)
+        return found[2 * n >= len(own)]
 
 
 def item_parts(rows: list[tuple[int, str | None]]) -> dict[int, list[tuple[int, int, np.ndarray]]]:
@@ -131,6 +182,17 @@ def item_parts(rows: list[tuple[int, str | None]]) -> dict[int, list[tuple[int,
     return out
 
 
+class Items:
+    """Benchmark items as they are sent to all tasks; a worker builds the indexes once."""
+
+    def __init__(self, rows: list[tuple[int, str | None]]) -> None:
+        self.parts = item_parts(rows)
+
+    @cached_property
+    def indexes(self) -> list[ItemIndex]:
+        return [ItemIndex(n, x) for n, x in sorted(self.parts.items())]
+
+
 def find(texts: list[bytes], indexes: list[ItemIndex]) -> dict[tuple[int, int], tuple[float, int]]:
     """(place of the text, item) -> (best similarity, first word of that window)."""
     words, counts = word_hashes(texts)
@@ -141,6 +203,8 @@ def find(texts: list[bytes], indexes: list[ItemIndex]) -> dict[tuple[int, int],
     known: dict[tuple[int, int, int], float] = {}  # parts of one item lead to the same windows
 
     def verify(text: int, start: int, index: ItemIndex, item: int) -> None:
+        if found.get((text, index.items[item]), (0.0, 0))[0] == 1:
+            return  # windows come in order: an earlier copy is there
         size, best, goal = index.sizes[item], (0.0, 0), index.shingles[item]
         start -= index.offsets[item]
         for shift in sorted(range(-AROUND, AROUND + 1), key=abs):
@@ -158,16 +222,15 @@ def find(texts: list[bytes], indexes: list[ItemIndex]) -> dict[tuple[int, int],
     for index in indexes:
         n = index.length
         for start in range(0, len(words) - n + 1, SLICE):
-            prints = window_hashes(sums, n, start, min(start + SLICE, len(words) - n + 1))
-            at = index.candidates(prints)
-            at = at[text_of[start + at] == text_of[start + at + n - 1]]
-            for place, item in zip(*np.nonzero(np.bitwise_count(index.prints ^ prints[at, None]) <= RADIUS), strict=True):
-                first = start + int(at[place])
-                verify(int(text_of[first]), first, index, int(item))
+            stop = min(start + SLICE, len(words) - n + 1)
+            inside = text_of[start:stop] == text_of[start + n - 1 : stop + n - 1]
+            places = start + np.flatnonzero(inside)
+            for place, item in index.near(window_hashes(sums, n, start, stop)[inside]):
+                for first, own in zip(places[place].tolist(), item.tolist(), strict=True):
+                    verify(int(text_of[first]), first, index, own)
         for text in np.flatnonzero((counts < n) & (counts >= SIMILARITY * n)):
-            own = window_hashes(sums, int(counts[text]), int(begins[text]), int(begins[text]) + 1)[0]
-            for item in np.flatnonzero(np.bitwise_count(index.prints ^ own) <= 2 * RADIUS):
-                verify(int(text), int(begins[text]), index, int(item))
+            for item in index.holding(words[begins[text] : ends[text]]).tolist():
+                verify(int(text), int(begins[text]), index, item)
     return {key: (s, -a) for key, (s, a) in found.items()}
 
 
@@ -180,7 +243,7 @@ def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
 
 
 def _shared(docs: DataFrame, rows: list[tuple[int, str | None]]):
-    return docs.sparkSession.sparkContext.broadcast(item_parts(rows))
+    return docs.sparkSession.sparkContext.broadcast(Items(rows))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +254,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         parts = _shared(docs, rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            indexes = [ItemIndex(n, x) for n, x in sorted(parts.value.items())]
+            indexes = parts.value.indexes
             for batch in batches:
                 ids = batch.column("doc_id")
                 for at, texts in chunks(batch.column("text")):
@@ -212,7 +275,7 @@ def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Dat
         parts = _shared(docs, rows)
 
         def run(batches: Iterator[pa.RecordBatch], parts=parts) -> Iterator[pa.RecordBatch]:
-            indexes = [ItemIndex(n, x) for n, x in sorted(parts.value.items())]
+            indexes = parts.value.indexes
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for at, texts in chunks(batch.column(place)):
