@@ -50,10 +50,17 @@ def with_wall_clock(records: DataFrame, order: Order = DEFAULT) -> DataFrame:
 
     Under a sync of rate 0 no wall clock can be told: wc and wc_ms are null and bad_sync is true (``sync_errors`` has the syncs).
     """
-    is_sync = F.col("track_id") == tracks.SYNC
-    sync = F.when(is_sync & F.col("sc_rate").isNotNull(), F.struct("sc_dts", "sc_rate", "sync_ms"))
-    last = F.last(sync, ignorenulls=True).over(order.in_partition.rowsBetween(*SO_FAR))
-    rows = records.withColumn("sync", last)
+    last = F.last(sync_of_row(), ignorenulls=True).over(order.in_partition.rowsBetween(*SO_FAR))
+    return clocked(records.withColumn("sync", last))
+
+
+def sync_of_row() -> Column:
+    """What a clock sync tells; null on other rows."""
+    return F.when((F.col("track_id") == tracks.SYNC) & F.col("sc_rate").isNotNull(), F.struct("sc_dts", "sc_rate", "sync_ms"))
+
+
+def clocked(rows: DataFrame) -> DataFrame:
+    """Adds the wall clock to rows with ``sync``, the latest clock sync, which goes."""
     known = clock.wall_clock(F.col("dts"), F.col("clock_rate"), F.col("sync.sc_dts"), F.col("sync.sc_rate"), F.col("sync.sync_ms"))
     media = tracks.is_media(F.col("track_id"))
     bad = F.coalesce(F.col("sync.sc_rate") == 0, F.lit(False))
@@ -89,10 +96,11 @@ def dts_steps(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:
 def nominal_rate(step: str = "step", rate: Column | None = None) -> Column:
     """Aggregate: clock rate over the upper median of the positive steps, half up, 1 at least; null without any."""
     median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN {step} > 0 THEN {step} END DESC)")
-    return _per_second(median.cast("long"), (F.first("clock_rate") if rate is None else rate).cast("long"))
+    return per_second(median.cast("long"), (F.first("clock_rate") if rate is None else rate).cast("long"))
 
 
-def _per_second(median: Column, rate: Column) -> Column:
+def per_second(median: Column, rate: Column) -> Column:
+    """Rate over the median step, half up, 1 at least; null without one."""
     per_second = F.call_function("div", rate + F.call_function("div", median, F.lit(2).cast("long")), F.nullif(median, F.lit(0).cast("long")))
     return F.when(rate > 0, F.when(median.isNotNull(), F.greatest(per_second, F.lit(1).cast("long"))))
 
@@ -122,7 +130,7 @@ def with_video_rate(frames: DataFrame, order: Order = DEFAULT) -> DataFrame:
     rows = frames.withColumn("video_step", F.when(video & (step > 0), step))
     median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY video_step DESC)").over(whole)
     first = F.min_by("clock_rate", F.when(video & (F.col("clock_rate") > 0), F.col(order.offset))).over(whole)
-    return rows.withColumn("video_fps", _per_second(median.cast("long"), first.cast("long"))).drop("video_step")
+    return rows.withColumn("video_fps", per_second(median.cast("long"), first.cast("long"))).drop("video_step")
 
 
 def with_sections(frames: DataFrame, max_gap_ms: int = 5000, order: Order = DEFAULT) -> DataFrame:
@@ -132,18 +140,27 @@ def with_sections(frames: DataFrame, max_gap_ms: int = 5000, order: Order = DEFA
     """
     rows = media_rows(frames).where("clock_rate <> 0")
     video = tracks.is_video(F.col("track_id"))
-    before = F.max(F.when(video, F.col("wc_ms"))).over(order.in_partition.rowsBetween(*BEFORE))
-    rows = rows.withColumn("gap_ms", F.when(video & before.isNotNull(), F.greatest(F.col("wc_ms") - before, F.lit(0).cast("long"))))
+    rows = with_gaps(rows, F.max(F.when(video, F.col("wc_ms"))).over(order.in_partition.rowsBetween(*BEFORE)))
     splits = F.coalesce(F.col("gap_ms") > max_gap_ms, F.lit(False)).cast("int")
     return rows.withColumn("section_index", (F.sum(splits).over(order.in_partition.rowsBetween(*SO_FAR)) + 1).cast("int"))
 
 
+def with_gaps(rows: DataFrame, before: Column) -> DataFrame:
+    """Adds gap_ms to video rows; ``before``: the greatest video wall clock before the row."""
+    video = tracks.is_video(F.col("track_id"))
+    return rows.withColumn("gap_ms", F.when(video & before.isNotNull(), F.greatest(F.col("wc_ms") - before, F.lit(0).cast("long"))))
+
+
 def section_summary(frames: DataFrame, max_gap_ms: int = 5000, order: Order = DEFAULT) -> DataFrame:
     """One row per file, partition and section: first and last wall clocks, counts, durations, and what small gaps cost.
 
     A gap over twice the expected step (from the partition's video rate) and up to ``max_gap_ms`` costs its excess.
     """
-    rows = with_sections(with_video_rate(media_rows(frames), order), max_gap_ms, order)
+    return summarised(with_sections(with_video_rate(media_rows(frames), order), max_gap_ms, order), max_gap_ms, order)
+
+
+def summarised(rows: DataFrame, max_gap_ms: int, order: Order = DEFAULT) -> DataFrame:
+    """A row for each section of rows with section_index, gap_ms and video_fps."""
     expected = F.when(F.col("video_fps") > 0, F.greatest(F.call_function("div", F.lit(1000).cast("long"), F.col("video_fps")), F.lit(1).cast("long")))
     cost = F.when((F.col("gap_ms") > 2 * expected) & (F.col("gap_ms") <= max_gap_ms), F.col("gap_ms") - expected).otherwise(F.lit(0).cast("long"))
     video, audio = tracks.is_video(F.col("track_id")), tracks.is_audio(F.col("track_id"))
