@@ -39,11 +39,16 @@ def byte_values(data: Column) -> Column:
     return F.transform(at, lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("smallint"))
 
 
-def structure(rows: DataFrame, order: Order = DEFAULT) -> DataFrame:
-    """file, partitions: the whole parsed file as one nested value, in file order; arrays hold one recording's records."""
+def header_of(rows: DataFrame) -> Column:
+    """The header that a partition's first record tells."""
     none = F.lit(None).cast("array<smallint>")
     payload = F.when(F.col("payload").isNotNull(), byte_values(F.col("payload"))) if "payload" in rows.columns else none
-    header = F.struct("file_offset", "dts", "clock_rate", "format_code", payload.alias("payload")).cast(HEADER)
+    return F.struct("file_offset", "dts", "clock_rate", "format_code", payload.alias("payload")).cast(HEADER)
+
+
+def structure(rows: DataFrame, order: Order = DEFAULT) -> DataFrame:
+    """file, partitions: the whole parsed file as one nested value, in file order; arrays hold one recording's records (``documents`` has no such bound)."""
+    header = header_of(rows)
     is_header = F.col("track_type") == "PartitionHeader"
     entries = F.collect_list(F.when(~is_header, F.struct(F.col(order.offset).alias("at"), "entry")))
     parts = tagged(rows).groupBy(order.file, "partition_index").agg(
@@ -56,6 +61,11 @@ def structure(rows: DataFrame, order: Order = DEFAULT) -> DataFrame:
 def flattened(files: DataFrame, order: Order = DEFAULT) -> DataFrame:
     """The inverse of ``structure``: one row per entry, the members' fields merged, absent ones null."""
     rows = files.select(order.file, F.explode("partitions").alias("p")).select(order.file, F.col("p.index").alias("partition_index"), F.posexplode("p.entries").alias("place", "e"))
+    return merged_fields(rows, order)
+
+
+def merged_fields(rows: DataFrame, order: Order = DEFAULT) -> DataFrame:
+    """Rows of (file, partition_index, place, e) with the fields of whichever member ``e`` has."""
     first = lambda name, *members: F.coalesce(*(F.col(f"e.{m}.{name}") for m in members)).alias(name)
     kind = F.coalesce(*(F.when(F.col(f"e.{k}").isNotNull(), F.lit(k)) for k in ("ClockSync", "Frame", *KINDS))).alias("kind")
     both = ("Frame", *KINDS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import tracks
@@ -53,6 +53,19 @@ def split_units(frames: DataFrame, key: str, payload: str = "payload") -> DataFr
     return frames.select(key, payload).mapInArrow(run, f"{key} {kind}, unit int, at int, data binary, ok boolean")
 
 
+class SplitUnits:
+    """Table function: (unit, at, data, ok) of each payload, for SQL: ``FROM frames, LATERAL split_units(payload)``."""
+
+    def eval(self, payload: bytes | None):
+        for i, (at, data, ok) in enumerate(_units(bytes(payload or b""))):
+            yield i, at, data, ok
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes ``split_units`` known to SQL."""
+    spark.udtf.register("split_units", F.udtf(SplitUnits, returnType="unit int, at int, data binary, ok boolean", useArrow=True))
+
+
 def reframed(frames: DataFrame, key: str | list[str], is_plain: str, payload: str = "payload") -> DataFrame:
     """The columns of ``key``, stream, ok: length prefixes replaced by start codes; frames with ``is_plain`` pass unchanged.
 

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import decode, tracks
-from tapeline.operators import mask, timeline
+from tapeline.operators import mask, timeline, units
+from tapeline.plans import record_queries
 from tapeline.plans import standin as s
 from tapeline.session import shared_folder
-from tapeline.sources import archive, recordings, sinks, splits
+from tapeline.sources import archive, documents, recordings, sinks, splits
 
 #: Bytes of a split here, so that every recording has several.
 SMALL_SPLIT = 1 << 13
@@ -77,6 +78,21 @@ def source_scan(spark: SparkSession, d: str) -> DataFrame:
     return archive.decoded(rows).where("error is null").select(_user().alias("file_id"), "file_offset", "dts", "sequence", "data_size", "data_offset", "keyframe")
 
 
+def structure_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Structure documents written a file each, then read again entry by entry."""
+    folder = shared_folder(spark, "documents")
+    rows = tracks.known_rows(s.clocked(spark, d))
+    documents.write_documents(rows, folder).write.format("noop").mode("overwrite").save()
+    return documents.flattened(documents.read_documents(spark, [folder]))
+
+
+def unit_split_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Units by the table function, from SQL."""
+    units.register_functions(spark)
+    s.payloads(spark, d).createOrReplaceTempView("unit_payloads")
+    return spark.sql("SELECT frame_id, CAST(u.unit AS BIGINT) AS unit, md5(u.data) AS md5, CAST(octet_length(u.data) AS BIGINT) AS bytes, u.ok FROM unit_payloads, LATERAL split_units(payload) u")
+
+
 _SIZE = "CASE WHEN file_offset % 8 = 0 THEN file_offset * 977 % 5003 + 1 ELSE file_offset % 211 + 1 END"
 _FILES = f"""{s.RECORDS_SQL},
 siz AS (SELECT *, CASE WHEN track_id = 55934 THEN 8 WHEN track_id = 7 THEN {_SIZE} + 4 ELSE {_SIZE} END AS psize FROM rec),
@@ -88,6 +104,8 @@ _HEX = """'A0' || lpad(hex(track_id), 4, '0') || lpad(hex(xor(xor(160, track_id
 _MASKED = f"""CASE WHEN track_id = 55934 THEN lpad(hex(sync_ms // 1000), 8, '0') || lpad(hex(sync_ms % 1000 * 1000000), 8, '0') WHEN track_id IN (7, 1000, 1004, 10) OR track_id = 9 AND psize > 32 THEN repeat('00', CAST(psize AS INTEGER)) ELSE {_UNIT} END"""
 
 QUERIES_SQL = {
+    structure_documents: record_queries.QUERIES_SQL[record_queries.structure_json],
+    unit_split_sql: record_queries.QUERIES_SQL[record_queries.unit_split],
     split_scan: f"""WITH {_FILES} SELECT file_id, begun AS file_offset, track_id, dts, CAST(psize AS BIGINT) AS data_size, CAST(CASE WHEN psize <= 1024 THEN psize END AS BIGINT) AS inline, sync_ms, CAST(file_id AS BIGINT) % 8 = 0 AS broken, NULL::VARCHAR AS code FROM pos
 UNION ALL SELECT file_id, CAST(sum(total_size) AS BIGINT), NULL, NULL, NULL, NULL, NULL, true, 'bad_magic' FROM pos WHERE CAST(file_id AS BIGINT) % 8 = 0 GROUP BY file_id""",
     demuxed_streams: f"""WITH {s.CLOCKED_SQL}, v AS (SELECT file_id, arg_min(track_id, file_offset) FILTER (track_id <> 1000) AS chosen FROM frm GROUP BY file_id),
