@@ -152,8 +152,9 @@ def scan_files(spark: SparkSession, patterns: list[str], split: int = SPLIT, wit
     files, _ = archive.list_files(spark, patterns)
     whole = F.col("path").rlike(r"(?i)\.gz$")
     last = F.when(whole, 0).otherwise(F.greatest(F.call_function("div", F.col("length") - 1, F.lit(split).cast("long")), F.lit(0))).cast("long")
-    n = files.agg(F.sum(last + 1)).first()[0] or 1
-    tasks = min(MOST_TASKS, n)
+    sizes = files.agg(F.sum(last + 1).alias("splits"), F.sum("length").alias("bytes")).first()
+    # a task for each split of the usual size; small files and small splits share tasks
+    tasks = min(MOST_TASKS, sizes.splits or 1, max(spark.sparkContext.defaultParallelism, -(-(sizes.bytes or 0) // SPLIT)))
     parts = files.where("length > 0").select(F.col("path").alias("file_id"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("split"), "length")
     parts = parts.select("file_id", "split", (F.col("split") * split).alias("start"), ((F.col("split") + 1) * split).alias("stop"), "length")
     maps = parts.repartition(tasks, "file_id", "split").mapInArrow(_maps, MAP)  # a number of tasks of its own: the rows are few, the work is not
