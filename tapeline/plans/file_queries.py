@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions import decode, tracks
+from tapeline.functions import decode, naming, tracks
 from tapeline.operators import mask, timeline, units
 from tapeline.plans import record_queries
 from tapeline.plans import standin as s
 from tapeline.session import shared_folder
-from tapeline.sources import archive, documents, recordings, sinks, splits
+from tapeline.sources import archive, documents, recordings, sinks, splits, store
 
 #: Bytes of a split here, so that every recording has several.
 SMALL_SPLIT = 1 << 13
@@ -26,8 +26,9 @@ def _size() -> Column:
     return F.when(at % 8 == 0, at * 977 % 5003 + 1).otherwise(at % 211 + 1)
 
 
-def written(spark: SparkSession, d: str) -> str:
-    """The folder of the recordings ``<user>.ubv``."""
+def written(spark: SparkSession, d: str, name: Column | None = None) -> str:
+    """The folder of the recordings, named ``<user>.ubv`` or as told."""
+    name = F.concat("file_id", F.lit(".ubv")) if name is None else name
     rate = F.col("clock_rate")
     low = F.when(rate == 90_000, 12).when(rate == 16_000, 6).when(rate == 1000, 2).otherwise(0)
     code = F.when(F.col("keyframe"), 0xE400).otherwise(0xC400) + low
@@ -37,7 +38,7 @@ def written(spark: SparkSession, d: str) -> str:
     rows = s.records(spark, d).select("file_id", "file_offset", archive.encoded(F.col("track_id"), code, F.col("sequence"), F.col("dts"), payload).alias("bytes"))
     ends = rows.where(F.col("file_id").cast("long") % 8 == 0).select("file_id", F.lit(2**62).alias("file_offset"), F.unhex(F.lit("BB01020304050607")).alias("bytes")).distinct()
     folder = shared_folder(spark, "recordings")
-    sinks.write_files(rows.unionByName(ends).withColumn("name", F.concat("file_id", F.lit(".ubv"))), folder, "name", "file_offset", "bytes").write.format("noop").mode("overwrite").save()
+    sinks.write_files(rows.unionByName(ends).withColumn("name", name), folder, "name", "file_offset", "bytes").write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -78,6 +79,18 @@ def source_scan(spark: SparkSession, d: str) -> DataFrame:
     return archive.decoded(rows).where("error is null").select(_user().alias("file_id"), "file_offset", "dts", "sequence", "data_size", "data_offset", "keyframe")
 
 
+def stored_records(spark: SparkSession, d: str) -> DataFrame:
+    """Recordings of seven cameras, three of a day, taken into the store in two runs; then three cameras from the second day on."""
+    user = F.col("file_id").cast("long")
+    name = F.concat(F.lpad(F.hex(user % 7), 12, "0"), F.lit("_0_rotating_"), (user * 28_800_000 + s.EPOCH_MS).cast("string"), F.lit(".ubv"))
+    folder, kept = written(spark, d, name), shared_folder(spark, "store")
+    for pattern in (f"{folder}/00000000000[0-3]_*", folder):  # the second run finds what the first has left
+        store.ingest(spark, [pattern], kept, split=SMALL_SPLIT)
+    rows = store.records(spark, kept).where(F.col("camera").isin("000000000001", "000000000002", "000000000005") & (F.col("day") >= "2024-01-02") & F.col("error").isNull())
+    of = F.call_function("div", naming.recorded_ms(naming.file_name(F.col("file_id"))) - s.EPOCH_MS, F.lit(28_800_000).cast("long")).cast("string")
+    return rows.select(of.alias("file_id"), "file_offset", "track_id", "dts", "data_size", "camera", "day", "broken")
+
+
 def structure_documents(spark: SparkSession, d: str) -> DataFrame:
     """Structure documents written a file each, then read again entry by entry."""
     folder = shared_folder(spark, "documents")
@@ -113,5 +126,7 @@ k AS (SELECT *, CASE WHEN track_id = 1000 THEN 'audio.aac' WHEN track_id = 7 THE
 SELECT file_id || '.ubv_' || partition_index || '_' || kind AS name, count(*) AS frames, CAST(sum(length(x) // 2) AS BIGINT) AS bytes, md5(unhex(string_agg(x, '' ORDER BY file_offset))) AS md5 FROM k GROUP BY file_id, partition_index, kind""",
     masked_copies: f"""WITH {_FILES}, h AS (SELECT file_id, file_offset, {_HEX.format(payload=_MASKED)} AS x FROM pos),
 f AS (SELECT file_id, string_agg(x, '' ORDER BY file_offset) || CASE WHEN CAST(file_id AS BIGINT) % 8 = 0 THEN 'BB01020304050607' ELSE '' END AS x FROM h GROUP BY file_id) SELECT 'anonymised-' || file_id || '.ubv.gz' AS name, length(x) // 2 AS plain_bytes, md5(unhex(x)) AS md5 FROM f""",
+    stored_records: f"""WITH {_FILES}, c AS (SELECT *, lpad(hex(CAST(file_id AS BIGINT) % 7), 12, '0') AS camera, strftime(make_timestamp((CAST(file_id AS BIGINT) * 28800000 + {s.EPOCH_MS}) * 1000), '%Y-%m-%d') AS day FROM pos)
+SELECT file_id, begun AS file_offset, track_id, dts, CAST(psize AS BIGINT) AS data_size, camera, day, CAST(file_id AS BIGINT) % 8 = 0 AS broken FROM c WHERE camera IN ('000000000001', '000000000002', '000000000005') AND day >= '2024-01-02'""",
     source_scan: f"""WITH {_FILES} SELECT file_id, begun AS file_offset, dts, sequence, CAST(psize AS BIGINT) AS data_size, begun + 20 AS data_offset, keyframe FROM pos WHERE track_id = 1000 AND file_id || '.ubv' >= '1' AND file_id || '.ubv' < '6'""",
 }

@@ -24,7 +24,7 @@ RAW = "file_id string, file_offset long, head binary, payload binary, error stru
 
 
 def list_files(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, list[str]]:
-    """path, length of the files that any pattern names, once each, and the patterns that name none.
+    """path, length, modified of the files that any pattern names, once each, and the patterns that name none.
 
     A path that exists wins over its reading as a pattern.
     """
@@ -40,7 +40,7 @@ def list_files(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, lis
             found.append(pattern)
         else:
             unmatched.append(pattern)
-    rows = spark.read.format("binaryFile").load(found).select("path", "length").dropDuplicates(["path"]) if found else spark.createDataFrame([], "path string, length long")
+    rows = spark.read.format("binaryFile").load(found).select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"]) if found else spark.createDataFrame([], "path string, length long, modified timestamp")
     return rows, unmatched
 
 

@@ -149,7 +149,12 @@ def _records(with_payload: bool):
 
 def scan_files(spark: SparkSession, patterns: list[str], split: int = SPLIT, with_payload: bool = True) -> DataFrame:
     """Decoded records and error rows of the files that the patterns name, whatever their size; ``split``: bytes of a task's range, a multiple of 4."""
-    files, _ = archive.list_files(spark, patterns)
+    return scan_listed(archive.list_files(spark, patterns)[0], split, with_payload)
+
+
+def scan_listed(files: DataFrame, split: int = SPLIT, with_payload: bool = True) -> DataFrame:
+    """The same for listed files (path, length)."""
+    spark = files.sparkSession
     whole = F.col("path").rlike(r"(?i)\.gz$")
     last = F.when(whole, 0).otherwise(F.greatest(F.call_function("div", F.col("length") - 1, F.lit(split).cast("long")), F.lit(0))).cast("long")
     sizes = files.agg(F.sum(last + 1).alias("splits"), F.sum("length").alias("bytes")).first()
