@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tapeline.functions import decode, naming, tracks
 from tapeline.operators import mask, timeline, units
-from tapeline.plans import record_queries
+from tapeline.plans import catalog_queries, record_queries
 from tapeline.plans import standin as s
 from tapeline.session import shared_folder
 from tapeline.sources import archive, documents, recordings, sinks, splits, store
+from tapeline.streaming import status
 
 #: Bytes of a split here, so that every recording has several.
 SMALL_SPLIT = 1 << 13
@@ -99,6 +100,18 @@ def structure_documents(spark: SparkSession, d: str) -> DataFrame:
     return documents.flattened(documents.read_documents(spark, [folder]))
 
 
+def followed_status(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each file from the changes that a stream of the events gives; they come out of order, and a fifth of them twice."""
+    folder = shared_folder(spark, "events")
+    events = s.progress(spark, d)
+    events.unionByName(events.where("seq % 5 = 0")).repartition(4, F.xxhash64("seq", F.rand(3))).write.mode("overwrite").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    out = shared_folder(spark, "changes")
+    writer = status.changes_stream(stream).format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    status.started(writer, spark).awaitTermination()
+    return status.latest(spark.read.schema(status.CHANGES).parquet(f"{out}/rows")).withColumn("outputs", F.array_join("outputs", "|"))
+
+
 def unit_split_sql(spark: SparkSession, d: str) -> DataFrame:
     """Units by the table function, from SQL."""
     units.register_functions(spark)
@@ -117,6 +130,7 @@ _HEX = """'A0' || lpad(hex(track_id), 4, '0') || lpad(hex(xor(xor(160, track_id
 _MASKED = f"""CASE WHEN track_id = 55934 THEN lpad(hex(sync_ms // 1000), 8, '0') || lpad(hex(sync_ms % 1000 * 1000000), 8, '0') WHEN track_id IN (7, 1000, 1004, 10) OR track_id = 9 AND psize > 32 THEN repeat('00', CAST(psize AS INTEGER)) ELSE {_UNIT} END"""
 
 QUERIES_SQL = {
+    followed_status: catalog_queries.QUERIES_SQL[catalog_queries.file_status],
     structure_documents: record_queries.QUERIES_SQL[record_queries.structure_json],
     unit_split_sql: record_queries.QUERIES_SQL[record_queries.unit_split],
     split_scan: f"""WITH {_FILES} SELECT file_id, begun AS file_offset, track_id, dts, CAST(psize AS BIGINT) AS data_size, CAST(CASE WHEN psize <= 1024 THEN psize END AS BIGINT) AS inline, sync_ms, CAST(file_id AS BIGINT) % 8 = 0 AS broken, NULL::VARCHAR AS code FROM pos
