@@ -123,10 +123,8 @@ def tree(found: DataFrame) -> DataFrame:
     return files.select("file_id", F.to_json(F.struct("partitions")).alias("tree"))
 
 
-TREE = (
-    "partitions array<struct<label:string,index:int,total_entries:int,groups:array<struct<label:string,count:int,entries:array<struct<type:string,track_id:int,keyframe:boolean,"
-    "offset:bigint,size:bigint,dts:bigint,cts:bigint,wc:bigint,clock_rate:bigint,sequence:int,packet_position:string>>>>>>"
-)
+TREE_ENTRY = "type string, track_id int, keyframe boolean, offset bigint, size bigint, dts bigint, cts bigint, wc bigint, clock_rate bigint, sequence int, packet_position string"
+TREE = f"partitions array<struct<label:string,index:int,total_entries:int,groups:array<struct<label:string,count:int,entries:array<struct<{TREE_ENTRY.replace(', ', ',').replace(' ', ':')}>>>>>>"
 
 
 def parsed_tree(trees: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import decode, naming, tracks
-from tapeline.operators import mask, timeline, units
+from tapeline.operators import mask, nested, timeline, units
 from tapeline.plans import catalog_queries, record_queries
 from tapeline.plans import standin as s
 from tapeline.session import shared_folder
@@ -100,6 +100,20 @@ def structure_documents(spark: SparkSession, d: str) -> DataFrame:
     return documents.flattened(documents.read_documents(spark, [folder]))
 
 
+def tree_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Trees written a file each, then read again entry by entry."""
+    folder = shared_folder(spark, "trees")
+    documents.write_trees(nested.entries(tracks.known_rows(s.clocked(spark, d))), folder).write.format("noop").mode("overwrite").save()
+    return documents.read_trees(spark, [folder])
+
+
+def listed_files(spark: SparkSession, d: str) -> DataFrame:
+    """The recordings that a pattern or a path names, once each, with their lengths."""
+    folder = written(spark, d)
+    files, unmatched = archive.list_files(spark, [f"{folder}/[1-4]*.ubv", f"{folder}/*5.ubv", f"{folder}/1.ubv", f"{folder}/none*"])
+    return files.select(_user("path").alias("file_id"), "length", F.lit(len(unmatched)).cast("long").alias("unmatched"))
+
+
 def followed_status(spark: SparkSession, d: str) -> DataFrame:
     """The state of each file from the changes that a stream of the events gives; they come out of order, and a fifth of them twice."""
     folder = shared_folder(spark, "events")
@@ -130,6 +144,8 @@ _HEX = """'A0' || lpad(hex(track_id), 4, '0') || lpad(hex(xor(xor(160, track_id
 _MASKED = f"""CASE WHEN track_id = 55934 THEN lpad(hex(sync_ms // 1000), 8, '0') || lpad(hex(sync_ms % 1000 * 1000000), 8, '0') WHEN track_id IN (7, 1000, 1004, 10) OR track_id = 9 AND psize > 32 THEN repeat('00', CAST(psize AS INTEGER)) ELSE {_UNIT} END"""
 
 QUERIES_SQL = {
+    tree_documents: record_queries.QUERIES_SQL[record_queries.info_tree],
+    listed_files: f"""WITH {_FILES} SELECT file_id, CAST(sum(total_size) + CASE WHEN CAST(file_id AS BIGINT) % 8 = 0 THEN 8 ELSE 0 END AS BIGINT) AS length, CAST(1 AS BIGINT) AS unmatched FROM pos WHERE file_id[1] BETWEEN '1' AND '4' OR file_id[-1] = '5' GROUP BY file_id""",
     followed_status: catalog_queries.QUERIES_SQL[catalog_queries.file_status],
     structure_documents: record_queries.QUERIES_SQL[record_queries.structure_json],
     unit_split_sql: record_queries.QUERIES_SQL[record_queries.unit_split],

@@ -62,3 +62,14 @@ def test_broken_documents_are_errors():
         stream = io.StringIO(text)
         with pytest.raises(ValueError):
             list(documents.entries_of(stream.read))
+
+
+def test_trees_equal_the_nested_form(spark, tmp_path):
+    found = nested.entries(tracks.known_rows(standin.clocked(spark, SF)))
+    done = {r.name: (r.entries, r.bytes) for r in documents.write_trees(found, str(tmp_path / "out")).collect()}
+    trees = nested.tree(found)
+    want = {f"{r.file_id}.tree.json.gz": r.tree.encode() for r in trees.collect()}
+    assert {p.name: gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").iterdir()} == want
+    assert {k: b for k, (_, b) in done.items()} == {k: len(x) for k, x in want.items()} and sum(n for n, _ in done.values()) == found.count()
+    flat = nested.parsed_tree(trees).withColumns({"place": F.col("place").cast("long"), "group_place": F.col("group_place").cast("long")})
+    assert sorted(map(str, documents.read_trees(spark, [str(tmp_path / "out")]).select(*flat.columns).collect())) == sorted(map(str, flat.collect()))
