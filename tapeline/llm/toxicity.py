@@ -1,10 +1,18 @@
 """Toxicity by a fuzzy lexicon and context windows.
 
-Terms are learned from labelled rows: words, or beginnings of words, that many toxic and hardly any clean documents hold. They form a
-trie; its intersection with Levenshtein automata (one edit for terms of ``FUZZY_FROM`` characters or more, two from
+Terms are learned from labelled rows: words, or beginnings of words, that toxic rows hold more often than chance allows and hardly any clean
+row does. They form a trie; its intersection with Levenshtein automata (one edit for terms of ``FUZZY_FROM`` characters or more, two from
 ``FUZZY2_FROM``) is built as a deterministic automaton, state by state as words need it. A word (letters and digits, so
 that a digit in the place of a letter is an edit; also with symbols inside, which are edits too) is a hit when the automaton accepts one of its
-beginnings. A first letter may be replaced, not left out or added, which would make other words of terms.
+beginnings. Letters may be replaced, added and left out anywhere, at the first place too. Terms of less than ``FUZZY_FROM`` characters take
+one edit when it gives the whole word, as their beginnings are too short to be told from others.
+
+Edits make other words of terms ("whole" of "whore"). A beginning that the automaton accepts by edits only is therefore no hit where the clean
+sample's words begin alike (``known``), unless toxic rows hold it as a term would be held; a longer beginning of the same word may still be one.
+What the sample has not seen is told from what it has seen once (Good and Turing): terms take as many edits as keep the clean rows that new
+beginnings would hit below ``UNSEEN`` of all, those with the fewest such beginnings first. A misspelling weighs what its term weighs unless the
+labels tell otherwise.
+Near copies teach once: of the sample's rows that agree in a band of shingle hashes one is kept.
 
 A hit's context is the window of ``WINDOW`` characters on both sides: with quotation marks open before it and closed
 behind it, it counts as quoted, else as abuse. A logistic model over the numbers of plain, misspelled and quoted hits gives the score. Where the
@@ -24,15 +32,21 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeline.session import saved
+
 TRAIN_PER_LABEL = 4000
 FOLDS = 5
+#: Share of clean rows that unseen misreadings may hit, and the ridge between the weights of plain and misspelled hits.
+UNSEEN, PULL = 0.002, 0.5
+#: Bands of two least shingle hashes by which near copies in the sample are found.
+BANDS = 8
 #: Letters of the shortest term; beginnings of words are terms up to so many letters, whole words of any length.
 SHORTEST, HEAD = 4, 24
 FUZZY_FROM, FUZZY2_FROM = 5, 9
@@ -47,18 +61,27 @@ MASKED = re.compile(rf"[^\W_]+(?:[{SYMBOLS}][^\W_]+)+")
 OPEN_QUOTE, CLOSE_QUOTE = re.compile("[\"“«„‹]"), re.compile("[\"”»“›]")
 
 
+def most_edits(term: str) -> int:
+    return 1 + (len(term) >= FUZZY2_FROM)
+
+
 class FuzzyTrie:
     """Trie of terms intersected with Levenshtein automata, determinised on demand.
 
     A state is a set of (trie node, edits so far), and its value is the fewest edits with which a term has been accepted.
     """
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: list[str], known: frozenset[str] = frozenset(), levels: dict[str, int] | None = None) -> None:
+        self.known = known
+        self.term_at: dict[int, str] = {}
         self.next: list[dict[str, int]] = [{}]
         self.allows = [0]  # the most edits of any term below a node
         self.ends: list[int] = [-1]  # edits allowed for the term that ends here, -1: none does
+        self.wholes: list[int] = [-1]  # the same where the word ends as well
         for term in terms:
-            edits = (len(term) >= FUZZY_FROM) + (len(term) >= FUZZY2_FROM)
+            level = most_edits(term) if levels is None else levels[term]
+            prefix = min(level, (len(term) >= FUZZY_FROM) + (len(term) >= FUZZY2_FROM))
+            edits = level
             node = 0
             self.allows[0] = max(self.allows[0], edits)
             for c in term:
@@ -67,12 +90,15 @@ class FuzzyTrie:
                     self.next.append({})
                     self.allows.append(0)
                     self.ends.append(-1)
+                    self.wholes.append(-1)
                 node = self.next[node][c]
                 self.allows[node] = max(self.allows[node], edits)
-            self.ends[node] = edits
+            self.ends[node], self.wholes[node] = prefix, edits
+            self.term_at[node] = term
         self.ids: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.best: list[int] = []
+        self.last: list[int] = []
         self.moves: list[dict[str, int]] = []
         self.start = self._state({(0, 0)})
 
@@ -84,12 +110,13 @@ class FuzzyTrie:
             if e > self.allows[node] or least.get(node, 9) <= e:
                 continue
             least[node] = e
-            todo += [(child, e + 1) for child in self.next[node].values()] if node else []
+            todo += [(child, e + 1) for child in self.next[node].values()]
         key = tuple(sorted(least.items()))
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.best.append(min((e for node, e in key if e <= self.ends[node]), default=9))
+            self.last.append(min((e for node, e in key if e <= self.wholes[node]), default=9))
             self.moves.append({})
         return self.ids[key]
 
@@ -98,21 +125,37 @@ class FuzzyTrie:
         for node, e in self.sets[state]:
             for letter, child in self.next[node].items():
                 members.add((child, e if letter == c else e + 1))
-            if node:
-                members.add((node, e + 1))
+            members.add((node, e + 1))
         found = self.moves[state][c] = self._state(members)
         return found
 
-    def hit(self, word: str) -> int:
-        """Fewest edits between a beginning of the word and a term within its allowance, 9 if there is none."""
-        state, best = self.start, 9
-        for c in word:
+    def accepted(self, word: str) -> Iterator[tuple[str, int]]:
+        """Accepted beginnings of the word with the fewest edits of each; one that is accepted as a whole word only ends in "$"."""
+        state = self.start
+        for n, c in enumerate(word, 1):
             nxt = self.moves[state].get(c)
             state = self._move(state, c) if nxt is None else nxt
             if not self.sets[state]:
-                break
-            if self.best[state] < best:
-                best = self.best[state]
+                return
+            if self.best[state] != 9:
+                yield word[:n], self.best[state]
+        if self.last[state] < self.best[state]:
+            yield word + "$", self.last[state]
+
+    def terms_near(self, beginning: str) -> Iterator[tuple[str, int]]:
+        """Terms that an accepted beginning comes from, with the edits of each."""
+        state = self.start
+        for c in beginning.removesuffix("$"):
+            state = self._move(state, c)
+        limits = self.wholes if beginning.endswith("$") else self.ends
+        yield from ((self.term_at[node], e) for node, e in self.sets[state] if e <= limits[node])
+
+    def hit(self, word: str) -> int:
+        """Fewest edits between a beginning of the word (or the whole of it) and a term within its allowance, 9 if there is none."""
+        best = 9
+        for beginning, e in self.accepted(word):
+            if e < best and beginning not in self.known:
+                best = e
                 if not best:
                     break
         return best
@@ -123,6 +166,13 @@ class Model:
     terms: tuple[str, ...]
     #: Of 1, log(1 + plain), log(1 + misspelled), log(1 + quoted).
     weights: tuple[float, ...]
+    #: Beginnings of words that are no misspellings though a term is near.
+    known: frozenset[str] = frozenset()
+    #: Edits that each term takes, None: as many as its length allows.
+    levels: dict[str, int] | None = None
+
+    def trie(self) -> FuzzyTrie:
+        return FuzzyTrie(list(self.terms), self.known, self.levels)
 
     def score(self, plain: int, fuzzy: int, quoted: int) -> float:
         z = sum(w * x for w, x in zip(self.weights, (1.0, math.log1p(plain), math.log1p(fuzzy), math.log1p(quoted)), strict=True))
@@ -176,13 +226,33 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
 
 
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """One of the sample's rows that have a label and a band of least shingle hashes in common, band by band."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - 4, F.lit(1)))
+    hashed = rows.withColumn("words", words).withColumn("shingles", F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, 5))))
+    least = lambda k: F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(k))))
+    banded = hashed.select("doc_id", "text", "toxic", *(F.xxhash64(least(2 * b), least(2 * b + 1)).alias(f"band{b}") for b in range(BANDS)))
+    for b in range(BANDS):
+        first = F.row_number().over(Window.partitionBy("toxic", f"band{b}").orderBy("doc_id", "text"))
+        banded = banded.withColumn("first", first).where("first = 1").drop("first")
+    return banded.select("doc_id", "text", "toxic")
+
+
+def told(t: Column, c: Column, n_toxic: int, n_clean: int, tried: int) -> Column:
+    """True where t toxic and c clean rows are at least 50 times the clean rate and no chance: a large-deviation bound (t + c) * KL below 1 in 100 for all words tried."""
+    q, n = n_toxic / (n_toxic + n_clean), t + c
+    part = lambda x, share: F.when(x > 0, x * F.ln(x / n / share)).otherwise(0.0)
+    return (t >= 3) & (c * 50 * n_toxic <= t * n_clean) & (part(t, q) + part(c, 1 - q) >= math.log(100 * max(1, tried)))
+
+
 def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """Words and beginnings of words with at least 2 % (5 rows at least) of the toxic sample's rows and 1/50 of that rate in the clean sample."""
+    """Words and beginnings of words that the toxic sample's rows hold beyond chance (``told``)."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))
     heads = F.transform(words, lambda w: F.array_append(F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(HEAD))), lambda n: F.substring(w, F.lit(1), n)), w))
     counts = rows.select("toxic", F.explode(F.array_distinct(F.flatten(heads))).alias("head")).groupBy("head").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    least = max(5, n_toxic // 50)
-    kept = counts.where((F.col("t") >= least) & (F.col("c") * 50 * n_toxic <= F.col("t") * max(1, n_clean)))
+    counts = saved(counts.where("t >= 3"))
+    kept = counts.where(told(F.col("t"), F.col("c"), n_toxic, n_clean, counts.count()))
     support = {x["head"]: x["t"] for x in kept.collect()}  # of the sample's words
     terms: set[str] = set()
     for head in sorted(support, key=len):
@@ -194,27 +264,59 @@ def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     return sorted(terms)
 
 
+def lexicon(rows: DataFrame, terms: list[str], n_toxic: int, n_clean: int) -> Model:
+    """The terms with the edits they take and the beginnings that are none of theirs; no weights yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = FuzzyTrie(terms)
+        for batch in batches:
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                low, near = text.lower(), set()
+                for w in {*WORD.findall(low), *MASKED.findall(low)}:
+                    met = dict(trie.accepted(w))
+                    near |= met.keys() if 0 not in met.values() else set()
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string()), pa.array([toxic] * len(near), pa.int32())], names=["beginning", "toxic"])
+
+    near = rows.select("text", "toxic").mapInArrow(run, "beginning string, toxic int").groupBy("beginning").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    own = near.where((F.col("c") > 0) & (F.col("c") * 50 * n_toxic > F.col("t") * n_clean)).collect()  # of the sample's words
+    trie, once = FuzzyTrie(terms), {(t, e): 0 for t in terms for e in range(1, most_edits(t) + 1)}
+    for x in own:
+        for at in trie.terms_near(x["beginning"]):
+            if x["c"] == 1 and at in once:
+                once[at] += 1
+    levels, left = dict.fromkeys(terms, 0), UNSEEN * n_clean
+    for (term, e), n in sorted(once.items(), key=lambda x: (x[1], x[0][1], x[0][0])):
+        if n <= left and levels[term] == e - 1:
+            levels[term], left = e, left - n
+    return Model(tuple(terms), (), frozenset(x["beginning"] for x in own), levels)
+
+
 def fit(cells: list[tuple[int, int, int, int, int]]) -> tuple[float, ...]:
-    """Logistic regression (Newton's method, ridge 0.01) on (plain, fuzzy, quoted, toxic, count), as many rows as the sample has differing ones at most."""
+    """Logistic regression (Newton's method) on (plain, fuzzy, quoted, toxic, count), as many rows as the sample has differing ones at most.
+
+    The ridge of 0.01 draws all weights to 0, that of misspelled hits to the weight of plain ones (by ``PULL``).
+    """
     data = np.array(cells, dtype=float)
     x = np.hstack([np.ones((len(data), 1)), np.log1p(data[:, :3])])
     y, n, w = data[:, 3], data[:, 4], np.zeros(4)
+    ridge = 0.01 * np.eye(4)
+    ridge[1:3, 1:3] += PULL * np.array([[1, -1], [-1, 1]])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        gradient = x.T @ (n * (y - p)) - 0.01 * w
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4), gradient)
+        gradient = x.T @ (n * (y - p)) - ridge @ w
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, gradient)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return tuple(float(v) for v in w)
 
 
-def counted(rows: DataFrame, terms: list[str], passed: str = "toxic int") -> DataFrame:
+def counted(rows: DataFrame, model: Model, passed: str = "toxic int") -> DataFrame:
     """Features of each row of (doc_id, text, *passed); ``passed`` names one more column."""
     name = passed.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, memo = FuzzyTrie(terms), {}
+        trie, memo = model.trie(), {}
         for batch in batches:
             got = [features(t.as_py(), trie, memo) for t in batch.column("text")]
             counts = [pa.array([g[i] for g in got], pa.int32()) for i in range(3)]
@@ -224,19 +326,23 @@ def counted(rows: DataFrame, terms: list[str], passed: str = "toxic int") -> Dat
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels)
+    rows = saved(one_of_copies(saved(training_rows(docs, labels))))
     sizes = {x["toxic"]: x["n"] for x in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Model((), (-50.0, 0.0, 0.0, 0.0))
     terms = learn_terms(rows, sizes[1], sizes[0])
-    cells = counted(rows, terms).groupBy("plain", "fuzzy", "quoted", "toxic").agg(F.count("*").alias("n")).collect()
-    return Model(tuple(terms), fit([tuple(c) for c in cells]))
+    made = lambda part, share: lexicon(part, terms, sizes[1] * share, sizes[0] * share)
+    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))
+    cells = []  # what one half knows is tried on the other, as known beginnings are no misspellings in their own rows
+    for own in (0, 1):
+        cells += counted(rows.where(half != own), made(rows.where(half == own), 0.5)).groupBy("plain", "fuzzy", "quoted", "toxic").agg(F.count("*").alias("n")).collect()
+    return replace(made(rows, 1.0), weights=fit([tuple(c) for c in cells]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and the numbers of plain, misspelled and quoted hits of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"))
-    hits = counted(rows, list(model.terms), "held_out boolean")
+    hits = counted(rows, model, "held_out boolean")
     z = sum((F.lit(w) * F.log1p(F.col(c)) for w, c in zip(model.weights[1:], ("plain", "fuzzy", "quoted"), strict=True)), F.lit(model.weights[0]))
     value = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
     value = F.lit(0.0) if not model.terms and model.weights[0] <= -40 else value
@@ -253,7 +359,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     at = passed.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, memo = FuzzyTrie(list(model.terms)), {}
+        trie, memo = model.trie(), {}
         for batch in batches:
             clean = [not model.rejects(t.as_py() or "", trie, memo) for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))

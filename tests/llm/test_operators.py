@@ -85,18 +85,24 @@ def edits(a, b):
     return row[-1]
 
 
+def least_edits(word, terms):
+    """Fewest allowed edits between a term and a beginning of the word, for short terms also the whole word."""
+    found = 9
+    for t in terms:
+        allowed = (len(t) >= toxicity.FUZZY_FROM) + (len(t) >= toxicity.FUZZY2_FROM)
+        e = min(edits(word[:n], t) for n in range(1, len(word) + 1))
+        found = min(found, e) if e <= allowed else found
+        found = min(found, 1) if edits(word, t) == 1 else found
+    return found
+
+
 def test_automaton_equals_edit_distance():
     rng = random.Random(1)
     terms = ["abca", "abcab", "bacab", "aaab", "cabbacabb"]
     trie = toxicity.FuzzyTrie(terms)
     for _ in range(3000):
         word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))
-        want = 9
-        for t in terms:
-            allowed = (len(t) >= toxicity.FUZZY_FROM) + (len(t) >= toxicity.FUZZY2_FROM)
-            e = (word[0] != t[0]) + min(edits(word[1:n], t[1:]) for n in range(1, len(word) + 1))
-            want = min(want, e) if e <= allowed else want
-        assert trie.hit(word) == want, word
+        assert trie.hit(word) == least_edits(word, terms), word
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -137,26 +143,53 @@ def test_quotation():
     assert toxicity.features("«vous idiot»", trie, {}) == (0, 0, 1)
 
 
+def test_letters_added_and_left_out_anywhere():
+    trie = toxicity.FuzzyTrie(["scum", "idiot", "worthless"])
+    assert [trie.hit(w) for w in ("scum", "scumbag", "scam", "cum", "xscum", "scams", "scambag")] == [0, 0, 1, 1, 1, 9, 9]
+    assert [trie.hit(w) for w in ("diot", "xidiot", "idioticly", "orthles", "wworthlesss", "orthle")] == [1, 1, 0, 2, 1, 9]
+
+
+def test_known_beginnings_are_no_misspellings():
+    trie = toxicity.FuzzyTrie(["moron", "scum"], frozenset(["moro", "moros", "scam$"]))
+    assert [trie.hit(w) for w in ("morose", "morosity", "morom", "moron", "scam", "scun")] == [9, 9, 1, 0, 9, 1]
+    assert toxicity.FuzzyTrie(["moron"], frozenset(), {"moron": 0}).hit("morom") == 9
+    assert toxicity.FuzzyTrie(["moron"], frozenset(), {"moron": 0}).hit("moronic") == 0
+
+
+def test_lexicon_from_labels(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(600):
+        text = words(rng, 40, vocabulary)
+        if i % 3 == 0:
+            text += " wexford" if i % 30 == 0 else " kwizbad"  # the one in a tenth of the toxic rows, the other in most
+        elif i % 5 == 0:
+            text += " wixford"  # a word of its own, one edit away
+        rows.append((i, text, None))
+        labels.append((i, int(i % 3 == 0)))
+    copied = words(rng, 60, vocabulary) + " quxberry " + words(rng, 20, vocabulary)
+    rows += [(1000 + i, copied + f" no{i}", None) for i in range(100)]  # one text, a hundred times: no evidence
+    labels += [(1000 + i, 1) for i in range(100)]
+    df = docs(spark, rows)
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    trie = model.trie()
+    assert [trie.hit(w) for w in ("wexford", "kwizbad", "kwizbat", "wizbad", "wixford", "quxberry")] == [0, 0, 1, 1, 9, 9]
+    assert model.weights[2] > 0  # no labels on misspellings: they weigh as terms do
+
+
 def test_features_equal_plain_search():
     rng = random.Random(15)
     terms = ["abcad", "baca", "cabbacabbd"]
     trie = toxicity.FuzzyTrie(terms)
 
-    def least(word):
-        found = 9
-        for t in terms:
-            allowed = (len(t) >= toxicity.FUZZY_FROM) + (len(t) >= toxicity.FUZZY2_FROM)
-            e = (word[0] != t[0]) + min(edits(word[1:n], t[1:]) for n in range(1, len(word) + 1))
-            found = min(found, e) if e <= allowed else found
-        return found
-
     for _ in range(150):
         near = lambda: "".join(rng.choice("abcd1") if rng.random() < 0.15 else c for c in rng.choice(terms))
         tokens = [rng.choice(['"', "«", "»", ".", near(), near() + "xx", "dd", "abc"]) for _ in range(rng.randint(0, 25))]
         text = " ".join(tokens).upper()
         want, at = [0, 0, 0], 0
         for t in tokens:
-            if t.isalnum() and (e := least(t)) != 9:
+            if t.isalnum() and (e := least_edits(t, terms)) != 9:
                 before, behind = text[max(0, at - toxicity.WINDOW) : at], text[at + len(t) : at + len(t) + toxicity.WINDOW]
                 quoted = any(q in before for q in '"«') and any(q in behind for q in '"»')
                 want[2 if quoted else 1 if e else 0] += 1
