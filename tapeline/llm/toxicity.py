@@ -31,12 +31,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.session import saved
@@ -55,6 +56,7 @@ WINDOW = 60
 MEMO = 150_000
 
 WORD = re.compile(r"[^\W_]+")
+PLAIN_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words with symbols between letters, as they are put in a letter's place.
 SYMBOLS = "*@$!|+#"
 MASKED = re.compile(rf"[^\W_]+(?:[{SYMBOLS}][^\W_]+)+")
@@ -227,16 +229,31 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def one_of_copies(rows: DataFrame) -> DataFrame:
-    """One of the sample's rows that have a label and a band of least shingle hashes in common, band by band."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - 4, F.lit(1)))
-    hashed = rows.withColumn("words", words).withColumn("shingles", F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, 5))))
-    least = lambda k: F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(k))))
-    banded = hashed.select("doc_id", "text", "toxic", *(F.xxhash64(least(2 * b), least(2 * b + 1)).alias(f"band{b}") for b in range(BANDS)))
-    for b in range(BANDS):
-        first = F.row_number().over(Window.partitionBy("toxic", f"band{b}").orderBy("doc_id", "text"))
-        banded = banded.withColumn("first", first).where("first = 1").drop("first")
-    return banded.select("doc_id", "text", "toxic")
+    """The sample's rows but those that have a label and a band of least shingle hashes in common with one kept before; the driver sees the sample's bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
+        odd, plus = (rng.integers(0, 1 << 63, 2 * BANDS, dtype=np.uint64) for _ in range(2))
+        odd |= np.uint64(1)
+        for batch in batches:
+            bands = np.empty((batch.num_rows, BANDS), dtype=np.int64)
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                words = PLAIN_WORD.findall(text.lower())
+                prints = np.array([zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))], dtype=np.uint64)
+                least = np.array([((prints * a + b) ^ ((prints * a + b) >> np.uint64(29))).min() for a, b in zip(odd, plus, strict=True)])
+                bands[at] = (least[::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("toxic"), *map(pa.array, bands.T)], names=["row", "toxic", *(f"band{b}" for b in range(BANDS))])
+
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row"])
+    found = rows.select("row", "toxic", "text").mapInArrow(run, "row long, toxic int, " + ", ".join(f"band{b} long" for b in range(BANDS))).collect()
+    seen: set[tuple[int, int, int]] = set()
+    kept = []
+    for row, toxic, *bands in sorted(map(tuple, found)):
+        keys = [(toxic, b, x) for b, x in enumerate(bands)]
+        if seen.isdisjoint(keys):
+            seen.update(keys)
+            kept.append((row,))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(kept, "row long")), "row").select("doc_id", "text", "toxic")
 
 
 def told(t: Column, c: Column, n_toxic: int, n_clean: int, tried: int) -> Column:
@@ -264,31 +281,49 @@ def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     return sorted(terms)
 
 
-def lexicon(rows: DataFrame, terms: list[str], n_toxic: int, n_clean: int) -> Model:
-    """The terms with the edits they take and the beginnings that are none of theirs; no weights yet."""
+def half_of() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")
+
+
+def near_words(rows: DataFrame, terms: list[str]) -> list[tuple[str, int, int, int]]:
+    """(beginning, half, toxic rows, clean rows) of the beginnings of the sample's words that are accepted by edits only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = FuzzyTrie(terms)
+        trie, memo = FuzzyTrie(terms), {}
         for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for half, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("half", "toxic", "text")), strict=True):
                 low, near = text.lower(), set()
+                if len(memo) >= MEMO:
+                    memo.clear()
                 for w in {*WORD.findall(low), *MASKED.findall(low)}:
-                    met = dict(trie.accepted(w))
-                    near |= met.keys() if 0 not in met.values() else set()
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string()), pa.array([toxic] * len(near), pa.int32())], names=["beginning", "toxic"])
-
-    near = rows.select("text", "toxic").mapInArrow(run, "beginning string, toxic int").groupBy("beginning").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    own = near.where((F.col("c") > 0) & (F.col("c") * 50 * n_toxic > F.col("t") * n_clean)).collect()  # of the sample's words
+                    if (met := memo.get(w)) is None:
+                        all_met = dict(trie.accepted(w))
+                        met = memo[w] = () if 0 in all_met.values() else tuple(all_met)
+                    near.update(met)
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string()), pa.array([half] * len(near), pa.int32()), pa.array([toxic] * len(near), pa.int32())], names=["beginning", "half", "toxic"])
+
+    near = rows.select("text", "toxic", half_of().alias("half")).mapInArrow(run, "beginning string, half int, toxic int")
+    return [tuple(x) for x in near.groupBy("beginning", "half").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("c > 0 or t > 0").collect()]
+
+
+def lexicon(terms: list[str], near: list[tuple[str, int, int, int]], n_toxic: float, n_clean: float) -> Model:
+    """The terms with the edits they take and the beginnings that are none of theirs, from the sample or a half of it; no weights yet."""
+    sums: dict[str, list[int]] = {}
+    for beginning, _, t, c in near:
+        held = sums.setdefault(beginning, [0, 0])
+        held[0] += t
+        held[1] += c
+    own = {w: c for w, (t, c) in sums.items() if c and c * 50 * n_toxic > t * n_clean}
     trie, once = FuzzyTrie(terms), {(t, e): 0 for t in terms for e in range(1, most_edits(t) + 1)}
-    for x in own:
-        for at in trie.terms_near(x["beginning"]):
-            if x["c"] == 1 and at in once:
+    for w, c in own.items():
+        for at in trie.terms_near(w):
+            if c == 1 and at in once:
                 once[at] += 1
     levels, left = dict.fromkeys(terms, 0), UNSEEN * n_clean
     for (term, e), n in sorted(once.items(), key=lambda x: (x[1], x[0][1], x[0][0])):
         if n <= left and levels[term] == e - 1:
             levels[term], left = e, left - n
-    return Model(tuple(terms), (), frozenset(x["beginning"] for x in own), levels)
+    return Model(tuple(terms), (), frozenset(own), levels)
 
 
 def fit(cells: list[tuple[int, int, int, int, int]]) -> tuple[float, ...]:
@@ -331,12 +366,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if not sizes.get(1) or not sizes.get(0):
         return Model((), (-50.0, 0.0, 0.0, 0.0))
     terms = learn_terms(rows, sizes[1], sizes[0])
-    made = lambda part, share: lexicon(part, terms, sizes[1] * share, sizes[0] * share)
-    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2))
-    cells = []  # what one half knows is tried on the other, as known beginnings are no misspellings in their own rows
-    for own in (0, 1):
-        cells += counted(rows.where(half != own), made(rows.where(half == own), 0.5)).groupBy("plain", "fuzzy", "quoted", "toxic").agg(F.count("*").alias("n")).collect()
-    return replace(made(rows, 1.0), weights=fit([tuple(c) for c in cells]))
+    near, cells = near_words(rows, terms), []
+    for own in (0, 1):  # what one half knows is tried on the other, as known beginnings are no misspellings in their own rows
+        part = lexicon(terms, [x for x in near if x[1] == own], sizes[1] / 2, sizes[0] / 2)
+        cells += counted(rows.where(half_of() != own), part).groupBy("plain", "fuzzy", "quoted", "toxic").agg(F.count("*").alias("n")).collect()
+    return replace(lexicon(terms, near, sizes[1], sizes[0]), weights=fit([tuple(c) for c in cells]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
