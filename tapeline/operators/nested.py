@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions import clock, naming, tracks
 from tapeline.operators.timeline import DEFAULT, Order
+from tapeline.session import saved
 
 _RECORD = "track_id: int, data_offset: bigint, data_size: bigint, dts: bigint, clock_rate: bigint, sequence: int, keyframe: boolean"
 FRAME = f"struct<type_char: string, {_RECORD}, cts: bigint, wc: bigint, packet_position: string>"
@@ -106,6 +107,13 @@ def group_counts(found: DataFrame) -> DataFrame:
     return rows.withColumn("label", tracks.group_label(F.col("group_name"), F.col("count")))
 
 
+def narrowed(rows: DataFrame, total: str) -> DataFrame:
+    """``rows`` with the decimal column ``total`` as a bigint if all its values fit, else as the decimals they are: no total is lost. Kept, as the values decide."""
+    rows = saved(rows)
+    fits = F.col(total).try_cast("long").isNotNull() | F.col(total).isNull()
+    return rows.withColumn(total, F.col(total).cast("long")) if rows.where(~fits).isEmpty() else rows
+
+
 FIELDS = ("type", "track_id", "keyframe", "offset", "size", "dts", "cts", "wc", "clock_rate", "sequence", "packet_position")
 
 

@@ -45,12 +45,12 @@ def group_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_order(spark: SparkSession, d: str) -> DataFrame:
-    """Media and metadata groups as one list, in canonical order."""
+    """Media and metadata groups as one list, in canonical order; the total ``wc`` is exact, a bigint as long as every group's fits."""
     found = nested.entries(_known(spark, d))
-    media = found.where("group_rank = 0").groupBy("group_rank", "group_track", "group_name").agg(F.count("*").alias("n"), F.sum("wc").alias("wc"))
+    media = found.where("group_rank = 0").groupBy("group_rank", "group_track", "group_name").agg(F.count("*").alias("n"), F.sum(F.col("wc").cast("decimal(20,0)")).alias("wc"))
     other = found.where("group_rank > 0").groupBy("group_rank", "group_name").agg(F.count("*").alias("n"))
-    both = media.unionByName(other, allowMissingColumns=True)
-    return both.orderBy("group_rank", "group_track").select("group_rank", "group_track", "group_name", "n", F.col("wc").cast("long").alias("wc"))
+    both = nested.narrowed(media.unionByName(other, allowMissingColumns=True), "wc")
+    return both.orderBy("group_rank", "group_track").select("group_rank", "group_track", "group_name", "n", "wc")
 
 
 def legacy_listing(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions import tracks
 from tapeline.operators import catalog, mask, nested, timeline, units
+from tapeline.plans import record_queries, standin
 from tapeline.sources import archive, sinks
 from tapeline.streaming import status
 
@@ -170,3 +171,15 @@ def test_registry(spark, tmp_path):
     assert [tuple(r) for r in catalog.load_registry(spark, str(tmp_path / "reg")).orderBy("pos").collect()] == [(0, "AABBCCDDEEFF", "Door"), (1, "aabbccddeeff", "Gate")]
     (tmp_path / "bad.json").write_text("{not json")
     assert catalog.load_registry(spark, str(tmp_path / "bad.json")).count() == catalog.load_registry(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_group_totals_beyond_a_bigint(spark, tmp_path):
+    """Totals of wall clocks are exact whether they fit a bigint or not; the bounds of one are kept as such."""
+    copies = spark.read.parquet("/root/testdata/sf0.001/events.parquet").crossJoin(spark.range(1200).withColumnRenamed("id", "i"))
+    copies.withColumns({"event_id": F.expr("event_id + i * 1000"), "user_id": F.expr("user_id + i * 15")}).drop("i").write.parquet(str(tmp_path / "events.parquet"))
+    clocked = standin.clocked(spark, str(tmp_path)).where("wc is not null").groupBy("track_id").agg(F.count("*").alias("n"), F.sum(F.expr("div(wc, 1000000)")).alias("high"), F.sum(F.expr("wc % 1000000")).alias("low"))
+    want = {r.track_id: (r.n, r.high * 10**6 + r.low) for r in clocked.collect()}
+    got = {r.group_track: (r.n, int(r.wc)) for r in record_queries.group_order(spark, str(tmp_path)).where("group_rank = 0").collect()}
+    assert got == want and max(total for _, total in got.values()) > 2**63
+    ends = nested.narrowed(spark.sql("select cast(x as decimal(30,0)) x from values (-9223372036854775808), (9223372036854775807), (null) t(x)"), "x")
+    assert ends.schema["x"].dataType.simpleString() == "bigint" and {r.x for r in ends.collect()} == {-(2**63), 2**63 - 1, None}
