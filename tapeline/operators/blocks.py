@@ -17,6 +17,8 @@ from tapeline.operators.timeline import BEFORE, DEFAULT, SO_FAR, Order
 from tapeline.session import saved
 
 BLOCK_ROWS = 1_000_000
+#: Rows of a task that cuts blocks, where a block is not larger.
+TASK_ROWS = 1_000_000
 #: How a running value is summarised in a block and added to what comes from before.
 _JOIN = {
     "sum": lambda carry, own: F.coalesce(carry, F.lit(0)) + F.coalesce(own, F.lit(0)),
@@ -26,9 +28,17 @@ _JOIN = {
 
 
 def blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS, order: Order = DEFAULT) -> DataFrame:
-    """Adds block: numbers of ranges of (file, offset) with about ``block_rows`` rows each. Kept, as ranges are found by sampling and must not change."""
-    n = max(1, -(-rows.count() // block_rows))
-    return saved(rows.repartitionByRange(n, order.file, order.offset).withColumn("block", F.spark_partition_id()))
+    """Adds block: numbers of ranges of (file, offset) with ``block_rows`` rows each, or fewer. Kept, as ranges are found by sampling and must not change.
+
+    Tasks hold whole ranges, sorted, and cut them into blocks; small blocks share a task, so what is sampled and what tasks tell the driver
+    does not grow with the number of blocks.
+    """
+    n = rows.count()
+    tasks = max(1, -(-n // max(block_rows, TASK_ROWS)), min(-(-n // block_rows), rows.sparkSession.sparkContext.defaultParallelism))
+    ranges = rows.repartitionByRange(tasks, order.file, order.offset).sortWithinPartitions(order.file, order.offset)
+    task, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit(2**33 - 1))  # parts of the number: of the task, and in it
+    block = F.shiftleft(task, 33) + F.call_function("div", place, F.lit(block_rows).cast("long"))
+    return saved(ranges.withColumn("_place", F.monotonically_increasing_id()).withColumn("block", block).drop("_place"))
 
 
 def running(rows: DataFrame, keys: list[str], order_by: str, inclusive: bool = True, **columns: tuple[str, Column]) -> DataFrame:

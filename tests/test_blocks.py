@@ -43,6 +43,15 @@ def test_no_task_holds_a_log(spark):
     assert len(windows) == 2 and all("block" in line.split("], [")[1] + line.split("], [")[-1] for line in windows)
 
 
+def test_tasks_do_not_grow_with_small_blocks(spark):
+    """Blocks of a few rows, in order and none of them too long, from as many tasks as the session has at once."""
+    records = blocks.blocked(hot(spark), 3)
+    places = [tuple(r) for r in records.orderBy("file_id", "file_offset").select("block").collect()]
+    assert places == sorted(places) and len(set(places)) >= len(places) / 3
+    assert records.groupBy("block").count().agg(F.max("count")).first()[0] == 3
+    assert records.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
 def test_medians_of_random_groups(spark):
     rnd = random.Random(9)
     groups = {f"g{i}": [rnd.choice([rnd.randrange(5), rnd.randrange(-(10**6), 10**6), rnd.randrange(-(2**62), 2**62)]) for _ in range(rnd.randrange(1, 90))] for i in range(60)}
