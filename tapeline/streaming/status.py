@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -82,7 +81,6 @@ FIELDS = ("status", "partition_count", "progress", "error")
 _KEPT = "status string, status_seq long, partition_count long, partition_count_seq long, progress double, progress_seq long, error string, error_seq long"
 CHANGES = f"file_index int, {_KEPT}, output_seqs array<long>, output_paths array<string>"
 _FINISHED = ("Completed", "Failed")
-_TYPES = {"status": str, "partition_count": int, "progress": float, "error": str}
 
 
 class Follow(StatefulProcessor):
@@ -100,34 +98,30 @@ class Follow(StatefulProcessor):
         self.kept = handle.getValueState("kept", _KEPT)
         self.outputs = handle.getMapState("outputs", "seq long", "path string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.kept.get() if self.kept.exists() else None
-        state, new = list(before or [None] * (2 * len(FIELDS))), []
-        for frame in rows:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.kept.exists()  # each call of a state is a message to the JVM; a file without ``kept`` has no outputs and no timers either
+        before = self.kept.get() if known else None
+        state, made = list(before or [None] * (2 * len(FIELDS))), {}
+        for row in rows:
             for i, field in enumerate(FIELDS):
-                telling = frame[frame[field].notna()]
-                if len(telling):
-                    last = telling.loc[telling["seq"].idxmax()]
-                    if state[2 * i + 1] is None or last["seq"] > state[2 * i + 1]:
-                        state[2 * i : 2 * i + 2] = _TYPES[field](last[field]), int(last["seq"])
-            made = frame[frame["output"].notna()]
-            for seq, path in zip(made["seq"].tolist(), made["output"], strict=True):
-                if not self.outputs.containsKey((seq,)):
-                    self.outputs.updateValue((seq,), (path,))
-                    new.append((seq, path))
-        if before is not None and tuple(state) == tuple(before) and not new:
+                if row[field] is not None and (state[2 * i + 1] is None or row["seq"] > state[2 * i + 1]):
+                    state[2 * i : 2 * i + 2] = row[field], row["seq"]
+            if row["output"] is not None:
+                made.setdefault(row["seq"], row["output"])
+        new = sorted((seq, path) for seq, path in made.items() if not known or not self.outputs.containsKey((seq,)))
+        for seq, path in new:
+            self.outputs.updateValue((seq,), (path,))
+        if known and tuple(state) == tuple(before) and not new:
             return
         self.kept.update(tuple(state))
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(timer)
         if state[0] in _FINISHED:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
-        new.sort()
         names = ["file_index", *(n for f in FIELDS for n in (f, f"{f}_seq")), "output_seqs", "output_paths"]
-        row = pd.DataFrame({n: pd.Series([v], dtype=object) for n, v in zip(names, [key[0], *state, [s for s, _ in new], [p for _, p in new]], strict=True)})
-        yield row
+        yield Row(**dict(zip(names, [key[0], *state, [s for s, _ in new], [p for _, p in new]], strict=True)))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.kept.clear()
         self.outputs.clear()
         return iter(())
@@ -145,7 +139,7 @@ def changes_stream(stream: DataFrame, keep_ms: int = 3_600_000) -> DataStreamWri
     its place by the numbers. Events without a number are left out.
     """
     rows = told(parsed(stream).withColumn("file_index", F.col("file_index").cast("int")).where("seq is not null"))
-    return rows.groupBy("file_index").transformWithStateInPandas(statefulProcessor=Follow(keep_ms), outputStructType=CHANGES, outputMode="Append", timeMode="ProcessingTime").writeStream.outputMode("append")
+    return rows.groupBy("file_index").transformWithState(statefulProcessor=Follow(keep_ms), outputStructType=CHANGES, outputMode="Append", timeMode="ProcessingTime").writeStream.outputMode("append")
 
 
 #: The state store that a state of several variables needs; and no batches without events, as one that may have timers would never come to an end.

@@ -2,6 +2,9 @@
 
 import json
 import random
+from unittest.mock import MagicMock
+
+from pyspark.sql import Row
 
 from tapeline.streaming import status
 
@@ -69,3 +72,18 @@ def test_finished_files_leave_the_state(spark, tmp_path):
     put((0, 1, {"type": "file_started"}), (0, 4, {"type": "output_generated", "path": "late"}))  # the state of file 0 begins anew
     run(spark, tmp_path, keep_ms=0)
     assert rows(status.latest(told(spark, tmp_path))) == {0: ("Completed", None, 100.0, ["a", "late"], None), 1: ("Processing", None, None, ["b"], None)}
+
+
+def test_a_new_file_asks_its_state_once():
+    """Every call of a state is a message to the JVM: those of a file without a state are one question and what there is to keep."""
+    handle, timer = MagicMock(), MagicMock()
+    handle.getValueState.return_value.exists.return_value = False
+    timer.getCurrentProcessingTimeInMs.return_value = 1
+    follow = status.Follow(5)
+    follow.init(handle)
+    event = lambda seq, **told: Row(seq=seq, **({"status": None, "partition_count": None, "progress": None, "error": None, "output": None} | told))
+    rows = [event(4, output="b"), event(9, status="Completed", progress=100.0), event(2, output="a"), event(4, output="b")]
+    (row,) = follow.handleInputRows((3,), iter(rows), timer)
+    assert (row.file_index, row.status, row.status_seq, row.progress, row.output_seqs, row.output_paths) == (3, "Completed", 9, 100.0, [2, 4], ["a", "b"])
+    calls = [name for name, *_ in handle.mock_calls if name.count("().")] + [name for name, *_ in handle.mock_calls if "Timer" in name]
+    assert calls == ["getValueState().exists", "getMapState().updateValue", "getMapState().updateValue", "getValueState().update", "registerTimer"]
