@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tapeline.llm.shingles import U, mixed
+from tapeline.llm.tasks import lean
 
 #: 16 MB at most.
 LEAST_BITS, MOST_BITS = 12, 27
@@ -42,7 +43,7 @@ def bit_table(values: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], names=["part", "cells"])
 
     schema, out = "part int, cells binary", np.zeros((PARTS, width // 8), np.uint8)
-    for row in values.mapInArrow(cells, schema).repartition("part").mapInArrow(merge, schema).collect():  # 2^bits / 8 bytes at most
+    for row in values.mapInArrow(lean(cells), schema).repartition("part").mapInArrow(lean(merge), schema).collect():  # 2^bits / 8 bytes at most
         out[row["part"]] = np.frombuffer(row["cells"], np.uint8)
     return out.reshape(-1)
 

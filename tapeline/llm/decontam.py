@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.shingles import U, chunks, shingle_hashes, word_hashes
+from tapeline.llm.tasks import lean
 
 K = 5
 SIMILARITY = 0.75
@@ -263,7 +264,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "similarity", "first_word"])
 
-        return texts.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+        return texts.mapInArrow(lean(run), "doc_id long, item_id long, similarity double, first_word long")
 
     return reduce(DataFrame.unionByName, map(scan, _item_blocks(items)))
 
@@ -282,5 +283,5 @@ def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Dat
                     keep[[at + t for t, _ in find(texts, indexes)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

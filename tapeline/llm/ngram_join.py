@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from tapeline.llm.bits import bit_table, bits_for, in_bits
 from tapeline.llm.components import components
 from tapeline.llm.shingles import U, chunks, mixed, set_key, sets_of
+from tapeline.llm.tasks import lean
 from tapeline.session import saved
 
 K = 5
@@ -100,7 +101,7 @@ def summed(parts: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
     out = np.zeros((TABLE_PARTS, (1 << bits) // TABLE_PARTS), np.uint32)
-    for row in parts.repartition("part").mapInArrow(add, schema).collect():  # 2^bits cells at most
+    for row in parts.repartition("part").mapInArrow(lean(add), schema).collect():  # 2^bits cells at most
         out[row["part"]] = np.frombuffer(row["counts"], np.uint32)
     return out.reshape(-1)
 
@@ -135,7 +136,7 @@ def fingerprints(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
         for part, counts in table.parts():
             yield _batch(names, kinds, [[None]] * 4 + [[part], [counts]])
 
-    found = saved(texts.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, key long, n long, part int, counts binary"))
+    found = saved(texts.withColumn("row", F.xxhash64("text")).mapInArrow(lean(run), "doc_id long, row long, key long, n long, part int, counts binary"))
     return found.where("part is null").select(names[:4]), summed(found.where("part is not null").select("part", "counts"), bits)
 
 
@@ -185,7 +186,7 @@ def heads(texts: DataFrame, classes, bits: int, parts: int) -> DataFrame:
         if held:
             yield packed()
 
-    return texts.mapInArrow(run, "part int, hot boolean, keys binary, counts binary, tokens binary")
+    return texts.mapInArrow(lean(run), "part int, hot boolean, keys binary, counts binary, tokens binary")
 
 
 def _unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +230,7 @@ def shared(packed: DataFrame, parts: int) -> DataFrame:
         if held:
             yield meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "token long, key long, pivot long")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(run), "token long, key long, pivot long")
 
 
 def heads_of(found: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -362,7 +363,7 @@ def _region_links(rows: DataFrame) -> DataFrame:
                 members[key] = (group, values)
         yield from finish()
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(lean(run), "a long, b long")
 
 
 SUB_PIVOTS = 16
@@ -386,7 +387,7 @@ def _distances(rows: DataFrame, balls: DataFrame) -> DataFrame:
                 near.append(found)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "key", "group", "values")), pa.array(near, kind)], names=["region", "key", "group", "values", "near"])
 
-    return joined.select("region", "key", "group", "values", "pivots").mapInArrow(run, "region string, key long, group long, values binary, near array<struct<pivot:bigint,distance:double>>")
+    return joined.select("region", "key", "group", "values", "pivots").mapInArrow(lean(run), "region string, key long, group long, values binary, near array<struct<pivot:bigint,distance:double>>")
 
 
 def split_region(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -499,7 +500,7 @@ def screened(lists: DataFrame, labels: DataFrame | None = None) -> DataFrame:
                 held.append((key, n, label, tokens.values.to_numpy()))
         yield from finish()
 
-    kept = small.mapInArrow(run, "region long, key long, n int, gap double")
+    kept = small.mapInArrow(lean(run), "region long, key long, n int, gap double")
     kept = kept.unionByName(members.where(F.col("load") > SCREEN_SHINGLES).select(F.col("pivot").alias("region"), "key", "n", F.lit(1.0).alias("gap")))
     return kept.groupBy("region", "key").agg(F.max("n").alias("n"), F.min("gap").alias("gap")).withColumn("region", F.col("region").cast("string"))
 
@@ -522,7 +523,7 @@ def sets_for(texts: DataFrame, prints: DataFrame, keys: DataFrame) -> DataFrame:
             if kept:
                 yield _batch(["row", "key", "values"], [pa.int64(), pa.int64(), pa.binary()], list(zip(*kept, strict=True)))
 
-    found = texts.select(F.xxhash64("text").alias("row"), "text").mapInArrow(run, "row long, key long, values binary")
+    found = texts.select(F.xxhash64("text").alias("row"), "text").mapInArrow(lean(run), "row long, key long, values binary")
     own = found.join(chosen.withColumnRenamed("row", "own"), "key").where("row = own")
     return own.groupBy("key").agg(F.first("values").alias("values"))
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.llm.tasks import lean
 from tapeline.session import saved
 
 #: Units that one task packs, bins that it hands on at about that number when shards are to be equal, and the fill from which a bin of fixed capacity is done.
@@ -131,7 +132,7 @@ def packed(units: DataFrame, n_blocks: int, level: int, n_shards: int | None, ca
         if sizes:
             yield finish()
 
-    return ordered.mapInArrow(run, "unit long, bin long, bytes long")
+    return ordered.mapInArrow(lean(run), "unit long, bin long, bytes long")
 
 
 def place_groups(groups: DataFrame, n_shards: int | None, capacity: int | None) -> DataFrame:

@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.llm.tasks import lean
 from tapeline.session import saved
 
 TRAIN_PER_LABEL = 4000
@@ -245,7 +246,7 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("toxic"), *map(pa.array, bands.T)], names=["row", "toxic", *(f"band{b}" for b in range(BANDS))])
 
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row"])
-    found = rows.select("row", "toxic", "text").mapInArrow(run, "row long, toxic int, " + ", ".join(f"band{b} long" for b in range(BANDS))).collect()
+    found = rows.select("row", "toxic", "text").mapInArrow(lean(run), "row long, toxic int, " + ", ".join(f"band{b} long" for b in range(BANDS))).collect()
     seen: set[tuple[int, int, int]] = set()
     kept = []
     for row, toxic, *bands in sorted(map(tuple, found)):
@@ -302,7 +303,7 @@ def near_words(rows: DataFrame, terms: list[str]) -> list[tuple[str, int, int, i
                     near.update(met)
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string()), pa.array([half] * len(near), pa.int32()), pa.array([toxic] * len(near), pa.int32())], names=["beginning", "half", "toxic"])
 
-    near = rows.select("text", "toxic", half_of().alias("half")).mapInArrow(run, "beginning string, half int, toxic int")
+    near = rows.select("text", "toxic", half_of().alias("half")).mapInArrow(lean(run), "beginning string, half int, toxic int")
     return [tuple(x) for x in near.groupBy("beginning", "half").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("c > 0 or t > 0").collect()]
 
 
@@ -357,7 +358,7 @@ def counted(rows: DataFrame, model: Model, passed: str = "toxic int") -> DataFra
             counts = [pa.array([g[i] for g in got], pa.int32()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(name), *counts], names=["doc_id", name, "plain", "fuzzy", "quoted"])
 
-    return rows.select("doc_id", "text", name).mapInArrow(run, f"doc_id long, {passed}, plain int, fuzzy int, quoted int")
+    return rows.select("doc_id", "text", name).mapInArrow(lean(run), f"doc_id long, {passed}, plain int, fuzzy int, quoted int")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -398,4 +399,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             clean = [not model.rejects(t.as_py() or "", trie, memo) for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
