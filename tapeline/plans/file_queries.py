@@ -13,7 +13,7 @@ from tapeline.functions import decode, naming, tracks
 from tapeline.operators import mask, nested, timeline, units
 from tapeline.plans import catalog_queries, record_queries
 from tapeline.plans import standin as s
-from tapeline.session import shared_folder
+from tapeline.session import saved, shared_folder
 from tapeline.sources import archive, documents, recordings, sinks, splits, store
 from tapeline.streaming import status
 
@@ -65,9 +65,9 @@ def demuxed_streams(spark: SparkSession, d: str) -> DataFrame:
 def masked_copies(spark: SparkSession, d: str) -> DataFrame:
     """Masked copies of the recordings, by what they inflate to."""
     folder = written(spark, d)
-    rows = archive.with_policy(splits.scan_files(spark, [folder], split=SMALL_SPLIT, with_payload=False), "keep_prefix")
+    files = saved(archive.list_files(spark, [folder])[0])
+    rows = archive.with_policy(splits.scan_listed(files, split=SMALL_SPLIT, with_payload=False), "keep_prefix")
     spans = rows.where(mask.is_masked(F.col("track_id"), F.col("data_size"))).select("file_id", F.col("data_offset").alias("start"), F.col("data_size").alias("size"))
-    files, _ = archive.list_files(spark, [folder])
     done = sinks.write_masked(files.select(F.col("path").alias("file_id")), spans, shared_folder(spark, "masked"), check=True)
     return done.select("name", "plain_bytes", "md5")
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.functions import decode
+from tapeline.session import saved
 from tapeline.sources import archive, ranges
 
 SPLIT = 64 << 20
@@ -149,7 +150,7 @@ def _records(with_payload: bool):
 
 def scan_files(spark: SparkSession, patterns: list[str], split: int = SPLIT, with_payload: bool = True) -> DataFrame:
     """Decoded records and error rows of the files that the patterns name, whatever their size; ``split``: bytes of a task's range, a multiple of 4."""
-    return scan_listed(archive.list_files(spark, patterns)[0], split, with_payload)
+    return scan_listed(saved(archive.list_files(spark, patterns)[0]), split, with_payload)  # needed twice, and each listing asks for every file's status
 
 
 def scan_listed(files: DataFrame, split: int = SPLIT, with_payload: bool = True) -> DataFrame:

@@ -234,3 +234,9 @@ def test_data_source_reads_what_is_asked_for(spark, tmp_path):
     assert bare.where("payload is not null").select("track_id").distinct().collect() == [(tracks.SYNC,)]
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW recorded USING recordings OPTIONS (path '{tmp_path}')")
     assert spark.sql("SELECT count(*) FROM recorded WHERE track_id = 7 AND file_name LIKE '%00000.ubv'").first()[0] == 60
+
+
+def test_files_are_listed_once(spark, tmp_path):
+    (tmp_path / "1.ubv").write_bytes(record(9, 0xFD0C, 0, 0, b"h"))
+    rows = splits.scan_files(spark, [str(tmp_path)])
+    assert "binaryFile" not in rows._jdf.queryExecution().toString() and rows.count() == 1
