@@ -17,7 +17,10 @@ def unsigned(data: Column, at: int | Column, size: int) -> Column:
     """Big-endian unsigned integer of ``size`` bytes from byte ``at`` (0-based); null where it does not fit a LONG."""
     at = at if isinstance(at, Column) else F.lit(at)
     piece = F.substring(data, at + 1, F.lit(size))
-    wide = F.conv(F.hex(piece), 16, 10).cast("decimal(20,0)")
+    number = F.conv(F.hex(piece), 16, 10)
+    if size < 8:  # always fits
+        return F.when(F.octet_length(piece) == size, number.cast("long"))
+    wide = number.cast("decimal(20,0)")
     return F.when((F.octet_length(piece) == size) & (wide < F.lit(str(2**63)).cast("decimal(20,0)")), wide.cast("long"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark lists many paths by a few tasks a core. By itself it makes a task for each path, up to 10 000, and a task costs far more than to list one."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which goes when the session's JVM ends."""
     folder = f"{_with_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ and handled by one task; ``splits`` walks files of any size in byte ranges, and
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.functions import decode
+from tapeline.session import listing
 
 #: Payloads up to this many bytes are kept in the scan.
 INLINE = 1024
@@ -40,8 +42,11 @@ def list_files(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, lis
             found.append(pattern)
         else:
             unmatched.append(pattern)
-    rows = spark.read.format("binaryFile").load(found).select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"]) if found else spark.createDataFrame([], "path string, length long, modified timestamp")
-    return rows, unmatched
+    if not found:
+        return spark.createDataFrame([], "path string, length long, modified timestamp"), unmatched
+    with listing(spark):  # each file that a pattern names is a path of its own
+        rows = spark.read.format("binaryFile").load(found)
+    return rows.select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"]), unmatched
 
 
 def read_contents(spark: SparkSession, patterns: list[str]) -> DataFrame:
@@ -112,16 +117,21 @@ def raw_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=_NAMES)
 
 
-def raw_batches(file: str, records: Iterable[tuple], broken: bool, with_payload: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of RAW, some thousands together; payloads of clock syncs are always kept, as they are decoded."""
-    rows = []
+def raw_rows(file: str, records: Iterable[tuple], broken: bool, with_payload: bool) -> Iterator[tuple]:
+    """Rows of RAW; payloads of clock syncs are always kept, as they are decoded."""
     for at, head, payload, error in records:
-        rows.append((file, at, head, payload if with_payload or head and head[1:3] == b"\xda\x7e" else None, error, broken))
-        if len(rows) == 10_000:
-            yield raw_batch(rows)
-            rows = []
-    if rows:
-        yield raw_batch(rows)
+        yield file, at, head, payload if with_payload or head and head[1:3] == b"\xda\x7e" else None, error, broken
+
+
+def batched(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of RAW, some thousands together, whatever files they are of."""
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, 10_000)):
+        yield raw_batch(some)
+
+
+def raw_batches(file: str, records: Iterable[tuple], broken: bool, with_payload: bool) -> Iterator[pa.RecordBatch]:
+    return batched(raw_rows(file, records, broken, with_payload))
 
 
 def scan(contents: DataFrame, with_payload: bool = True) -> DataFrame:

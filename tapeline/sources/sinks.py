@@ -1,6 +1,6 @@
-"""Byte files written by tasks: elementary streams and masked copies of recordings.
+"""Files written by tasks: elementary streams and masked copies of recordings, Parquet of many small folders.
 
-Spark has no writer for raw bytes, so a task writes its files itself, through a file system that all executors share (any
+Spark has no writer for raw bytes, and its own for Parquet opens, commits and renames small files at a cost far above what is in them, so a task writes its files itself, through a file system that all executors share (any
 URI that pyarrow opens). A file appears under its name only when it is whole: a task writes beside it and renames, so one
 that is run again or fails leaves nothing behind, and the last writer wins.
 """
@@ -10,10 +10,13 @@ from __future__ import annotations
 import contextlib
 import gzip
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from tapeline.sources import ranges
 
 #: Bytes of a recording that a copy holds at a time.
 PIECE = 1 << 20
+#: Bytes of rows that are gathered to a row group.
+ROW_GROUP = 16 << 20
 
 
 class _File:
@@ -185,6 +190,93 @@ def write_masked(files: DataFrame, spans: DataFrame, folder: str, check: bool =
     return done if check else done.select("name", "bytes")
 
 
+class _Table:
+    """A Parquet file on its way, a row group at a time."""
+
+    def __init__(self, folder: str, schema: pa.Schema) -> None:
+        store, base = ranges.located(folder)
+        self.name, self.held, self.bytes = f"{uuid.uuid4().hex}.parquet", [], 0
+        self.raw = store.open_output_stream(f"{base}/{self.name}")
+        self.out = pq.ParquetWriter(self.raw, schema)
+
+    def write(self, rows: pa.RecordBatch) -> None:
+        self.held.append(rows)
+        self.bytes += rows.nbytes
+        if self.bytes >= ROW_GROUP:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.out.write_table(pa.Table.from_batches(self.held))
+            self.held, self.bytes = [], 0
+
+    def close(self) -> None:
+        self.flush()
+        self.out.close()
+        self.raw.close()
+
+
+def stage_folders(rows: DataFrame, keys: list[str], staging: str) -> DataFrame:
+    """path (``key=value/...``), file: Parquet files of ``rows``, which lie sorted by the keys (strings that a path may hold) in their tasks, written to ``staging``. Run by an action on the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, table = None, None
+
+        def told(done: list[tuple[str, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.string()) for i in range(2)], names=["path", "file"])
+
+        def path() -> str:
+            return "/".join(f"{k}={v}" for k, v in zip(keys, current, strict=True))
+
+        for batch in batches:
+            done, first = [], 0
+            data = batch.select([c for c in batch.schema.names if c not in keys])
+            for group, same in itertools.groupby(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
+                n = sum(1 for _ in same)
+                if group != current:
+                    if table is not None:
+                        table.close()
+                        done.append((path(), table.name))
+                    current, table = group, _Table(staging, data.schema)
+                table.write(data.slice(first, n))
+                first += n
+            yield told(done)
+        if table is not None:
+            table.close()
+            yield told([(path(), table.name)])
+
+    return rows.mapInArrow(run, "path string, file string")
+
+
+def replace_folders(staged: DataFrame, staging: str, folder: str) -> None:
+    """Puts staged files in place of what their folders under ``folder`` hold; other folders are not touched.
+
+    ``staged`` is at hand (``saved``), and none of the replaced files is read for it any more. A folder of one file changes at once, by a rename over it; of one with several a
+    reader may see old and new files.
+    """
+    groups = staged.repartition(_tasks(staged), "path").groupBy("path").agg(F.collect_list("file").alias("files"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, base), (_, source) = ranges.located(folder), ranges.located(staging)
+        for batch in batches:
+            for path, names in zip(*(batch.column(c).to_pylist() for c in ("path", "files")), strict=True):
+                target = f"{base}/{path}"
+                store.create_dir(target)
+                old = {f.base_name for f in store.get_file_info(fs.FileSelector(target)) if f.is_file}
+                new = [f"part-{i:05}.parquet" for i in range(len(names))]
+                for name, final in zip(sorted(names), new, strict=True):
+                    try:
+                        store.move(f"{source}/{name}", f"{target}/{final}")
+                    except FileNotFoundError:
+                        if final not in old:  # else moved by an attempt that was cut off
+                            raise
+                for name in old.difference(new):
+                    store.delete_file(f"{target}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column("path")], names=["path"])
+
+    groups.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 class _Copy:
     """A recording on its way to its masked copy, a piece at a time."""
 

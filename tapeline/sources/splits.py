@@ -36,6 +36,10 @@ WHOLE = 2**62
 MOST_TASKS = 20_000
 MAP = "file_id string, split long, start long, stop long, places binary, exits binary, bad binary, fault string"
 ENTRY = "file_id string, entry long, stop long, broken boolean, fault string"
+_MAP_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
+_ENTRY_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+#: Maps or entries in a batch at most.
+TOGETHER = 1000
 
 
 def chains(read, start: int, stop: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +89,12 @@ def _sound(source: ranges.Inflated) -> tuple[bool, str | None]:
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The maps of splits; those of many small ones go in one batch, as a batch costs more than such a map."""
+    held, size = [], 0
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in held], kind) for i, kind in enumerate(_MAP_KINDS)], names=["file_id", "split", "start", "stop", "places", "exits", "bad", "fault"])
+
     for batch in batches:
         for file, split, start, stop, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             source = ranges.opened(file)
@@ -96,23 +106,29 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fault, (places, exits, bads) = None, chains(source.read, start, stop, length)
             finally:
                 source.close()
-            packed = [((places - start) // 4).astype(np.uint32).tobytes(), exits.astype(np.int64).tobytes(), bads.astype(np.uint8).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([split]), pa.array([start]), pa.array([stop]), *(pa.array([x], pa.binary()) for x in packed), pa.array([fault], pa.string())], names=["file_id", "split", "start", "stop", "places", "exits", "bad", "fault"])
+            held.append((file, split, start, stop, ((places - start) // 4).astype(np.uint32).tobytes(), exits.astype(np.int64).tobytes(), bads.astype(np.uint8).tobytes(), fault))
+            size += 13 * len(places)
+            if len(held) == TOGETHER or size >= PIECE:
+                yield told()
+                held, size = [], 0
+    if held:
+        yield told()
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The true chain of each file, from the maps of its splits in order."""
-    file, at, broken, fault, found = None, 0, False, None, []
+    file, at, broken, fault, found, held = None, 0, False, None, [], []
 
     def told() -> pa.RecordBatch:
-        n = len(found)
-        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([e for e, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int64()), pa.array([broken] * n), pa.array([fault] * n, pa.string())], names=["file_id", "entry", "stop", "broken", "fault"])
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in held], kind) for i, kind in enumerate(_ENTRY_KINDS)], names=["file_id", "entry", "stop", "broken", "fault"])
 
     for batch in batches:
         for row in batch.to_pylist():
             if row["file_id"] != file:
-                if found:
+                held += [(file, e, s, broken, fault) for e, s in found]
+                if len(held) >= TOGETHER:
                     yield told()
+                    held = []
                 file, at, broken, fault, found = row["file_id"], 0, False, None, []
             if not row["start"] <= at < row["stop"]:
                 continue  # inside a payload, or the chain has ended before
@@ -128,24 +144,25 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lead = source.read(at, 8)
                 source.close()
                 broken, at = broken or (len(lead) == 8 and lead[0] != 0), -1
-    if found:
+    held += [(file, e, s, broken, fault) for e, s in found]
+    if held:
         yield told()
 
 
 def _records(with_payload: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for file, entry, stop, broken, fault in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if fault is not None:
-                    yield archive.raw_batch([(file, 0, None, None, {"code": "bad_gzip", "offset": 0, "message": fault}, True)])
+                    yield file, 0, None, None, {"code": "bad_gzip", "offset": 0, "message": fault}, True
                     continue
                 source = ranges.opened(file)
                 try:
-                    yield from archive.raw_batches(file, archive.walk(source.read, entry, stop), broken, with_payload)
+                    yield from archive.raw_rows(file, archive.walk(source.read, entry, stop), broken, with_payload)
                 finally:
                     source.close()
 
-    return run
+    return lambda batches: archive.batched(rows(batches))
 
 
 def scan_files(spark: SparkSession, patterns: list[str], split: int = SPLIT, with_payload: bool = True) -> DataFrame:

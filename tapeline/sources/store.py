@@ -2,8 +2,8 @@
 
 Camera and day come from a file's name, so a query by either reads its folders alone. A run compares the files that the
 patterns name with the list, by path, length and time of change, and scans those that are new or have changed. Folders
-(camera, day) that these belong to are written anew from their stored rows and the scanned ones, by a dynamic
-overwrite; other folders and other recordings are not opened. The list is appended to last: a run that was cut off is done again by the next one,
+(camera, day) that these belong to are written anew from their stored rows and the scanned ones, by tasks, beside the store first and put in place when
+all are whole; other folders and other recordings are not opened. The list is appended to last: a run that was cut off is done again by the next one,
 with the same result. A store has one writer at a time.
 
 Defined results: names without a camera or a time go to ``unknown``; error rows are kept as the scan gives them; an empty file is as one
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from tapeline.functions import naming
-from tapeline.session import shared_folder
-from tapeline.sources import archive, splits
+from tapeline.session import listing, saved, shared_folder
+from tapeline.sources import archive, sinks, splits
 
 UNKNOWN = "unknown"
 LISTED = "path string, length long, modified timestamp, camera string, day string, run long, present boolean"
@@ -29,6 +29,15 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def _emptied(spark: SparkSession, folder: str) -> str:
+    """The folder, with nothing in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(path, True)
+    store.mkdirs(path)
+    return folder
+
+
 def placed(rows: DataFrame, path: str) -> DataFrame:
     """Adds ``camera`` and ``day`` (UTC) of the file's name."""
     name = naming.file_name(F.col(path))
@@ -51,7 +60,8 @@ def records(spark: SparkSession, store: str) -> DataFrame:
     fields = StructType(archive.decoded(spark.createDataFrame([], archive.RAW)).schema.fields).add("camera", StringType()).add("day", StringType())
     if not _exists(spark, f"{store}/records"):
         return spark.createDataFrame([], fields)
-    return spark.read.schema(fields).parquet(f"{store}/records").where("file_id is not null")
+    with listing(spark):
+        return spark.read.schema(fields).parquet(f"{store}/records").where("file_id is not null")
 
 
 def changes(spark: SparkSession, patterns: list[str], store: str, drop_missing: bool = False) -> DataFrame:
@@ -81,7 +91,10 @@ def ingest(spark: SparkSession, patterns: list[str], store: str, drop_missing: b
     fresh = placed(splits.scan_listed(done.where("change <> 'removed'"), split), "file_id").select(stored.columns)
     rows = fresh.unionByName(kept).unionByName(folders, allowMissingColumns=True)  # one row without a file, as a folder that becomes empty must be written too
     rows = rows.hint("rebalance", "camera", "day").sortWithinPartitions("camera", "day", "file_id", "file_offset")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("camera", "day").parquet(f"{store}/records")
+    staging = _emptied(spark, f"{store}/.staged")  # a run that was cut off may have left files there
+    sinks.replace_folders(saved(sinks.stage_folders(rows, ["camera", "day"], staging)), staging, f"{store}/records")
+    _emptied(spark, staging)
+    spark.catalog.refreshByPath(f"{store}/records")
     run = (spark.read.schema(LISTED).parquet(f"{store}/files").agg(F.max("run")).first()[0] or 0) + 1 if _exists(spark, f"{store}/files") else 1
     listed = done.select("path", "length", "modified", "camera", "day", F.lit(run).cast("long").alias("run"), (F.col("change") != "removed").alias("present"))
     listed.write.mode("append").parquet(f"{store}/files")

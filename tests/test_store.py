@@ -2,9 +2,11 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 
-from tapeline.sources import archive, splits, store
+from tapeline.session import saved
+from tapeline.sources import archive, sinks, splits, store
 from tests.test_flows import record
 
 A, B, C = "AABBCCDDEE01_0_rotating_1704067200000.ubv", "AABBCCDDEE01_0_rotating_1704070800000.ubv", "001122334455_0_rotating_1704153600000.ubv"
@@ -87,3 +89,54 @@ def test_queries_read_their_folders_alone(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     chosen = plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
     assert "camera#" in chosen and "day#" in chosen and rows.count() == 1
+
+
+def test_work_for_each_small_folder_and_split_is_shared(spark, tmp_path):
+    """Spark lists by a few tasks a core, not by one for each path, and small splits share batches."""
+    folder, kept = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    names = [f"AABBCCDDEE01_0_rotating_{1704067200000 + day * 86_400_000}.ubv" for day in range(40)]  # Spark's own threshold is 32 paths
+    for name in names:
+        (folder / name).write_bytes(START + record(7, 0xDD0C, 1, 5, b"x"))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    most = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+
+    def tasks(name, run):
+        context.setJobGroup(name, "")
+        found = run()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        stages = [s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
+        return found, max(tracker.getStageInfo(s).numTasks for s in stages)
+
+    (files, _), n = tasks("files listed", lambda: archive.list_files(spark, [f"{folder}/AA*"]))
+    assert n <= 4 * context.defaultParallelism and files.count() == 40
+    store.ingest(spark, [str(folder)], kept)
+    rows, n = tasks("store listed", lambda: store.records(spark, kept))
+    assert n <= 4 * context.defaultParallelism and rows.count() == 80 and rows.select("day").distinct().count() == 40
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == most
+
+    stored = lambda: {f"{p}/{f}": os.stat(f"{p}/{f}").st_mtime_ns for p, _, found in os.walk(f"{kept}/records") for f in found}
+    before = stored()
+    (folder / "AABBCCDDEE01_0_rotating_1704067200001.ubv").write_bytes(START)
+    store.ingest(spark, [str(folder)], kept)
+    after = stored()
+    assert set(before) == set(after) and len(after) == 40 and {p.split("day=")[1][:10] for p in after if after[p] != before[p]} == {"2024-01-01"} and rows.sparkSession.read.parquet(f"{kept}/records").where("file_id is not null").count() == 81
+
+    splits_of = [pa.array(x) for x in ([f"{folder}/{n}" for n in names], [0] * 40, [0] * 40, [64] * 40, [len(START)] * 40)]
+    maps = list(splits._maps(iter([pa.RecordBatch.from_arrays(splits_of, names=["file_id", "split", "start", "stop", "length"])])))
+    entries = list(splits._entries(iter(maps)))
+    assert [b.num_rows for b in maps] == [b.num_rows for b in entries] == [40] and [b.num_rows for b in splits._records(True)(iter(entries))] == [80]
+
+
+def test_folders_are_replaced_by_a_task_that_is_run_again(spark, tmp_path):
+    kept, staging = tmp_path / "kept", tmp_path / "staging"
+    staging.mkdir()
+    for n in (3, 2):  # the second time in place of the first
+        rows = spark.range(n).selectExpr("'a' as camera", "cast(id % 2 as string) as day", "id").repartition(1).sortWithinPartitions("camera", "day")
+        staged = saved(sinks.stage_folders(rows, ["camera", "day"], str(staging)))
+        for _ in range(2):  # its files are gone from the staging folder by then
+            sinks.replace_folders(staged, str(staging), str(kept))
+        assert sorted(r.id for r in spark.read.parquet(str(kept)).collect()) == list(range(n)) and not os.listdir(staging)
+    gone = spark.createDataFrame([("camera=a/day=7", "lost.parquet")], "path string, file string")
+    with pytest.raises(Exception, match="lost.parquet"):
+        sinks.replace_folders(gone, str(staging), str(kept))
