@@ -3,7 +3,7 @@
 Camera and day come from a file's name, so a query by either reads its folders alone. A run compares the files that the
 patterns name with the list, by path, length and time of change, and scans those that are new or have changed. Folders
 (camera, day) that these belong to are written anew from their stored rows and the scanned ones, by tasks, beside the store first and put in place when
-all are whole; other folders and other recordings are not opened. The list is appended to last: a run that was cut off is done again by the next one,
+all are whole; other folders and other recordings are not opened, nor those of other cameras listed. The list is appended to last: a run that was cut off is done again by the next one,
 with the same result. A store has one writer at a time.
 
 Defined results: names without a camera or a time go to ``unknown``; error rows are kept as the scan gives them; an empty file is as one
@@ -55,13 +55,15 @@ def files(spark: SparkSession, store: str) -> DataFrame:
     return latest.where("present").drop("present")
 
 
-def records(spark: SparkSession, store: str) -> DataFrame:
-    """The stored records and error rows, with ``camera`` and ``day``; filters on these two choose the folders that are read."""
+def records(spark: SparkSession, store: str, cameras: list[str] | None = None) -> DataFrame:
+    """The stored records and error rows, with ``camera`` and ``day``; filters on these two choose the folders that are read, ``cameras`` those that are listed."""
     fields = StructType(archive.decoded(spark.createDataFrame([], archive.RAW)).schema.fields).add("camera", StringType()).add("day", StringType())
-    if not _exists(spark, f"{store}/records"):
+    base = f"{store}/records"
+    found = [f for f in ([base] if cameras is None else [f"{base}/camera={c}" for c in cameras]) if _exists(spark, f)]
+    if not found:
         return spark.createDataFrame([], fields)
     with listing(spark):
-        return spark.read.schema(fields).parquet(f"{store}/records").where("file_id is not null")
+        return spark.read.schema(fields).option("basePath", base).parquet(*found).where("file_id is not null")
 
 
 def changes(spark: SparkSession, patterns: list[str], store: str, drop_missing: bool = False) -> DataFrame:
@@ -86,7 +88,7 @@ def ingest(spark: SparkSession, patterns: list[str], store: str, drop_missing: b
         return done
     acted = done.where("change in ('new', 'changed', 'removed')")
     folders = acted.select("camera", "day").distinct()
-    stored = records(spark, store)
+    stored = records(spark, store, [r.camera for r in folders.select("camera").distinct().collect()])
     kept = stored.join(folders, ["camera", "day"], "left_semi").join(done.select(F.col("path").alias("file_id")), "file_id", "left_anti").select(stored.columns)
     fresh = placed(splits.scan_listed(done.where("change <> 'removed'"), split), "file_id").select(stored.columns)
     rows = fresh.unionByName(kept).unionByName(folders, allowMissingColumns=True)  # one row without a file, as a folder that becomes empty must be written too

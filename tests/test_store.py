@@ -140,3 +140,17 @@ def test_folders_are_replaced_by_a_task_that_is_run_again(spark, tmp_path):
     gone = spark.createDataFrame([("camera=a/day=7", "lost.parquet")], "path string, file string")
     with pytest.raises(Exception, match="lost.parquet"):
         sinks.replace_folders(gone, str(staging), str(kept))
+
+
+def test_a_run_lists_its_cameras_alone(spark, tmp_path):
+    folder, kept = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    (folder / A).write_bytes(START)
+    store.ingest(spark, [str(folder)], kept)
+    odd = f"{kept}/records/camera=AABBCCDDEE01/odd=1/other=2"  # a store with this folder cannot be listed
+    os.makedirs(odd)
+    os.link(next(f"{p}/{f}" for p, _, found in os.walk(f"{kept}/records") for f in found if f.endswith(".parquet")), f"{odd}/x.parquet")
+    (folder / C).write_bytes(START)
+    assert told(store.ingest(spark, [str(folder)], kept)) == {C: "new"} and store.records(spark, kept, ["001122334455", "none"]).count() == 1
+    with pytest.raises(Exception, match="(?i)conflicting"):
+        store.records(spark, kept).count()
